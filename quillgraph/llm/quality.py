@@ -34,6 +34,7 @@ BOILERPLATE = (
 _boiler = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _ends = re.compile(r"[.!?…:;。！？\"'”’»)\]]\s*$")
 _bars = re.compile(r"[|»›·•<>{}]")
+_odd = re.compile(r"[#*$%&~^_=+\\]+")
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,7 @@ class LineRules:
     max_repeat_percent: int = 50
     max_loss: float = 0.5
     max_bars: float = 0.25  #: separators per word from which a line is navigation
+    max_odd: float = 0.3  #: runs of symbols per word from which the punctuation of a line is junk
     open_words: int = 4  #: lines of at most so many words without a closing mark fail the punctuation rule
     open_commas: float = 0.02  #: longer lines pass without a closing mark if they have so many marks a word
 
@@ -53,6 +55,8 @@ def line_verdict(line: str, rules: LineRules = LineRules()) -> str:
         return "navigation"
     if _boiler.search(line.lower()):
         return "boilerplate"
+    if len(_odd.findall(line)) > rules.max_odd * n:
+        return "punctuation"
     if not _ends.search(line):
         marks = line.count(".") + line.count(",")
         if n <= rules.open_words or marks < rules.open_commas * n:
