@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, quality, secret_scan, toxicity, warc
+from . import bpe, embed_dedup, language_id, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -13,14 +13,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Setting(shingle=3, percent=85, rows=6))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.figures(table(spark, sf_dir, "documents"), 50)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -37,14 +53,50 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_packing": op5_packing,
     "op6_warc": op6_warc,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
 }
 
+_COMPONENTS = """
+        reach AS (
+            SELECT node, node AS least FROM nodes
+            UNION
+            SELECT e.v, r.least FROM reach r JOIN edges e ON e.u = r.node WHERE r.least < e.v
+        ),
+        comp AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+"""
+
 ORACLES = {
+    "op2_minhash_near_dedup": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+        ),
+        sh AS (SELECT doc_id, unnest(s) AS g FROM sets),
+        n AS (SELECT doc_id, len(s) AS n FROM sets),
+        both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        edges AS (SELECT u, v FROM both_ JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        nodes AS (SELECT doc_id AS node FROM sets),
+        {_COMPONENTS}
+        SELECT n.doc_id, n.n AS n_shingles, component_id, component_id = n.doc_id AS kept FROM n JOIN comp ON node = n.doc_id
+    """,
+    "op7_embedding_near_dedup": f"""
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        edges AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        nodes AS (SELECT vec_id AS node FROM e),
+        {_COMPONENTS}
+        SELECT node AS vec_id, (SELECT count(*) FROM edges WHERE u = node) AS n_links, component_id, component_id = node AS kept FROM comp
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         h AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS payload_digest FROM p),

@@ -128,3 +128,13 @@ def toxicity(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> D
             })
 
     return documents_of(docs, "doc_id", "text").mapInPandas(run, SCHEMA)
+
+
+def harmless(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that the model doesn't reject."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[model.probabilities(t)[0] <= threshold for t in pdf["text"]]]
+
+    return docs.mapInPandas(run, docs.schema)
