@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents_of
@@ -33,7 +33,7 @@ from .common import documents_of
 SLOTS = 1 << 17
 NO_RANK = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CHUNK = "words array<array<bigint>>, doc_ids array<bigint>, lengths binary, codes binary"
+CHUNK = "comma string, words array<array<bigint>>, doc_ids array<bigint>, lengths binary, codes binary"
 
 
 def default_ranks() -> str:
@@ -64,7 +64,11 @@ def pieces(path: str) -> list[bytes]:
 
 
 def _slots(left, right):
-    return (left * 31337 + right * 7919) % SLOTS, SLOTS + (left * 50021 + right * 40503 + 977) % SLOTS
+    """The two places of a pair. Only products that fit a long and masks, which cost least as column expressions."""
+    if isinstance(left, int):
+        return (left * 31337 + right) & (SLOTS - 1), SLOTS + ((left * 7919 + right * 5) & (SLOTS - 1))
+    mask = F.lit(SLOTS - 1).cast("bigint")
+    return (left * 31337 + right).bitwiseAND(mask), (left * 7919 + right * 5).bitwiseAND(mask) + SLOTS
 
 
 def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
@@ -92,56 +96,56 @@ def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
     return table
 
 
-def long_array_literal(spark: SparkSession, values: np.ndarray) -> Column:
-    """A literal of type array<bigint>, handed over in one call."""
-    jvm = spark._jvm
-    out = spark.sparkContext._gateway.new_array(jvm.long, len(values))
-    jvm.java.nio.ByteBuffer.wrap(values.astype(">i8").tobytes()).asLongBuffer().get(out)
-    return Column(jvm.org.apache.spark.sql.functions.lit(out))
+def table_literal(values: np.ndarray, comma: Column) -> Column:
+    """The table as one literal string, taken apart once for each chunk at its ``comma`` (a literal array, which a constant
+    separator would be folded to, takes a task a second to read)."""
+    return F.transform(F.split(F.lit(",".join(str(v) if v else "" for v in values.tolist())), comma), lambda x: F.when(x != "", x.cast("bigint")).otherwise(F.lit(0)))
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def bind(value: Column, zero: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once. ``zero`` is anything of the result's type (an aggregate over one
+    element is used since an element of a transformed array has its type worked out again at every look)."""
+    return F.aggregate(F.array(value), zero, lambda _, x: use(x))
 
 
 def merge_words(words: Column, table: Column) -> Column:
     """array<array<bigint>> of byte ids to token ids: ranked merges folded over each word."""
+    none_found = F.lit(NO_RANK).cast("bigint")
 
     def with_table(t: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
-            key = left * 65536 + right
             first, second = (F.get(t, s.cast("int")) for s in _slots(left, right))
 
-            def pick(a: Column) -> Column:
-                return F.when(F.shiftright(a, 16) == key, a.bitwiseAND(F.lit(65535)))
+            def found(key: Column) -> Column:
+                def pick(a: Column, otherwise: Column) -> Column:
+                    return F.when(F.shiftright(a, 16) == key, a.bitwiseAND(F.lit(65535))).otherwise(otherwise)
 
-            return F.coalesce(bind(first, pick), bind(second, pick), F.lit(NO_RANK).cast("bigint"))
+                return pick(first, pick(second, none_found))
 
-        def state(ids: Column, ranks: Column) -> Column:
-            return bind(ranks, lambda r: F.struct(ids.alias("ids"), r.alias("ranks"), F.coalesce(F.array_min(r), F.lit(NO_RANK).cast("bigint")).alias("least")))
+            return found(F.shiftleft(left, 16) + right)
 
-        def join_at(s: Column, i: Column) -> Column:  # i: place of the pair, from 1
-            ids, ranks, new = s["ids"], s["ranks"], s["least"]
+        def join_at(s: Column, new: Column, i: Column) -> Column:  # i: place of the pair, from 1
+            ids, ranks = s["ids"], s["ranks"]
             none = F.slice(ranks, F.lit(1), F.lit(0))
             before = F.when(i > 1, F.array(rank(F.get(ids, i - 2), new))).otherwise(none)
-            after = F.when(i + 1 < F.size(ids), F.array(rank(new, F.get(ids, i + 1)))).otherwise(none)
+            after = F.when(i < F.size(ranks), F.array(rank(new, F.get(ids, i + 1)))).otherwise(none)
             rest = F.size(ids)
-            return state(
-                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, rest)),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, rest)),
+            return F.struct(
+                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, rest)).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, rest)).alias("ranks"),
             )
 
         def step(s: Column, _: Column) -> Column:
-            return F.when(s["least"] < NO_RANK, bind(F.array_position(s["ranks"], s["least"]).cast("int"), lambda i: join_at(s, i))).otherwise(s)
+            least = F.coalesce(F.array_min(s["ranks"]), none_found)
+            return bind(least, s, lambda m: F.when(m < NO_RANK, bind(F.array_position(s["ranks"], m).cast("int"), s, lambda i: join_at(s, m, i))).otherwise(s))
 
         def fold(word: Column) -> Column:
             first = F.transform(F.slice(word, F.lit(2), F.greatest(F.size(word) - 1, F.lit(0))), lambda x, i: rank(F.get(word, i), x))
-            return F.aggregate(F.sequence(F.lit(1), F.size(word)), state(word, first), step, lambda s: s["ids"])
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), F.struct(word.alias("ids"), first.alias("ranks")), step, lambda s: s["ids"])
 
         return F.transform(words, fold)
 
-    return bind(table, with_table)
+    return F.get(F.transform(F.array(table), with_table), F.lit(0))
 
 
 def chunks(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32 << 20) -> DataFrame:
@@ -167,10 +171,10 @@ def chunks(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32
             inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), inner), pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([","]), pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), inner), pa.array([ids], pa.list_(pa.int64())),
                     pa.array([np.array(lengths, "<i4").tobytes()], pa.binary()), pa.array([np.concatenate(codes or [np.zeros(0, np.int32)]).astype("<i4").tobytes()], pa.binary()),
                 ],
-                names=["words", "doc_ids", "lengths", "codes"],
+                names=["comma", "words", "doc_ids", "lengths", "codes"],
             )
 
         for batch in batches:
@@ -220,8 +224,8 @@ def regex_stretches(text: str) -> list[str]:
 def with_ids(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Chunks with ``tokens``: the ids of each distinct word."""
     path = ranks_path or default_ranks()
-    table = long_array_literal(docs.sparkSession, rank_table(load_ranks(path)))
-    return chunks(docs, path, pattern or default_pattern()).withColumn("tokens", merge_words(F.col("words"), table)).drop("words")
+    table = table_literal(rank_table(load_ranks(path)), F.col("comma"))
+    return chunks(docs, path, pattern or default_pattern()).withColumn("tokens", merge_words(F.col("words"), table)).drop("words", "comma")
 
 
 def decode(ids: list[int], ranks_path: str | None = None) -> bytes:
