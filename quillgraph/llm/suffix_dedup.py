@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ LEAD = 16
 BATCH = 2 << 20  #: bytes that one round of array work takes
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 GROUP = "_suffix_group"  #: the only column that a table must not have of its own
-NOTE = "p long, kind string, a binary, b binary, c binary"
+NOTE = "p long, bucket long, kind string, a binary, b binary, c binary"
 
 
 def _u64(x: int) -> np.uint64:
@@ -139,12 +140,15 @@ def contexts(batch: Batch, at: np.ndarray, doc: np.ndarray, length: int) -> Cont
         return np.where(np.arange(len(offsets)) < limit[:, None], batch.bytes[where], 0).astype(np.uint8)
 
     back, front = take(-1 - np.arange(reach), n_back), take(np.arange(length), n_front)
-    all_ = np.concatenate([front, back, n_back[:, None], n_front[:, None]], 1)
-    key = np.zeros(len(at), np.uint64)
-    for w in as_words(all_).T:
+    return Contexts(back, front, n_back, n_front, context_keys(front, back, np.stack([n_back, n_front], 1)))
+
+
+def context_keys(front: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(front), np.uint64)
+    for w in as_words(np.concatenate([front, back, sizes], 1)).T:
         key = (key ^ w) * _u64(0x9E3779B97F4A7C15)
         key ^= key >> _u64(31)
-    return Contexts(back, front, n_back, n_front, key)
+    return key
 
 
 def as_words(rows: np.ndarray) -> np.ndarray:
@@ -223,6 +227,12 @@ def distinct_leads(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarr
     return h[first], several, lead[first]
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """31 bits of a hash. They only choose what is looked at within a bucket, and a bucket holds about as many leading
+    strings at every size of the corpus, so chance hits stay rare."""
+    return (h >> _u64(33)).astype(np.uint32)
+
+
 def by_bucket(lead: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     bucket = np.searchsorted(splitters, lead, side="right")
     order = np.argsort(bucket, kind="stable")
@@ -234,10 +244,11 @@ def by_bucket(lead: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np
 class Removal:
     """Which bytes of a group's documents go, given what the buckets sent back."""
 
-    def __init__(self, notes: pd.DataFrame, length: int):
-        self.length = length
+    def __init__(self, notes: pd.DataFrame, length: int, splitters: np.ndarray):
+        self.length, self.splitters = length, splitters
         leads = notes[notes["kind"] == "lead"]
-        self.leads = np.unique(_join(leads["a"], "<u8"))
+        of = np.repeat(leads["bucket"].to_numpy(np.int64), [len(a) // 4 for a in leads["a"]])
+        self.leads = np.unique((of.astype(np.uint64) << _u64(32)) | _join(leads["a"], "<u4").astype(np.uint64))
         runs = notes[notes["kind"] == "run"]
         self.key, self.low, self.windows = _join(runs["a"], "<u8"), _join(runs["b"], "<i8"), _join(runs["c"], "u1").reshape(-1, 2).astype(np.int64)
         order = np.argsort(self.key, kind="stable")
@@ -245,10 +256,11 @@ class Removal:
 
     def candidates(self, batch: Batch) -> tuple[Places, Contexts]:
         p = places(batch, self.length)
-        i = np.searchsorted(self.leads, p.hash)
+        code = (np.searchsorted(self.splitters, p.lead, side="right").astype(np.uint64) << _u64(32)) | short(p.hash).astype(np.uint64)
+        i = np.searchsorted(self.leads, code)
         hit = np.zeros(len(p.at), bool)
         inside = i < len(self.leads)
-        hit[inside] = self.leads[i[inside]] == p.hash[inside]
+        hit[inside] = self.leads[i[inside]] == code[inside]
         p = Places(p.at[hit], p.doc[hit], p.hash[hit], p.lead[hit])
         return p, contexts(batch, p.at, p.doc, self.length)
 
@@ -287,22 +299,23 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
 
     def send_leads(pdf: pd.DataFrame) -> pd.DataFrame:
         h, several, lead = distinct_leads(pdf, length)
-        rows = [(b, int(pdf[GROUP].iloc[0]), _pack(h[i], "<u8"), _pack(several[i], "u1")) for b, i in by_bucket(lead, splitters)]
-        return pd.DataFrame(rows, columns=["bucket", "p", "a", "b"])
+        rows = [(b, int(pdf[GROUP].iloc[0]), _pack((short(h[i]) << np.uint32(1)) | several[i], "<u4")) for b, i in by_bucket(lead, splitters)]
+        return pd.DataFrame(rows, columns=["bucket", "p", "a"])
 
     def common_leads(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, several = _join(pdf["a"], "<u8"), _join(pdf["b"], "u1").astype(bool)
+        codes = _join(pdf["a"], "<u4")
+        h = codes >> np.uint32(1)
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        goes = several | (count[back] > 1)
-        ends = np.cumsum([len(a) // 8 for a in pdf["a"]])
-        rows = [(p, "lead", _pack(h[s:e][goes[s:e]], "<u8"), None, None) for p, s, e in zip(pdf["p"], [0, *ends[:-1]], ends, strict=True)]
-        return pd.DataFrame([r for r in rows if r[2]], columns=["p", "kind", "a", "b", "c"])
+        goes = (codes & np.uint32(1)).astype(bool) | (count[back] > 1)
+        ends = np.cumsum([len(a) // 4 for a in pdf["a"]])
+        rows = [(p, b, "lead", _pack(h[s:e][goes[s:e]], "<u4"), None, None) for p, b, s, e in zip(pdf["p"], pdf["bucket"], [0, *ends[:-1]], ends, strict=True)]
+        return pd.DataFrame([r for r in rows if r[3]], columns=["p", "bucket", "kind", "a", "b", "c"])
 
     def send_contexts(pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "p", "key", "ids", "several", "bytes", "sizes"]
+        columns = ["bucket", "p", "ids", "several", "bytes", "sizes"]
         if not len(pdf) or not len(notes):
             return pd.DataFrame([], columns=columns)
-        job, found = Removal(notes, length), []
+        job, found, squeeze = Removal(notes, length, splitters), [], zstandard.ZstdCompressor(level=3)
         for batch in batches_of(pdf):
             p, c = job.candidates(batch)
             ids = batch.ids[p.doc]
@@ -318,13 +331,15 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
         several = np.maximum.reduceat(top[order], at) != low[first] if len(key) else new
         rows = []
         for b, i in by_bucket(lead[first], splitters):
+            i = i[multikey_sort(data[first[i]])]  # neighbours share bytes, and so need less room
             f = first[i]
-            rows.append((b, int(pdf[GROUP].iloc[0]), _pack(key[f], "<u8"), _pack(low[f], "<i8"), _pack(several[i], "u1"), data[f].tobytes(), sizes[f].tobytes()))
+            rows.append((b, int(pdf[GROUP].iloc[0]), _pack(low[f], "<i8"), _pack(several[i], "u1"), squeeze.compress(data[f].tobytes()), sizes[f].tobytes()))
         return pd.DataFrame(rows, columns=columns)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ids, several = _join(pdf["key"], "<u8"), _join(pdf["ids"], "<i8"), _join(pdf["several"], "u1").astype(bool)
-        data, sizes = _join(pdf["bytes"], "u1").reshape(len(key), -1), _join(pdf["sizes"], "u1").reshape(-1, 2)
+        ids, several = _join(pdf["ids"], "<i8"), _join(pdf["several"], "u1").astype(bool)
+        data, sizes = _join(map(zstandard.ZstdDecompressor().decompress, pdf["bytes"]), "u1").reshape(len(ids), -1), _join(pdf["sizes"], "u1").reshape(-1, 2)
+        key = context_keys(data[:, :length], data[:, length:], sizes)
         # equal contexts of several groups are compared once
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
         low = np.full(len(first), NULL_ID, np.int64)
@@ -345,7 +360,7 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
         value = smallest[o0, of]
         begin = np.searchsorted(of, np.arange(len(first) + 1))
         rows, at = [], 0
-        for p, blob in zip(pdf["p"], pdf["key"], strict=True):
+        for p, b, blob in zip(pdf["p"], pdf["bucket"], pdf["ids"], strict=True):
             n = len(blob) // 8
             mine = back[at : at + n]
             count = begin[mine + 1] - begin[mine]
@@ -355,11 +370,11 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
             src, run = src[use], run[use]
             at += n
             if len(src):
-                rows.append((p, "run", _pack(key[src], "<u8"), _pack(value[run], "<i8"), _pack(np.stack([o0[run], o1[run]], 1), "u1")))
-        return pd.DataFrame(rows, columns=["p", "kind", "a", "b", "c"])
+                rows.append((p, b, "run", _pack(key[src], "<u8"), _pack(value[run], "<i8"), _pack(np.stack([o0[run], o1[run]], 1), "u1")))
+        return pd.DataFrame(rows, columns=["p", "bucket", "kind", "a", "b", "c"])
 
     def apply(pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        job = Removal(notes, length)
+        job = Removal(notes, length, splitters)
 
         def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             for batch in batches_of(pdf):
@@ -369,8 +384,8 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
 
         return finish(pdf, each())
 
-    leads = dealt.groupBy(GROUP).applyInPandas(send_leads, "bucket long, p long, a binary, b binary").groupBy("bucket").applyInPandas(common_leads, NOTE)
-    sent = dealt.groupBy(GROUP).cogroup(leads.groupBy("p")).applyInPandas(send_contexts, "bucket long, p long, key binary, ids binary, several binary, bytes binary, sizes binary")
+    leads = dealt.groupBy(GROUP).applyInPandas(send_leads, "bucket long, p long, a binary").groupBy("bucket").applyInPandas(common_leads, NOTE)
+    sent = dealt.groupBy(GROUP).cogroup(leads.groupBy("p")).applyInPandas(send_contexts, "bucket long, p long, ids binary, several binary, bytes binary, sizes binary")
     runs = sent.groupBy("bucket").applyInPandas(compare, NOTE)
     notes = leads.unionByName(runs)
     return dealt.groupBy(GROUP).cogroup(notes.groupBy("p")).applyInPandas(apply, schema)
