@@ -1,0 +1,437 @@
+"""Each training-data operator against brute force, an exact round trip or held-out accuracy."""
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quillgraph.llm import bpe, embed_dedup, language_id, minhash, packing, quality, queries, secret_scan, suffix_dedup, toxicity, warc
+from quillgraph.llm.components import components
+
+TEXT = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+# --- language id ---------------------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark, tables):
+    docs = spark.read.parquet(tables.replace("0.001", "0.01") + "/documents.parquet")
+    got = queries.op1_language_id(spark, tables.replace("0.001", "0.01")).join(docs, "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    for r in got.select("doc_id").limit(20).collect():
+        assert zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+
+
+def test_language_edge_cases(odd):
+    got = {(r.doc_id, r.lang_pred): r.score for r in language_id.identify(odd, language_id.train(odd)).collect()}
+    for i in (3, 4, 5, 7):
+        assert got[i, "und"] == 0.0
+    assert all(0 <= s <= 1 for s in got.values())
+    assert language_id.identify(odd.limit(0), language_id.train(odd.limit(0))).count() == 0
+    assert {r.lang_pred for r in language_id.identify(odd, language_id.train(odd.limit(0))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("k", (2, 4, 5, 9))
+def test_codewords_differ(k):
+    c = language_id.codewords(k)
+    assert len({tuple(r) for r in c}) == k and all(abs(col.sum()) < k for col in c.T)
+
+
+# --- near duplicates -----------------------------------------------------------------------------------------------
+
+
+def brute_components(texts, shingle, percent):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        k = min(shingle, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("shingle", "percent"), ((3, 85), (5, 80)))
+def test_minhash_matches_brute_force(small, shingle, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(small, minhash.Setting(shingle=shingle, percent=percent)).collect()}
+    assert got == brute_components(TEXT(small), shingle, percent)
+
+
+def test_minhash_edge_cases(odd):
+    got = defaultdict(set)
+    for r in minhash.near_duplicates(odd, minhash.Setting(shingle=3, percent=85, rows=6)).collect():
+        got[r.doc_id].add((r.n_shingles, r.component_id, r.kept))
+    assert {c for _, c, _ in got[2]} == {1} and {k for _, _, k in got[2]} == {False}
+    assert got[3] == {(0, 3, True)} and got[4] == {(0, 4, True)} and got[5] == {(0, 5, True)}
+    assert got[10] == {(1, 10, True)} and got[11] == {(1, 10, False)}
+    assert {c for _, c, _ in got[None]} == {None}
+    assert minhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_mixed_buckets_are_tried_in_blocks(spark, monkeypatch):
+    """A chain of texts, each near the next only: whatever the block size, the chain is one component."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_components(texts, 3, 85)
+    for block in (2000, 3):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, minhash.Setting(shingle=3, percent=85, rows=6)).collect()}
+        assert got == want
+
+
+def test_estimates_are_near_the_similarity():
+    s = minhash.Setting(shingle=3, percent=85, rows=6)
+    signer = minhash.Signer(s)
+    a, b = [str(i) for i in range(1000)], [str(i) for i in range(100, 1100)]
+    bits = [np.array(signer.sign(" ".join(x))[3], np.int64).view(np.uint64) for x in (a, b)]
+    assert abs(minhash.estimates(bits[0], bits[1][None], s)[0] - 898 / 1098) < 0.12
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50, 80)] + [(1, 9), (9, 5), (None, 3), (4, 4)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 50 for i in range(50, 81)} | {1: 1, 5: 1, 9: 1}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# --- quality rules -------------------------------------------------------------------------------------------------
+
+
+def brute_quality(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    hit = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), failed
+
+
+def test_quality_base_figures(docs, odd):
+    for df in (docs, odd):
+        want = sorted((i is None, i, *brute_quality(t)) for i, t in TEXT(df)) if df is docs else None
+        got = quality.quality(df).collect()
+        if want:
+            assert sorted((r[0] is None, *r[:7]) for r in got) == want
+        else:
+            texts = defaultdict(set)
+            for i, t in TEXT(df):
+                texts[i].add(brute_quality(t))
+            assert all(tuple(r[1:7]) in texts[r[0]] for r in got) and len(got) == len(TEXT(df))
+        assert not any(r.kept and r.base_failed for r in got)
+    assert quality.quality(odd.limit(0)).count() == 0
+
+
+def test_line_rules():
+    assert quality.line_verdict("Home | About | Contact | Help") == "navigation"
+    assert quality.line_verdict("Please accept cookies to go on.") == "boilerplate"
+    assert quality.line_verdict("Read on") == "punctuation"
+    assert quality.line_verdict("T$$$ his&&& is%%% junk***") == "punctuation"
+    assert quality.line_verdict("A sentence of a clean document, with an end.") == "keep"
+    assert quality.clean_lines("Good line here.\n\nHome | A | B | C") == "Good line here.\n"
+
+
+def test_clean_documents_stay(docs, spark, tables):
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    good = quality.quality(docs).join(labels.where("quality = 1"), "doc_id").where("not base_failed")
+    assert good.where("not kept").count() == 0
+
+
+# --- repeated passages ---------------------------------------------------------------------------------------------
+
+
+def brute_repeats(texts, n):
+    big = 1 << 62
+    first = {}
+    for i, t in sorted(texts, key=lambda r: big if r[0] is None else r[0]):
+        b = (t or "").encode()
+        for j in range(len(b) - n + 1):
+            first.setdefault(b[j : j + n], big if i is None else i)
+    out = []
+    for i, t in texts:
+        b = (t or "").encode()
+        m = bytearray(len(b))
+        for j in range(len(b) - n + 1):
+            if first[b[j : j + n]] < (big if i is None else i):
+                m[j : j + n] = b"\1" * n
+        kept = bytes(x for x, y in zip(b, m, strict=True) if not y)
+        out.append((i, len(b), sum(m), len([x for x in bytes(m).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("length", "group_bytes"), ((50, 16 << 20), (50, 20_000), (100, 50_000)))
+def test_suffixes_match_brute_force(small, monkeypatch, length, group_bytes):
+    whole = suffix_dedup.removals
+    monkeypatch.setattr(suffix_dedup, "removals", lambda d, f, s, n=50: whole(d, f, s, n, group_bytes))
+    assert rows(suffix_dedup.figures(small, length)) == brute_repeats(TEXT(small), length)
+
+
+def test_suffix_edge_cases(odd):
+    assert rows(suffix_dedup.figures(odd)) == brute_repeats(TEXT(odd), 50)
+    assert suffix_dedup.figures(odd.limit(0)).count() == 0
+    kept = suffix_dedup.deduplicated(odd, 50)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    texts = dict(TEXT(kept))
+    assert texts[3] is None and texts[2] == "" and texts[1].endswith("those. ")
+
+
+def test_multikey_sort():
+    x = np.random.default_rng(1).integers(0, 3, (500, 20)).astype(np.uint8)
+    order = suffix_dedup.multikey_sort(x)
+    assert [bytes(r) for r in x[order]] == sorted(bytes(r) for r in x)
+
+
+# --- packing -------------------------------------------------------------------------------------------------------
+
+
+def check_packing(df, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = df.collect()
+    want = Counter()
+    for i, text in texts:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        want[i, len(ids)] += 1
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id, r.doc_tokens].append((r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(want)
+    for i, text in texts:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(pieces[i, len(ids)])
+        assert sum(n for _, n, _ in own) == len(ids) * want[i, len(ids)]
+        if want[i, len(ids)] == 1:
+            at = 0
+            for start, n, crc in own:
+                assert start == at and crc == zlib.crc32(ids[at : at + n].tobytes())
+                at += n
+    short = 0
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert 0 < at <= 1024
+        short += at < 1024
+    return short
+
+
+def test_packing(docs):
+    assert check_packing(packing.pack(docs), TEXT(docs)) <= 1
+    assert check_packing(packing.pack(docs.where("doc_id < 40"), per_shard=10), TEXT(docs.where("doc_id < 40"))) <= 5
+
+
+def test_packing_edge_cases(odd, spark):
+    short = odd.where("doc_id is null or doc_id <> 6")
+    check_packing(packing.pack(short), TEXT(short))
+    assert packing.pack(odd.limit(0)).count() == 0
+    special = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, " a  b ")], "doc_id long, text string")
+    check_packing(packing.pack(special), TEXT(special))
+
+
+def test_neighbours_share_terms():
+    tails = [np.array([7, 8, 9, 1]), np.array([20, 21, 22, 1]), np.array([7, 8, 9, 2]), np.array([30, 31, 1, 2])]
+    df = np.ones(40, int)
+    placed = packing.fill(tails, packing.Index.build(tails, df, 4), 8)
+    assert [p[0] for p in placed] == [0, 2, 1, 3]
+
+
+# --- archives ------------------------------------------------------------------------------------------------------
+
+
+def test_arc_versions_and_lengths():
+    block = warc.http_block(5, b"<p>\n\n1 2 3 filedesc</p>")
+    for version in (1, 2):
+        data = warc.arc_header(version, "x.arc") + warc.arc_record("http://a b/", "20200102030405", "text/html", block, version) * 2
+        got = list(warc.parse_arc(data))
+        assert [r.block for r in got] == [block, block] and got[0].url == "http://a%20b/" and got[0].status == (200 if version == 2 else None)
+        (head, body) = next(warc.parse_warc(warc.to_warc(got[0]) + b"\r\n\r\n"))
+        assert body == block and head["WARC-Date"] == "2020-01-02T03:04:05Z" and warc.id_in_uuid(head["WARC-Record-ID"]) == 5
+        assert head["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(warc.split_http(block)[1]).hexdigest()
+        with pytest.raises(ValueError):
+            list(warc.parse_arc(data[:-5]))
+
+
+def test_archived_pages(spark):
+    same = "x" * 1200
+    pages = [(1, "http://a/", same), (2, None, same), (3, "u v", same), (4, "http://b", "short"), (5, "http://c", "short"), (6, "http://d", None), (None, "http://e", "né" * 700), (7, "http://f", "WARC/1.1\r\n\r\n" * 200)]
+    got = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()}
+    assert len(got) == len(pages)
+    for i, _, html in pages:
+        payload = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+        revisit = i in (1, 2)
+        assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if revisit else ("response", None))
+    assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+
+def brute_links(vectors, least):
+    ok = [(i, lab, np.array(v, float)) for i, lab, v in vectors if i is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    n, root = Counter(), {i: i for i, _, _ in vectors}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, la, x) in enumerate(ok):
+        for j, lb, y in ok[a + 1 :]:
+            if la == lb and len(x) == len(y) and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= least:
+                n[i] += 1
+                n[j] += 1
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: (n[i], find(i) if i is not None else None) for i, _, _ in vectors}
+
+
+def test_vectors_match_brute_force(spark):
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(60, 16))
+    rows_ = []
+    for i in range(900):
+        v = base[i % 60] + draw.normal(size=16) * draw.choice([0.02, 0.12, 0.4])
+        rows_.append((i, [float(np.float32(x)) for x in v], int(i % 60 % 2)))
+    rows_ += [(900, None, 0), (901, [], 0), (902, [0.0] * 16, 0), (903, [float("nan")] * 16, 0), (904, [None] * 16, 0), (905, rows_[0][1], 0), (906, rows_[0][1], None), (907, [3 * x for x in rows_[0][1]], 0), (908, [1.0, 2.0], 0), (None, rows_[0][1], 0), (909, [float("inf")] * 16, 1)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int").repartition(3)
+    want = brute_links([(i, lab, v) for i, v, lab in df.select("vec_id", "embedding", "label").collect()], 0.98)
+    for s in (embed_dedup.Setting(), embed_dedup.Setting(per_shard=150, beam=8)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, s).collect()}
+        found = sum(n for n, _ in got.values())
+        assert found >= 0.99 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+        assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_graph_recall():
+    v = np.random.default_rng(2).normal(size=(3000, 24))
+    g = embed_dedup.Graph(v, embed_dedup.Setting())
+    q = embed_dedup.unit(v[:200]).astype(np.float32)
+    ids, _ = g.search(q, 48)
+    truth = np.argsort(-(q @ g.v.T), axis=1)[:, :10]
+    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, truth, strict=True)]) >= 0.9
+
+
+# --- toxicity ------------------------------------------------------------------------------------------------------
+
+
+def test_toxic_documents_are_found(spark, tables):
+    big = tables.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    model = toxicity.train(docs.where("doc_id % 2 = 0"), labels)
+    got = toxicity.toxicity(docs.where("doc_id % 2 = 1"), model).join(labels.withColumnRenamed("toxic", "truth"), "doc_id")
+    hit, all_, wrong, clean = got.agg(*[F.sum(F.expr(e).cast("int")) for e in ("truth = 1 and toxic", "truth = 1", "truth = 0 and toxic", "truth = 0")]).first()
+    assert hit >= 0.9 * all_ and wrong <= 0.01 * clean
+
+
+def test_toxicity_edge_cases(odd, spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(odd, toxicity.train(odd, labels))
+    assert got.count() == odd.count() and got.where("toxic or severity > 0").count() == 0
+    assert toxicity.harmless(odd, toxicity.SeverityModel()).count() == odd.count()
+    assert toxicity.toxicity(odd.limit(0), toxicity.SeverityModel()).count() == 0
+
+
+def test_severity_is_ordered():
+    rows_ = [({b"a", b"bad"} | {f"w{i % 7}".encode()}, 1) for i in range(40)] + [({b"a", b"bad", b"worse", b"foul"}, 1) for _ in range(40)] + [({b"a", f"w{i % 7}".encode()}, 0) for i in range(80)]
+    m = toxicity.fit(rows_, min_docs=2)
+    none, mild, severe = (sum(m.probabilities(t)) for t in ("a w1", "a bad", "a bad worse foul"))
+    assert none < mild < severe and m.theta[0] < m.theta[1]
+
+
+# --- byte-level BPE ------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(docs, odd):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for df in (docs.where("doc_id < 60"), odd):
+        want = []
+        for i, t in TEXT(df):
+            ids = enc.encode_ordinary(t or "")
+            want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        assert rows(bpe.round_trip(df)) == sorted(want, key=str)
+    assert bpe.round_trip(odd.limit(0)).count() == 0
+    (r,) = bpe.encode(docs.where("doc_id = 1")).collect()
+    assert bpe.decode(r.ids).decode() == dict(TEXT(docs))[1]
+
+
+@pytest.mark.parametrize("text", ("", " ", "a", "  a  b   ", "a\n  b \n\n c", "   x", "don't  we'LL"))
+def test_stretches_join_to_the_text_and_to_the_same_words(text):
+    import regex
+
+    cut = regex.compile(public_tokenizers.PATTERN)
+    s = bpe.regex_stretches(text)
+    assert "".join(s) == text and [w for x in s for w in cut.findall(x)] == cut.findall(text)
+
+
+# --- secrets -------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    text = text or ""
+    found = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def test_secret_spans(docs, odd):
+    for df in (docs, odd):
+        net = secret_scan.train(df)
+        texts = defaultdict(set)
+        for i, t in TEXT(df):
+            texts[i].add(brute_spans(t))
+        got = secret_scan.scan(df, net).collect()
+        assert len(got) == df.count()
+        for r in got:
+            base = ",".join(x for x in r.spans.split(",") if x and not x.startswith("model"))
+            assert base in texts[r.doc_id] and hashlib.sha256(base.encode()).hexdigest() == r.base_sha256
+    assert secret_scan.scan(odd.limit(0), secret_scan.train(odd.limit(0))).count() == 0
+
+
+def test_the_network_learns_and_redaction(spark, tables):
+    docs = spark.read.parquet(tables.replace("0.001", "0.1") + "/documents.parquet")
+    net = secret_scan.train(docs, 300)
+    key, word = "use c9f0a3d1e7b24486a1d0 now", "use thisisjustalongword1 now"
+    p = [net.calibrated(secret_scan.encode(t, 4, t.index(" now"))[None])[0] for t in (key, word)]
+    assert p[0] > net.threshold > p[1]
+    spans = secret_scan.scan_text("see " + key, net)
+    assert [k for _, k, _ in spans] == [3] and secret_scan.redact("see " + key, spans) == "see use [SECRET] now"
