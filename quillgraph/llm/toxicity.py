@@ -32,9 +32,13 @@ for _c in range(128):
 _fold = bytes(_fold)
 
 
+STEMS = (4, 5, 6, 7, 8)
+
+
 def features(text: str | None) -> set[bytes]:
-    """Distinct words: runs of letters (ASCII letters in lower case, all non-ASCII bytes as they are)."""
-    return set(utf8(text).translate(_fold).split())
+    """Distinct words (runs of letters, ASCII ones in lower case), and their beginnings of 4 to 8 bytes, marked by a hyphen."""
+    words = set(utf8(text).lower().translate(_fold).split())
+    return words.union(*[{w[:n] + b"-" for w in words if len(w) > n} for n in STEMS])
 
 
 def sigmoid(x):
@@ -52,7 +56,7 @@ class SeverityModel:
         return tuple(float(1 - sigmoid(t - z)) if t < 39 else 0.0 for t in self.theta)
 
 
-def fit(rows: list[tuple[set[bytes], int]], marked_odds: float = 20.0, min_docs: int = 8, l1: float = 2e-3, steps: int = 400) -> SeverityModel:
+def fit(rows: list[tuple[set[bytes], int]], marked_odds: float = 20.0, min_docs: int = 5, l1: float = 1e-3, steps: int = 400) -> SeverityModel:
     """rows: the features and 0/1 label of each training document."""
     y = np.array([bool(t) for _, t in rows])
     if not len(y) or y.all() or not y.any():
