@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .components import components
+from .components import components, forest
 
 
 @dataclass(frozen=True)
@@ -213,24 +213,6 @@ def links_in_shard(graph: Graph, queries: np.ndarray, vectors: np.ndarray, s: Se
         beam *= 2
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    keep = []
-    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(i)
-    return u[keep], v[keep]
-
-
 def near_duplicates(vectors: DataFrame, s: Setting = Setting()) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``."""
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
@@ -270,7 +252,7 @@ def near_duplicates(vectors: DataFrame, s: Setting = Setting()) -> DataFrame:
                 other = ids[flat] != q_ids[of]
                 of, flat = of[other], flat[other]
                 total = np.bincount(of, weights=counts[flat], minlength=len(q)).astype(np.int64)
-                u, w = forest(q_ids[of], ids[flat])
+                u, w = forest(q_ids[of], ids[flat])  # each tied to the least that it reaches here
                 yield pd.DataFrame({"u": np.concatenate([q_ids, u]), "v": pd.array([None] * len(q_ids) + w.tolist(), "Int64"), "n": np.concatenate([total, np.zeros(len(u), np.int64)])})
 
     found = staged(pairs.select("dim", "ids", "counts", "data", "graph", "q_ids", "q_data").mapInPandas(query, "u long, v long, n long"), "links")

@@ -33,7 +33,7 @@ from .common import documents_of, mix64, staged, utf8
 from .components import components
 
 SIGNED = "doc_id long, n_shingles long, set_hash binary, keys array<bigint>, bits array<bigint>"
-BLOCK = 2000  #: members of a mixed bucket that one task compares with as many others
+BLOCK = 1000  #: members of a mixed bucket that one task compares with as many others
 
 
 @dataclass(frozen=True)
@@ -185,30 +185,47 @@ def confirmed(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame
     return sides.select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long").distinct()
 
 
-def mixed_pairs(members: DataFrame, setting: Setting) -> DataFrame:
-    """All pairs of a bucket's members (key, id, bits, component, n) in different components, if the estimate lets them pass.
+def mixed_links(members: DataFrame, setting: Setting) -> DataFrame:
+    """Links between different components within buckets: members are (key, id, keys, bits, text, component, n).
 
+    All pairs of a bucket that stand in different components are tried: sizes, then estimates, then the full sets. A pair
+    is tried in the first bucket that it shares, and not once its components have met, so what comes back is a forest.
     A bucket of more than BLOCK members is cut into blocks by hash, and each pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "id", "bits", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = dealt.select("key", "id", "keys", "bits", "text", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
-        ids, comp, own = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
-        bits = np.stack(pdf["bits"].to_list()).astype(np.int64).view(np.uint64)
-        u, v = [], []
+        signer, key, n = Signer(setting), pdf["key"].iloc[0], len(pdf)
+        ids, comp, own = (pdf[c].to_numpy() for c in ("id", "component", "own"))
+        keys, bits = (np.stack(pdf[c].to_list()).astype(np.int64) for c in ("keys", "bits"))
+        bits = bits.view(np.uint64)
+        sets = [signer.hashes(word_list(t)) for t in pdf["text"]]
+        size = np.array([len(x) for x in sets])
         same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
-        for i in range(len(ids)):
+        comp, u, v = comp.copy(), [], []
+        for i in range(n):
             if not same and own[i] != pdf["low"].iloc[0]:
                 continue
             at = np.flatnonzero((comp != comp[i]) & (ids > ids[i] if same else own != own[i]))
+            at = at[100 * np.minimum(size[at], size[i]) >= setting.percent * np.maximum(size[at], size[i])]
             at = at[estimates(bits[i], bits[at], setting) >= setting.floor]
-            u.append(np.minimum(ids[i], ids[at]))
-            v.append(np.maximum(ids[i], ids[at]))
-        return pd.DataFrame({"u": np.concatenate(u or [ids[:0]]), "v": np.concatenate(v or [ids[:0]])})
+            at = at[keys[i][(keys[at] == keys[i]).argmax(1)] == key]
+            if not len(at):
+                continue
+            flat = np.concatenate([sets[j] for j in at])
+            place = np.searchsorted(sets[i], flat)
+            hit = sets[i][np.minimum(place, size[i] - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[at]) - size[at])
+            for j in at[100 * both >= setting.percent * (size[i] + size[at] - both)]:
+                if comp[i] != comp[j]:
+                    u.append(min(ids[i], ids[j]))
+                    v.append(max(ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return dealt.groupBy("key", "low", "high").applyInPandas(run, "u long, v long").distinct()
 
@@ -234,8 +251,8 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
     members = bucketed.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    again = mixed_pairs(members.join(mixed, "key", "left_semi").join(bits, "id"), setting).join(tried, ["u", "v"], "left_anti")
-    more = staged(confirmed(staged(again, "pairs"), texts, setting), "links")
+    full = members.join(mixed, "key", "left_semi").join(classes.select("id", "keys", "bits"), "id").join(texts, "id")
+    more = staged(confirmed(staged(mixed_links(full, setting), "pairs"), texts, setting), "links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
 

@@ -112,8 +112,9 @@ def test_estimates_are_near_the_similarity():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50, 80)] + [(1, 9), (9, 5), (None, 3), (4, 4)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 50 for i in range(50, 81)} | {1: 1, 5: 1, 9: 1}
+    for per_task in (100, 5):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), per_task).collect()}
+        assert got == {i: 50 for i in range(50, 81)} | {1: 1, 5: 1, 9: 1}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
