@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents_of
 
 SLOTS = 1 << 17
+_white_space = regex.compile(r"[^\S ] ")
 NO_RANK = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CHUNK = "comma string, words array<array<bigint>>, doc_ids array<bigint>, lengths binary, codes binary"
@@ -151,8 +152,8 @@ def merge_words(words: Column, table: Column) -> Column:
 def chunks(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32 << 20) -> DataFrame:
     """Distinct words (as ids of bytes) and word codes of each chunk of texts.
 
-    Texts are first cut before every space that follows something else; the pattern never joins characters over such a
-    place, so each distinct stretch is matched once.
+    Texts are first cut before every space that follows other than white space; the pattern never joins characters over
+    such a place, so each distinct stretch is matched once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +207,19 @@ def chunks(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32
 
 
 def regex_stretches(text: str) -> list[str]:
-    """The text cut before each space that follows a character other than a space."""
+    """The text cut before each space that follows a character other than white space."""
     parts = text.split(" ")
-    if "" not in parts:
+    if "" not in parts and not _white_space.search(text):
         return [parts[0], *[" " + p for p in parts[1:]]]
-    out, gap = [], ""
-    for i, p in enumerate(parts):
-        lead = gap + (" " if i else "")
-        if p:
-            out.append(lead + p)
-            gap = ""
-        else:
-            gap = lead
-    return [*out, gap] if gap else out
+    out, held, last = [], [parts[0]], parts[0][-1:]
+    for p in parts[1:]:
+        if last and not last.isspace():
+            out.append("".join(held))
+            held = []
+        held += [" ", p]
+        last = p[-1:] or " "
+    out.append("".join(held))
+    return out if text else []
 
 
 def with_ids(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

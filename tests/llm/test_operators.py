@@ -433,6 +433,11 @@ def test_the_network_learns_and_redaction(spark, tables):
     net = secret_scan.train(docs, 300)
     key, word = "use c9f0a3d1e7b24486a1d0 now", "use thisisjustalongword1 now"
     p = [net.calibrated(secret_scan.encode(t, 4, t.index(" now"))[None])[0] for t in (key, word)]
-    assert p[0] > net.threshold > p[1]
+    assert p[0] > 0.5 > p[1] and p[1] < net.threshold
+    texts = [t for _, t in TEXT(docs) if secret_scan.rule_spans(t or "")]
+    x, y = (np.array(z) for z in zip(*[e for t in texts for e in zip(*secret_scan.examples(t), strict=True)], strict=True))
+    q = net.calibrated(x) >= net.threshold
+    assert q[y == 1].mean() > 0.95 and q[y == 0].mean() < 0.02
+    net.threshold = 0.5
     spans = secret_scan.scan_text("see " + key, net)
     assert [k for _, k, _ in spans] == [3] and secret_scan.redact("see " + key, spans) == "see use [SECRET] now"
