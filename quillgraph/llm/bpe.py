@@ -206,10 +206,14 @@ def chunks(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32
     return documents_of(docs, "doc_id", "text").mapInArrow(run, CHUNK)
 
 
+def cuts_at_every_space(text: str) -> bool:
+    return "  " not in text and text[:1] != " " and text[-1:] != " " and not _white_space.search(text)
+
+
 def regex_stretches(text: str) -> list[str]:
     """The text cut before each space that follows a character other than white space."""
     parts = text.split(" ")
-    if "" not in parts and not _white_space.search(text):
+    if cuts_at_every_space(text):
         return [parts[0], *[" " + p for p in parts[1:]]]
     out, held, last = [], [parts[0]], parts[0][-1:]
     for p in parts[1:]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import regex_stretches
+from .bpe import cuts_at_every_space, regex_stretches
 from .common import documents_of, staged
 
 TOKENISED = "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, row_id long, ids binary"
@@ -47,6 +48,18 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Stretches(dict):
+    """Ids (as bytes of 4 each) of stretches met so far, all with the same lead before them."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, stretch: str) -> bytes:
+        self[stretch] = ids = array("I", self.encode(self.lead + stretch)).tobytes()
+        return ids
+
+
 class Encoder:
     """Token ids of a byte-level BPE file of the ``tokenizers`` library.
 
@@ -54,7 +67,7 @@ class Encoder:
     they are encoded by ``tiktoken`` with these ranks, which gives the same ids faster.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -62,31 +75,30 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.whole.get_vocab_size()
-        self.keep, self.known = keep, {}
+        self.keep = keep
         alphabet, vocab = _byte_of_char(), spec["model"]["vocab"]
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
-        self.fast = None
+        self.plain = None
         if all(vocab[m] == 256 + i for i, m in enumerate(merged)) and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel":
             import public_tokenizers
             import tiktoken
 
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in self.special}
-            self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.plain, self.spaced = Stretches(encode, ""), Stretches(encode, " ")
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.plain is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
-        known, parts = self.known, regex_stretches(text)
-        try:
-            found = [known[p] for p in parts]
-        except KeyError:
+        for known in (self.plain, self.spaced):
             if len(known) > self.keep:
                 known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self.fast(p)
-            found = [known[p] for p in parts]
-        return np.array([i for ids in found for i in ids], np.int64)
+        if cuts_at_every_space(text):
+            first, *rest = text.split(" ")
+            found = self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+        else:
+            found = b"".join(map(self.plain.__getitem__, regex_stretches(text)))
+        return np.frombuffer(found, np.uintc).astype(np.int64)
 
 
 @cache
@@ -105,6 +117,7 @@ def tokenised(docs: DataFrame, path: str, window: int, closing_id: int = 0) -> D
         encode = encoder(path)
         base = TaskContext.get().partitionId() * EACH
         df = np.zeros(max(encode.size, closing_id + 1), np.int64)
+        seen = np.zeros(len(df), bool)
         seq = row = 0
         names = [x.split()[0] for x in TOKENISED.split(", ")]
         for whole in batches:
@@ -113,7 +126,10 @@ def tokenised(docs: DataFrame, path: str, window: int, closing_id: int = 0) -> D
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     doc_id = None if pd.isna(doc_id) else int(doc_id)
                     ids = np.append(encode((text or "").encode("utf-8", "replace").decode()), closing_id)
-                    df[np.unique(ids)] += 1
+                    seen[ids] = True
+                    own = np.flatnonzero(seen)
+                    df[own] += 1
+                    seen[own] = False
                     n = len(ids)
                     for start in range(0, n - window + 1, window):
                         out.append(("window", doc_id, start, window, crc(ids[start : start + window]), n, base + seq, None, None))
