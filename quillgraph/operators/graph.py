@@ -25,7 +25,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = C.HOPS, decay: floa
     At depth d a neighbour gets value * weight * decay^(d+1); a value replaces another only if it is larger. Ids without a
     node are walked through. The seeds are a top-k, so the frontier side of every join is small; the hops are unrolled.
     """
-    adjacency = both_ways(edges).withColumnRenamed("relation", "by")
+    adjacency = both_ways(edges).withColumnRenamed("relation", "by").persist()  # read once a hop; lost blocks are made again
     best = seeds.select("id", "value", F.array("id").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth"))
     frontier = best
     for depth in range(hops):
@@ -33,7 +33,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = C.HOPS, decay: floa
             F.col("b").alias("id"), (F.col("value") * F.col("weight") * (decay ** (depth + 1))).alias("value"), F.concat("path", F.array("b")).alias("path"), F.col("by").alias("relation"), F.lit(depth + 1).alias("depth")
         )
         found = step.groupBy("id").agg(F.max_by(F.struct("value", "path", "relation", "depth"), F.struct("value", -F.size("path"), F.hash("path"))).alias("s")).select("id", "s.*")
-        frontier = found.alias("f").join(best.alias("b"), "id", "left").where(F.col("b.value").isNull() | (F.col("f.value") > F.col("b.value"))).select("id", "f.value", "f.path", "f.relation", "f.depth")
+        frontier = found.alias("f").join(best.alias("b"), "id", "left").where(F.col("b.value").isNull() | (F.col("f.value") > F.col("b.value"))).select("id", "f.value", "f.path", "f.relation", "f.depth").persist()
         best = best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier)
     return best
 
@@ -54,7 +54,7 @@ def chains(edges: DataFrame, limit: int = 50) -> DataFrame:
         walk = walk.join(ahead, "end", "left").select(
             "id", F.when(fresh, F.col("end2")).otherwise(F.col("end")).alias("end"), F.when(fresh, F.slice(F.concat("chain", F.slice("chain2", 2, limit)), 1, limit + 1)).otherwise(F.col("chain")).alias("chain")
         )
-        steps *= 2
+        walk, steps = walk.persist(), steps * 2
     return walk.join(up, "id", "left_anti").select(F.col("id").alias("head"), "chain")
 
 
