@@ -15,7 +15,7 @@ severity is 0. Repeated rows and null ids are carried through; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, utf8
+from .common import documents_of, staged, utf8
 
 SCHEMA = "doc_id long, severity double, grade int, p_mild double, p_severe double, toxic boolean, kept boolean"
 _fold = bytearray(range(256))
@@ -56,7 +56,7 @@ class SeverityModel:
         return tuple(float(1 - sigmoid(t - z)) if t < 39 else 0.0 for t in self.theta)
 
 
-def fit(rows: list[tuple[set[bytes], int]], marked_odds: float = 20.0, min_docs: int = 5, l1: float = 1e-3, steps: int = 400) -> SeverityModel:
+def fit(rows: list[tuple[Collection[bytes], int]], marked_odds: float = 20.0, min_docs: int = 5, l1: float = 1e-3, steps: int = 400) -> SeverityModel:
     """rows: the features and 0/1 label of each training document."""
     y = np.array([bool(t) for _, t in rows])
     if not len(y) or y.all() or not y.any():
@@ -70,7 +70,7 @@ def fit(rows: list[tuple[set[bytes], int]], marked_odds: float = 20.0, min_docs:
     vocabulary = sorted(w for w, c in seen.items() if sum(c) >= min_docs)
     marked = {w for w in vocabulary if odds(seen[w]) >= marked_odds}
     column = {w: i for i, w in enumerate(vocabulary)}
-    count = np.array([len(words & marked) for words, _ in rows])
+    count = np.array([len(marked.intersection(words)) for words, _ in rows])
     middle = np.median(count[y])
     grade = np.where(y, np.where(count > middle, 2, 1), 0)
     pairs = [(r, column[w]) for r, (words, _) in enumerate(rows) for w in words if w in column]
@@ -103,20 +103,45 @@ def fit(rows: list[tuple[set[bytes], int]], marked_odds: float = 20.0, min_docs:
     return SeverityModel({v: float(x) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-6}, (float(theta[0]), float(theta[1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -> SeverityModel:
-    """Fit on at most ``max_train`` labelled documents of each class, chosen by the hash of their id."""
+def telling_features(rows: DataFrame, min_docs: int, odds: float, most: int) -> list[bytes]:
+    """Features found ``odds`` times as often in one class as in the other, the most telling ones (at most ``most``).
+
+    Counted on the executors, batch by batch, over the training documents only.
+    """
+    sizes = {bool(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n: dict[bytes, list[int]] = {}
+            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+                for w in features(text):
+                    n.setdefault(w, [0, 0])[int(toxic > 0)] += 1
+            yield pd.DataFrame({"feature": list(n), "n0": [c[0] for c in n.values()], "n1": [c[1] for c in n.values()]})
+
+    total = rows.mapInPandas(counts, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= min_docs)
+    ratio = F.log((F.col("n1") + 0.5) / (sizes.get(True, 0) + 1.0) / ((F.col("n0") + 0.5) / (sizes.get(False, 0) + 1.0)))
+    kept = total.withColumn("ratio", ratio).where(F.abs("ratio") >= float(np.log(odds)))
+    return [bytes(r.feature) for r in kept.orderBy((F.abs("ratio") * F.sqrt(F.col("n0") + F.col("n1"))).desc(), "feature").limit(most).select("feature").collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, min_docs: int = 5, odds: float = 4.0, max_features: int = 4000) -> SeverityModel:
+    """Fit on at most ``max_train`` labelled documents of each class, chosen by the hash of their id.
+
+    Only the telling features (at most ``max_features``) of the training documents come to the driver.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for flag in (F.col("toxic") >= 1, F.col("toxic") < 1):
         part = marks.where(flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         picked = part if picked is None else picked.unionByName(part)
-    rows = documents_of(docs, "doc_id", "text").join(picked, "doc_id").select("text", "toxic")
+    rows = staged(documents_of(docs, "doc_id", "text").join(picked.select("doc_id", (F.col("toxic") >= 1).cast("int").alias("toxic")), "doc_id").select("text", "toxic"), "labelled")
+    vocabulary = frozenset(telling_features(rows, min_docs, odds, max_features))
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"words": [b" ".join(sorted(features(t))) for t in pdf["text"]], "toxic": pdf["toxic"].astype(int)})
+            yield pd.DataFrame({"words": [b" ".join(sorted(features(t) & vocabulary)) for t in pdf["text"]], "toxic": pdf["toxic"].astype(int)})
 
-    return fit([(set(r.words.split()), r.toxic) for r in rows.mapInPandas(words_of, "words binary, toxic int").toLocalIterator()])
+    return fit(sorted((bytes(r.words).split(), r.toxic) for r in rows.mapInPandas(words_of, "words binary, toxic int").toLocalIterator()), min_docs=min_docs)
 
 
 def toxicity(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> DataFrame:
