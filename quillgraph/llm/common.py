@@ -38,9 +38,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def documents_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name can't clash with those an operator adds."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(c) for c in columns])
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts go to Python in batches of at most ``rows``, which bounds the memory of its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 (``bytes.split`` splits at exactly these characters)."""
     return utf8(text).split()

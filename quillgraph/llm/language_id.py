@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, small_batches
 
 DIM = 1 << 13
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, bits_off int"
@@ -140,6 +140,7 @@ def train(docs: DataFrame, max_train: int = 2000) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Predict every document; a narrow map. The model is DIM x bits floats, whatever the corpus."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -76,7 +76,7 @@ class Signer:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > 250_000:
             known.clear()
         try:
             h = np.array([known[w] for w in words], np.uint64)

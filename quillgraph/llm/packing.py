@@ -67,7 +67,7 @@ class Encoder:
     they are encoded by ``tiktoken`` with these ranks, which gives the same ids faster.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)

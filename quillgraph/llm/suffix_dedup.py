@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, documents_of, utf8
 
 LEAD = 16
-BATCH = 2 << 20  #: bytes that one round of array work takes
+BATCH = 1 << 20  #: bytes that one round of array work takes
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 GROUP = "_suffix_group"  #: the only column that a table must not have of its own
 NOTE = "p long, bucket long, kind string, a binary, b binary, c binary"

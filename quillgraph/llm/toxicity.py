@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged, utf8
+from .common import documents_of, small_batches, staged, utf8
 
 SCHEMA = "doc_id long, severity double, grade int, p_mild double, p_severe double, toxic boolean, kept boolean"
 _fold = bytearray(range(256))
@@ -166,4 +166,5 @@ def harmless(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> D
         for pdf in batches:
             yield pdf[[model.probabilities(t)[0] <= threshold for t in pdf["text"]]]
 
+    small_batches(docs.sparkSession)
     return docs.mapInPandas(run, docs.schema)
