@@ -2,11 +2,15 @@
 
 1. Every text becomes token ids and a closing id. Whole windows of a long document are sequences of their own; what is
    left at its end (the tail, shorter than a window) goes on, with the document frequencies of all tokens.
-2. Tails are dealt by hash into shards of about ``per_shard``; every shard builds an inverted index of its tails
-   (terms are token ids, document frequencies are those of the whole corpus).
-3. In a shard, the first unused tail is the seed; its unused BM25 neighbours are put into the window, best first, as long
-   as they fit whole; then the best remaining one is cut to fill the window to the end, and its rest stays unused.
-   Where no neighbour shares a term, the next unused tail serves. Only the last window of a shard may need padding.
+2. In rounds over all unused tails, some of them become seeds of new windows (half of what is still needed). Every open
+   window asks the indices of all shards of the other unused tails (terms are token ids, document frequencies and mean
+   length are those of the whole corpus, all terms of the seed count) and gets the head of the joint ranking that holds
+   enough tokens; a tail goes to the window that scores it best, and a window takes what it got, best first, and cuts the
+   last one to its end. What is not full asks again, further down the ranking, in the next round.
+3. The last ``per_shard`` tails are dealt to the windows still open and to new ones one after the other in one task: best
+   first, as long as they fit whole, then the best remaining one is cut. Only the last window may need padding.
+
+Every window meets every shard, so the work of a round grows with the square of the table.
 
 Edge cases: null and empty texts are just the closing id; repeated rows are packed each; null ids are carried through; an
 empty table gives an empty result. Texts that hold a special token's string are encoded by the tokenizer library itself.
@@ -15,6 +19,7 @@ empty table gives an empty result. Texts that hold a special token's string are
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,15 +29,18 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import cuts_at_every_space, regex_stretches
-from .common import documents_of, staged
+from .common import documents_of, mix64, shared_folder, staged
 
 TOKENISED = "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, row_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 EACH = 1 << 36  #: rows or sequences that one task may number
+PLACED = "row_id long, first long, length long, seq long, offset long"
+COMMON = 512  #: terms of most tails in a shard, whose weights are kept as a dense matrix
+AHEAD = 2  #: a window asks for so many times the tokens it has room for, as other windows may get some of them
 
 
 def default_tokenizer() -> str:
@@ -148,50 +156,79 @@ def tokenised(docs: DataFrame, path: str, window: int, closing_id: int = 0) -> D
 
 @dataclass
 class Index:
-    """Inverted index of a shard: for each term, the tails that hold it and their BM25 weights."""
+    """Inverted index of a shard: for each term, the tails that hold it and their BM25 weights; commonest terms as a matrix."""
 
-    terms: np.ndarray
     at: np.ndarray
     tails: np.ndarray
     weights: np.ndarray
-    idf: np.ndarray
+    common: np.ndarray
+    dense: np.ndarray
+    n_tails: int
 
     @classmethod
-    def build(cls, tails: list[np.ndarray], df: np.ndarray, n_docs: int, k1: float = 1.5, b: float = 0.75) -> Index:
+    def build(cls, tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float | None = None, k1: float = 1.5, b: float = 0.75) -> Index:
+        n, size = len(tails), len(df)
         length = np.array([len(t) for t in tails])
-        found = [np.unique(t, return_counts=True) for t in tails]
-        term = np.concatenate([t for t, _ in found])
-        tf = np.concatenate([c for _, c in found]).astype(float)
-        tail = np.repeat(np.arange(len(tails)), [len(t) for t, _ in found])
+        mean = mean or length.mean()
+        key, tf = np.unique(np.repeat(np.arange(n), length) * size + np.concatenate(tails), return_counts=True)
+        tail, term = key // size, key % size
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[tail] / length.mean()))
+        weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[tail] / mean))).astype(np.float32)
+        own = np.bincount(term, minlength=size)
+        column = np.full(size, -1)
+        common = np.argsort(-own, kind="stable")[:COMMON]
+        common = common[own[common] * 64 > n]
+        column[common] = np.arange(len(common))
+        dense = np.zeros((len(common), n), np.float32)
+        often = column[term] >= 0
+        dense[column[term[often]], tail[often]] = weight[often]
+        tail, term, weight = tail[~often], term[~often], weight[~often]
         order = np.argsort(term, kind="stable")
-        terms, at = np.unique(term[order], return_index=True)
-        return cls(terms, np.append(at, len(order)), tail[order], weight[order], idf)
-
-    def scores(self, ids: np.ndarray, n_tails: int, query_terms: int = 24) -> np.ndarray:
-        """BM25 of all tails for the rarest distinct terms of ``ids``."""
-        q = np.unique(ids)
-        q = q[np.argsort(-self.idf[q], kind="stable")[:query_terms]]
-        where = np.searchsorted(self.terms, q)
-        spans = [slice(self.at[i], self.at[i + 1]) for i, t in zip(where, q, strict=True) if i < len(self.terms) and self.terms[i] == t]
-        if not spans:
-            return np.zeros(n_tails)
-        return np.bincount(np.concatenate([self.tails[s] for s in spans]), weights=np.concatenate([self.weights[s] for s in spans]), minlength=n_tails)
-
-
-def fill(tails: list[np.ndarray], index: Index, window: int, look: int = 32) -> list[tuple[int, int, int, int, int]]:
-    """(tail, first, length, sequence, offset) of every piece; each token in one piece, every sequence but the last full."""
-    n = len(tails)
+        at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+        return cls(at, tail[order], weight[order], column, dense, n)
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """BM25 of all tails for all distinct terms of each query."""
+        terms = [np.unique(q) for q in queries]
+        held = np.zeros((len(queries), len(self.dense)), np.float32)
+        for row, q in zip(held, terms, strict=True):
+            row[self.common[q[self.common[q] >= 0]]] = 1
+        out = held @ self.dense
+        for row, q in zip(out, terms, strict=True):
+            q = q[self.at[q + 1] > self.at[q]]
+            spans = [slice(i, j) for i, j in zip(self.at[q].tolist(), self.at[q + 1].tolist(), strict=True)]
+            if spans:
+                row += np.bincount(np.concatenate([self.tails[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]), self.n_tails)
+        return out
+
+
+def head_of(score: np.ndarray, size: np.ndarray, enough: int) -> np.ndarray:
+    """The best tails, best first, down to where they hold ``enough`` tokens (or all)."""
+    n, k = len(score), 64
+    while True:
+        near = np.argpartition(-score, k)[:k] if k < n else np.arange(n)
+        near = near[np.lexsort((near, -score[near]))]
+        held = np.cumsum(size[near])
+        if held[-1] >= enough or k >= n:
+            return near[: int(np.searchsorted(held, enough)) + 1]
+        k *= 8
+
+
+def fill(tails: list[np.ndarray], index: Index, window: int, opened: list[tuple[np.ndarray, int]] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(tail, first, length, sequence, offset) of every piece; each token in one piece, every sequence but the last full.
+
+    ``opened``: ids of the seed, and room, of sequences that are there already; they are filled first and numbered first.
+    """
+    n, opened = len(tails), opened or []
     first, unused, out = np.zeros(n, np.int64), np.ones(n, bool), []
     size = np.array([len(t) for t in tails])
     at, seq = 0, 0
-    while True:
-        while at < n and not unused[at]:
-            at += 1
-        if at == n:
-            return out
-        room = window
+    while unused.any():
+        if seq < len(opened):
+            query, room = opened[seq]
+        else:
+            at += int(np.argmax(unused[at:]))
+            query, room = tails[at], window
 
         def put(i: int, length: int, seq: int = seq) -> None:
             nonlocal room
@@ -200,32 +237,48 @@ def fill(tails: list[np.ndarray], index: Index, window: int, look: int = 32) ->
             room -= length
             unused[i] = first[i] < size[i]
 
-        put(at, size[at] - first[at])
+        if seq >= len(opened):
+            put(at, size[at] - first[at])
         if room:
-            score = np.where(unused, index.scores(tails[at], n), 0)
-            top = np.argpartition(-score, min(look, n - 1))[:look] if n > look else np.arange(n)
-            top = top[score[top] > 0]
-            near = top[np.lexsort((top, -score[top]))]
+            score = index.scores([query])[0]
+            near = np.flatnonzero(unused)
+            near = near[np.lexsort((near, -score[near]))]
             for i in near:
                 if size[i] - first[i] <= room:
                     put(i, size[i] - first[i])
                 if not room:
                     break
-            rest = [i for i in near if unused[i]][:1]
-            while room:
-                if not rest:
-                    while at < n and not unused[at]:
-                        at += 1
-                    if at == n:
-                        break
-                    rest = [at]
-                i = rest.pop()
-                put(i, min(room, size[i] - first[i]))
+            rest = [i for i in near if unused[i]][:1] if room else []
+            for i in rest:
+                put(i, room)
         seq += 1
+    return out
+
+
+def ids_of(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if width == 2 else "<u4").astype(np.int64)
+
+
+def asked(queries: pd.DataFrame, tails: pd.DataFrame, index: Index) -> pd.DataFrame:
+    """Of the tails of one shard, the head of the ranking of every query; equal scores (to five digits) in an order of its own."""
+    size, n = tails["length"].to_numpy(), len(tails)
+    noise = np.random.default_rng(7).random(2 * n, np.float32) * np.float32(1e-5)
+    ids = [ids_of(b, w) for b, w in zip(queries["ids"], queries["width"], strict=True)]
+    start = (mix64(queries["seq"].to_numpy()) % np.uint64(n)).astype(int)
+    seqs, rows, scores = [], [], []
+    for lo in range(0, len(ids), 128):
+        for j, score in enumerate(index.scores(ids[lo : lo + 128]), lo):
+            score *= 1 + noise[start[j] : start[j] + n]
+            near = head_of(score, size, AHEAD * int(queries["room"].iloc[j]))
+            seqs.append(np.full(len(near), queries["seq"].iloc[j]))
+            rows.append(near)
+            scores.append(score[near])
+    at = np.concatenate(rows)
+    return pd.DataFrame({"seq": np.concatenate(seqs), "row_id": tails["row_id"].to_numpy()[at], "size": size[at], "score": np.concatenate(scores).astype(float)})
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, per_shard: int = 2000) -> DataFrame:
-    """Every piece of every document with its place."""
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, per_shard: int = 2000, per_index: int = 16384, per_block: int = 32768) -> DataFrame:
+    """Every piece of every document with its place. ``per_index`` tails make an index, ``per_block`` windows ask it in one task."""
     path = tokenizer or default_tokenizer()
     rows = staged(tokenised(docs, path, window), "tokens")
     spark = docs.sparkSession
@@ -235,26 +288,80 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, per_
     counts = {r.token: r.n for r in counted.collect()}
     df = np.zeros(max(counts, default=0) + 1, np.int64)
     df[list(counts)] = list(counts.values())
-    tails = rows.where("kind = 'tail'")
-    n_tails = tails.count()
-    n_docs = int(df[0])  # every document has the closing id
-    shards = max(1, -(-n_tails // per_shard))
+    tails = rows.where("kind = 'tail'").select("row_id", "doc_id", "start", "doc_tokens", "length", "ids", (F.octet_length("ids") / F.col("length")).cast("int").alias("width"))
+    n_tails, total = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    n_docs, mean = int(df[0]), total / max(n_tails, 1)  # every document has the closing id
     shared = spark.sparkContext.broadcast(df)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", ignore_index=True)
-        shard = int(pdf["shard"].iloc[0])
-        kind = "<u2" if len(pdf["ids"].iloc[0]) == 2 * int(pdf["length"].iloc[0]) else "<u4"
-        ids = [np.frombuffer(b, kind).astype(np.int64) for b in pdf["ids"]]
-        placed = fill(ids, Index.build(ids, shared.value, n_docs), window)
-        t = np.array([p[0] for p in placed])
+    def ask(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(found):
+            return pd.DataFrame({"seq": [], "row_id": [], "size": [], "score": []})
+        found = found.sort_values("row_id", ignore_index=True)
+        return asked(queries, found, Index.build([ids_of(b, w) for b, w in zip(found["ids"], found["width"], strict=True)], shared.value, n_docs, mean))
+
+    def finish(queries: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c.split()[0]: [] for c in PLACED.split(", ")})
+        left, queries = left.sort_values("row_id", ignore_index=True), queries.sort_values("seq", ascending=False, ignore_index=True)
+        ids = [ids_of(b, w) for b, w in zip(left["ids"], left["width"], strict=True)]
+        opened = [(ids_of(b, w), int(r)) for b, w, r in zip(queries["ids"], queries["width"], queries["room"], strict=True)]
+        placed = fill(ids, Index.build(ids, shared.value, n_docs, mean), window, opened)
+        seqs = dict(enumerate(queries["seq"]))
+        for i, _, _, s, _ in placed:
+            seqs.setdefault(s, -1 - left["row_id"].iloc[i])
         return pd.DataFrame({
-            "doc_id": pdf["doc_id"].astype("Int64").to_numpy()[t], "start": pdf["start"].to_numpy()[t] + [p[1] for p in placed], "length": [p[2] for p in placed],
-            "ids_crc32": [crc(ids[i][a : a + n]) for i, a, n, _, _ in placed], "doc_tokens": pdf["doc_tokens"].to_numpy()[t],
-            "sequence_id": [-1 - (shard * (1 << 24) + s) for _, _, _, s, _ in placed], "offset": [p[4] for p in placed],
+            "row_id": [left["row_id"].iloc[p[0]] for p in placed], "first": [left["first"].iloc[p[0]] + p[1] for p in placed], "length": [p[2] for p in placed],
+            "seq": [seqs[p[3]] for p in placed], "offset": [p[4] for p in placed],
         })
 
-    dealt = tails.select("doc_id", "start", "length", "doc_tokens", "row_id", "ids", F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard"))
-    packed = dealt.groupBy("shard").applyInPandas(run, PIECES)
+    folder, rounds = f"{shared_folder(spark)}/quillgraph/placed-{uuid.uuid4().hex}", 0
+
+    def logged(df: DataFrame) -> DataFrame:
+        """What all rounds have placed, as one scan, so that plans don't grow with the rounds."""
+        df.write.parquet(f"{folder}/{rounds}")
+        return spark.read.schema(PLACED).parquet(*[f"{folder}/{i}" for i in range(rounds + 1)])
+
+    log = spark.createDataFrame([], PLACED)
+    while n_tails:
+        used = log.groupBy("row_id").agg(F.sum("length").alias("used"))
+        left = tails.join(used, "row_id", "left").withColumn("first", F.coalesce("used", F.lit(0))).where("first < length")
+        left = left.select("row_id", "first", (F.col("length") - F.col("first")).alias("length"), F.expr("substring(ids, cast(first * width as int) + 1)").alias("ids"), "width")
+        n_left, tokens = tails.select("row_id", "length").join(used, "row_id", "left").where("coalesce(used, 0) < length").agg(F.count("*"), F.coalesce(F.sum(F.expr("length - coalesce(used, 0)")), F.lit(0))).first()
+        if not n_left:
+            break
+        opened = log.groupBy("seq").agg((window - F.sum("length")).alias("room")).where("room > 0")
+        seeds = log.where("offset = 0").select("row_id", "seq", F.col("first").alias("from")).join(opened, "seq")
+        waiting = seeds.join(tails, "row_id").select("seq", "room", F.expr("substring(ids, cast(from * width as int) + 1)").alias("ids"), F.col("width").alias("width"))
+        if n_left <= per_shard or tokens <= 2 * window:
+            one = lambda d: d.withColumn("one", F.lit(0)).groupBy("one")
+            log = logged(one(waiting).cogroup(one(left)).applyInPandas(finish, PLACED))
+            break
+        n_open, room = opened.agg(F.count("*"), F.coalesce(F.sum("room"), F.lit(0))).first()
+        share = max(0.0, 0.5 * (tokens - room) / window / n_left)
+        chosen = F.pmod(F.xxhash64("row_id", F.lit(rounds)), F.lit(1 << 20)) < int(share * (1 << 20))
+        fresh = left.where(chosen).select("row_id", "first", "length", (-1 - F.col("row_id")).alias("seq"), F.lit(0).cast("long").alias("offset"))
+        queries = waiting.unionByName(left.where(chosen).select((-1 - F.col("row_id")).alias("seq"), (window - F.col("length")).alias("room"), "ids", "width")).where("room > 0")
+        n_indices, n_blocks = -(-n_left // per_index), max(1, -(-int(n_open + share * n_left) // per_block))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        a = queries.withColumn("block", part("seq", n_blocks)).withColumn("index", every(n_indices))
+        b = left.where(~chosen).withColumn("index", part("row_id", n_indices)).withColumn("block", every(n_blocks))
+        found = a.groupBy("index", "block").cogroup(b.groupBy("index", "block")).applyInPandas(ask, "seq long, row_id long, size long, score double")
+        best = Window.partitionBy("seq").orderBy(F.col("score").desc(), "row_id")
+        before = F.coalesce(F.sum("size").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        wanted = found.join(queries.select("seq", "room"), "seq").withColumn("before", before).where(F.col("before") < AHEAD * F.col("room"))
+        won = wanted.groupBy("row_id").agg(F.max(F.struct("score", F.xxhash64("seq", "row_id"), "seq", "size", "room")).alias("w")).select("row_id", "w.seq", "w.size", "w.score", "w.room")
+        won = won.withColumn("before", before).where("before < room").join(left.select("row_id", "first"), "row_id")
+        won = won.select("row_id", "first", F.expr("least(size, room - before)").alias("length"), "seq", (window - F.col("room") + F.col("before")).alias("offset"))
+        log = logged(fresh.unionByName(won))
+        rounds += 1
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf.assign(ids_crc32=[crc(ids_of(b, w)) for b, w in zip(pdf["ids"], pdf["width"], strict=True)])
+            yield out[[c.split()[0] for c in PIECES.split(", ")]].astype("Int64")
+
+    placed = log.withColumnRenamed("length", "n").join(tails, "row_id")
+    placed = placed.select("doc_id", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("length"), "doc_tokens", F.col("seq").alias("sequence_id"), "offset", F.expr("substring(ids, cast(first * width as int) + 1, cast(n * width as int))").alias("ids"), "width")
     whole = rows.where("kind = 'window'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(packed)
+    return whole.unionByName(placed.mapInPandas(sums, PIECES))

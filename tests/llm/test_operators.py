@@ -266,6 +266,29 @@ def test_neighbours_share_terms():
     assert [p[0] for p in placed] == [0, 2, 1, 3]
 
 
+def test_a_seed_finds_its_only_neighbour_in_any_shard(spark):
+    """Pairs share words of their own, other texts don't: wherever the two are dealt, one window has both."""
+    words = sorted(w[1:] for w in packing.encoder(packing.default_tokenizer()).whole.get_vocab() if re.fullmatch("Ġ[a-z]{5,}", w))
+    draw = np.random.default_rng(6)
+    texts = [(2 * p + k, "".join(f" {w}" for w in [*words[20 * p : 20 * p + 20], *draw.choice(words[2000:2016], 20)])) for p in range(60) for k in (0, 1)]
+    window = 2 * 41
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), window=window, per_shard=10, per_index=20, per_block=16).collect()
+    held = defaultdict(set)
+    for r in got:
+        held[r.doc_id].add(r.sequence_id)
+    assert sum(bool(held[2 * p] & held[2 * p + 1]) for p in range(60)) >= 30
+
+
+def test_ranking_is_followed_beyond_its_head():
+    """All 40 neighbours are too long, but for the last of the ranking; it is found, and all terms of the seed count."""
+    seed = np.arange(1, 41)
+    tails = [seed, *[np.append(seed, np.arange(100 + 10 * i, 110 + 10 * i)) for i in range(40)], np.array([40, 41])]
+    df = np.ones(600, int)
+    df[40] = 30
+    placed = packing.fill(tails, packing.Index.build(tails, df, 42), 42)
+    assert [p[0] for p in placed][:2] == [0, 41]
+
+
 # --- archives ------------------------------------------------------------------------------------------------------
 
 
