@@ -29,12 +29,13 @@ def weighted(items: DataFrame, agent: str | None) -> DataFrame:
 def fill(items: DataFrame, budget: int, keep: int = 2000, by: str | None = None) -> DataFrame:
     """ids and tokens that fit into ``budget``, best score first; an item that doesn't fit is skipped, not a stop.
 
-    ``items``: id, cost, score. ``keep`` bounds the items that are tried: those under it can't be reached with positive
-    costs if ``keep`` is at least the budget. If the first item alone is too long, it is taken, cut to the budget.
+    ``items``: id, cost, score. If the first item alone is too long, it is taken, cut to the budget. Without ``by``, the best
+    ``keep`` items are tried at a time: the next round takes those behind them whose cost fits what is left.
     """
-    top = items.orderBy(F.col("score").desc(), "id").limit(keep) if by is None else items
+    if by is None:
+        return _fill_in_rounds(items, budget, keep)
     rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.col("cost").cast("long").alias("cost"))))
-    grouped = top.agg(rows.alias("rows")) if by is None else top.groupBy(by).agg(rows.alias("rows"))
+    grouped = items.groupBy(by).agg(rows.alias("rows"))
     kind = "struct<used:bigint,ids:array<bigint>,dropped:bigint,done:boolean>" if dict(items.dtypes)["id"] == "bigint" else "struct<used:bigint,ids:array<string>,dropped:bigint,done:boolean>"
     start = F.struct(F.lit(0).alias("used"), F.array().alias("ids"), F.lit(0).alias("dropped"), F.lit(False).alias("done")).cast(kind)
 
@@ -48,7 +49,24 @@ def fill(items: DataFrame, budget: int, keep: int = 2000, by: str | None = None)
         ).cast(kind)
 
     out = grouped.withColumn("state", F.aggregate("rows", start, step))
-    return out.select(*([by] if by else []), F.col("state.used").alias("used"), F.col("state.ids").alias("ids"), F.col("state.dropped").alias("dropped"))
+    return out.select(by, F.col("state.used").alias("used"), F.col("state.ids").alias("ids"), F.col("state.dropped").alias("dropped"))
+
+
+def _fill_in_rounds(items: DataFrame, budget: int, keep: int) -> DataFrame:
+    rows = items.select("id", F.col("cost").cast("long").alias("cost"), "score")
+    n, used, ids, rest = rows.count(), 0, [], rows
+    while top := rest.orderBy(F.col("score").desc(), "id").limit(keep).collect():
+        if not ids and top[0]["cost"] is not None and top[0]["cost"] > budget and rest is rows:
+            used, ids = budget, [top[0]["id"]]
+            break
+        for r in top:
+            if r["cost"] is not None and used + r["cost"] <= budget:
+                used += r["cost"]
+                ids.append(r["id"])
+        last = top[-1]
+        behind = F.col("score").isNull() & (F.col("id") > F.lit(last["id"])) if last["score"] is None else F.col("score").isNull() | (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > F.lit(last["id"])))
+        rest = rows.where(behind & (F.col("cost") <= budget - used))
+    return items.sparkSession.createDataFrame([(used, ids, n - len(ids))], f"used bigint, ids array<{dict(items.dtypes)['id']}>, dropped bigint")
 
 
 def block(row_type: str = "type", history: str = "history") -> Column:

@@ -168,3 +168,9 @@ def test_stats_of_nothing(spark):
     none = spark.createDataFrame([], "status string")
     assert tuple(stats.decision_stats(none).first()) == (0, 0, 0, 0, 0, 0.0)
     assert tuple(stats.failure_stats(none).first()) == (0, 0, 0)
+
+
+def test_fill_goes_on_behind_the_first_items(spark):
+    d = spark.createDataFrame([(i, 7, float(100 - i)) for i in range(30)] + [(90, 3, 0.5), (91, 3, 0.4)], "id long, cost long, score double")
+    row = context.fill(d, 10, keep=5).first()
+    assert (row["ids"], row["used"], row["dropped"]) == ([0, 90], 10, 30)
