@@ -1,40 +1,53 @@
 """Byte-level BPE: distinct words are merged by Spark higher-order functions over a literal rank map.
 
-1. A map task cuts the texts of a chunk into words by the tokenizer's pattern, and keeps each distinct word once, as an
-   array of the ids of its bytes, beside one code per word of each document.
-2. ``merge_words`` folds the ranked merges over every distinct word of the chunk with ``aggregate``: the pair of least
-   rank is joined until none is left. Ranks of pairs come from a literal array laid out as a two-choice hash
-   table, so that a look-up costs two reads (a literal map would be searched from end to end).
-3. A map task puts the ids of each document together. Decoding concatenates the byte pieces of the ids.
-
-There is no shuffle; a chunk is a task's share of texts, cut at ``chunk_bytes``.
+1. A map task cuts the texts of a chunk into words by the tokenizer's pattern, keeps each distinct word once, and sends the
+   words to buckets by hash; documents become codes of stretches, and stretches codes of words.
+2. A bucket gathers the distinct words of the whole corpus that fall to it, as arrays of the ids of their bytes.
+   ``merge_words`` folds the ranked merges over every word with ``aggregate``: the pair of least rank is joined until none is
+   left. Ranks of pairs come from a literal, laid out as a displacement hash, since a literal map would be searched from end
+   to end; it is read once for every ``PER_ROW`` words. So each word is merged once, however many chunks hold it.
+3. The ids go back to the chunks that asked, where the ids of each document are put together. Decoding concatenates the
+   byte pieces of the ids.
+
+What travels is compressed and in proportion to the distinct words of a chunk (there are never more rows than words), and to
+the codes of its documents. The fold takes steps in the square of a word's length, so the few words of more than ``LONG``
+bytes are merged with a heap in the third step instead.
 
 Edge cases: null and empty texts have no ids (the digest of nothing); lone surrogates count as U+FFFD; ids of special
-tokens are never made; repeated rows and null ids are carried through; an empty table gives an empty result.
+tokens are never made; a text without any white space is one long word, which is merged in n log n; repeated rows and null
+ids are carried through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import heapq
+import zlib
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of
+from .common import documents_of, staged
 
-SLOTS = 1 << 17
+PER_ROW = 32768  #: words of a row that is folded
+LONG = 64  #: bytes of a word from which the heap is used
+BUCKET_BYTES = 32 << 20  #: of text for each bucket of distinct words
+BUCKETS, SLOTS = 1 << 14, 1 << 17  #: of the displacement hash
+RANK_AT, PLACE_AT = 45, 17  #: lowest bits of a pair's rank and of its place in the state; the token is at 0
+NO_RANK = (1 << 17) - 1
 _white_space = regex.compile(r"[^\S ] ")
-NO_RANK = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CHUNK = "comma string, words array<array<bigint>>, doc_ids array<bigint>, lengths binary, codes binary"
+CHUNK = "chunk long, bucket int, parts array<binary>, doc_ids array<bigint>"
+GATHERED = "bracket string, words array<array<bigint>>, bucket int, chunks array<bigint>, parts array<binary>"
+SENT = "chunk long, bucket int, parts array<binary>"
 
 
 def default_ranks() -> str:
@@ -64,148 +77,252 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _slots(left, right):
-    """The two places of a pair. Only products that fit a long and masks, which cost least as column expressions."""
-    if isinstance(left, int):
-        return (left * 31337 + right) & (SLOTS - 1), SLOTS + ((left * 7919 + right * 5) & (SLOTS - 1))
-    mask = F.lit(SLOTS - 1).cast("bigint")
-    return (left * 31337 + right).bitwiseAND(mask), (left * 7919 + right * 5).bitwiseAND(mask) + SLOTS
-
-
-def rank_table(ranks: dict[bytes, int]) -> np.ndarray:
-    """Two-choice hash table of all pairs of tokens whose concatenation is a token: (left, right, rank) in one long."""
-    pairs = {}
+def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """Rank of every pair of tokens whose concatenation is a token."""
+    out = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                pairs[a, b] = rank
-    held: dict[int, tuple[int, int]] = {}
-    for pair in pairs:
-        at = _slots(*pair)[0]
-        for _ in range(1000):
-            held[at], pair = pair, held.get(at)
-            if pair is None:
+                out[a, b] = rank
+    return out
+
+
+def rank_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """Displacements of the buckets, then the slots, each (left, right, rank) in one long; and the factor of the hash."""
+    if max(ranks.values()) >= NO_RANK:
+        raise ValueError("the vocabulary doesn't fit the packed state")
+    found = merge_pairs(ranks)
+    left, right, rank = np.array([(a, b, r) for (a, b), r in found.items()], np.int64).T
+    for factor in range(7919, 7919 + 2000, 2):  # no two pairs may share both bucket and slot
+        bucket, slot = (left * 31337 + right) & (BUCKETS - 1), (left * factor + right * 5) & (SLOTS - 1)
+        if len(np.unique(bucket * SLOTS + slot)) == len(slot):
+            break
+    else:
+        raise ValueError("no factor tells all pairs apart")
+    order = np.argsort(bucket, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    table, shift, free = np.zeros(SLOTS, np.int64), np.zeros(BUCKETS, np.int64), np.ones(SLOTS, bool)
+    entry = (left << 34) | (right << 17) | rank
+    draw = np.random.default_rng(1).permutation(SLOTS)
+    for g in sorted(groups, key=len, reverse=True):
+        for lo in range(0, SLOTS, 512):
+            at = (slot[g, None] + draw[lo : lo + 512]) & (SLOTS - 1)
+            fits = free[at].all(0)
+            if fits.any():
+                i = int(fits.argmax())
+                shift[bucket[g[0]]], table[at[:, i]], free[at[:, i]] = draw[lo + i], entry[g], False
                 break
-            first, second = _slots(*pair)
-            at = second if at < SLOTS else first
         else:
             raise ValueError("the rank table has no place for all pairs")
-    table = np.zeros(2 * SLOTS, np.int64)
-    for at, (a, b) in held.items():
-        table[at] = (a << 32) | (b << 16) | pairs[a, b]
-    return table
+    return np.concatenate([shift, table]), factor
 
 
-def table_literal(values: np.ndarray, comma: Column) -> Column:
-    """The table as one literal string, taken apart once for each chunk at its ``comma`` (a literal array, which a constant
-    separator would be folded to, takes a task a second to read)."""
-    return F.transform(F.split(F.lit(",".join(str(v) if v else "" for v in values.tolist())), comma), lambda x: F.when(x != "", x.cast("bigint")).otherwise(F.lit(0)))
+def table_literal(values: np.ndarray, bracket: Column) -> Column:
+    """The table as one literal string, read once a row: with a constant ``bracket`` at its end it would be folded to a
+    literal array, which every task takes a second to unpack."""
+    return F.from_json(F.concat(F.lit("[" + ",".join(map(str, values.tolist()))), bracket), "array<bigint>")
 
 
 def bind(value: Column, zero: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once. ``zero`` is anything of the result's type (an aggregate over one
-    element is used since an element of a transformed array has its type worked out again at every look)."""
+    """``use(value)`` with ``value`` worked out once; ``zero`` is anything of the result's type."""
     return F.aggregate(F.array(value), zero, lambda _, x: use(x))
 
 
-def merge_words(words: Column, table: Column) -> Column:
-    """array<array<bigint>> of byte ids to token ids: ranked merges folded over each word."""
-    none_found = F.lit(NO_RANK).cast("bigint")
+def merge_words(words: Column, table: Column, factor: int) -> Column:
+    """array<array<bigint>> of byte ids to token ids: ranked merges folded over each word.
+
+    The state has one long per token: the rank of the pair that begins with it, its place, and itself. So ``array_min`` is
+    the leftmost pair of least rank.
+    """
+    long = lambda x: F.lit(x).cast("bigint")
+    token = lambda x: x.bitwiseAND(long(NO_RANK))
+    none, rest = long(NO_RANK << RANK_AT), F.lit(1 << 28)
 
     def with_table(t: Column) -> Column:
         def rank(left: Column, right: Column) -> Column:
-            first, second = (F.get(t, s.cast("int")) for s in _slots(left, right))
-
-            def found(key: Column) -> Column:
-                def pick(a: Column, otherwise: Column) -> Column:
-                    return F.when(F.shiftright(a, 16) == key, a.bitwiseAND(F.lit(65535))).otherwise(otherwise)
+            """Of a pair, where it belongs in the state; a key that differs leaves high bits, which ``least`` cuts off, and
+            nothing on the right leaves null, which ``least`` passes over."""
+            bucket, slot = (left * 31337 + right).bitwiseAND(long(BUCKETS - 1)), left * factor + right * 5
+            place = (slot + F.get(t, bucket.cast("int"))).bitwiseAND(long(SLOTS - 1)) + BUCKETS
+            key = F.shiftleft(left, 34).bitwiseOR(F.shiftleft(right, 17))
+            return F.shiftleft(F.least(F.get(t, place.cast("int")).bitwiseXOR(key), long(NO_RANK)), RANK_AT)
 
-                return pick(first, pick(second, none_found))
-
-            return found(F.shiftleft(left, 16) + right)
-
-        def join_at(s: Column, new: Column, i: Column) -> Column:  # i: place of the pair, from 1
-            ids, ranks = s["ids"], s["ranks"]
-            none = F.slice(ranks, F.lit(1), F.lit(0))
-            before = F.when(i > 1, F.array(rank(F.get(ids, i - 2), new))).otherwise(none)
-            after = F.when(i < F.size(ranks), F.array(rank(new, F.get(ids, i + 1)))).otherwise(none)
-            rest = F.size(ids)
-            return F.struct(
-                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, rest)).alias("ids"),
-                F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, rest)).alias("ranks"),
-            )
+        def first(x: Column, i: Column, word: Column) -> Column:
+            return rank(x, F.get(word, i + 1)).bitwiseOR(F.shiftleft(i.cast("bigint"), PLACE_AT)).bitwiseOR(x)
 
         def step(s: Column, _: Column) -> Column:
-            least = F.coalesce(F.array_min(s["ranks"]), none_found)
-            return bind(least, s, lambda m: F.when(m < NO_RANK, bind(F.array_position(s["ranks"], m).cast("int"), s, lambda i: join_at(s, m, i))).otherwise(s))
+            def join(i: Column) -> Column:  # the place of the pair in the state, from 1
+                least, before = F.get(s, i - 1), F.get(s, i - 2)
+                new = F.shiftright(least, RANK_AT)
+                merged = rank(new, token(F.get(s, i + 1))).bitwiseOR(least.bitwiseAND(long((1 << RANK_AT) - (1 << PLACE_AT)))).bitwiseOR(new)
+                changed = rank(token(before), new).bitwiseOR(before.bitwiseAND(long((1 << RANK_AT) - 1)))
+                longer = F.concat(F.slice(s, F.lit(1), i - 2), F.array(changed, merged), F.slice(s, i + 2, rest))
+                return F.when(least >= none, s).when(i > 1, longer).otherwise(F.concat(F.array(merged), F.slice(s, F.lit(3), rest)))
+
+            return bind(F.array_position(s, F.array_min(s)).cast("int"), s, join)
 
         def fold(word: Column) -> Column:
-            first = F.transform(F.slice(word, F.lit(2), F.greatest(F.size(word) - 1, F.lit(0))), lambda x, i: rank(F.get(word, i), x))
-            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), F.struct(word.alias("ids"), first.alias("ranks")), step, lambda s: s["ids"])
+            start = F.transform(word, lambda x, i: first(x, i, word))
+            return F.transform(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step), token)
 
         return F.transform(words, fold)
 
     return F.get(F.transform(F.array(table), with_table), F.lit(0))
 
 
-def chunks(docs: DataFrame, ranks_path: str, pattern: str, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """Distinct words (as ids of bytes) and word codes of each chunk of texts.
+def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word by ranked merges, leftmost first among equals, in n log n."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts at a byte
+    heap = []
+
+    def offer(at: int) -> None:
+        if at >= 0 and end[at] < n:
+            rank = ranks.get(word[at : end[end[at]]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, at, end[at], end[end[at]]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, at, middle, stop = heapq.heappop(heap)
+        if end[at] != middle or end[middle] != stop:
+            continue
+        end[at], end[middle] = stop, -1
+        if stop < n:
+            before[stop] = at
+        offer(before[at])
+        offer(at)
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return out
+
+
+class Codes(dict):
+    """Codes of strings in the order in which they are first met; ``held`` has them, each with the same lead before it."""
+
+    def __init__(self, held: list[str], lead: str = ""):
+        super().__init__()
+        self.held, self.lead = held, lead
+
+    def __missing__(self, text: str) -> int:
+        self[text] = code = len(self.held)
+        self.held.append(self.lead + text)
+        return code
+
+
+def squeezed(*parts: np.ndarray | bytes) -> list[bytes]:
+    press = zstandard.ZstdCompressor(level=1).compress
+    return [press(p if isinstance(p, bytes) else p.tobytes()) for p in parts]
+
+
+def spread(part: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(part), kind)
+
+
+def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 16 << 20) -> DataFrame:
+    """Of every chunk, a row for each bucket that it has words for, and one row (without a bucket) that says how its
+    stretches are made of its words (in the order of the buckets, long ones last) and its documents of stretches.
 
     Texts are first cut before every space that follows other than white space; the pattern never joins characters over
     such a place, so each distinct stretch is matched once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, cut, words = load_ranks(ranks_path), regex.compile(pattern), {}
-        of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        stretches: dict[str, np.ndarray] = {}
-        ids, lengths, codes, size = [], [], [], 0
-
-        def codes_of(stretch: str) -> np.ndarray:
-            return np.array([words.setdefault(w, len(words)) for w in cut.findall(stretch)], np.int32)
+        cut, schema = regex.compile(pattern), pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("parts", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64()))])
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[str] = []
+        plain, spaced = Codes(held), Codes(held, " ")
+        ids, sizes, codes, chars = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            raw = [w.encode("utf-8", "replace") for w in words]
-            ends = np.cumsum([0, *map(len, raw)])
-            flat = of_byte[np.frombuffer(b"".join(raw), np.uint8)]
-            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([","]), pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), inner), pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([np.array(lengths, "<i4").tobytes()], pa.binary()), pa.array([np.concatenate(codes or [np.zeros(0, np.int32)]).astype("<i4").tobytes()], pa.binary()),
-                ],
-                names=["comma", "words", "doc_ids", "lengths", "codes"],
-            )
+            words = Codes([])
+            parts = [np.array([words[w] for w in cut.findall(s)], np.int32) for s in held]
+            raw = [w.encode("utf-8", "replace") for w in words.held]
+            bucket = np.array([zlib.crc32(w) % buckets if len(w) <= LONG else buckets for w in raw], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            code = np.empty(len(order), np.int32)
+            code[order] = np.arange(len(order))
+            rows, far = [], squeezed(np.zeros(0, "<i4"), b"")
+            for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                sent = squeezed(np.array([len(raw[i]) for i in some], "<i4"), b"".join([raw[i] for i in some]))
+                if bucket[some[0]] < buckets:
+                    rows.append({"chunk": chunk, "bucket": int(bucket[some[0]]), "parts": sent})
+                else:
+                    far = sent
+            stretches = code[np.concatenate([*parts, np.zeros(0, np.int32)])].astype("<i4")
+            made = squeezed(stretches, np.array([len(p) for p in parts], "<i4"), np.array(sizes, "<i4"), b"".join(codes))
+            rows.append({"chunk": chunk, "parts": made + far, "doc_ids": ids})
+            return pa.RecordBatch.from_pylist(rows, schema)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = pc.fill_null(part.column("text"), "")
-                for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), texts.to_pylist(), strict=True)):
-                    found = regex_stretches(text)
-                    got = []
-                    for s in found:
-                        c = stretches.get(s)
-                        if c is None:
-                            c = stretches[s] = codes_of(s)
-                        got.append(c)
-                    flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-                    ids.append(doc_id)
-                    lengths.append(len(flat))
-                    codes.append(flat)
-                    size += len(text)
-                    if size >= chunk_bytes:
-                        yield flush()
-                        words.clear()
-                        stretches.clear()
-                        ids, lengths, codes, size = [], [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                if cuts_at_every_space(text):
+                    first, *more = text.split(" ")
+                    code = [plain[first], *map(spaced.__getitem__, more)] if text else []
+                else:
+                    code = list(map(plain.__getitem__, regex_stretches(text)))
+                ids.append(doc_id)
+                sizes.append(len(code))
+                codes.append(np.array(code, "<i4").tobytes())
+                chars += len(text)
+                if chars >= chunk_chars:
+                    yield flush()
+                    for x in (held, plain, spaced):
+                        x.clear()
+                    ids, sizes, codes, chars, chunk = [], [], [], 0, chunk + 1
         if ids:
             yield flush()
 
     return documents_of(docs, "doc_id", "text").mapInArrow(run, CHUNK)
 
 
+def gathered(of_byte: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+    """Of a bucket: rows of its distinct words, then one row that says which chunk asked for which of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words: dict[bytes, int] = {}
+        asked = []
+        for parts in table.column("parts").to_pylist():
+            ends, data = np.cumsum(spread(parts[0])).tolist(), zstandard.ZstdDecompressor().decompress(parts[1])
+            asked.append(np.array([words.setdefault(data[a:b], len(words)) for a, b in zip([0, *ends], ends)], "<i4"))  # noqa: B905
+        raw, bucket, rows = list(words), table.column("bucket")[0].as_py(), []
+        kinds = pa.schema([("bracket", pa.string()), ("words", pa.list_(pa.list_(pa.int64()))), ("bucket", pa.int32()), ("chunks", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary()))])
+        for lo in range(0, len(raw), PER_ROW):
+            some = raw[lo : lo + PER_ROW]
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(of_byte[np.frombuffer(b"".join(some), np.uint8)]))
+            one = [pa.array(["]"]), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), inner), pa.array([bucket], pa.int32())]
+            rows.append(pa.RecordBatch.from_arrays([*one, *(pa.nulls(1, f.type) for f in list(kinds)[3:])], schema=kinds))
+        rows.append(pa.RecordBatch.from_pylist([{"bucket": bucket, "chunks": table.column("chunk").to_pylist(), "parts": squeezed(*asked)}], kinds))
+        return pa.Table.from_batches(rows)
+
+    return run
+
+
+def sent_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To every chunk that asked a bucket, the sizes and ids of its words in the order in which it sent them."""
+    flats, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            tokens = batch.column("tokens")[i].values
+            if tokens is not None:
+                ends = tokens.offsets.to_numpy()
+                flats.append(tokens.values.to_numpy()[ends[0] : ends[-1]].astype(np.int32))
+                sizes.append(np.diff(ends))
+                continue
+            flat, size = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
+            flats, sizes, begin = flats[:1], sizes[:1], np.cumsum(size) - size
+            bucket, rows = batch.column("bucket")[i].as_py(), []
+            for chunk, part in zip(batch.column("chunks")[i].as_py(), batch.column("parts")[i].as_py(), strict=True):
+                ids, count = gather(flat, begin, size, spread(part))
+                rows.append({"chunk": chunk, "bucket": bucket, "parts": squeezed(count.astype("<i4"), ids.astype("<i4"))})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("parts", pa.list_(pa.binary()))]))
+
+
 def cuts_at_every_space(text: str) -> bool:
     return "  " not in text and text[:1] != " " and text[-1:] != " " and not _white_space.search(text)
 
@@ -226,57 +343,75 @@ def regex_stretches(text: str) -> list[str]:
     return out if text else []
 
 
-def with_ids(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Chunks with ``tokens``: the ids of each distinct word."""
-    path = ranks_path or default_ranks()
-    table = table_literal(rank_table(load_ranks(path)), F.col("comma"))
-    return chunks(docs, path, pattern or default_pattern()).withColumn("tokens", merge_words(F.col("words"), table)).drop("words", "comma")
-
-
 def decode(ids: list[int], ranks_path: str | None = None) -> bytes:
     return b"".join(map(pieces(ranks_path or default_ranks()).__getitem__, ids))
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-    for row in range(batch.num_rows):
-        tokens = batch.column("tokens")[row].values
-        ends = tokens.offsets.to_numpy()
-        flat = tokens.values.to_numpy()[ends[0] : ends[-1]] if len(tokens) else np.zeros(0, np.int64)
-        starts, sizes = ends[:-1] - ends[0], np.diff(ends)
-        codes = np.frombuffer(batch.column("codes")[row].as_py(), "<i4")
-        at = 0
-        for doc_id, n in zip(batch.column("doc_ids")[row].as_py(), np.frombuffer(batch.column("lengths")[row].as_py(), "<i4"), strict=True):
-            c = codes[at : at + n]
-            at += n
-            size = sizes[c]
-            begin = np.cumsum(size) - size
-            yield doc_id, flat[np.repeat(starts[c] - begin, size) + np.arange(int(size.sum()))] if n else flat[:0]
+def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat``, end to end, and their sizes."""
+    size = sizes[which]
+    at = np.cumsum(size) - size
+    return flat[np.repeat(begins[which] - at, size) + np.arange(int(size.sum()))], size
+
+
+def documents_in(made: pa.Table, answers: pa.Table, ranks: dict[bytes, int]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of the documents of a chunk."""
+    order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
+    parts = [answers.column("parts")[int(i)].as_py() for i in order]
+    stretches, counts, sizes, codes, long_sizes, long_data = made.column("parts")[0].as_py()
+    ends, data = np.cumsum(spread(long_sizes)).tolist(), zstandard.ZstdDecompressor().decompress(long_data)
+    far = [np.array(heap_merge(data[a:b], ranks), np.int32) for a, b in zip([0, *ends], ends)]  # noqa: B905
+    size = np.concatenate([*(spread(p[0]) for p in parts), np.array([len(x) for x in far], np.int32)]).astype(np.int64)
+    flat = np.concatenate([*(spread(p[1]) for p in parts), *far, np.zeros(0, np.int32)])
+    flat, size = gather(flat, np.cumsum(size) - size, size, spread(stretches))  # in the order of the stretches
+    ends, counts = np.concatenate([[0], np.cumsum(size)]), spread(counts).astype(np.int64)
+    stop = np.cumsum(counts)
+    begin, size = ends[stop - counts], ends[stop] - ends[stop - counts]
+    codes, at = spread(codes), 0
+    for doc_id, n in zip(made.column("doc_ids")[0].as_py(), spread(sizes).tolist(), strict=True):
+        yield doc_id, gather(flat, begin, size, codes[at : at + n])[0]
+        at += n
+
+
+def with_ids(docs: DataFrame, finish: Callable[[Iterator[tuple[int | None, np.ndarray]]], pa.Table], schema: str, ranks_path: str, pattern: str | None = None) -> DataFrame:
+    """``finish((doc_id, ids) of the documents of a chunk)``, for every chunk."""
+    docs, ranks = documents_of(docs, "doc_id", "text"), load_ranks(ranks_path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    made = staged(chunks(docs, pattern or default_pattern(), buckets), "chunks")
+    table, factor = rank_table(ranks)
+    of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    words = made.where("bucket is not null").select("chunk", "bucket", "parts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(gathered(of_byte), GATHERED)
+    folded = words.withColumn("tokens", F.when(F.col("words").isNotNull(), merge_words(F.col("words"), table_literal(table, F.col("bracket")), factor)))
+    answers = folded.select("tokens", "bucket", "chunks", "parts").mapInArrow(sent_back, SENT)
+
+    def run(made: pa.Table, answers: pa.Table) -> pa.Table:
+        return finish(documents_in(made, answers, load_ranks(ranks_path)))
+
+    return made.where("bucket is null").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>): the token ids of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(_documents(batch))
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([i.astype(np.int32) for _, i in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    def finish(rows: Iterator[tuple[int | None, np.ndarray]]) -> pa.Table:
+        rows = list(rows)
+        return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "ids": pa.array([i for _, i in rows], pa.list_(pa.int32()))})
 
-    return with_ids(docs, ranks_path, pattern).mapInArrow(run, "doc_id long, ids array<int>")
+    return with_ids(docs, finish, "doc_id long, ids array<int>", ranks_path or default_ranks(), pattern)
 
 
 def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Digests of the ids and of the bytes that they decode to, per document."""
     path = ranks_path or default_ranks()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(path)
-        names = [str(i) for i in range(len(of))]
-        for batch in batches:
-            rows = []
-            for doc_id, ids in _documents(batch):
-                ids = ids.tolist()
-                rows.append((doc_id, len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(of.__getitem__, ids))).hexdigest()))
-            a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return with_ids(docs, path, pattern).mapInArrow(run, SCHEMA)
+    def finish(rows: Iterator[tuple[int | None, np.ndarray]]) -> pa.Table:
+        piece = pieces(path)
+        name, out = [str(i) for i in range(len(piece))], []
+        for doc_id, ids in rows:
+            ids = ids.tolist()
+            out.append((doc_id, len(ids), hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(b"".join([piece[i] for i in ids])).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.table({f.split()[0]: pa.array([r[i] for r in out], kind) for i, (f, kind) in enumerate(zip(SCHEMA.split(", "), kinds, strict=True))})
+
+    return with_ids(docs, finish, SCHEMA, path, pattern)
