@@ -24,6 +24,7 @@ import base64
 import hashlib
 import heapq
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -215,12 +216,14 @@ class Codes(dict):
 
 
 def squeezed(*parts: np.ndarray | bytes) -> list[bytes]:
-    press = zstandard.ZstdCompressor(level=1).compress
-    return [press(p if isinstance(p, bytes) else p.tobytes()) for p in parts]
+    """Compressed; of whole numbers (as int32) first all lowest bytes, then all second ones and so on, which needs less room."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    return [press(p if isinstance(p, bytes) else p.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()) for p in parts]
 
 
-def spread(part: bytes, kind: str = "<i4") -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(part), kind)
+def spread(part: bytes) -> np.ndarray:
+    """The whole numbers that ``squeezed`` took."""
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 16 << 20) -> DataFrame:
@@ -239,22 +242,29 @@ def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 16 <<
         ids, sizes, codes, chars = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words = Codes([])
-            parts = [np.array([words[w] for w in cut.findall(s)], np.int32) for s in held]
+            words, parts, counts = Codes([]), array("i"), array("i")
+            all_codes = np.frombuffer(b"".join(codes), "<i4")
+            often = np.bincount(all_codes, minlength=len(held))
+            by_use = np.argsort(-often, kind="stable")  # frequent stretches get small codes
+            for i in by_use.tolist():
+                found = cut.findall(held[i])
+                counts.append(len(found))
+                parts.extend([words[w] for w in found])
+            new_code = np.empty(len(held), np.int32)
+            new_code[by_use] = np.arange(len(held))
             raw = [w.encode("utf-8", "replace") for w in words.held]
             bucket = np.array([zlib.crc32(w) % buckets if len(w) <= LONG else buckets for w in raw], np.int64)
             order = np.argsort(bucket, kind="stable")
             code = np.empty(len(order), np.int32)
             code[order] = np.arange(len(order))
-            rows, far = [], squeezed(np.zeros(0, "<i4"), b"")
+            rows, far = [], squeezed(np.zeros(0, np.int32), b"")
             for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                sent = squeezed(np.array([len(raw[i]) for i in some], "<i4"), b"".join([raw[i] for i in some]))
+                sent = squeezed(np.array([len(raw[i]) for i in some], np.int32), b"".join([raw[i] for i in some]))
                 if bucket[some[0]] < buckets:
                     rows.append({"chunk": chunk, "bucket": int(bucket[some[0]]), "parts": sent})
                 else:
                     far = sent
-            stretches = code[np.concatenate([*parts, np.zeros(0, np.int32)])].astype("<i4")
-            made = squeezed(stretches, np.array([len(p) for p in parts], "<i4"), np.array(sizes, "<i4"), b"".join(codes))
+            made = squeezed(code[np.array(parts, np.int32)], np.array(counts, np.int32), np.array(sizes, np.int32), new_code[all_codes])
             rows.append({"chunk": chunk, "parts": made + far, "doc_ids": ids})
             return pa.RecordBatch.from_pylist(rows, schema)
 
@@ -289,7 +299,7 @@ def gathered(of_byte: np.ndarray) -> Callable[[pa.Table], pa.Table]:
         asked = []
         for parts in table.column("parts").to_pylist():
             ends, data = np.cumsum(spread(parts[0])).tolist(), zstandard.ZstdDecompressor().decompress(parts[1])
-            asked.append(np.array([words.setdefault(data[a:b], len(words)) for a, b in zip([0, *ends], ends)], "<i4"))  # noqa: B905
+            asked.append(np.array([words.setdefault(data[a:b], len(words)) for a, b in zip([0, *ends], ends)], np.int32))  # noqa: B905
         raw, bucket, rows = list(words), table.column("bucket")[0].as_py(), []
         kinds = pa.schema([("bracket", pa.string()), ("words", pa.list_(pa.list_(pa.int64()))), ("bucket", pa.int32()), ("chunks", pa.list_(pa.int64())), ("parts", pa.list_(pa.binary()))])
         for lo in range(0, len(raw), PER_ROW):
@@ -319,7 +329,7 @@ def sent_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, rows = batch.column("bucket")[i].as_py(), []
             for chunk, part in zip(batch.column("chunks")[i].as_py(), batch.column("parts")[i].as_py(), strict=True):
                 ids, count = gather(flat, begin, size, spread(part))
-                rows.append({"chunk": chunk, "bucket": bucket, "parts": squeezed(count.astype("<i4"), ids.astype("<i4"))})
+                rows.append({"chunk": chunk, "bucket": bucket, "parts": squeezed(count, ids)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("parts", pa.list_(pa.binary()))]))
 
 
