@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, staged
+from .common import bucketed, documents_of
 
 PER_ROW = 32768  #: words of a row that is folded
 LONG = 64  #: bytes of a word from which the heap is used
@@ -226,7 +226,7 @@ def spread(part: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 16 << 20) -> DataFrame:
+def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 8 << 20) -> DataFrame:
     """Of every chunk, a row for each bucket that it has words for, and one row (without a bucket) that says how its
     stretches are made of its words (in the order of the buckets, long ones last) and its documents of stretches.
 
@@ -242,6 +242,8 @@ def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 16 <<
         ids, sizes, codes, chars = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
+            plain.clear()
+            spaced.clear()
             words, parts, counts = Codes([]), array("i"), array("i")
             all_codes = np.frombuffer(b"".join(codes), "<i4")
             often = np.bincount(all_codes, minlength=len(held))
@@ -282,8 +284,7 @@ def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 16 <<
                 chars += len(text)
                 if chars >= chunk_chars:
                     yield flush()
-                    for x in (held, plain, spaced):
-                        x.clear()
+                    held.clear()
                     ids, sizes, codes, chars, chunk = [], [], [], 0, chunk + 1
         if ids:
             yield flush()
@@ -388,7 +389,7 @@ def with_ids(docs: DataFrame, finish: Callable[[Iterator[tuple[int | None, np.nd
     docs, ranks = documents_of(docs, "doc_id", "text"), load_ranks(ranks_path)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    made = staged(chunks(docs, pattern or default_pattern(), buckets), "chunks")
+    made = bucketed(chunks(docs, pattern or default_pattern(), buckets), "chunk", buckets, "chunks")
     table, factor = rank_table(ranks)
     of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
     words = made.where("bucket is not null").select("chunk", "bucket", "parts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(gathered(of_byte), GATHERED)

@@ -36,6 +36,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """The same as a table of the shared folder in buckets by ``key``: what is grouped by it later isn't shuffled again."""
+    spark = df.sparkSession
+    name = f"quillgraph_{label}_{uuid.uuid4().hex}"
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/quillgraph/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def documents_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name can't clash with those an operator adds."""
     small_batches(df.sparkSession)

@@ -2,15 +2,15 @@
 
 1. Every text becomes token ids and a closing id. Whole windows of a long document are sequences of their own; what is
    left at its end (the tail, shorter than a window) goes on, with the document frequencies of all tokens.
-2. In rounds over all unused tails, some of them become seeds of new windows (half of what is still needed). Every open
-   window asks the indices of all shards of the other unused tails (terms are token ids, document frequencies and mean
-   length are those of the whole corpus, all terms of the seed count) and gets the head of the joint ranking that holds
-   enough tokens; a tail goes to the window that scores it best, and a window takes what it got, best first, and cuts the
-   last one to its end. What is not full asks again, further down the ranking, in the next round.
-3. The last ``per_shard`` tails are dealt to the windows still open and to new ones one after the other in one task: best
-   first, as long as they fit whole, then the best remaining one is cut. Only the last window may need padding.
+2. Tails are dealt to shards of about ``per_shard`` by their rarest term that another document has as well, so that related
+   ones meet; the tails of a common key are spread over as many shards as they need. The table that says where a key's
+   tails go has one entry per token of the vocabulary.
+3. Each shard has an inverted index with BM25 weights (terms are token ids; frequencies are those of the corpus). A
+   seed asks it with all its terms and walks down the ranking of all unused tails of the shard: best first, as long as they
+   fit whole, then the best remaining one is cut to fill the window. The shard's last tokens, too few for a window, become
+   sequences whose lengths are powers of two, so nothing is padded.
 
-Every window meets every shard, so the work of a round grows with the square of the table.
+The work grows in proportion to the table; a seed looks for neighbours in its own shard only.
 
 Edge cases: null and empty texts are just the closing id; repeated rows are packed each; null ids are carried through; an
 empty table gives an empty result. Texts that hold a special token's string are encoded by the tokenizer library itself.
@@ -19,28 +19,24 @@ empty table gives an empty result. Texts that hold a special token's string are
 from __future__ import annotations
 
 import json
-import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import cuts_at_every_space, regex_stretches
-from .common import documents_of, mix64, shared_folder, staged
+from .common import documents_of, mix64, staged
 
-TOKENISED = "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, row_id long, ids binary"
+LONGS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "row_id")
+TOKENISED = ", ".join(f"{c} long" for c in LONGS) + ", ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-EACH = 1 << 36  #: rows or sequences that one task may number
-PLACED = "row_id long, first long, length long, seq long, offset long"
+EACH = 1 << 35  #: rows or sequences that one task may number
 COMMON = 512  #: terms of most tails in a shard, whose weights are kept as a dense matrix
-AHEAD = 2  #: a window asks for so many times the tokens it has room for, as other windows may get some of them
 
 
 def default_tokenizer() -> str:
@@ -56,26 +52,14 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Stretches(dict):
-    """Ids (as bytes of 4 each) of stretches met so far, all with the same lead before them."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, stretch: str) -> bytes:
-        self[stretch] = ids = array("I", self.encode(self.lead + stretch)).tobytes()
-        return ids
-
-
 class Encoder:
     """Token ids of a byte-level BPE file of the ``tokenizers`` library.
 
-    Distinct stretches (cut where the pattern always cuts) are encoded once and kept; if the ids of the file are the ranks of its merges,
-    they are encoded by ``tiktoken`` with these ranks, which gives the same ids faster.
+    If the ids of the file are the ranks of its merges, texts are encoded by ``tiktoken`` with these ranks, which gives the
+    same ids faster.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -83,7 +67,6 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.whole.get_vocab_size()
-        self.keep = keep
         alphabet, vocab = _byte_of_char(), spec["model"]["vocab"]
         merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         self.plain = None
@@ -92,21 +75,12 @@ class Encoder:
             import tiktoken
 
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in self.special}
-            encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.plain, self.spaced = Stretches(encode, ""), Stretches(encode, " ")
+            self.plain = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if self.plain is None or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
-        for known in (self.plain, self.spaced):
-            if len(known) > self.keep:
-                known.clear()
-        if cuts_at_every_space(text):
-            first, *rest = text.split(" ")
-            found = self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
-        else:
-            found = b"".join(map(self.plain.__getitem__, regex_stretches(text)))
-        return np.frombuffer(found, np.uintc).astype(np.int64)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.plain.encode_to_numpy(text, disallowed_special=())
 
 
 @cache
@@ -119,39 +93,43 @@ def crc(ids: np.ndarray) -> int:
 
 
 def tokenised(docs: DataFrame, path: str, window: int, closing_id: int = 0) -> DataFrame:
-    """Rows of three kinds: whole windows (``window``), tails with their ids (``tail``), and a task's document frequencies (``df``)."""
+    """Rows of three kinds: whole windows (with ``sequence_id``), tails with their ids (with ``row_id``), and a task's document
+    frequencies (with neither)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         base = TaskContext.get().partitionId() * EACH
         df = np.zeros(max(encode.size, closing_id + 1), np.int64)
         seen = np.zeros(len(df), bool)
         seq = row = 0
-        names = [x.split()[0] for x in TOKENISED.split(", ")]
+
+        def batch(rows: list[tuple], ids: list[bytes | None]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(LONGS)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(ids, pa.binary())], names=[*LONGS, "ids"])
+
         for whole in batches:
-            for lo in range(0, len(whole), 500):
-                pdf, out = whole.iloc[lo : lo + 500], []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
-                    ids = np.append(encode((text or "").encode("utf-8", "replace").decode()), closing_id)
+            for lo in range(0, whole.num_rows, 500):
+                part, rows, held = whole.slice(lo, 500), [], []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                    ids = np.append(encode(text.as_py() or ""), np.uint32(closing_id))
                     seen[ids] = True
                     own = np.flatnonzero(seen)
                     df[own] += 1
                     seen[own] = False
                     n = len(ids)
                     for start in range(0, n - window + 1, window):
-                        out.append(("window", doc_id, start, window, crc(ids[start : start + window]), n, base + seq, None, None))
+                        rows.append((doc_id, start, window, crc(ids[start : start + window]), n, 2 * (base + seq), None))
+                        held.append(None)
                         seq += 1
                     if n % window:
                         start = n - n % window
-                        out.append(("tail", doc_id, start, n - start, None, n, None, base + row, ids[start:].astype("<u4").astype("<u2" if encode.size <= 65536 else "<u4").tobytes()))
+                        rows.append((doc_id, start, n - start, None, n, None, base + row))
+                        held.append(ids[start:].astype("<u2" if len(df) <= 65536 else "<u4").tobytes())
                         row += 1
-                made = pd.DataFrame(out, columns=names)
-                yield made.astype({k: "Int64" for k in names if k not in ("kind", "ids")})
-        made = pd.DataFrame([("df", None, None, len(df), None, None, None, None, df.tobytes())], columns=names)
-        yield made.astype({k: "Int64" for k in names if k not in ("kind", "ids")})
+                yield batch(rows, held)
+        yield batch([(None, None, len(df), None, None, None, None)], [df.tobytes()])
 
-    return documents_of(docs, "doc_id", "text").mapInPandas(run, TOKENISED)
+    return documents_of(docs, "doc_id", "text").mapInArrow(run, TOKENISED)
 
 
 @dataclass
@@ -202,166 +180,128 @@ class Index:
         return out
 
 
-def head_of(score: np.ndarray, size: np.ndarray, enough: int) -> np.ndarray:
-    """The best tails, best first, down to where they hold ``enough`` tokens (or all)."""
-    n, k = len(score), 64
-    while True:
-        near = np.argpartition(-score, k)[:k] if k < n else np.arange(n)
-        near = near[np.lexsort((near, -score[near]))]
-        held = np.cumsum(size[near])
-        if held[-1] >= enough or k >= n:
-            return near[: int(np.searchsorted(held, enough)) + 1]
-        k *= 8
-
-
-def fill(tails: list[np.ndarray], index: Index, window: int, opened: list[tuple[np.ndarray, int]] | None = None) -> list[tuple[int, int, int, int, int]]:
-    """(tail, first, length, sequence, offset) of every piece; each token in one piece, every sequence but the last full.
-
-    ``opened``: ids of the seed, and room, of sequences that are there already; they are filled first and numbered first.
-    """
-    n, opened = len(tails), opened or []
+def fill(tails: list[np.ndarray], index: Index, window: int) -> list[tuple[int, int, int, int, int]]:
+    """(tail, first, length, sequence, offset) of every piece; each token in one piece, every sequence but the last full."""
+    n = len(tails)
     first, unused, out = np.zeros(n, np.int64), np.ones(n, bool), []
-    size = np.array([len(t) for t in tails])
+    left = np.array([len(t) for t in tails], np.int64)
     at, seq = 0, 0
     while unused.any():
-        if seq < len(opened):
-            query, room = opened[seq]
-        else:
-            at += int(np.argmax(unused[at:]))
-            query, room = tails[at], window
+        at += int(np.argmax(unused[at:]))
+        room = window
 
         def put(i: int, length: int, seq: int = seq) -> None:
             nonlocal room
-            out.append((i, int(first[i]), int(length), seq, window - room))
+            out.append((i, int(first[i]), length, seq, window - room))
             first[i] += length
+            left[i] -= length
             room -= length
-            unused[i] = first[i] < size[i]
+            unused[i] = left[i] > 0
 
-        if seq >= len(opened):
-            put(at, size[at] - first[at])
+        put(at, int(left[at]))
         if room:
-            score = index.scores([query])[0]
             near = np.flatnonzero(unused)
-            near = near[np.lexsort((near, -score[near]))]
-            for i in near:
-                if size[i] - first[i] <= room:
-                    put(i, size[i] - first[i])
-                if not room:
+            score = index.scores([tails[at]])[0][near]
+            near = near[np.lexsort((near, -score))]
+            while room and len(near):
+                fits = left[near] <= room
+                if not fits.any():
+                    put(int(near[0]), room)
                     break
-            rest = [i for i in near if unused[i]][:1] if room else []
-            for i in rest:
-                put(i, room)
+                i = int(fits.argmax())
+                put(int(near[i]), int(left[near[i]]))
+                near = np.delete(near, i)
         seq += 1
     return out
 
 
+def in_powers(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
+    """The pieces with the last sequence, if it isn't full, cut into sequences whose lengths are powers of two, longest first."""
+    last = max((p[3] for p in pieces), default=0)
+    short = [p for p in pieces if p[3] == last]
+    total = sum(p[2] for p in short)
+    if total == window:
+        return pieces
+    out, seq = [p for p in pieces if p[3] != last], last
+    sizes = [1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1]
+    used = 0
+    for tail, first, length, _, _ in short:
+        while length:
+            take = min(length, sizes[0] - used)
+            out.append((tail, first, take, seq, used))
+            first, length, used = first + take, length - take, used + take
+            if used == sizes[0]:
+                sizes, seq, used = sizes[1:], seq + 1, 0
+    return out
+
+
 def ids_of(blob: bytes, width: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if width == 2 else "<u4").astype(np.int64)
 
 
-def asked(queries: pd.DataFrame, tails: pd.DataFrame, index: Index) -> pd.DataFrame:
-    """Of the tails of one shard, the head of the ranking of every query; equal scores (to five digits) in an order of its own."""
-    size, n = tails["length"].to_numpy(), len(tails)
-    noise = np.random.default_rng(7).random(2 * n, np.float32) * np.float32(1e-5)
-    ids = [ids_of(b, w) for b, w in zip(queries["ids"], queries["width"], strict=True)]
-    start = (mix64(queries["seq"].to_numpy()) % np.uint64(n)).astype(int)
-    seqs, rows, scores = [], [], []
-    for lo in range(0, len(ids), 128):
-        for j, score in enumerate(index.scores(ids[lo : lo + 128]), lo):
-            score *= 1 + noise[start[j] : start[j] + n]
-            near = head_of(score, size, AHEAD * int(queries["room"].iloc[j]))
-            seqs.append(np.full(len(near), queries["seq"].iloc[j]))
-            rows.append(near)
-            scores.append(score[near])
-    at = np.concatenate(rows)
-    return pd.DataFrame({"seq": np.concatenate(seqs), "row_id": tails["row_id"].to_numpy()[at], "size": size[at], "score": np.concatenate(scores).astype(float)})
-
-
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, per_shard: int = 2000, per_index: int = 16384, per_block: int = 32768) -> DataFrame:
-    """Every piece of every document with its place. ``per_index`` tails make an index, ``per_block`` windows ask it in one task."""
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 1024, per_shard: int = 1000) -> DataFrame:
+    """Every piece of every document with its place."""
     path = tokenizer or default_tokenizer()
     rows = staged(tokenised(docs, path, window), "tokens")
     spark = docs.sparkSession
-    # the vocabulary bounds this sum: one row per token id, whatever the corpus
-    to_longs = F.udf(lambda b: np.frombuffer(b, np.int64).tolist(), "array<long>")
-    counted = rows.where("kind = 'df'").select(F.posexplode(to_longs("ids")).alias("token", "n")).groupBy("token").agg(F.sum("n").alias("n"))
-    counts = {r.token: r.n for r in counted.collect()}
-    df = np.zeros(max(counts, default=0) + 1, np.int64)
-    df[list(counts)] = list(counts.values())
-    tails = rows.where("kind = 'tail'").select("row_id", "doc_id", "start", "doc_tokens", "length", "ids", (F.octet_length("ids") / F.col("length")).cast("int").alias("width"))
-    n_tails, total = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    n_docs, mean = int(df[0]), total / max(n_tails, 1)  # every document has the closing id
-    shared = spark.sparkContext.broadcast(df)
-
-    def ask(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(found):
-            return pd.DataFrame({"seq": [], "row_id": [], "size": [], "score": []})
-        found = found.sort_values("row_id", ignore_index=True)
-        return asked(queries, found, Index.build([ids_of(b, w) for b, w in zip(found["ids"], found["width"], strict=True)], shared.value, n_docs, mean))
-
-    def finish(queries: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({c.split()[0]: [] for c in PLACED.split(", ")})
-        left, queries = left.sort_values("row_id", ignore_index=True), queries.sort_values("seq", ascending=False, ignore_index=True)
-        ids = [ids_of(b, w) for b, w in zip(left["ids"], left["width"], strict=True)]
-        opened = [(ids_of(b, w), int(r)) for b, w, r in zip(queries["ids"], queries["width"], queries["room"], strict=True)]
-        placed = fill(ids, Index.build(ids, shared.value, n_docs, mean), window, opened)
-        seqs = dict(enumerate(queries["seq"]))
-        for i, _, _, s, _ in placed:
-            seqs.setdefault(s, -1 - left["row_id"].iloc[i])
-        return pd.DataFrame({
-            "row_id": [left["row_id"].iloc[p[0]] for p in placed], "first": [left["first"].iloc[p[0]] + p[1] for p in placed], "length": [p[2] for p in placed],
-            "seq": [seqs[p[3]] for p in placed], "offset": [p[4] for p in placed],
-        })
-
-    folder, rounds = f"{shared_folder(spark)}/quillgraph/placed-{uuid.uuid4().hex}", 0
-
-    def logged(df: DataFrame) -> DataFrame:
-        """What all rounds have placed, as one scan, so that plans don't grow with the rounds."""
-        df.write.parquet(f"{folder}/{rounds}")
-        return spark.read.schema(PLACED).parquet(*[f"{folder}/{i}" for i in range(rounds + 1)])
-
-    log = spark.createDataFrame([], PLACED)
-    while n_tails:
-        used = log.groupBy("row_id").agg(F.sum("length").alias("used"))
-        left = tails.join(used, "row_id", "left").withColumn("first", F.coalesce("used", F.lit(0))).where("first < length")
-        left = left.select("row_id", "first", (F.col("length") - F.col("first")).alias("length"), F.expr("substring(ids, cast(first * width as int) + 1)").alias("ids"), "width")
-        n_left, tokens = tails.select("row_id", "length").join(used, "row_id", "left").where("coalesce(used, 0) < length").agg(F.count("*"), F.coalesce(F.sum(F.expr("length - coalesce(used, 0)")), F.lit(0))).first()
-        if not n_left:
-            break
-        opened = log.groupBy("seq").agg((window - F.sum("length")).alias("room")).where("room > 0")
-        seeds = log.where("offset = 0").select("row_id", "seq", F.col("first").alias("from")).join(opened, "seq")
-        waiting = seeds.join(tails, "row_id").select("seq", "room", F.expr("substring(ids, cast(from * width as int) + 1)").alias("ids"), F.col("width").alias("width"))
-        if n_left <= per_shard or tokens <= 2 * window:
-            one = lambda d: d.withColumn("one", F.lit(0)).groupBy("one")
-            log = logged(one(waiting).cogroup(one(left)).applyInPandas(finish, PLACED))
-            break
-        n_open, room = opened.agg(F.count("*"), F.coalesce(F.sum("room"), F.lit(0))).first()
-        share = max(0.0, 0.5 * (tokens - room) / window / n_left)
-        chosen = F.pmod(F.xxhash64("row_id", F.lit(rounds)), F.lit(1 << 20)) < int(share * (1 << 20))
-        fresh = left.where(chosen).select("row_id", "first", "length", (-1 - F.col("row_id")).alias("seq"), F.lit(0).cast("long").alias("offset"))
-        queries = waiting.unionByName(left.where(chosen).select((-1 - F.col("row_id")).alias("seq"), (window - F.col("length")).alias("room"), "ids", "width")).where("room > 0")
-        n_indices, n_blocks = -(-n_left // per_index), max(1, -(-int(n_open + share * n_left) // per_block))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        a = queries.withColumn("block", part("seq", n_blocks)).withColumn("index", every(n_indices))
-        b = left.where(~chosen).withColumn("index", part("row_id", n_indices)).withColumn("block", every(n_blocks))
-        found = a.groupBy("index", "block").cogroup(b.groupBy("index", "block")).applyInPandas(ask, "seq long, row_id long, size long, score double")
-        best = Window.partitionBy("seq").orderBy(F.col("score").desc(), "row_id")
-        before = F.coalesce(F.sum("size").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        wanted = found.join(queries.select("seq", "room"), "seq").withColumn("before", before).where(F.col("before") < AHEAD * F.col("room"))
-        won = wanted.groupBy("row_id").agg(F.max(F.struct("score", F.xxhash64("seq", "row_id"), "seq", "size", "room")).alias("w")).select("row_id", "w.seq", "w.size", "w.score", "w.room")
-        won = won.withColumn("before", before).where("before < room").join(left.select("row_id", "first"), "row_id")
-        won = won.select("row_id", "first", F.expr("least(size, room - before)").alias("length"), "seq", (window - F.col("room") + F.col("before")).alias("offset"))
-        log = logged(fresh.unionByName(won))
-        rounds += 1
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.assign(ids_crc32=[crc(ids_of(b, w)) for b, w in zip(pdf["ids"], pdf["width"], strict=True)])
-            yield out[[c.split()[0] for c in PIECES.split(", ")]].astype("Int64")
-
-    placed = log.withColumnRenamed("length", "n").join(tails, "row_id")
-    placed = placed.select("doc_id", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("length"), "doc_tokens", F.col("seq").alias("sequence_id"), "offset", F.expr("substring(ids, cast(first * width as int) + 1, cast(n * width as int))").alias("ids"), "width")
-    whole = rows.where("kind = 'window'").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(placed.mapInPandas(sums, PIECES))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column("ids"):
+                n = np.frombuffer(x.as_py(), np.int64)
+                total = n.copy() if total is None else total + n
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["token", "n"])
+
+    # the vocabulary bounds what comes to the driver: one row per token id, whatever the corpus
+    counts = rows.where("row_id is null and sequence_id is null").select("ids").mapInArrow(summed, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(int(counts["token"].max()) + 1 if len(counts) else 1, np.int64)
+    df[counts["token"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    # rarest first, but terms of a single document last: they can't bring two together
+    by_rarity = np.lexsort((np.arange(len(df)), df, df < 2))
+    rank = np.empty(len(df), np.int64)
+    rank[by_rarity] = np.arange(len(df))
+    width = F.when(F.col("length") > 0, F.octet_length("ids") / F.col("length")).cast("int")
+    tails = rows.where("row_id is not null").select("row_id", "doc_id", "start", "doc_tokens", "length", "ids", width.alias("width"))
+    ranks = spark.sparkContext.broadcast(rank)
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([ranks.value[ids_of(b, w)].min() for b, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True)], np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys(batch))], names=["key"])
+
+    per_key = tails.select("ids", "width").mapInArrow(keyed, "key long").groupBy("key").count().toPandas()
+    size = np.zeros(len(df), np.int64)
+    size[per_key["key"].to_numpy(np.int64)] = per_key["count"].to_numpy(np.int64)
+    begin = np.cumsum(size) - size
+    n_docs = int(df[0])  # every document has the closing id
+    mean = tails.agg(F.avg("length")).first()[0] or 1.0
+    places = spark.sparkContext.broadcast((size, begin, df))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = keys(batch)
+            n, b, _ = places.value
+            turn = (mix64(batch.column("row_id").to_numpy().view(np.uint64)) % n[k].astype(np.uint64)).astype(np.int64) if len(k) else k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((b[k] + turn) // per_shard)], names=[*batch.schema.names, "shard"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_id")
+        ids = [ids_of(b, w) for b, w in zip(table.column("ids").to_pylist(), table.column("width").to_pylist(), strict=True)]
+        pieces = in_powers(fill(ids, Index.build(ids, places.value[2], n_docs, mean), window), window)
+        at, first, length, seq, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+        base = table.column("shard")[0].as_py() << 30
+        of = pa.array(at)
+        out = [
+            table.column("doc_id").take(of), pa.array(table.column("start").to_numpy()[at] + first), pa.array(length), pa.array([crc(ids[p[0]][p[1] : p[1] + p[2]]) for p in pieces], pa.int64()),
+            table.column("doc_tokens").take(of), pa.array(2 * (base + seq) + 1), pa.array(offset),
+        ]
+        return pa.table(out, names=[c.split()[0] for c in PIECES.split(", ")])
+
+    schema = "row_id long, doc_id long, start long, doc_tokens long, length long, ids binary, width int, shard long"
+    placed = tails.mapInArrow(dealt, schema).groupBy("shard").applyInArrow(packed, PIECES)
+    whole = rows.where("sequence_id is not null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+    return whole.unionByName(placed)

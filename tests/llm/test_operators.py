@@ -241,19 +241,18 @@ def check_packing(df, texts):
         for offset, n in sorted(s):
             assert offset == at
             at += n
-        assert 0 < at <= 1024
+        assert at == 1024 or at < 1024 and at & (at - 1) == 0  # neither kind is padded
         short += at < 1024
     return short
 
 
 def test_packing(docs):
-    assert check_packing(packing.pack(docs), TEXT(docs)) <= 1
-    assert check_packing(packing.pack(docs.where("doc_id < 40"), per_shard=10), TEXT(docs.where("doc_id < 40"))) <= 5
+    assert check_packing(packing.pack(docs), TEXT(docs)) <= 10
+    assert check_packing(packing.pack(docs.where("doc_id < 40"), per_shard=10), TEXT(docs.where("doc_id < 40"))) <= 50
 
 
 def test_packing_edge_cases(odd, spark):
-    short = odd.where("doc_id is null or doc_id <> 6")
-    check_packing(packing.pack(short), TEXT(short))
+    check_packing(packing.pack(odd), TEXT(odd))
     assert packing.pack(odd.limit(0)).count() == 0
     special = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, " a  b ")], "doc_id long, text string")
     check_packing(packing.pack(special), TEXT(special))
@@ -272,11 +271,11 @@ def test_a_seed_finds_its_only_neighbour_in_any_shard(spark):
     draw = np.random.default_rng(6)
     texts = [(2 * p + k, "".join(f" {w}" for w in [*words[20 * p : 20 * p + 20], *draw.choice(words[2000:2016], 20)])) for p in range(60) for k in (0, 1)]
     window = 2 * 41
-    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), window=window, per_shard=10, per_index=20, per_block=16).collect()
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), window=window, per_shard=10).collect()
     held = defaultdict(set)
     for r in got:
         held[r.doc_id].add(r.sequence_id)
-    assert sum(bool(held[2 * p] & held[2 * p + 1]) for p in range(60)) >= 30
+    assert sum(bool(held[2 * p] & held[2 * p + 1]) for p in range(60)) >= 55  # all but those that a shard's end parts
 
 
 def test_ranking_is_followed_beyond_its_head():
