@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, documents_of
 
-PER_ROW = 32768  #: words of a row that is folded
+PER_ROW = 16384  #: words of a row that is folded
 LONG = 64  #: bytes of a word from which the heap is used
-BUCKET_BYTES = 32 << 20  #: of text for each bucket of distinct words
+BUCKET_BYTES = 8 << 20  #: of text for each bucket of distinct words
 BUCKETS, SLOTS = 1 << 14, 1 << 17  #: of the displacement hash
 RANK_AT, PLACE_AT = 45, 17  #: lowest bits of a pair's rank and of its place in the state; the token is at 0
 NO_RANK = (1 << 17) - 1
@@ -226,7 +226,7 @@ def spread(part: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 8 << 20) -> DataFrame:
+def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 6 << 20) -> DataFrame:
     """Of every chunk, a row for each bucket that it has words for, and one row (without a bucket) that says how its
     stretches are made of its words (in the order of the buckets, long ones last) and its documents of stretches.
 

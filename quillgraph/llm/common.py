@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a local session may lack one; a folder of this machine serves it then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -58,6 +63,51 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    """Of a plain list of ``name kind``."""
+    return pa.schema([(f.split()[0], KINDS[f.split()[1]]) for f in schema.split(", ")])
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def by_text(docs: DataFrame, judge: Callable[[list[str | None]], list[tuple]], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``judge`` gives a tuple for each text; the columns ``keep`` come first in ``schema`` and pass by it untouched, so that
+    ids of any size stay exact beside nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = arrow_schema(schema)
+        made = pa.schema(list(kinds)[len(keep) :])
+        for part in slices(batches):
+            out = batch_of(judge(part.column("text").to_pylist()), made)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out.columns], schema=kinds)
+
+    return documents_of(docs, *keep, "text").mapInArrow(run, schema)
+
+
+def with_text(docs: DataFrame, change: Callable[[list[str | None]], list[str | None]]) -> DataFrame:
+    """The same rows and columns with other texts; nothing else is touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            i = part.schema.get_field_index("text")
+            yield part.set_column(i, part.schema.field(i), pa.array(change(part.column(i).to_pylist()), part.schema.field(i).type))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8 (``bytes.split`` splits at exactly these characters)."""
     return utf8(text).split()

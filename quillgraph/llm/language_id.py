@@ -4,8 +4,8 @@ Every language has a codeword of +1/-1 bits. One binary logistic classifier per
 text and predicts that bit; decoding sums the logistic loss of all bits against each codeword and takes the nearest.
 A document whose two best codewords are almost equally near is flagged as ambiguous.
 
-The fit fetches at most about ``max_train`` documents in all, spread evenly over the languages by the hash of their id
-(a share per language computed from whole-table counts); prediction covers whole texts of all rows.
+The fit fetches about ``max_train`` documents in all, spread evenly over the languages by the hash of their id (with very
+many languages ``least`` of each); prediction covers whole texts of all rows.
 
 Edge cases: ``und`` with score 0 for a text that is null or has no letter, and for every text if there is no language
 to learn; a single learned language is predicted for all other texts. Null ids are never trained on but predicted;
@@ -16,19 +16,17 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, small_batches
+from .common import by_text, documents_of
 
 DIM = 1 << 13
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, bits_off int"
-_letter = re.compile(r"[^\W\d_]")
+_maybe = re.compile(r"[^\W\d_]")
 _plain = np.arange(256, dtype=np.uint32)
 _plain[[i for i in range(128) if not chr(i).isalpha()]] = 32
 
@@ -37,6 +35,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numerals such as fractions and Roman numbers are none."""
+    return any(m[0].isalpha() for m in _maybe.finditer(text))
+
+
 def ngram_counts(text: str, dim: int = DIM) -> np.ndarray:
     """Counts of hashed 1- to 4-byte windows of the lower-cased text; anything but letters counts as a space."""
     b = _plain[np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)]
@@ -82,7 +85,7 @@ class LanguageModel:
 
     def predict(self, text: str | None, margin: float = 0.15) -> tuple[str, float, bool, int]:
         """Language, score, ambiguity, and how many bits disagree with the chosen codeword."""
-        if not self.languages or not text or not _letter.search(text):
+        if not self.languages or not text or not has_letter(text):
             return "und", 0.0, False, 0
         f = vector(ngram_counts(text)) @ self.weights + self.bias
         loss = np.logaddexp(0, -self.codes * f).sum(1)
@@ -114,21 +117,30 @@ def fit(x: np.ndarray, y: list[str], steps: int = 300, rate: float = 8.0, l2: fl
     return LanguageModel(languages, codes, w.astype(np.float32), b)
 
 
-def train(docs: DataFrame, max_train: int = 2000) -> LanguageModel:
-    """Learn from text and lang of the documents that are not held out."""
+def train(docs: DataFrame, max_train: int = 2000, least: int = 20) -> LanguageModel:
+    """Learn from text and lang of the documents that are not held out.
+
+    The sample holds about ``max_train`` documents, and about ``least`` of each language if that is more. It is drawn by the
+    hash of the id in the scan itself: the share of each language (from counts over the whole table, one row per
+    language) is a literal, so no text is shuffled.
+    """
     rows = documents_of(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    each = max(20.0, max_train / max(1, counts.count()))
-    share = counts.select("lang", F.least(F.lit(1.0), each / F.col("n")).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(v, ngram_counts(t)) for t, v in zip(pdf["text"], pdf["lang"], strict=True) if _letter.search(t)]
-            where = [np.flatnonzero(c) for _, c in found]
-            yield pd.DataFrame({"lang": [v for v, _ in found], "at": [i.astype("<u2").tobytes() for i in where], "n": [c[i].astype("<u4").tobytes() for i, (_, c) in zip(where, found, strict=True)]})
-
-    sample = picked.mapInPandas(counted, "lang string, at binary, n binary").limit(3 * max_train).collect()
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return fit(np.zeros((0, DIM), np.float32), [])
+    each = max(least, max_train / len(counts))
+    share = F.element_at(F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, int(min(1.0, each / n) * (1 << 20)))]), F.col("lang"))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+
+    def counted(texts: list[str | None]) -> list[tuple]:
+        out = []
+        for t in texts:
+            c = ngram_counts(t)
+            at = np.flatnonzero(c)
+            out.append((has_letter(t), at.astype("<u2").tobytes(), c[at].astype("<u4").tobytes()))
+        return out
+
+    sample = by_text(picked, counted, "lang string, lettered boolean, at binary, n binary", ("lang",)).where("lettered").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(sample), DIM), np.float32)
     for i, r in enumerate(sample):
@@ -140,15 +152,6 @@ def train(docs: DataFrame, max_train: int = 2000) -> LanguageModel:
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Predict every document; a narrow map. The model is DIM x bits floats, whatever the corpus."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [shared.value.predict(t) for t in pdf["text"]]
-            out = pd.DataFrame(found, columns=["lang_pred", "score", "ambiguous", "bits_off"])
-            out.insert(0, "held_out", pdf["held_out"].to_numpy())
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(run, SCHEMA)
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return by_text(rows, lambda texts: [shared.value.predict(t) for t in texts], SCHEMA, ("doc_id", "held_out"))

@@ -22,6 +22,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, mix64, staged, utf8
+from .common import by_text, documents_of, mix64, staged, utf8
 from .components import components
 
 SIGNED = "doc_id long, n_shingles long, set_hash binary, keys array<bigint>, bits array<bigint>"
@@ -114,17 +115,14 @@ class Signer:
         return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), key.view(np.int64).tolist(), packed.view(np.int64).tolist()
 
 
+@cache
+def signer_of(setting: Setting) -> Signer:
+    """One for each worker."""
+    return Signer(setting)
+
+
 def signed(docs: DataFrame, setting: Setting) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer(setting)
-        for whole in batches:
-            for lo in range(0, len(whole), 500):
-                pdf = whole.iloc[lo : lo + 500]
-                out = pd.DataFrame([signer.sign(t) for t in pdf["text"]], columns=["n_shingles", "set_hash", "keys", "bits"])
-                out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-                yield out
-
-    return documents_of(docs, "doc_id", "text").mapInPandas(run, SIGNED)
+    return by_text(docs, lambda texts: [signer_of(setting).sign(t) for t in texts], SIGNED)
 
 
 def _lane(bits: int) -> int:

@@ -12,14 +12,12 @@ gives an empty result, and extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import WHITE, documents_of, utf8
+from .common import WHITE, by_text, utf8
 
 SYMBOLS = "#*$%&|<>"
 SCHEMA = (
@@ -115,13 +113,4 @@ def assess(text: str | None, rules: LineRules = LineRules()) -> tuple:
 
 def quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """One row of figures and verdicts per document; a narrow map, nothing is shuffled."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [assess(t, rules) for t in pdf["text"]]
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out
-
-    return documents_of(docs, "doc_id", "text").mapInPandas(run, SCHEMA)
+    return by_text(docs, lambda texts: [assess(t, rules) for t in texts], SCHEMA)

@@ -28,17 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents_of, utf8
+from .common import NULL_ID, arrow_schema, batch_of, documents_of, utf8
 
 LEAD = 16
 BATCH = 1 << 20  #: bytes that one round of array work takes
+LEADS = "bucket long, p long, a binary"
+CONTEXTS = "bucket long, p long, ids binary, several binary, bytes binary, sizes binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-GROUP = "_suffix_group"  #: the only column that a table must not have of its own
-NOTE = "p long, bucket long, kind string, a binary, b binary, c binary"
+NOTE = "p long, bucket long, kind string, a binary, b binary, c binary, d binary"
 
 
 def _u64(x: int) -> np.uint64:
@@ -65,16 +68,16 @@ class Batch:
     bytes: np.ndarray
 
 
-def batches_of(pdf: pd.DataFrame) -> Iterator[Batch]:
+def batches_of(docs: pa.Table | pa.RecordBatch) -> Iterator[Batch]:
     rows, held, size = [], [], 0
-    ids = pdf["doc_id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64)
+    ids = pc.fill_null(docs.column("doc_id"), NULL_ID).to_numpy()
 
     def batch() -> Batch:
         sizes = np.array([len(b) for b in held], np.int64)
         return Batch(rows, ids[rows], np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(held), np.uint8))
 
-    for i, text in enumerate(pdf["text"]):
-        b = utf8(text)
+    for i, text in enumerate(docs.column("text")):
+        b = utf8(text.as_py())
         if rows and size + len(b) > BATCH:
             yield batch()
             rows, held, size = [], [], 0
@@ -127,7 +130,8 @@ class Contexts:
     front: np.ndarray
     n_back: np.ndarray
     n_front: np.ndarray
-    key: np.ndarray  #: 64-bit hash of all of it
+    key: np.ndarray  #: 128-bit hash of all of it, in two halves
+    half: np.ndarray
 
 
 def contexts(batch: Batch, at: np.ndarray, doc: np.ndarray, length: int) -> Contexts:
@@ -140,15 +144,24 @@ def contexts(batch: Batch, at: np.ndarray, doc: np.ndarray, length: int) -> Cont
         return np.where(np.arange(len(offsets)) < limit[:, None], batch.bytes[where], 0).astype(np.uint8)
 
     back, front = take(-1 - np.arange(reach), n_back), take(np.arange(length), n_front)
-    return Contexts(back, front, n_back, n_front, context_keys(front, back, np.stack([n_back, n_front], 1)))
+    return Contexts(back, front, n_back, n_front, *context_keys(front, back, np.stack([n_back, n_front], 1)))
 
 
-def context_keys(front: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(front), np.uint64)
+def context_keys(front: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, half = np.zeros(len(front), np.uint64), np.full(len(front), 0x243F6A8885A308D3, np.uint64)
     for w in as_words(np.concatenate([front, back, sizes], 1)).T:
         key = (key ^ w) * _u64(0x9E3779B97F4A7C15)
         key ^= key >> _u64(31)
-    return key
+        half = (half + w) * _u64(0xD6E8FEB86659FD93)
+        half ^= half >> _u64(29)
+    return key, half
+
+
+def first_of_each(key: np.ndarray, half: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and id, and whether each place in it is the first of its key."""
+    order = np.lexsort((ids, half, key))
+    k, h = key[order], half[order]
+    return order, np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
 
 
 def as_words(rows: np.ndarray) -> np.ndarray:
@@ -212,10 +225,10 @@ def _join(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
-def distinct_leads(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_leads(docs: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a group's leading strings, whether two documents of the group have it, and the first 8 bytes."""
     found = []
-    for batch in batches_of(pdf):
+    for batch in batches_of(docs):
         p = places(batch, length)
         found.append((p.hash, batch.ids[p.doc], p.lead))
     h, ids, lead = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -252,7 +265,7 @@ class Removal:
         runs = notes[notes["kind"] == "run"]
         self.key, self.low, self.windows = _join(runs["a"], "<u8"), _join(runs["b"], "<i8"), _join(runs["c"], "u1").reshape(-1, 2).astype(np.int64)
         order = np.argsort(self.key, kind="stable")
-        self.key, self.low, self.windows = self.key[order], self.low[order], self.windows[order]
+        self.key, self.half, self.low, self.windows = self.key[order], _join(runs["d"], "<u8")[order], self.low[order], self.windows[order]
 
     def candidates(self, batch: Batch) -> tuple[Places, Contexts]:
         p = places(batch, self.length)
@@ -270,7 +283,7 @@ class Removal:
         n = hi - lo
         of = np.repeat(np.arange(len(n)), n)
         run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        goes = self.low[run] < batch.ids[p.doc[of]]
+        goes = (self.half[run] == c.half[of]) & (self.low[run] < batch.ids[p.doc[of]])
         of, run = of[goes], run[goes]
         cover = np.zeros(len(batch.bytes) + 1, np.int32)
         np.add.at(cover, p.at[of] - self.windows[run, 1], 1)
@@ -278,29 +291,37 @@ class Removal:
         return np.cumsum(cover[:-1]) > 0
 
 
-def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int, np.ndarray, np.ndarray]]], pd.DataFrame], schema, length: int = 50, group_bytes: int = 16 << 20) -> DataFrame:
-    """``finish(rows, (row, bytes, goes) of each)`` for every group of documents; ``goes`` marks the bytes to remove."""
+def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np.ndarray, np.ndarray]]], pa.Table], schema, length: int = 50, group_bytes: int = 16 << 20) -> DataFrame:
+    """``finish(rows, (row, bytes, goes) of each)`` for every group of documents; ``goes`` marks the bytes to remove.
+
+    Rows are dealt to groups by id and text, so that those without an id or of the same id are spread as well.
+    """
     docs_size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-docs_size // group_bytes))
-    dealt = docs.withColumn(GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    text_of = ["doc_id", "text"]
+    group = "_group"
+    while group in docs.columns:
+        group += "_"
+    dealt = docs.withColumn(group, F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
-    def sample(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for batch in batches_of(pdf):
-                yield pd.DataFrame({"lead": places(batch, length).lead[::37].view(np.int64)})
+    def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in it:
+            for batch in batches_of(part):
+                yield pa.RecordBatch.from_arrays([pa.array(places(batch, length).lead[::37].view(np.int64))], names=["lead"])
 
     splitters = np.zeros(0, np.uint64)
     if groups > 1:
-        few = documents_of(docs, *text_of).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, groups))) == 0)
-        seen = np.sort(np.array([r.lead for r in few.mapInPandas(sample, "lead long").limit(200_000).collect()], np.int64).view(np.uint64))
+        few = documents_of(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(max(1, groups))) == 0)
+        seen = np.sort(np.array([r.lead for r in few.mapInArrow(sample, "lead long").limit(200_000).collect()], np.int64).view(np.uint64))
         if len(seen):
             splitters = np.unique(seen[(np.arange(1, groups) * len(seen)) // groups])
 
-    def send_leads(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, several, lead = distinct_leads(pdf, length)
-        rows = [(b, int(pdf[GROUP].iloc[0]), _pack((short(h[i]) << np.uint32(1)) | several[i], "<u4")) for b, i in by_bucket(lead, splitters)]
-        return pd.DataFrame(rows, columns=["bucket", "p", "a"])
+    def table_of(rows: list[tuple], kinds: str) -> pa.Table:
+        return pa.Table.from_batches([batch_of(rows, arrow_schema(kinds))])
+
+    def send_leads(docs: pa.Table) -> pa.Table:
+        h, several, lead = distinct_leads(docs, length)
+        own = docs.column(group)[0].as_py()
+        return table_of([(b, own, _pack((short(h[i]) << np.uint32(1)) | several[i], "<u4")) for b, i in by_bucket(lead, splitters)], LEADS)
 
     def common_leads(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = _join(pdf["a"], "<u4")
@@ -308,43 +329,41 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
         _, back, count = np.unique(h, return_inverse=True, return_counts=True)
         goes = (codes & np.uint32(1)).astype(bool) | (count[back] > 1)
         ends = np.cumsum([len(a) // 4 for a in pdf["a"]])
-        rows = [(p, b, "lead", _pack(h[s:e][goes[s:e]], "<u4"), None, None) for p, b, s, e in zip(pdf["p"], pdf["bucket"], [0, *ends[:-1]], ends, strict=True)]
-        return pd.DataFrame([r for r in rows if r[3]], columns=["p", "bucket", "kind", "a", "b", "c"])
-
-    def send_contexts(pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "p", "ids", "several", "bytes", "sizes"]
-        if not len(pdf) or not len(notes):
-            return pd.DataFrame([], columns=columns)
-        job, found, squeeze = Removal(notes, length, splitters), [], zstandard.ZstdCompressor(level=3)
-        for batch in batches_of(pdf):
+        rows = [(p, b, "lead", _pack(h[s:e][goes[s:e]], "<u4"), None, None, None) for p, b, s, e in zip(pdf["p"], pdf["bucket"], [0, *ends[:-1]], ends, strict=True)]
+        return pd.DataFrame([r for r in rows if r[3]], columns=["p", "bucket", "kind", "a", "b", "c", "d"])
+
+    def send_contexts(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        if not len(docs) or not len(notes):
+            return table_of([], CONTEXTS)
+        job, found, squeeze = Removal(notes.to_pandas(), length, splitters), [], zstandard.ZstdCompressor(level=3)
+        for batch in batches_of(docs):
             p, c = job.candidates(batch)
             ids = batch.ids[p.doc]
-            order = np.lexsort((ids, c.key))
-            new = np.concatenate([[True], c.key[order[1:]] != c.key[order[:-1]]]) if len(order) else np.zeros(0, bool)
+            order, new = first_of_each(c.key, c.half, ids)
             first = order[new]
             top = np.maximum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids
-            found.append((c.key[first], ids[first], top, p.lead[first], np.concatenate([c.front, c.back], 1)[first], np.stack([c.n_back, c.n_front], 1)[first]))
-        key, low, top, lead, data, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((low, key))
-        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]]) if len(key) else np.zeros(0, bool)
+            found.append((c.key[first], c.half[first], ids[first], top, p.lead[first], np.concatenate([c.front, c.back], 1)[first], np.stack([c.n_back, c.n_front], 1)[first]))
+        key, half, low, top, lead, data, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, new = first_of_each(key, half, low)
         first, at = order[new], np.flatnonzero(new)
         several = np.maximum.reduceat(top[order], at) != low[first] if len(key) else new
-        rows = []
+        rows, own = [], docs.column(group)[0].as_py()
         for b, i in by_bucket(lead[first], splitters):
             i = i[multikey_sort(data[first[i]])]  # neighbours share bytes, and so need less room
             f = first[i]
-            rows.append((b, int(pdf[GROUP].iloc[0]), _pack(low[f], "<i8"), _pack(several[i], "u1"), squeeze.compress(data[f].tobytes()), sizes[f].tobytes()))
-        return pd.DataFrame(rows, columns=columns)
+            rows.append((b, own, _pack(low[f], "<i8"), _pack(several[i], "u1"), squeeze.compress(data[f].tobytes()), sizes[f].tobytes()))
+        return table_of(rows, CONTEXTS)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, several = _join(pdf["ids"], "<i8"), _join(pdf["several"], "u1").astype(bool)
         data, sizes = _join(map(zstandard.ZstdDecompressor().decompress, pdf["bytes"]), "u1").reshape(len(ids), -1), _join(pdf["sizes"], "u1").reshape(-1, 2)
-        key = context_keys(data[:, :length], data[:, length:], sizes)
+        key, half = context_keys(data[:, :length], data[:, length:], sizes)
         # equal contexts of several groups are compared once
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        low = np.full(len(first), NULL_ID, np.int64)
-        np.minimum.at(low, back, ids)
-        c = Contexts(data[first, length:], data[first, :length], sizes[first, 0], sizes[first, 1], key[first])
+        order, new = first_of_each(key, half, ids)
+        first, back = order[new], np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        low = ids[first]
+        c = Contexts(data[first, length:], data[first, :length], sizes[first, 0], sizes[first, 1], key[first], half[first])
         n_windows = length - LEAD + 1
         smallest = np.full((n_windows, len(first)), -1, np.int64)
         held = np.zeros((n_windows, len(first)), bool)
@@ -370,53 +389,52 @@ def removals(docs: DataFrame, finish: Callable[[pd.DataFrame, Iterator[tuple[int
             src, run = src[use], run[use]
             at += n
             if len(src):
-                rows.append((p, b, "run", _pack(key[src], "<u8"), _pack(value[run], "<i8"), _pack(np.stack([o0[run], o1[run]], 1), "u1")))
-        return pd.DataFrame(rows, columns=["p", "bucket", "kind", "a", "b", "c"])
+                rows.append((p, b, "run", _pack(key[src], "<u8"), _pack(value[run], "<i8"), _pack(np.stack([o0[run], o1[run]], 1), "u1"), _pack(half[src], "<u8")))
+        return pd.DataFrame(rows, columns=["p", "bucket", "kind", "a", "b", "c", "d"])
 
-    def apply(pdf: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        job = Removal(notes, length, splitters)
+    def apply(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        job = Removal(notes.to_pandas(), length, splitters)
 
         def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            for batch in batches_of(pdf):
+            for batch in batches_of(docs):
                 goes = job.mask(batch) if len(job.key) else np.zeros(len(batch.bytes), bool)
                 for row, s, n in zip(batch.rows, batch.starts, batch.sizes, strict=True):
                     yield row, batch.bytes[s : s + n], goes[s : s + n]
 
-        return finish(pdf, each())
+        return finish(docs.drop_columns([group]), each())
 
-    leads = dealt.groupBy(GROUP).applyInPandas(send_leads, "bucket long, p long, a binary").groupBy("bucket").applyInPandas(common_leads, NOTE)
-    sent = dealt.groupBy(GROUP).cogroup(leads.groupBy("p")).applyInPandas(send_contexts, "bucket long, p long, ids binary, several binary, bytes binary, sizes binary")
+    leads = dealt.groupBy(group).applyInArrow(send_leads, LEADS).groupBy("bucket").applyInPandas(common_leads, NOTE)
+    sent = dealt.groupBy(group).cogroup(leads.groupBy("p")).applyInArrow(send_contexts, CONTEXTS)
     runs = sent.groupBy("bucket").applyInPandas(compare, NOTE)
     notes = leads.unionByName(runs)
-    return dealt.groupBy(GROUP).cogroup(notes.groupBy("p")).applyInPandas(apply, schema)
+    return dealt.groupBy(group).cogroup(notes.groupBy("p")).applyInArrow(apply, schema)
 
 
 def figures(docs: DataFrame, length: int = 50) -> DataFrame:
     """What goes from each document, and the digest of what is kept."""
 
-    def finish(pdf: pd.DataFrame, each) -> pd.DataFrame:
-        rows = [None] * len(pdf)
+    def finish(docs: pa.Table, each) -> pa.Table:
+        rows = [None] * len(docs)
         for row, data, goes in each:
             spans = int((goes[1:] & ~goes[:-1]).sum()) + int(len(goes) > 0 and goes[0])
             rows[row] = (len(data), int(goes.sum()), spans, hashlib.sha256(data[~goes].tobytes()).hexdigest())
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-        return out
+        out = batch_of(rows, pa.schema(list(arrow_schema(RESULT))[1:]))
+        return pa.table([docs.column("doc_id"), *out.columns], names=arrow_schema(RESULT).names)
 
     return removals(documents_of(docs, "doc_id", "text"), finish, RESULT, length)
 
 
 def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     """The same rows and columns without the repeated bytes; a character goes if any of its bytes does."""
-    columns = docs.columns
 
-    def finish(pdf: pd.DataFrame, each) -> pd.DataFrame:
-        texts = list(pdf["text"])
+    def finish(docs: pa.Table, each) -> pa.Table:
+        texts = docs.column("text").to_pylist()
         for row, data, goes in each:
             if goes.any():
                 starts = (data & 0xC0) != 0x80
                 touched = np.bincount(np.cumsum(starts), weights=goes) > 0
                 texts[row] = data[~touched[np.cumsum(starts)]].tobytes().decode("utf-8", "surrogatepass")
-        return pdf.assign(text=texts)[columns]
+        i = docs.schema.get_field_index("text")
+        return docs.set_column(i, docs.schema.field(i), pa.array(texts, docs.schema.field(i).type))
 
     return removals(docs, finish, docs.schema, length)

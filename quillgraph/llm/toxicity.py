@@ -20,10 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, small_batches, staged, utf8
+from .common import by_text, documents_of, slices, small_batches, staged, utf8
 
 SCHEMA = "doc_id long, severity double, grade int, p_mild double, p_severe double, toxic boolean, kept boolean"
 _fold = bytearray(range(256))
@@ -103,8 +104,8 @@ def fit(rows: list[tuple[Collection[bytes], int]], marked_odds: float = 20.0, mi
     return SeverityModel({v: float(x) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-6}, (float(theta[0]), float(theta[1])))
 
 
-def telling_features(rows: DataFrame, min_docs: int, odds: float, most: int) -> list[bytes]:
-    """Features found ``odds`` times as often in one class as in the other, the most telling ones (at most ``most``).
+def telling_features(rows: DataFrame, min_docs: int, odds: float) -> list[bytes]:
+    """Features found ``odds`` times as often in one class as in the other; their number is bounded by the training sample.
 
     Counted on the executors, batch by batch, over the training documents only.
     """
@@ -121,13 +122,13 @@ def telling_features(rows: DataFrame, min_docs: int, odds: float, most: int) ->
     total = rows.mapInPandas(counts, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= min_docs)
     ratio = F.log((F.col("n1") + 0.5) / (sizes.get(True, 0) + 1.0) / ((F.col("n0") + 0.5) / (sizes.get(False, 0) + 1.0)))
     kept = total.withColumn("ratio", ratio).where(F.abs("ratio") >= float(np.log(odds)))
-    return [bytes(r.feature) for r in kept.orderBy((F.abs("ratio") * F.sqrt(F.col("n0") + F.col("n1"))).desc(), "feature").limit(most).select("feature").collect()]
+    return [bytes(r.feature) for r in kept.select("feature").collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, min_docs: int = 5, odds: float = 4.0, max_features: int = 4000) -> SeverityModel:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, min_docs: int = 5, odds: float = 4.0) -> SeverityModel:
     """Fit on at most ``max_train`` labelled documents of each class, chosen by the hash of their id.
 
-    Only the telling features (at most ``max_features``) of the training documents come to the driver.
+    Only the telling features of the training documents come to the driver.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, min_docs: i
         part = marks.where(flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         picked = part if picked is None else picked.unionByName(part)
     rows = staged(documents_of(docs, "doc_id", "text").join(picked.select("doc_id", (F.col("toxic") >= 1).cast("int").alias("toxic")), "doc_id").select("text", "toxic"), "labelled")
-    vocabulary = frozenset(telling_features(rows, min_docs, odds, max_features))
+    vocabulary = frozenset(telling_features(rows, min_docs, odds))
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -145,26 +146,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, min_docs: i
 
 
 def toxicity(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> DataFrame:
-    """Severity of every document; the model travels with the task (a few hundred weights, bounded by the training sample)."""
+    """Severity of every document; the model travels with the task (its size is bounded by the training sample)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            p = np.array([model.probabilities(t) for t in pdf["text"]]).reshape(-1, 2)
-            toxic = p[:, 0] > threshold
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "severity": p.sum(1), "grade": toxic.astype(int) + (toxic & (p[:, 1] > 0.5)),
-                "p_mild": p[:, 0] - p[:, 1], "p_severe": p[:, 1], "toxic": toxic, "kept": ~toxic,
-            })
+    def judge(texts: list[str | None]) -> list[tuple]:
+        out = []
+        for mild, severe in map(model.probabilities, texts):
+            toxic = mild > threshold
+            out.append((mild + severe, int(toxic) + int(toxic and severe > 0.5), mild - severe, severe, toxic, not toxic))
+        return out
 
-    return documents_of(docs, "doc_id", "text").mapInPandas(run, SCHEMA)
+    return by_text(docs, judge, SCHEMA)
 
 
 def harmless(docs: DataFrame, model: SeverityModel, threshold: float = 0.5) -> DataFrame:
     """The rows, with all their columns, that the model doesn't reject."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[[model.probabilities(t)[0] <= threshold for t in pdf["text"]]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(pa.array([model.probabilities(t)[0] <= threshold for t in part.column("text").to_pylist()], pa.bool_()))
 
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
