@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Edges that one task joins in memory.
-PER_TASK = 500_000
-
 
 def _least(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with the least of u and all its v as m."""
@@ -42,27 +39,23 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _within_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held = list(batches)
-    if held:
-        both = pd.concat(held)
-        u, v = forest(both["u"].to_numpy(), both["v"].to_numpy())
+    """Trees of the edges of each batch: fewer edges, same components."""
+    for pdf in batches:
+        u, v = forest(pdf["u"].to_numpy(), pdf["v"].to_numpy())
         yield pd.DataFrame({"u": u, "v": v})
 
 
-def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of the edges (u, v), the smallest node that it reaches.
 
-    Large star: neighbours above a node are tied to its least neighbour; small star: neighbours below it are. Both keep
-    the components, and end with each tied to its least node after few rounds. Each round is written to the shared
-    folder, so a lost executor costs one round at most. Tables of at most ``per_task`` edges need no rounds: one task
-    joins them. Null ends and loops are ignored; an empty table gives an empty one.
+    Batches of edges become trees first. Large star: neighbours above a node are tied to its least neighbour; small star:
+    neighbours below it are. Both keep the components, and end with each tied to its least node after few rounds. Each round
+    is written to the shared folder, so a lost executor costs one round at most. Null ends and loops are ignored; an empty
+    table gives an empty one.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now = staged(pairs, "edges")
+    now = staged(pairs.mapInPandas(_within_task, "u long, v long"), "edges")
     mark = _mark(now)
-    if mark[0] <= per_task:
-        now = staged(now.coalesce(1).mapInPandas(_within_task, "u long, v long"), "edges")
-        mark = (0,)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

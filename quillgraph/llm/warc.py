@@ -3,16 +3,19 @@
 An ARC file is a run of records, each a header line of space-separated fields and as many bytes as the last field
 declares, then a line feed. Version 1 lines have five fields (URL, IP, date, content type, length); version 2 lines
 have ten (result code, checksum, location, offset and file name before the length). The first record (``filedesc:``)
-names the version. Conversion synthesises the identifier (a version-8 UUID that carries the page id), the timestamp
-(14 digits to ISO 8601), the type and the SHA-1 digests of block and payload; equal payloads become ``revisit``.
+names the version and becomes ``warcinfo``. Conversion synthesises the identifier (a version-8 UUID that holds all 64 bits
+of the page id and a part of the payload's digest), the timestamp (14 digits to ISO 8601), the type (``response`` for HTTP
+blocks, else ``resource``) and the SHA-1 digests of block and payload; equal payloads become ``revisit``.
 
 ``write_warc`` writes the records as gzip-compressed WARC files with Spark's text writer (the separator between rows is
-the end mark of a record; strings keep the bytes of the payload as they are), so any store that Spark can write will do;
-``read_warc`` reads them back by their declared lengths. A file holds at most ``per_file`` records.
-
-Edge cases: null html is an empty payload; a null or odd url is escaped into one field; null page ids are carried as an
-absent header; equal page ids give equal rows; records shorter than ``revisit_from`` bytes are always ``response``; bytes
-that end before a declared length raise ``ValueError``; an empty table gives an empty result.
+the end mark of a record; strings keep the bytes of the payload as they are), so any store that Spark can write will do.
+A file holds at most ``per_file`` records and is compressed as a whole. ``read_warc`` reads them back by their declared
+lengths; sizes and digests are worked out again from what was read, and a record that doesn't match what it declares is an
+error. Revisits have no payload: their size is that of the HTTP header which they keep, their digest what they declare.
+
+Edge cases: null html is an empty payload; a null or odd url is escaped into one field; null page ids have a mark of their
+own in the identifier; equal page ids give equal rows; records shorter than ``revisit_from`` bytes are always ``response``;
+bytes that end before a declared length raise ``ValueError``; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import arrow_schema, batch_of, shared_folder, slices, small_batches
 
 CRLF = "\r\n"
 ARC_DATE = "20240101000000"
+ARCHIVES = "name string, version int, archive binary, page_ids array<bigint>, refers_to array<bigint>"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, warc_date string, record_id string"
 
 
@@ -89,18 +94,20 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
 
 
 def record_uuid(page_id: int | None, digest: str) -> str:
-    """Version-8 UUID: 48 + 12 bits of the digest, then the id in the low 62 bits."""
-    high = (int(digest[:12], 16) << 16) | 0x8000 | int(digest[12:15], 16)
-    return f"urn:uuid:{uuid.UUID(int=(high << 64) | (0b10 << 62) | ((page_id or 0) & ((1 << 62) - 1)))}"
+    """Version-8 UUID: 57 bits of the digest, a mark for null, and the 64 bits of the id."""
+    taken, page = int(digest[:15], 16) >> 3, (page_id or 0) & ((1 << 64) - 1)
+    high = (taken >> 9 << 16) | 0x8000 | (taken & 0x1FF) << 3 | (page_id is None) << 2 | page >> 62
+    return f"urn:uuid:{uuid.UUID(int=(high << 64) | (0b10 << 62) | (page & ((1 << 62) - 1)))}"
 
 
-def id_in_uuid(urn: str) -> int:
-    return uuid.UUID(urn.strip("<>")[9:]).int & ((1 << 62) - 1)
+def id_in_uuid(urn: str) -> int | None:
+    whole = uuid.UUID(urn.strip("<>")[9:]).int
+    page = (whole >> 64 & 3) << 62 | whole & ((1 << 62) - 1)
+    return None if whole >> 66 & 1 else page - (page >> 63 << 64)
 
 
-def http_block(page_id: int | None, payload: bytes) -> bytes:
-    head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return CRLF.join(head + ([] if page_id is None else [f"X-Page-Id: {page_id}"]) + ["", ""]).encode() + payload
+def http_block(payload: bytes) -> bytes:
+    return CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""]).encode() + payload
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -108,24 +115,34 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
     return dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split(CRLF)[1:] if ": " in x), payload
 
 
-def to_warc(record: ArcRecord, refers_to: int | None = None) -> bytes:
-    """The WARC record, without the two line ends that close it. With ``refers_to`` it is a revisit without payload."""
-    head, payload = split_http(record.block)
-    page = int(head["X-Page-Id"]) if "X-Page-Id" in head else None
-    digest = hashlib.sha1(payload).hexdigest()
-    d = record.date.ljust(14, "0")
-    block = record.block if refers_to is None else record.block[: len(record.block) - len(payload)]
+def warc_record(kind: str, identifier: str, date: str, content_type: str, block: bytes, **more: str) -> bytes:
+    """One record, without the two line ends that close it."""
+    d = date.ljust(14, "0")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_uuid(page, digest)}>",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {record.url}", f"WARC-IP-Address: {record.ip}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{identifier}>", f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+        *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", f"Content-Type: {content_type}", f"Content-Length: {len(block)}", "", "",
     ]
-    if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_uuid(refers_to, digest)}>"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return CRLF.join(lines).encode() + block
 
 
+def warc_info(name: str, version: int) -> bytes:
+    block = f"software: quillgraph\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC version {version}\r\n".encode()
+    return warc_record("warcinfo", record_uuid(None, hashlib.sha1(name.encode()).hexdigest()), ARC_DATE, "application/warc-fields", block, WARC_Filename=name)
+
+
+def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: int | None = None) -> bytes:
+    """The WARC record of an ARC record. With ``refers_to`` it is a revisit without payload."""
+    http = record.block.startswith(b"HTTP/")
+    payload = split_http(record.block)[1] if http else record.block
+    digest = hashlib.sha1(payload).hexdigest()
+    more = {"WARC_Target_URI": record.url, "WARC_IP_Address": record.ip, "WARC_Payload_Digest": f"sha1:{digest}"}
+    kind, block, content = "response" if http else "resource", record.block, "application/http; msgtype=response" if http else record.content_type
+    if refers_to is not None:
+        kind, block = "revisit", record.block[: len(record.block) - len(payload)]
+        more |= {"WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC_Refers_To": f"<{record_uuid(refers_to, digest)}>"}
+    return warc_record(kind, record_uuid(page_id, digest), record.date, content, block, **more)
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record, by declared lengths."""
     at = 0
@@ -142,58 +159,58 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def arc_archives(pages: DataFrame, per_archive: int = 256) -> DataFrame:
-    """(version, archive): ARC files of the pages, versions by turns. ``refers_to`` of a page rides along in order."""
+    """ARC files of the pages, versions by turns; ids and ``refers_to`` of the pages ride along in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = 0
-        for whole in batches:
-            for i in range(0, len(whole), per_archive):
-                pdf = whole.iloc[i : i + per_archive]
-                version, name, turn = 1 + turn % 2, f"pages-{turn}.arc", turn + 1
-                out = [arc_header(version, name)]
-                for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                    page = None if pd.isna(page) else int(page)
-                    block = http_block(page, (html or "").encode("utf-8", "surrogatepass"))
-                    out.append(arc_record(url or f"urn:page:{page}", ARC_DATE, "text/html", block, version, name=name))
-                yield pd.DataFrame({"archive": [b"".join(out)], "refers_to": [[None if pd.isna(x) else int(x) for x in pdf["refers_to"]]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn, part in enumerate(slices(batches, per_archive)):
+            version, name = 1 + turn % 2, f"pages-{TaskContext.get().partitionId()}-{turn}.arc"
+            out, ids = [arc_header(version, name)], part.column("page_id").to_pylist()
+            for page, url, html in zip(ids, part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                block = http_block((html or "").encode("utf-8", "surrogatepass"))
+                out.append(arc_record(url or f"urn:page:{page}", ARC_DATE, "text/html", block, version, name=name))
+            yield batch_of([(name, version, b"".join(out), ids, part.column("refers_to").to_pylist())], arrow_schema(ARCHIVES))
 
-    return pages.mapInPandas(run, "archive binary, refers_to array<long>")
+    small_batches(pages.sparkSession)
+    return pages.mapInArrow(run, ARCHIVES)
 
 
 def convert(archives: DataFrame) -> DataFrame:
-    """(record binary): WARC records of ARC files; ``refers_to`` says, in order, which record each one revisits."""
+    """(record binary): WARC records of ARC files, a ``warcinfo`` first; ``refers_to`` says, in order, what each one revisits."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data, refers in zip(pdf["archive"], pdf["refers_to"], strict=True):
-                yield pd.DataFrame({"record": [to_warc(r, None if x is None or pd.isna(x) else int(x)) for r, x in zip(parse_arc(data), refers, strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            (r,) = part.to_pylist()
+            records = [to_warc(*x) for x in zip(parse_arc(r["archive"]), r["page_ids"], r["refers_to"], strict=True)]
+            yield batch_of([(x,) for x in [warc_info(r["name"], r["version"]), *records]], arrow_schema("record binary"))
 
-    return archives.mapInPandas(run, "record binary")
+    return archives.mapInArrow(run, "record binary")
 
 
 def write_warc(records: DataFrame, path: str, per_file: int = 1000) -> None:
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
+def row_of(head: dict[str, str], block: bytes) -> tuple:
+    """A row of RECORD, from what the record holds; it must match what the record declares."""
+    declared, revisit = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"] == "revisit"
+    http, payload = split_http(block) if block.startswith(b"HTTP/") else ({}, block)
+    size, digest = (int(http["Content-Length"]), declared) if revisit else (len(payload), hashlib.sha1(payload).hexdigest())
+    if digest != declared or head["WARC-Block-Digest"] != f"sha1:{hashlib.sha1(block).hexdigest()}":
+        raise ValueError(f"digests of {head['WARC-Record-ID']} don't match")
+    refers_to = id_in_uuid(head["WARC-Refers-To"]) if revisit else None
+    return id_in_uuid(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers_to, head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Record-ID"].strip("<>")
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """One row per record of the WARC files under ``path``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["content"]:
-                rows = []
-                for head, block in parse_warc(gzip.decompress(data)):
-                    page = split_http(block)[0].get("X-Page-Id")
-                    revisit = head["WARC-Type"] == "revisit"
-                    rows.append((
-                        None if page is None else int(page), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"],
-                        id_in_uuid(head["WARC-Refers-To"]) if revisit else None, head["WARC-Target-URI"], head["WARC-Date"], head["WARC-Record-ID"].strip("<>"),
-                    ))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    """One row per record, other than ``warcinfo``, of the WARC files under ``path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            for data in part.column("content").to_pylist():
+                yield batch_of([row_of(*x) for x in parse_warc(gzip.decompress(data)) if x[0]["WARC-Type"] != "warcinfo"], arrow_schema(RECORD))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(run, RECORD)
+    return files.mapInArrow(run, RECORD)
 
 
 def archive_pages(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
@@ -204,9 +221,11 @@ def archive_pages(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    again = rows.where((F.col("size") >= revisit_from) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-    joined = rows.join(again, "digest", "left")
-    refers = F.when((F.col("size") >= revisit_from) & (F.col("first_id") != F.coalesce("page_id", F.lit(-1))), F.col("first_id"))
+    long = F.col("size") >= revisit_from
+    again = rows.where(long & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
+    again = rows.where(long).join(again, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    all_pages = again.unionByName(rows.where(~long).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     path = f"{shared_folder(spark)}/quillgraph/warc-{uuid.uuid4().hex}"
-    write_warc(convert(arc_archives(joined.select("page_id", "url", "html", refers.alias("refers_to")))), path)
+    write_warc(convert(arc_archives(all_pages)), path)
     return read_warc(spark, path)

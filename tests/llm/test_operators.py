@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, embed_dedup, language_id, minhash, packing, quality, queries, secret_scan, suffix_dedup, toxicity, warc
@@ -112,8 +113,8 @@ def test_estimates_are_near_the_similarity():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50, 80)] + [(1, 9), (9, 5), (None, 3), (4, 4)]
-    for per_task in (100, 5):
-        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), per_task).collect()}
+    for parts in (1, 5):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(parts)).collect()}
         assert got == {i: 50 for i in range(50, 81)} | {1: 1, 5: 1, 9: 1}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
@@ -292,12 +293,12 @@ def test_ranking_is_followed_beyond_its_head():
 
 
 def test_arc_versions_and_lengths():
-    block = warc.http_block(5, b"<p>\n\n1 2 3 filedesc</p>")
+    block = warc.http_block(b"<p>\n\n1 2 3 filedesc</p>")
     for version in (1, 2):
         data = warc.arc_header(version, "x.arc") + warc.arc_record("http://a b/", "20200102030405", "text/html", block, version) * 2
         got = list(warc.parse_arc(data))
         assert [r.block for r in got] == [block, block] and got[0].url == "http://a%20b/" and got[0].status == (200 if version == 2 else None)
-        (head, body) = next(warc.parse_warc(warc.to_warc(got[0]) + b"\r\n\r\n"))
+        (head, body) = next(warc.parse_warc(warc.to_warc(got[0], 5) + b"\r\n\r\n"))
         assert body == block and head["WARC-Date"] == "2020-01-02T03:04:05Z" and warc.id_in_uuid(head["WARC-Record-ID"]) == 5
         assert head["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(warc.split_http(block)[1]).hexdigest()
         with pytest.raises(ValueError):
@@ -472,3 +473,88 @@ def test_rests_of_runs_and_the_middle_of_long_runs_are_read():
     first, second = secret_scan.candidates(text, spans)
     assert key in text[slice(*first)] and first[0] == spans[0][2]
     assert any(key.encode() in x.tobytes() for x in secret_scan.windows(text, *second))
+
+
+# --- ids and odd rows that all operators must carry ------------------------------------------------------------------
+
+LARGE = [2**53 + 1, None, -9, 2**62 + 3, -(2**63), 2**63 - 2]
+
+
+def large_ids(spark):
+    texts = [f"The quick number {i} walks, and then it rests. password = hunter2{i}{i} " * (1 + i % 3) for i in range(len(LARGE))]
+    rows = [(i, t, "en", 5, 2**53 + 1 if i else None) for i, t in zip(LARGE, texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, `_group` int, n_chars long").coalesce(1)
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    docs = large_ids(spark)
+    labels = docs.selectExpr("doc_id", "0 as quality", "1 as toxic").limit(0)
+    net, model = secret_scan.CharNet(), toxicity.train(docs, labels)
+    made = [
+        language_id.identify(docs, language_id.train(docs)), minhash.near_duplicates(docs, minhash.Setting(shingle=3, percent=85, rows=6)), quality.quality(docs), suffix_dedup.figures(docs),
+        packing.pack(docs), toxicity.toxicity(docs, model), bpe.round_trip(docs), secret_scan.scan(docs, net),
+    ]
+    for out in made:
+        assert sorted({r.doc_id for r in out.select("doc_id").collect()}, key=str) == sorted(LARGE, key=str)
+    for out in (toxicity.harmless(docs, model), suffix_dedup.deduplicated(docs, 50), secret_scan.redacted(docs, net)):
+        assert out.schema == docs.schema
+        assert rows(out.select("doc_id", "_group", "n_chars")) == rows(docs.select("doc_id", "_group", "n_chars"))
+
+
+def test_pages_with_large_negative_and_repeated_ids(spark):
+    same = "y" * 1500
+    ids = [*LARGE[:1], -9, -5, 2**62 + 3, 3, 3, None]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", same, "x") for i in ids], "page_id long, url string, html string, digest string").coalesce(1)
+    got = warc.archive_pages(pages).collect()
+    assert sorted((str(r.page_id), r.refers_to) for r in got) == sorted((str(i), None if i == 2**62 + 3 else 2**62 + 3) for i in ids)
+    for i in LARGE:
+        assert warc.id_in_uuid(warc.record_uuid(i, "ab" * 20)) == i
+
+
+def test_changed_archives_are_noticed():
+    record = warc.to_warc(warc.ArcRecord("http://a/", "0.0.0.0", "2020", "text/html", 200, warc.http_block(b"abc")), 1)
+    (good,), (bad,) = list(warc.parse_warc(record + b"\r\n\r\n")), list(warc.parse_warc(record.replace(b"abc", b"abd") + b"\r\n\r\n"))
+    assert warc.row_of(*good)[:4] == (1, 3, hashlib.sha1(b"abc").hexdigest(), "response")
+    with pytest.raises(ValueError):
+        warc.row_of(*bad)
+    plain = warc.to_warc(warc.ArcRecord("dns:a", "0.0.0.0", "2020", "text/dns", None, b"1.2.3.4"), 1)
+    assert next(warc.parse_warc(plain + b"\r\n\r\n"))[0]["WARC-Type"] == "resource"
+
+
+def test_unbroken_words_of_any_length(spark):
+    long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(500_000))
+    texts = [(1, long), (2, "a" * 200_000), (3, "z" * 64 + " " + "y" * 65)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ranks = bpe.load_ranks(bpe.default_ranks())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(df).collect()} == {i: enc.encode_ordinary(t) for i, t in texts}
+    assert {r.doc_id: r.n for r in packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(packing.encoder(packing.default_tokenizer())(t)) + 1 for i, t in texts}
+
+
+def test_numerals_are_no_letters(spark):
+    model = language_id.LanguageModel(["en"], np.ones((1, 1)), np.zeros((language_id.DIM, 1), np.float32), np.ones(1))
+    got = language_id.identify(spark.createDataFrame([(1, "½ ² Ⅷ 123"), (2, "½ a")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "und", 2: "en"}
+
+
+def test_language_of_held_out_rows_is_never_read(docs):
+    """The same predictions whatever the held-out rows say about their language; and each is that of the model by hand."""
+    other = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")))
+    model = language_id.train(docs)
+    assert rows(language_id.identify(other, language_id.train(other))) == rows(language_id.identify(docs, model))
+    want = {i: (v, s) for i, t in TEXT(docs) for v, s, _, _ in [model.predict(t)]}
+    for r in language_id.identify(docs, model).collect():
+        lang, score = want[r.doc_id]
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+        if lang != "und":  # decoding by hand: the codeword of least summed logistic loss
+            f = language_id.vector(language_id.ngram_counts(dict(TEXT(docs))[r.doc_id])) @ model.weights + model.bias
+            assert lang == model.languages[min(range(len(model.codes)), key=lambda k: sum(np.log1p(np.exp(-c * x)) for c, x in zip(model.codes[k], f)))]
+
+
+def test_severity_by_hand(docs, spark):
+    model = toxicity.SeverityModel({b"bad": 2.0, b"awfu-": 1.5}, (1.0, 2.5))
+    df = spark.createDataFrame([(1, "bad"), (2, "BAD awfully"), (3, "fine"), (4, None)], "doc_id long, text string")
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for r in toxicity.toxicity(df, model).collect():
+        z = {1: 2.0, 2: 3.5}.get(r.doc_id, 0.0)
+        assert abs(r.severity - (sig(z - 1.0) + sig(z - 2.5))) < 1e-9 and r.toxic == (z > 1.0) and r.grade == (z > 1.0) + (z > 2.5)
