@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import constants as C
+from . import fold, graph, retrieve
 
 
 def weight_rows(spark: SparkSession, agent: str) -> DataFrame:
@@ -92,30 +93,45 @@ class Context:
     budget: int
 
 
-def collapsed(items: DataFrame, chain_rows: DataFrame) -> DataFrame:
-    """Heads of chains with the texts of their present predecessors as ``history`` (oldest first); absorbed items go."""
-    present = items.select("id", F.col("text").alias("old_text"))
-    steps = chain_rows.join(items.select(F.col("id").alias("head")), "head", "left_semi").select("head", F.posexplode("chain").alias("at", "id")).where("at > 0").join(present, "id")
-    ended = steps.groupBy("head").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("o"), F.col("old_text"), F.col("id").alias("old_id")))).alias("olds"))
+def collapsed(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """Heads of the chains among the items, with the texts of what they replaced as ``history`` (oldest first); the rest of a
+    chain goes. Edges of items that aren't there don't count."""
+    steps = graph.chains(edges, items).select("head", F.posexplode("chain").alias("at", "id")).where("at > 0").join(items.select("id", F.col("text").alias("old_text")), "id")
+    ended = steps.groupBy("head").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("o"), F.coalesce("old_text", F.col("id")).alias("old_text"), F.col("id").alias("old_id")))).alias("olds"))
     out = items.join(ended.select(F.col("head").alias("id"), "olds"), "id", "left").join(steps.select("id").distinct(), "id", "left_anti")
     return out.withColumn("history", F.transform("olds", lambda x: x["old_text"])).withColumn("absorbed", F.transform("olds", lambda x: x["old_id"])).drop("olds")
 
 
-def compiled(items: DataFrame, chain_rows: DataFrame | None, profile: str = "default", agent: str | None = None) -> Context:
-    """The context text of a profile: a greedy fill of the best blocks, rendered best first."""
-    budget = C.TIERS[profile]
+def blocks_of(items: DataFrame, edges: DataFrame | None, profile: str = "default", agent: str | None = None) -> DataFrame:
+    """The items that compete for a profile's budget, with ``block``, ``cost`` and ``absorbed``."""
     rows = weighted(items, agent)
-    rows = collapsed(rows, chain_rows) if chain_rows is not None else rows.withColumn("history", F.lit(None).cast("array<string>")).withColumn("absorbed", F.lit(None).cast("array<string>"))
+    none = F.lit(None).cast("array<string>")
+    rows = collapsed(rows, edges) if edges is not None else rows.withColumn("history", none).withColumn("absorbed", none)
     if profile != "tiny":
         rows = rows.where(F.col("score") >= C.SCORE_FLOOR)
-    rows = rows.withColumn("block", block()).withColumn("cost", X.token_cost(F.col("block")))
+    return rows.withColumn("block", block()).withColumn("cost", X.token_cost(F.col("block")))
+
+
+def compiled(items: DataFrame, edges: DataFrame | None, profile: str = "default", agent: str | None = None) -> Context:
+    """The context text of a profile: a greedy fill of the best blocks, rendered best first. Unknown profiles are the default."""
+    budget = C.TIERS.get(profile, C.TIERS["default"])
+    rows = blocks_of(items, edges, profile, agent)
     filled = fill(rows, budget).first()
     if not filled or not filled["ids"]:
         return Context("", [], 0, 0, budget)
-    chosen = {r["id"]: r for r in rows.where(F.col("id").isin(list(filled["ids"]))).select("id", "block", "absorbed").collect()}
-    blocks = [chosen[i]["block"][: budget * 4] if len(filled["ids"]) == 1 else chosen[i]["block"] for i in filled["ids"]]
-    included = list(dict.fromkeys(x for i in filled["ids"] for x in [*(chosen[i]["absorbed"] or []), i]))
-    return Context("\n".join(blocks), included, filled["dropped"], filled["used"], budget)
+    shown = F.when(F.col("cost") > budget, X.truncated(F.col("block"), max(20, 4 * budget))).otherwise(F.col("block")).alias("block")
+    chosen = {r["id"]: r for r in rows.where(F.col("id").isin(list(filled["ids"]))).select("id", shown, "absorbed").collect()}
+    included = list(dict.fromkeys(x for i in filled["ids"] for x in [i, *(chosen[i]["absorbed"] or [])]))
+    return Context("\n\n".join(chosen[i]["block"] for i in filled["ids"]), included, filled["dropped"], filled["used"], budget)
+
+
+def compile_tier(nodes: DataFrame, edges: DataFrame, profile: str, query: str, now: Column, agent: str | None = None) -> Context:
+    """``compiled`` from its own source: the working memory for the tiny profile, else what the retriever finds."""
+    if profile == "tiny":
+        items = fold.working_memory(nodes).withColumn("score", F.coalesce("confidence", F.lit(0.6)) * F.coalesce("importance", F.lit(1.0)))
+    else:
+        items = nodes.join(retrieve.retrieve(nodes, edges, query, now).select("id", "score"), "id")
+    return compiled(items, edges, profile, agent)
 
 
 def access_events(context: Context, spark: SparkSession, at) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import constants as C
+from .staging import staged
 
 
 def current(edges: DataFrame, now: Column, history: bool = False) -> DataFrame:
@@ -25,7 +26,7 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = C.HOPS, decay: floa
     At depth d a neighbour gets value * weight * decay^(d+1); a value replaces another only if it is larger. Ids without a
     node are walked through. The seeds are a top-k, so the frontier side of every join is small; the hops are unrolled.
     """
-    adjacency = both_ways(edges).withColumnRenamed("relation", "by").persist()  # read once a hop; lost blocks are made again
+    adjacency = staged(both_ways(edges).withColumnRenamed("relation", "by"), "adjacency") if hops > 1 else both_ways(edges).withColumnRenamed("relation", "by")
     best = seeds.select("id", "value", F.array("id").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth"))
     frontier = best
     for depth in range(hops):
@@ -33,28 +34,34 @@ def traverse(seeds: DataFrame, edges: DataFrame, hops: int = C.HOPS, decay: floa
             F.col("b").alias("id"), (F.col("value") * F.col("weight") * (decay ** (depth + 1))).alias("value"), F.concat("path", F.array("b")).alias("path"), F.col("by").alias("relation"), F.lit(depth + 1).alias("depth")
         )
         found = step.groupBy("id").agg(F.max_by(F.struct("value", "path", "relation", "depth"), F.struct("value", -F.size("path"), F.hash("path"))).alias("s")).select("id", "s.*")
-        frontier = found.alias("f").join(best.alias("b"), "id", "left").where(F.col("b.value").isNull() | (F.col("f.value") > F.col("b.value"))).select("id", "f.value", "f.path", "f.relation", "f.depth").persist()
+        frontier = found.alias("f").join(best.alias("b"), "id", "left").where(F.col("b.value").isNull() | (F.col("f.value") > F.col("b.value"))).select("id", "f.value", "f.path", "f.relation", "f.depth")
+        frontier = staged(frontier, "frontier")
         best = best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier)
     return best
 
 
-def chains(edges: DataFrame, limit: int = 50) -> DataFrame:
+def chains(edges: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """(head, chain): ids from the newest to the oldest along SUPERSEDES and CONTRADICTS edges; the last edge of an end wins.
 
-    The walk is unrolled by doubling: after k rounds a chain covers 2^k steps, and it stops at ``limit`` or a repeat.
+    With ``present`` (id) only these ids count: one is a head if what replaced it is absent, and a walk stops at an absent
+    one. Pointers are doubled (after k rounds a chain covers 2^k steps), round by round in the shared folder, until no chain
+    grows; circles have no head and give nothing.
     """
     own = edges.where(F.col("relation").isin("SUPERSEDES", "CONTRADICTS"))
     down = own.groupBy(F.col("from").alias("id")).agg(F.max_by("to", "pos").alias("next"))
     up = own.groupBy(F.col("to").alias("id")).agg(F.max_by("from", "pos").alias("by"))
-    walk = down.select("id", F.col("next").alias("end"), F.array("id", "next").alias("chain"))
-    steps = 1
-    while steps < limit:
+    if present is not None:
+        here = present.select("id").distinct()
+        down = down.join(here, "id", "left_semi").join(here.withColumnRenamed("id", "next"), "next", "left_semi")
+        up = up.join(here.withColumnRenamed("id", "by"), "by", "left_semi")
+    walk = staged(down.select("id", F.col("next").alias("end"), F.array("id", "next").alias("chain"), F.lit(True).alias("grew")), "chains")
+    while not walk.where("grew").isEmpty():
         ahead = walk.select(F.col("id").alias("end"), F.col("end").alias("end2"), F.col("chain").alias("chain2"))
-        fresh = F.col("chain2").isNotNull() & ~F.arrays_overlap("chain", F.slice("chain2", 2, limit))
-        walk = walk.join(ahead, "end", "left").select(
-            "id", F.when(fresh, F.col("end2")).otherwise(F.col("end")).alias("end"), F.when(fresh, F.slice(F.concat("chain", F.slice("chain2", 2, limit)), 1, limit + 1)).otherwise(F.col("chain")).alias("chain")
-        )
-        walk, steps = walk.persist(), steps * 2
+        rest = F.slice("chain2", 2, 1 << 30)
+        fresh = F.col("chain2").isNotNull() & ~F.arrays_overlap("chain", rest)
+        walk = staged(walk.join(ahead, "end", "left").select(
+            "id", F.when(fresh, F.col("end2")).otherwise(F.col("end")).alias("end"), F.when(fresh, F.concat("chain", rest)).otherwise(F.col("chain")).alias("chain"), fresh.alias("grew")
+        ), "chains")
     return walk.join(up, "id", "left_anti").select(F.col("id").alias("head"), "chain")
 
 

@@ -67,16 +67,18 @@ def directory_tokens(path: Column) -> Column:
     return F.array_distinct(X.tokens(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), " ")))
 
 
-def directory_boost(files: DataFrame, query: str, path: str = "text") -> DataFrame:
+def directory_boost(files: DataFrame, query: str, path: str = "text", only: Column | None = None) -> DataFrame:
     """The rows with ``boost``: 1 + 3 * share of the query's directory tokens that the file's directories have.
 
-    A token counts if it is in few enough directories (all do in a corpus of under four files).
+    A token counts if it is in few enough directories (all do in a corpus of under four files). Rows that aren't ``only``
+    have no directories and don't count as files.
     """
+    only = F.lit(True) if only is None else only
     q = query_tokens(query)
-    rows = files.withColumn("dirs", directory_tokens(F.col(path)))
+    rows = files.withColumn("dirs", F.when(only, directory_tokens(F.col(path))).otherwise(F.array().cast("array<string>")))
     if not q:
         return rows.withColumn("boost", F.lit(1.0)).drop("dirs")
-    stats = rows.agg(F.count("*").alias("n"), F.array(*[F.sum(F.array_contains("dirs", t).cast("long")) for t in q]).alias("df"))
+    stats = rows.agg(F.count(F.when(only, 1)).alias("n"), F.array(*[F.sum(F.array_contains("dirs", t).cast("long")) for t in q]).alias("df"))
     found = stats.first()
     n, df = F.lit(found["n"]), [F.lit(x or 0) for x in found["df"]]
     ok = [(df[i] > 0) & ((n < C.DIRECTORY_MIN_FILES) | (df[i] / n <= C.COMMON_SHARE)) for i in range(len(q))]

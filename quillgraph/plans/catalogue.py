@@ -7,7 +7,6 @@ customer's orders are a supersession chain, embeddings are the vector cache, con
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import context, fold, graph, rank, stats, timeline
+from ..operators.staging import shared_folder
 from ..streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -430,10 +430,13 @@ def unified_diff_lines(spark, sf_dir):
     return c.select("conv_id", "turn", X.whole_diff(F.col("old"), F.col("text"), F.lit("x")).alias("diff"))
 
 
-@registered()
+@registered("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
 def stream_sessions(spark, sf_dir):
     """Closed sessions, by Structured Streaming over the events; results are kept in the session's shared folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='quillgraph-')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/quillgraph/stream-{uuid.uuid4().hex}"
     source = f"{root}/source"
     events = _t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(source)

@@ -125,10 +125,9 @@ def test_fill_skips_what_does_not_fit(spark):
 
 def test_compiled_context(spark):
     rows = items(spark, ("a", "Decision", "2026-01-01 — old way", "superseded", None, 0.3), ("b", "Decision", "new way", "active", None, 0.9), ("t", "Task", "do it", "open", None, 0.5), ("z", "Goal", "tiny", "open", None, 0.001))
-    chain = graph.chains(edges_of(spark, ("b", "a", "SUPERSEDES", 1.0)))
-    got = context.compiled(rows, chain, "small")
-    assert got.text == "Decision (current): new way\nHistory: old way → (current)\nTask [open]: do it"
-    assert got.included == ["a", "b", "t"] and got.used <= 800
+    got = context.compiled(rows, edges_of(spark, ("b", "a", "SUPERSEDES", 1.0)), "small")
+    assert got.text == "Decision (current): new way\nHistory: old way → (current)\n\nTask [open]: do it"
+    assert got.included == ["b", "a", "t"] and got.used <= 800
     assert context.access_events(got, spark, T0).count() == 3
     assert context.weighted(rows, "nobody").collect() == rows.collect()
 
@@ -174,3 +173,44 @@ def test_fill_goes_on_behind_the_first_items(spark):
     d = spark.createDataFrame([(i, 7, float(100 - i)) for i in range(30)] + [(90, 3, 0.5), (91, 3, 0.4)], "id long, cost long, score double")
     row = context.fill(d, 10, keep=5).first()
     assert (row["ids"], row["used"], row["dropped"]) == ([0, 90], 10, 30)
+
+
+def test_only_present_items_make_chains(spark):
+    edges = edges_of(spark, ("c", "b", "SUPERSEDES", 1.0), ("b", "a", "SUPERSEDES", 1.0))
+    three = [(i, "Decision", t, "active", None, 0.5) for i, t in (("a", "old"), ("b", "mid"), ("c", "new"))]
+    assert {r.id: r.history for r in context.collapsed(items(spark, *three[:2]), edges).collect()} == {"b": ["old"]}
+    assert {r.id: r.history for r in context.collapsed(items(spark, three[0], three[2]), edges).collect()} == {"a": None, "c": None}
+    assert {r.id: r.history for r in context.collapsed(items(spark, *three), edges).collect()} == {"c": ["old", "mid"]}
+
+
+def test_long_chains_are_whole(spark):
+    rows = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "SUPERSEDES", i) for i in range(130)], "`from` string, `to` string, relation string, pos int")
+    (r,) = graph.chains(rows).collect()
+    assert (r.head, len(r.chain), r.chain[-1]) == ("n0", 131, "n130")
+
+
+def test_one_long_block_is_cut(spark):
+    rows = items(spark, ("a", "Goal", "w" * 5000, "open", None, 0.9), ("b", "Goal", "x", "open", None, 0.8))
+    got = context.compiled(rows.withColumn("text", F.col("text")), None, "tiny")
+    assert len(got.text) <= 800 and got.included[0] == "a"
+
+
+def memory(spark, *rows):
+    kind = "id string, type string, text string, kind string, author string, status string, confidence double, importance double, decay_rate double, last_verified timestamp"
+    return spark.createDataFrame([(r[0], r[1], r[2], None, r[3], "active", 0.8, 1.0, 0.01, None) for r in rows], kind)
+
+
+def test_retriever(spark):
+    from quillgraph.operators import retrieve
+
+    nodes = memory(spark, ("a", "Decision", "use postgres for storage", "Codex"), ("b", "Goal", "fast storage", None), ("c", "File", "src/storage/db.js", "Cursor"), ("d", "Goal", "unrelated thing", "Codex"))
+    edges = edges_of(spark, ("a", "d", "SERVES", 1.0), ("d", "ghost", "SERVES", 1.0)).withColumn("valid_to", F.lit(None).cast("timestamp"))
+    now = F.lit("2026-01-01").cast("timestamp")
+    got = {r.id: r for r in retrieve.retrieve(nodes, edges, "postgres storage", now).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and got["a"].seed and got["a"].depth == 0
+    assert (got["d"].seed, got["d"].depth, got["d"].path, got["d"].relation) == (False, 1, ["a", "d"], "SERVES")
+    assert [r.id for r in retrieve.retrieve(nodes, edges, "postgres storage", now).collect()][0] == "a"
+    assert {r.id for r in retrieve.retrieve(nodes, edges, "", now, agent="Codex").collect()} == {"a", "b", "d"}
+    assert all(r.components.relevance == 1.0 for r in retrieve.retrieve(nodes, edges.limit(0), "", now).collect())
+    assert retrieve.retrieve(nodes.limit(0), edges, "postgres", now).count() == 0
+    assert {r.id for r in retrieve.retrieve(nodes, edges, "zzz", now).collect()} == set()
