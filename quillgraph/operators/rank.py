@@ -30,15 +30,20 @@ def idf(df: Column, n: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column that is worked out once a row: as the one element of a generator it isn't copied into each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """The rows with ``tokens`` and ``bm25`` (0 where nothing matches; query tokens that repeat count again)."""
     q = query_tokens(query)
     terms = list(dict.fromkeys(q))
-    docs = docs.withColumn("tokens", X.tokens(F.col(text)))
+    docs = once(docs, "tokens", X.tokens(F.col(text)))
     if not terms:
         return docs.withColumn("bm25", F.lit(0.0))
-    tf = lambda t: F.size(F.filter("tokens", lambda x: x == t))
-    docs = docs.withColumn("tf", F.array(*[tf(t) for t in terms])).withColumn("len", F.size("tokens"))
+    tf = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
+    docs = once(docs.withColumn("len", F.size("tokens")), "tf", F.array(*[tf(t) for t in terms]))
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("df"))
     found = stats.first()
     df, n, mean = [F.lit(x or 0) for x in found["df"]], F.lit(found["n"]), F.lit(float(found["mean_len"] or 1))
@@ -54,7 +59,7 @@ def lexical(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """``bm25`` by its maximum, times coverage: ``relevance``. An empty query makes everything 1."""
     q = query_tokens(query)
     if not q:
-        return docs.withColumn("tokens", X.tokens(F.col(text))).withColumn("bm25", F.lit(0.0)).withColumn("relevance", F.lit(1.0))
+        return once(docs, "tokens", X.tokens(F.col(text))).withColumn("bm25", F.lit(0.0)).withColumn("relevance", F.lit(1.0))
     scored = bm25(docs, query, text)
     top = F.lit(max(scored.agg(F.max("bm25")).first()[0] or 0.0, 1e-9))
     cover = X.coverage(F.array(*map(F.lit, q)), F.col("tokens"))

@@ -47,12 +47,12 @@ def retrieve(
     """
     nodes = seen_by(nodes, agent)
     trust = rank.reputation(nodes.where("type = 'Decision' and author <> ''"))
-    facts = relevance(nodes, query, query_vector, vectors).join(trust, "author", "left").withColumn("decay_rate", F.coalesce("decay_rate", F.lit(C.DECAY_OTHER)))
-    first = rank.components(facts, now)
+    facts = nodes.join(trust, "author", "left").withColumn("decay_rate", F.coalesce("decay_rate", F.lit(C.DECAY_OTHER)))
+    first = rank.components(relevance(facts, query, query_vector, vectors), now)
     c = F.col("components")
     whole = c["relevance"] * c["confidence"] * c["importance"] * c["freshness"] * c["reputation"]
     seeds = first.where("relevance > 0").select("id", F.col("relevance").alias("value"), whole.alias("whole")).orderBy(F.col("whole").desc(), "id").limit(top_k).select("id", "value")
     best = graph.traverse(seeds, graph.current(edges, now, history), hops, decay)
-    reached = facts.drop("relevance").join(best.withColumnRenamed("value", "relevance"), "id")
+    reached = facts.join(best.withColumnRenamed("value", "relevance"), "id")
     ranked = rank.components(reached, now).select("id", "score", (F.col("depth") == 0).alias("seed"), "depth", "path", "relation", "components")
     return ranked.orderBy(F.col("score").desc(), "id")
