@@ -73,7 +73,46 @@ _COMPONENTS = """
         comp AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
 """
 
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NOT_SPACE = _SPACE.replace("[", "[^", 1)
+
 ORACLES = {
+    "op3_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+        win AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 3),
+        keyed AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM win),
+        rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM keyed WHERE c > 1) GROUP BY r),
+        l AS (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d),
+        ll AS (SELECT r, x, len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda y: y <> '')) AS words, len(regexp_extract_all(x, '{_NOT_SPACE}+')) AS n FROM l WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+        v AS (SELECT r, x, words, CASE
+            WHEN length(regexp_replace(x, '[^|»›·•<>{{}}]', '', 'g')) > 0.25 * n THEN 'navigation'
+            WHEN regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}') THEN 'boilerplate'
+            WHEN len(regexp_extract_all(x, '[#*$%&~^_=+\\\\]+')) > 0.3 * n THEN 'punctuation'
+            WHEN NOT regexp_matches(x, '[.!?…:;。！？"''”’»)\\]]{_SPACE}*$') AND (n <= 4 OR length(regexp_replace(x, '[^.,]', '', 'g')) < 0.02 * n) THEN 'punctuation'
+            ELSE 'keep' END AS verdict FROM ll),
+        s AS (SELECT r, count(*) - count(DISTINCT x) AS dup, coalesce(sum(words) FILTER (verdict = 'keep'), 0) AS kept_words, count(*) FILTER (verdict = 'keep') AS kept_lines,
+            count(*) FILTER (verdict = 'navigation') AS navigation_lines, count(*) FILTER (verdict = 'boilerplate') AS boilerplate_lines, count(*) FILTER (verdict = 'punctuation') AS punctuation_lines FROM v GROUP BY r),
+        f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+            coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_words, 0)::BIGINT AS kept_words, coalesce(kept_lines, 0) AS kept_lines,
+            coalesce(navigation_lines, 0) AS navigation_lines, coalesce(boilerplate_lines, 0) AS boilerplate_lines, coalesce(punctuation_lines, 0) AS punctuation_lines
+            FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN s USING (r))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - kept_words <= 0.5 * n_words AS kept FROM f
+    """,
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, k, substr(h, 1000 * k + 1, 1098) AS p FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 + 499) // 500)) AS k FROM d)),
+        g AS (SELECT doc_id, 500 * k + j AS i, substr(p, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(500, len(p) // 2 - 49))) AS j FROM b)),
+        low AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+        hit AS (SELECT g.doc_id, g.i FROM g JOIN low USING (s) WHERE g.doc_id > low.first),
+        gap AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS b FROM hit),
+        run AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM gap),
+        span AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, k),
+        part AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM span),
+        cut AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+    """,
     "op2_minhash_near_dedup": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
