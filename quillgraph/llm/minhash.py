@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,35 +184,104 @@ def confirmed(pairs: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame
     return sides.select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long").distinct()
 
 
-def mixed_links(members: DataFrame, setting: Setting) -> DataFrame:
-    """Links between different components within buckets: members are (key, id, keys, bits, text, component, n).
+def _first_shared(i: int, at: np.ndarray, keys: np.ndarray, key: int) -> np.ndarray:
+    """Those of ``at`` whose first common bucket with row i is ``key``."""
+    return at[keys[i][(keys[at] == keys[i]).argmax(1)] == key]
 
-    All pairs of a bucket that stand in different components are tried: sizes, then estimates, then the full sets. A pair
-    is tried in the first bucket that it shares, and not once its components have met, so what comes back is a forest.
-    A bucket of more than BLOCK members is cut into blocks by hash, and each pair of blocks is a group of its own.
-    """
+
+def _partners(i: int, others: np.ndarray, size: np.ndarray, keys: np.ndarray, bits: np.ndarray, key: int, setting: Setting) -> np.ndarray:
+    """Those of ``others`` that sizes, estimates and the first common bucket leave as candidates of row i."""
+    at = others[100 * np.minimum(size[others], size[i]) >= setting.percent * np.maximum(size[others], size[i])]
+    if len(at):
+        at = at[estimates(bits[i], bits[at], setting) >= setting.floor]
+    return _first_shared(i, at, keys, key) if len(at) else at
+
+
+def dealt_in_blocks(members: DataFrame) -> DataFrame:
+    """A bucket of more than BLOCK members is cut into blocks by hash, and each pair (low, high) of blocks is a group."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "id", "keys", "bits", "text", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "size", "keys", "bits")
+
+
+def in_question(dealt: DataFrame, setting: Setting) -> DataFrame:
+    """The rows of ``dealt`` that have a candidate of another component in their group; signatures alone are read.
+
+    Groups arrive sorted, so a task holds one group (two blocks at most) beside a batch.
+    """
+    cut = ["key", "low", "high"]
+
+    def asked(group: pa.Table, keys: np.ndarray, bits: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        own, comp, size = (group.column(c).to_numpy()[lo:hi] for c in ("own", "component", "size"))
+        key, low, high = (group.column(c)[lo].as_py() for c in cut)
+        keys, bits = keys[lo:hi], bits[lo:hi]
+        found = np.zeros(hi - lo, bool)
+        for i in range(hi - lo):
+            if low != high and own[i] != low:
+                continue
+            apart = comp != comp[i]
+            if low == high:
+                apart[: i + 1] = False
+            else:
+                apart &= own != low
+            at = _partners(i, np.flatnonzero(apart), size, keys, bits, key, setting)
+            found[at] = True
+            found[i] |= len(at) > 0
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def groups(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+            """The asked rows of the groups that have ended, and the rows of the open one."""
+            ids = [rows.column(c).to_numpy() for c in cut]
+            starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in ids], axis=0)]))
+            ends = np.append(starts[1:], rows.num_rows)
+            if not last:
+                starts, ends = starts[:-1], ends[:-1]
+            done = int(ends[-1]) if len(ends) else 0
+            part = rows.slice(0, done)
+            keep = np.zeros(done, bool)
+            if done:
+                keys, bits = (part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(done, -1) for c in ("keys", "bits"))
+                for lo, hi in zip(starts, ends, strict=True):
+                    if hi - lo > 1:
+                        keep[lo:hi] = asked(part, keys, bits.view(np.uint64), lo, hi)
+            return part.filter(pa.array(keep)), rows.slice(done)
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                found, held = groups(rows if held is None else pa.concat_tables([held, rows]).combine_chunks(), False)
+                yield from found.combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from groups(held, True)[0].combine_chunks().to_batches()
+
+    return dealt.repartition(*cut).sortWithinPartitions(*cut).mapInArrow(run, dealt.schema)
+
+
+def mixed_links(members: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
+    """Links between different components within buckets: members are (key, id, size, keys, bits, component, n).
+
+    All pairs of a bucket that stand in different components are tried: sizes, then estimates, then the full sets. A pair
+    is tried in the first bucket that it shares, and not once its components have met, so what comes back is a forest.
+    Texts are fetched only for the members that signatures leave in question.
+    """
+    asked = staged(in_question(dealt_in_blocks(members), setting), "asked")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
         signer, key, n = Signer(setting), pdf["key"].iloc[0], len(pdf)
-        ids, comp, own = (pdf[c].to_numpy() for c in ("id", "component", "own"))
+        ids, comp, own, size = (pdf[c].to_numpy() for c in ("id", "component", "own", "size"))
         keys, bits = (np.stack(pdf[c].to_list()).astype(np.int64) for c in ("keys", "bits"))
         bits = bits.view(np.uint64)
         sets = [signer.hashes(word_list(t)) for t in pdf["text"]]
-        size = np.array([len(x) for x in sets])
         same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
         comp, u, v = comp.copy(), [], []
         for i in range(n):
             if not same and own[i] != pdf["low"].iloc[0]:
                 continue
-            at = np.flatnonzero((comp != comp[i]) & (ids > ids[i] if same else own != own[i]))
-            at = at[100 * np.minimum(size[at], size[i]) >= setting.percent * np.maximum(size[at], size[i])]
-            at = at[estimates(bits[i], bits[at], setting) >= setting.floor]
-            at = at[keys[i][(keys[at] == keys[i]).argmax(1)] == key]
+            at = _partners(i, np.flatnonzero((comp != comp[i]) & (ids > ids[i] if same else own != own[i])), size, keys, bits, key, setting)
             if not len(at):
                 continue
             flat = np.concatenate([sets[j] for j in at])
@@ -225,7 +295,7 @@ def mixed_links(members: DataFrame, setting: Setting) -> DataFrame:
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return dealt.groupBy("key", "low", "high").applyInPandas(run, "u long, v long").distinct()
+    return asked.join(texts, "id").groupBy("key", "low", "high").applyInPandas(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -233,7 +303,7 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     docs = documents_of(docs, "doc_id", "text")
     signs = staged(signed(docs, setting), "signatures")
     classes = staged(
-        signs.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "keys", "bits"), "doc_id").alias("s")).select("set_hash", F.col("s.doc_id").alias("id"), "s.keys", "s.bits"),
+        signs.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n_shingles", "keys", "bits"), "doc_id").alias("s")).select("set_hash", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("size"), "s.keys", "s.bits"),
         "classes",
     )
     banded = classes.select("id", F.explode("keys").alias("key"))
@@ -249,8 +319,8 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
     members = bucketed.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    full = members.join(mixed, "key", "left_semi").join(classes.select("id", "keys", "bits"), "id").join(texts, "id")
-    more = staged(confirmed(staged(mixed_links(full, setting), "pairs"), texts, setting), "links")
+    full = members.join(mixed, "key", "left_semi").join(classes.select("id", "size", "keys", "bits"), "id")
+    more = staged(confirmed(staged(mixed_links(full, texts, setting), "pairs"), texts, setting), "links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
 
