@@ -87,18 +87,27 @@ def contradictions(decisions: DataFrame, pairs=C.ANTONYMS, id_: str = "id", text
     """(old_id, new_id): contradicting decisions (id, text, branch, pos); unknown branches are compared with all.
 
     Candidates share a subject token that is not in most subjects, and stand on different sides of the same antonym
-    pair, so a common token doesn't pair off its whole group.
+    pair. Of two subjects that overlap enough, the smaller one has a shared token among its rarest few: a subject of s
+    tokens needs at least ``OVERLAP_FLOOR * s`` shared ones, so all but that many (less one) hold one of them, and in the
+    order of frequency it is the rarest shared token. Only these are looked up, so common tokens rarely pair anything off.
     """
     n = decisions.count()
     rows = decisions.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.col(branch).alias("branch"), "pos").withColumn("subject", X.subject_tokens(F.col("text")))
     low = F.lower("text")
     sides = F.array_compact(F.array(*[F.when(low.contains(w), F.struct(F.lit(i).alias("pair"), F.lit(s).alias("side"))) for i, p in enumerate(pairs) for s, w in enumerate(p)]))
     rows = rows.withColumn("sides", sides).where(F.size("sides") > 0)
-    keyed = rows.select("id", F.explode("subject").alias("token"))
     rare = decisions.select(F.explode(X.subject_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.lit(n < C.DIRECTORY_MIN_FILES) | (F.col("df") <= C.COMMON_SHARE * n))
-    keyed = keyed.join(rare, "token", "left_semi").join(rows.select("id", F.explode("sides").alias("s")), "id").select("id", "token", "s.pair", "s.side")
-    left, right = keyed.where("side = 0").drop("side"), keyed.where("side = 1").drop("side").withColumnRenamed("id", "other")
-    cand = left.join(right, ["token", "pair"]).where("id <> other").select("id", "other").distinct()
+    size = F.size("subject")
+    few = size - F.ceil(size * C.OVERLAP_FLOOR - 1e-9) + 1
+    keyed = rows.select("id", "sides", size.alias("size"), few.cast("int").alias("few"), F.explode("subject").alias("token")).join(rare, "token", "left")
+    # tokens in most subjects come last in this order and are not looked up
+    listed = keyed.groupBy("id").agg(F.first("sides").alias("sides"), F.first("size").alias("size"), F.first("few").alias("few"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token")))).alias("tokens"))
+    keyed = listed.select("id", "sides", "size", "few", F.posexplode("tokens").alias("at", "t")).select("id", "size", (F.col("at") < F.col("few")).alias("rarest"), F.col("t.token").alias("token"), F.explode("sides").alias("s"))
+    keyed = staged(keyed.select("id", "size", "rarest", "token", "s.pair", "s.side"), "subjects")
+    left, right = keyed.where("side = 0").drop("side"), keyed.where("side = 1").select(F.col("id").alias("other"), F.col("size").alias("size_b"), F.col("rarest").alias("rarest_b"), "token", "pair")
+    met = left.where("rarest").join(right, ["token", "pair"]).where("size <= size_b").select("id", "other")
+    met = met.unionByName(left.join(right.where("rarest_b"), ["token", "pair"]).where("size_b <= size").select("id", "other"))
+    cand = met.where("id <> other").distinct()
     b = rows.select(F.col("id").alias("other"), F.col("text").alias("text_b"), F.col("branch").alias("branch_b"), F.col("pos").alias("pos_b"))
     full = cand.join(rows.drop("subject", "sides"), "id").join(b, "other")
     full = full.where(X.contradicts(F.col("text"), F.col("text_b"), pairs) & (F.col("branch").isNull() | F.col("branch_b").isNull() | (F.col("branch") == F.col("branch_b"))))

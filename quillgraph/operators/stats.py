@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import round3
@@ -50,3 +51,20 @@ def retrieval_quality(ranked: DataFrame, k: int) -> DataFrame:
     hit = (F.col("relevant") & (F.col("rank") <= k)).cast("long")
     per = ranked.groupBy("query").agg(F.sum(hit).alias("hits"), F.sum(F.col("relevant").cast("long")).alias("relevant"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
     return per.select("query", (F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(0.0)).alias("recall"), (F.col("hits") / k).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def scored_quality(scored: DataFrame, *ks: int) -> DataFrame:
+    """The same from scored(query, score, id, relevant), at several k, with the precision over the slots that were filled.
+
+    Equal scores are ordered by id. Nothing is ranked beyond the largest k: the rank of the best relevant row is the number
+    of rows before it, counted against one row a query.
+    """
+    key = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+    rows = scored.withColumn("key", key)
+    best = rows.groupBy("query").agg(F.count("*").alias("n"), F.sum(F.col("relevant").cast("long")).alias("relevant"), F.min(F.when(F.col("relevant"), F.col("key"))).alias("best"))
+    before = rows.join(best.select("query", "best"), "query").where(F.col("key") <= F.col("best")).groupBy("query").agg(F.count("*").alias("first"))
+    top = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("key"))).where(F.col("rank") <= max(ks))
+    hits = top.groupBy("query").agg(*[F.sum((F.col("relevant") & (F.col("rank") <= k)).cast("long")).alias(f"h{k}") for k in ks])
+    all_ = best.join(hits, "query").join(before, "query", "left")
+    at = [c for k in ks for c in (F.when(F.col("relevant") > 0, F.col(f"h{k}") / F.col("relevant")).otherwise(0.0).alias(f"recall_{k}"), (F.col(f"h{k}") / F.least(F.lit(k), F.col("n"))).alias(f"precision_{k}"), (F.col(f"h{k}") / k).alias(f"share_{k}"))]
+    return all_.select("query", *at, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))

@@ -49,12 +49,15 @@ def last_per_group(df: DataFrame, group: list[str], keys: list[Column], n: int)
 
 
 def balanced_edits(df: DataFrame, per_source: int = 5, total: int = 50) -> DataFrame:
-    """Newest edits: the last few of every source first, then the newest of all others up to ``total``."""
+    """Newest edits: the last few of every source first, then the newest of all others up to ``total``. ``pos`` is unique.
+
+    The others are looked for among the newest ``total`` rows only: as many of these as are not in the first part can be
+    needed. So both parts are pruned within tasks, and no source is ranked as a whole.
+    """
     newest = [F.col("ts").desc(), F.col("pos").desc()]
-    own = df.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy(*newest)))
-    first = own.where(F.col("rn") <= per_source).withColumn("balanced", F.lit(0))
-    rest = own.where(F.col("rn") > per_source).withColumn("balanced", F.lit(1)).orderBy(*newest).limit(total)
-    return first.unionByName(rest).orderBy("balanced", *newest).limit(total).drop("rn", "balanced")
+    first = last_per_group(df, ["source"], newest, per_source).drop("rn").withColumn("balanced", F.lit(0))
+    rest = df.orderBy(*newest).limit(total).join(first.select("pos"), "pos", "left_anti").withColumn("balanced", F.lit(1))
+    return first.unionByName(rest).orderBy("balanced", *newest).limit(total).drop("balanced")
 
 
 def gap_sessions(df: DataFrame, by: list[str], seconds: int = SESSION_GAP_SECONDS) -> DataFrame:

@@ -412,8 +412,9 @@ a AS (SELECT query, sum((relevant AND rank <= 5)::INT) AS hits, sum(relevant::IN
 SELECT query, {_R6.format("(CASE WHEN rel > 0 THEN hits::DOUBLE / rel ELSE 0 END)")} AS recall, {_R6.format("(hits / 5.0::DOUBLE)")} AS precision, {_R6.format("coalesce(1.0::DOUBLE / first, 0.0::DOUBLE)")} AS reciprocal_rank FROM a""")
 def bench_recall_mrr(spark, sf_dir):
     s = rank.bm25(_t(spark, sf_dir, "documents").select("doc_id", "text", "source"), QUERY).join(_t(spark, sf_dir, "labels"), "doc_id")
-    r = s.select(F.col("source").alias("query"), F.row_number().over(W.partitionBy("source").orderBy(F.col("bm25").desc(), "doc_id")).alias("rank"), (F.col("quality") == 1).alias("relevant"))
-    return stats.retrieval_quality(r, 5).select("query", *[X.round6(F.col(c)).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
+    r = s.select(F.col("source").alias("query"), F.col("bm25").alias("score"), F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("relevant"))
+    figures = {"recall": "recall_5", "precision": "share_5", "reciprocal_rank": "reciprocal_rank"}
+    return stats.scored_quality(r, 5).select("query", *[X.round6(F.col(c)).alias(name) for name, c in figures.items()])
 
 
 @registered("SELECT p_partkey, p_name, 'text' AS matched FROM part WHERE p_name <> '' AND (contains(lower(p_name), 'red widget') OR contains('red widget', lower(p_name)))")
