@@ -130,3 +130,16 @@ def cosine(a: Column, b: Column) -> Column:
     x, y = a.cast("array<double>"), b.cast("array<double>")
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     return F.when((F.size(x) == F.size(y)) & (F.size(x) > 0) & (norm > 0), dot(x, y) / norm).otherwise(F.lit(0.0))
+
+
+#: Names that mark a file as noise in benchmarks, and the one that is kept all the same.
+NOISE = ("lock", ".svg", ".png", ".lockb", ".snap", ".json")
+NOT_NOISE = "package.json"
+
+
+def is_noise(path: Column) -> Column:
+    p = F.lower(path)
+    found = F.lit(False)
+    for mark in NOISE:
+        found = found | p.contains(mark)
+    return found & ~p.contains(NOT_NOISE)

@@ -88,9 +88,14 @@ def ordered_fold(df: DataFrame, by: str, keys: list[str], fields: list[str], sta
     return df.groupBy(by).agg(F.aggregate(rows, start, step).alias("state"))
 
 
+def node_of() -> Column:
+    """The node that an event of a log is about."""
+    return F.when(F.col("type") == "FileTouched", F.concat(F.lit("file:"), F.coalesce("path", "file"))).otherwise(F.col("nodeId"))
+
+
 def nodes(log: DataFrame) -> DataFrame:
     """Nodes of a log (EVENT_DDL and ``pos``, the position in it). Unknown event types change nothing."""
-    keyed = log.withColumn("node", F.when(F.col("type") == "FileTouched", F.concat(F.lit("file:"), F.coalesce("path", "file"))).otherwise(F.col("nodeId")))
+    keyed = log.withColumn("node", node_of())
     keyed = keyed.where(F.col("node").isNotNull() & F.col("type").isin(*CREATES, *CHANGES)).withColumn("at", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp")))
     folded = ordered_fold(keyed, "node", ["at", "pos"], ["id", "ts", "source", "type", "text", "path", "file", "status", "confidence", "outcome", "kind", "branch", "fixedBy", "selfResolved"], _start(), _step)
     decay = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in C.DECAY.items() for v in p]), F.col("state.type")), F.lit(C.DECAY_OTHER))

@@ -39,3 +39,32 @@ def decision_events(bullets: DataFrame, nodes: DataFrame, source: str) -> DataFr
     """DecisionCreated rows for bullets (text, status, ts) that are new."""
     rows = bullets.withColumn("nodeId", X.stable_id("decision", F.col("text")))
     return new_items(rows, nodes).select("nodeId", "text", "status", "ts", F.lit("DecisionCreated").alias("type"), F.lit(source).alias("source"))
+
+
+def created(items: DataFrame, nodes: DataFrame, kind: str, source: str, *more: str) -> DataFrame:
+    """Rows of event type ``kind`` for items (nodeId, text, more...) whose node doesn't exist, each item once."""
+    fresh = items.select("nodeId", "text", *more).distinct().join(nodes.select(F.col("id").alias("nodeId")), "nodeId", "left_anti")
+    return fresh.select("nodeId", "text", *more, F.lit(kind).alias("type"), F.lit(source).alias("source"))
+
+
+def goal_events(goals: DataFrame, nodes: DataFrame, source: str) -> DataFrame:
+    return created(goals, nodes, "GoalCreated", source)
+
+
+def failure_events(failures: DataFrame, nodes: DataFrame, source: str) -> DataFrame:
+    return created(failures, nodes, "FailureObserved", source, "selfResolved")
+
+
+def evidence_events(evidence: DataFrame, nodes: DataFrame, source: str) -> DataFrame:
+    """Evidence (parent_id, text) that is new; the same text under two decisions is recorded for both."""
+    rows = evidence.select(X.stable_id("evidence", F.col("text")).alias("nodeId"), "text", F.col("parent_id").alias("decisionId"))
+    return created(rows, nodes, "EvidenceRecorded", source, "decisionId")
+
+
+def serves_events(serves: DataFrame, nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
+    """Links of (parent_id, text) to the goal of that text which the graph lacks (direction counts), and goals that don't exist."""
+    rows = serves.select("parent_id", "text", X.stable_id("goal", F.col("text")).alias("nodeId"))
+    known = edges.where("relation = 'SERVES'").select(F.col("from").alias("parent_id"), F.col("to").alias("nodeId"))
+    links = rows.select("parent_id", "nodeId").distinct().join(known, ["parent_id", "nodeId"], "left_anti")
+    links = links.select(F.lit("NodeLinked").alias("type"), F.lit(source).alias("source"), F.col("parent_id").alias("from"), F.col("nodeId").alias("to"), F.lit("SERVES").alias("relation"))
+    return goal_events(rows, nodes, source).unionByName(links, allowMissingColumns=True)

@@ -72,6 +72,18 @@ def segments(df: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     return df.withColumn("segment", F.sum((F.col("role") == "user").cast("long")).over(W.partitionBy(*by).orderBy(*keys)))
 
 
+def segment_label(key: str, limit: int = 72) -> Column:
+    """Aggregate of a segment (kind, role, content, file, summary): the beginning of its first user message, else the file or
+    summary of its first edit, else the beginning of its first content. Runs of white space become one space."""
+    first = lambda value, when: F.min_by(value, F.when(when, F.col(key)))
+    given = lambda c: F.nullif(c, F.lit(""))
+    head = lambda c: F.regexp_replace(F.substring(c, 1, limit), r"\s+", " ")
+    edit = F.col("kind").isin("code_edit", "artifact")
+    named = first(F.coalesce(given(F.col("file")), given(F.col("summary")), F.lit("Code edit")), edit)
+    said = given(first(F.col("content"), (F.col("kind") == "message") & (F.col("role") == "user")))
+    return F.coalesce(head(said), named, head(first(F.col("content"), given(F.col("content")).isNotNull())), F.lit("Activity"))
+
+
 def nearest(left: DataFrame, right: DataFrame, on: str, seconds: int) -> DataFrame:
     """For each left row (id, ts) the right row of the same key with the least time between, at most ``seconds``; ties go to the smaller id.
 

@@ -8,10 +8,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import brief, context, graph, ingest, retrieve, sinks, timeline
+from ..operators import brief, context, fold, graph, ingest, rank, retrieve, sinks, stats, timeline
 from ..operators.staging import shared_folder
 from ..sources import notes, transcripts
-from .catalogue import _BM25, _R3, _TIMELINE, NOW, QUERY, _t, _timeline, registered
+from ..streaming import sessions
+from .catalogue import _BM25, _FOLD, _R3, _R6, _TIMELINE, NOW, QUERY, _folded, _t, _timeline, registered
 
 _NODES = """lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 nodes AS (SELECT d.doc_id AS id, CASE WHEN d.doc_id % 3 = 0 THEN 'Decision' ELSE 'Goal' END AS type, d.source AS author, CASE WHEN quality = 0 THEN 'superseded' ELSE 'active' END AS status,
@@ -130,3 +131,159 @@ def interpolated_times(spark, sf_dir):
 def discovered_paths(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").where(notes.under(F.col("url"), "https://example.com") | F.col("url").startswith("https://"))
     return p.select("page_id", notes.slug(F.col("url")).alias("slug"))
+
+
+_TALK = """t AS (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 3 THEN 'code_edit' ELSE 'message' END AS kind, CASE WHEN turn % 7 = 0 THEN '' ELSE text END AS content,
+    CASE WHEN turn % 2 = 0 THEN 'f' || turn::VARCHAR END AS file, CASE WHEN turn % 3 = 0 THEN 's' || turn::VARCHAR END AS summary FROM conversations)"""
+
+
+def _talk(spark, sf_dir):
+    turn = F.col("turn").cast("string")
+    return _t(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.when(F.col("turn") % 5 == 3, "code_edit").otherwise("message").alias("kind"), F.when(F.col("turn") % 7 == 0, "").otherwise(F.col("text")).alias("content"),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit("f"), turn)).alias("file"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("s"), turn)).alias("summary"),
+    )
+
+
+@registered(f"""WITH {_TALK}, s AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM t),
+g AS (SELECT conv_id, segment, (list(struct_pack(c := content) ORDER BY turn) FILTER (kind = 'message' AND role = 'user'))[1].c AS said,
+    (list(struct_pack(c := coalesce(nullif(file, ''), nullif(summary, ''), 'Code edit')) ORDER BY turn) FILTER (kind = 'code_edit'))[1].c AS named, (list(content ORDER BY turn) FILTER (content <> ''))[1] AS other FROM s GROUP BY ALL)
+SELECT conv_id, segment::BIGINT AS segment, coalesce(regexp_replace(left(nullif(said, ''), 72), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), named, regexp_replace(left(other, 72), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), 'Activity') AS label FROM g""")
+def segment_labels(spark, sf_dir):
+    s = timeline.segments(_talk(spark, sf_dir), ["conv_id"], ["turn"])
+    return s.groupBy("conv_id", "segment").agg(timeline.segment_label("turn").alias("label"))
+
+
+@registered("""WITH p AS (SELECT page_id, coalesce(url, '') || list_extract(['/A.LOCK', '/pic.svg', '/package.json', '/data.json', '/main.py', '/x.snap'], (page_id % 6 + 1)::INT) AS path FROM pages)
+SELECT page_id FROM p WHERE NOT (NOT contains(lower(path), 'package.json') AND (contains(lower(path), 'lock') OR contains(lower(path), '.svg') OR contains(lower(path), '.png') OR contains(lower(path), '.snap') OR contains(lower(path), '.json')))""")
+def files_without_noise(spark, sf_dir):
+    ends = F.array(*map(F.lit, ("/A.LOCK", "/pic.svg", "/package.json", "/data.json", "/main.py", "/x.snap")))
+    p = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("url", F.lit("")), F.element_at(ends, (F.col("page_id") % 6 + 1).cast("int"))).alias("path"))
+    return p.where(~X.is_noise(F.col("path"))).select("page_id")
+
+
+@registered(f"""WITH {_BM25}, g AS (SELECT source AS query, row_number() OVER (PARTITION BY source ORDER BY bm25 DESC, doc_id) AS rank, quality = 1 AS relevant FROM b JOIN documents USING (doc_id) JOIN labels USING (doc_id)),
+a AS (SELECT query, count(*) AS n, sum((relevant AND rank <= 5)::INT) AS h5, sum((relevant AND rank <= 10)::INT) AS h10, sum(relevant::INT) AS rel FROM g GROUP BY query)
+SELECT query, {_R6.format("(CASE WHEN rel > 0 THEN h5::DOUBLE / rel ELSE 0 END)")} AS recall_5, {_R6.format("(CASE WHEN rel > 0 THEN h10::DOUBLE / rel ELSE 0 END)")} AS recall_10,
+    {_R6.format("(h5::DOUBLE / least(5, n))")} AS precision_5, {_R6.format("(h10::DOUBLE / least(10, n))")} AS precision_10 FROM a""")
+def bench_at_depths(spark, sf_dir):
+    s = rank.bm25(_t(spark, sf_dir, "documents").select("doc_id", "text", "source"), QUERY).join(_t(spark, sf_dir, "labels"), "doc_id")
+    r = s.select(F.col("source").alias("query"), F.col("bm25").alias("score"), F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("relevant"))
+    return stats.scored_quality(r, 5, 10).select("query", *[X.round6(F.col(c)).alias(c) for c in ("recall_5", "recall_10", "precision_5", "precision_10")])
+
+
+def _id(prefix: str, text: str) -> str:
+    return f"'{prefix}:' || left(sha1(lower(trim({text}))), 12)"
+
+
+def _part_notes(spark, sf_dir):
+    """A note for each part: a goal with what it serves and its evidence below it, an open box, and a failure."""
+    p = _t(spark, sf_dir, "part").where("p_name is not null")
+    note = F.concat(F.lit("## Goals\n- "), "p_name", F.lit("\n  - Serves: "), "p_brand", F.lit("\n  - Evidence: "), "p_type", F.lit("\n\n## Open\n- [ ] "), "p_type", F.lit(" or "), "p_brand")
+    return notes.note_lines(p.select(F.col("p_partkey").cast("string").alias("path"), note.alias("value")))
+
+
+def _even(spark, sf_dir, prefix: str, column: str):
+    return _t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(X.stable_id(prefix, F.col(column)).alias("id")).distinct()
+
+
+@registered(f"""WITH e AS (SELECT * FROM part WHERE p_partkey % 2 = 0)
+(SELECT {_id("decision", "p_name")} AS "from", {_id("goal", "p_brand")} AS "to" FROM part EXCEPT SELECT {_id("decision", "p_name")}, {_id("goal", "p_brand")} FROM e)
+UNION ALL SELECT DISTINCT NULL, {_id("goal", "p_brand")} FROM part WHERE {_id("goal", "p_brand")} NOT IN (SELECT {_id("goal", "p_type")} FROM e)""")
+def new_serves(spark, sf_dir):
+    """Links to goals that the graph lacks, and goals that it lacks (without ``from``)."""
+    edges = _t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(X.stable_id("decision", F.col("p_name")).alias("from"), X.stable_id("goal", F.col("p_brand")).alias("to"), F.lit("SERVES").alias("relation"))
+    got = ingest.serves_events(notes.serves(_part_notes(spark, sf_dir)), _even(spark, sf_dir, "goal", "p_type"), edges, "notes")
+    return got.select("from", F.coalesce("to", "nodeId").alias("to"))
+
+
+@registered(f"""SELECT DISTINCT {_id("evidence", "p_type")} AS node, {_id("decision", "p_name")} AS decision FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 97 = 0)""")
+def new_evidence(spark, sf_dir):
+    known = _t(spark, sf_dir, "part").where("p_partkey % 97 = 0").select(X.stable_id("evidence", F.col("p_type")).alias("id")).distinct()
+    return ingest.evidence_events(notes.evidence(_part_notes(spark, sf_dir)), known, "notes").select(F.col("nodeId").alias("node"), F.col("decisionId").alias("decision"))
+
+
+@registered(f"""SELECT DISTINCT {_id("goal", "p_name")} AS node, trim(p_name) AS text FROM part WHERE {_id("goal", "p_name")} NOT IN (SELECT {_id("goal", "p_name")} FROM part WHERE p_partkey % 2 = 0)""")
+def new_goals(spark, sf_dir):
+    return ingest.goal_events(notes.goals(_part_notes(spark, sf_dir)), _even(spark, sf_dir, "goal", "p_name"), "notes").select(F.col("nodeId").alias("node"), "text")
+
+
+@registered(f"""SELECT p_partkey::VARCHAR AS path, {_id("decision", "p_type || ' or ' || p_brand")} AS node, p_type || ' or ' || p_brand AS text FROM part""")
+def open_decisions(spark, sf_dir):
+    return notes.open_decisions(_part_notes(spark, sf_dir)).select("path", F.col("nodeId").alias("node"), "text")
+
+
+@registered(f"""SELECT p_partkey::VARCHAR AS path, {_id("task", "p_type || ' or ' || p_brand")} AS node, 'open' AS status FROM part""")
+def note_tasks(spark, sf_dir):
+    return notes.tasks(_part_notes(spark, sf_dir)).select("path", F.col("nodeId").alias("node"), "status")
+
+
+@registered("""WITH p AS (SELECT p_partkey, list_extract(['now fixed: ', 'still broken, was fixed: ', 'not yet resolved ', 'prefixed ', 'we decided on ', 'let''s go with '], (p_partkey % 6 + 1)::INT) || p_name || CASE WHEN p_partkey % 4 = 0 THEN '?  ' ELSE '' END AS t FROM part)
+SELECT p_partkey, regexp_matches(lower(t), '(^|[^a-z0-9_])(fixed|resolved|patched)([^a-z0-9_]|$)') AND NOT regexp_matches(lower(t), '(^|[^a-z0-9_])(unresolved|not\\s+(yet\\s+)?(fixed|resolved)|still\\s+(broken|unresolved|an?\\s+issue))([^a-z0-9_]|$)') AS self_resolved,
+    regexp_matches(lower(t), '(^|[^a-z0-9_])(decided|final|going with|confirmed|let''?s go with)([^a-z0-9_]|$)') AS committed, regexp_matches(t, '\\?\\s*$') OR regexp_matches(lower(t), '(^|[^a-z0-9_])(should we|decide|or )') AS question,
+    CASE WHEN len(trim(t)) > 20 THEN left(trim(t), 19) || '…' ELSE trim(t) END AS short FROM p""")
+def line_rules(spark, sf_dir):
+    heads = F.array(*map(F.lit, ("now fixed: ", "still broken, was fixed: ", "not yet resolved ", "prefixed ", "we decided on ", "let's go with ")))
+    t = F.concat(F.element_at(heads, (F.col("p_partkey") % 6 + 1).cast("int")), "p_name", F.when(F.col("p_partkey") % 4 == 0, "?  ").otherwise(""))
+    p = _t(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
+    c = F.col("t")
+    return p.select("p_partkey", X.self_resolved(c).alias("self_resolved"), X.committed(c).alias("committed"), brief.is_question(c).alias("question"), X.truncated(c, 20).alias("short"))
+
+
+@registered("""WITH s AS (SELECT conv_id AS session, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id) AS start FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 0)),
+r AS (SELECT conv_id AS session, CASE WHEN role = 'user' THEN coalesce(start, TIMESTAMP '2023-01-01 00:00:00') ELSE TIMESTAMP '2024-02-01 00:00:00' + to_seconds(turn) END AS ts, role FROM conversations LEFT JOIN s ON session = conv_id WHERE role <> 'user' OR conv_id % 3 <> 0)
+SELECT session, ts, role, count(*) AS n FROM (SELECT * FROM r UNION ALL SELECT session, start, 'user' FROM s WHERE session IN (SELECT session FROM r GROUP BY session HAVING NOT bool_or(role = 'user'))) GROUP BY ALL""")
+def merged_chat_sessions(spark, sf_dir):
+    """Questions without times and answers with them: one conversation in three has lost its questions, one in four its start."""
+    c = _t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session")
+    asked = c.where("role = 'user' and session % 3 <> 0").select("session", F.lit("2023-01-01").cast("timestamp").alias("ts"), "role")
+    answered = c.where("role <> 'user'").select("session", F.timestamp_seconds(F.unix_seconds(F.lit("2024-02-01").cast("timestamp")) + F.col("turn")).alias("ts"), "role")
+    starts = c.where("session % 4 <> 0").select("session", F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("session")).alias("start")).distinct()
+    return transcripts.merged_sessions(asked, answered, starts).groupBy("session", "ts", "role").agg(F.count("*").alias("n"))
+
+
+@registered("""WITH i AS (SELECT o_orderkey AS session, 1700000000000 + o_orderkey AS created, CASE WHEN o_orderkey % 2 = 0 THEN 1700000005000 + o_orderkey ELSE 0 END AS started, CASE WHEN o_orderkey % 3 = 0 THEN 1700000100000 + o_orderkey ELSE 0 END AS ended FROM orders WHERE o_orderkey % 5 <> 0),
+k AS (SELECT session, CASE WHEN started > 0 THEN started ELSE created END AS b, ended, started FROM i), z AS (SELECT session, b, CASE WHEN ended > 0 THEN ended WHEN started > 0 THEN started ELSE b END AS e FROM k)
+SELECT l_orderkey, l_linenumber, epoch_ms((b + floor(greatest(e - b, 1) * l_linenumber / 10.0::DOUBLE))::BIGINT) AS ts FROM lineitem JOIN z ON session = l_orderkey""")
+def timed_edits(spark, sf_dir):
+    """Edits take their times from an index of sessions; a session in five isn't in it."""
+    key = F.col("o_orderkey")
+    index = _t(spark, sf_dir, "orders").where(key % 5 != 0).select(
+        key.alias("session"), (key + 1700000000000).alias("created"), F.when(key % 2 == 0, key + 1700000005000).otherwise(0).alias("started"), F.when(key % 3 == 0, key + 1700000100000).otherwise(0).alias("ended")
+    )
+    edits = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_linenumber").alias("epoch"), F.lit(None).cast("timestamp").alias("ts"))
+    return transcripts.timed(edits, index).select(F.col("session").alias("l_orderkey"), F.col("epoch").alias("l_linenumber"), "ts")
+
+
+@registered("WITH RECURSIVE " + _FOLD.format(events="events"))
+def stream_fold(spark, sf_dir):
+    """The ordered fold as a stream: the log comes in files of its own order, a micro-batch each, and only touched keys are worked out again."""
+    root = f"{shared_folder(spark)}/quillgraph/fold-{uuid.uuid4().hex}"
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    sessions.run_available(stream, sessions.kept_state(root, F.col("user_id"), _folded), f"{root}/checkpoint")
+    return sessions.state_now(spark, root, "user_id")
+
+
+@registered(f"WITH {_TIMELINE} SELECT DISTINCT source, path, ts FROM t WHERE kind = 'code_edit'")
+def stream_touches(spark, sf_dir):
+    """Touches that come twice are kept once."""
+    root = f"{shared_folder(spark)}/quillgraph/touches-{uuid.uuid4().hex}"
+    t = _timeline(spark, sf_dir).where("kind = 'code_edit'").select("source", "path", F.col("ts").cast("timestamp").alias("ts"))
+    t.unionByName(t).write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(t.schema).parquet(f"{root}/source")
+    sessions.written(sessions.streamed_touches(stream), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(t.schema).parquet(f"{root}/out")
+
+
+@registered("SELECT event_id AS id, 'FileTouched' AS type, 'file:u' || user_id::VARCHAR AS node FROM events WHERE event_type IN ('click', 'purchase')")
+def event_log_round_trip(spark, sf_dir):
+    """Events appended to a log of JSON lines and read back, with broken lines between them."""
+    root = f"{shared_folder(spark)}/quillgraph/log-{uuid.uuid4().hex}"
+    e = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
+    notes.append_events(e.select(F.col("event_id").cast("string").alias("id"), F.lit("FileTouched").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")), root)
+    spark.createDataFrame([("{broken",), ("",)], "value string").write.mode("append").text(root)
+    lines = spark.read.text(root).withColumn("pos", F.lit(0))
+    log = notes.event_log(lines)
+    return log.select(F.col("id").cast("long").alias("id"), "type", fold.node_of().alias("node"))

@@ -119,3 +119,17 @@ def snapshots(history: DataFrame) -> DataFrame:
     """Editor history (dir, id, ts, path, content): each snapshot's diff to the one before it in its folder."""
     before = F.lag("content").over(W.partitionBy("dir").orderBy("ts", "id"))
     return history.withColumn("diff", X.whole_diff(F.coalesce(before, F.lit("")), F.col("content"), X.base_name(F.col("path")))).withColumn("kind", F.lit("code_edit"))
+
+
+def session_of(lines: DataFrame, workspace: str, token: str | None = None) -> DataFrame:
+    """(path): the newest transcript (path, pos, value, modified) that belongs to a workspace, else the newest of all.
+
+    One belongs to it if the working directory of its first line is the workspace or below it, if its path holds the
+    workspace's slug, or if any line holds ``token``. One aggregate a file and one row of them all; no lines, no row.
+    """
+    cwd = F.get_json_object(F.min_by("value", "pos"), "$.cwd")
+    named = slug(F.lit(workspace.rstrip("/")))
+    held = F.bool_or(F.col("value").contains(token)) if token else F.lit(False)
+    files = lines.groupBy("path").agg(F.max("modified").alias("modified"), F.coalesce(under(cwd, workspace), F.lit(False)).alias("inside"), F.coalesce(held, F.lit(False)).alias("held"))
+    mine = F.col("inside") | F.col("path").contains(named) | F.col("held")
+    return files.agg(F.max_by("path", F.struct(mine.alias("mine"), "modified", "path")).alias("path")).where("path is not null")

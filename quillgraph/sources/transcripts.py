@@ -171,6 +171,37 @@ def _put(node, keys: list, value):
     return node
 
 
+def sibling_transcript(path: Column, session: Column) -> Column:
+    """Where the transcript of a chat session's file lies: beside the folder that holds the file."""
+    return F.concat(F.regexp_replace(path, r"/[^/]+/[^/]+$", ""), F.lit("/GitHub.copilot-chat/transcripts/"), session, F.lit(".jsonl"))
+
+
+def merged_sessions(asked: DataFrame, answered: DataFrame, starts: DataFrame) -> DataFrame:
+    """Timeline rows of chat sessions and their transcripts, both with ``session``; starts are (session, start).
+
+    What was asked has no times of its own and takes the session's start. A session that has rows and a start but none of a
+    user begins with a placeholder. The order is that of the timeline.
+    """
+    start = starts.groupBy("session").agg(F.min("start").alias("start"))
+    rows = asked.join(start, "session", "left").withColumn("ts", F.coalesce("start", "ts")).drop("start").unionByName(answered, allowMissingColumns=True)
+    silent = rows.groupBy("session").agg(F.coalesce(F.bool_or(F.col("role") == "user"), F.lit(False)).alias("spoken")).where("not spoken").join(start.where("start is not null"), "session")
+    said = silent.select("session", F.col("start").alias("ts"), F.lit("message").alias("kind"), F.lit("user").alias("role"), F.lit("(session started)").alias("content"), F.lit(SOURCES["copilot"]).alias("source"))
+    return rows.unionByName(said, allowMissingColumns=True)
+
+
+def timed(edits: DataFrame, index: DataFrame) -> DataFrame:
+    """Edits (session, epoch, ts) with times from an index (session, created, started, ended; milliseconds, 0 is none).
+
+    An epoch is a tenth of the session's span. Edits that have no time either way are left out.
+    """
+    given = lambda c: F.nullif(F.col(c), F.lit(0))
+    begin = F.coalesce(given("started"), given("created"), F.lit(0))
+    known = index.groupBy("session").agg(F.max(F.struct(begin.alias("begin"), F.coalesce(given("ended"), given("started"), begin).alias("end"))).alias("t"))
+    span = F.greatest(F.col("t.end") - F.col("t.begin"), F.lit(1))
+    at = F.when(F.col("t.begin") > 0, F.timestamp_millis(F.col("t.begin") + F.floor(span * F.coalesce("epoch", F.lit(0)) / 10)))
+    return edits.join(known, "session", "left").withColumn("ts", F.coalesce(at, "ts")).drop("t").where("ts is not null")
+
+
 def editing_sessions(states: DataFrame) -> DataFrame:
     """Text edits and checkpoints of editing sessions (session, ts, value: the session's JSON state)."""
     cp = "array<struct<epoch:bigint,checkpointId:string,requestId:string,label:string,description:string>>"

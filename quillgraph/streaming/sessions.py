@@ -1,10 +1,10 @@
-"""Structured Streaming forms: gap sessions, duplicate-free appends, and the ordered fold per micro-batch."""
+"""Structured Streaming forms: gap sessions, duplicate-free appends, and the state of keys kept per micro-batch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,36 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def kept_state(root: str, key: Column, state: Callable[[DataFrame], DataFrame], buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """Handler of micro-batches that keeps a keyed state under ``root``: ``state`` of all events of each key seen so far.
+
+    Events go to a log in folders by a hash of their key. Only keys of the batch are worked out again, from the folders that
+    they lie in, whatever order events come in; so late ones are right too, where a running state would have to guess. A
+    batch that is tried again overwrites what it wrote. Events with a null key are left out.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_key", key).where("_key is not null").withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/log/batch={number}")
+        log = spark.read.option("basePath", f"{root}/log").schema(f"{_ddl(rows)}, batch int").parquet(f"{root}/log").where(F.col("batch") <= number)
+        fresh = log.where(F.col("batch") == number)
+        folders = [r["_bucket"] for r in fresh.select("_bucket").distinct().collect()]
+        if folders:
+            seen = log.where(F.col("_bucket").isin(folders)).join(fresh.select("_key").distinct(), "_key", "left_semi")
+            state(seen.drop("_key", "_bucket", "batch")).write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    return handle
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def state_now(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The newest state of each key."""
+    rows = spark.read.option("basePath", f"{root}/state").parquet(f"{root}/state")
+    columns = [c for c in rows.columns if c not in ("batch", key)]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("s")).select(key, "s.*")
