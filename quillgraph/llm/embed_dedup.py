@@ -1,8 +1,9 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors of a label are one class. The classes of a label are dealt into shards of about ``per_shard``; every shard
-has a layered proximity graph, built in batches. Every block of classes queries every shard of its label by a beam
-search from the top layer down; what it finds is verified by cosine in double precision. A query whose beam holds
+has a layered proximity graph, built in batches. Every shard's classes query every shard of their label by a beam
+search from the top layer down; what it finds is verified by cosine in double precision, and a link that either side
+finds counts for both. A query whose beam holds
 nothing but links is widened until it doesn't, and exhausts the shard in the end; after that a sample of the queries is
 audited against all vectors of the shard, and the beam is doubled until the audit passes (again up to all vectors).
 Per block and shard only link counts and a spanning forest of the links come back; components join them.
@@ -213,6 +214,13 @@ def links_in_shard(graph: Graph, queries: np.ndarray, vectors: np.ndarray, s: Se
         beam *= 2
 
 
+def found_links(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) places of all that was found."""
+    size = np.array([len(f) for f in found], np.int64)
+    flat = np.concatenate(found).astype(np.int64) if len(found) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(found)), size), flat
+
+
 def near_duplicates(vectors: DataFrame, s: Setting = Setting()) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``."""
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
@@ -235,27 +243,33 @@ def near_duplicates(vectors: DataFrame, s: Setting = Setting()) -> DataFrame:
 
     kind = dict(classes.dtypes)["label"]
     built = staged(dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shards int, shard int, ids binary, counts binary, data binary, graph binary"), "graphs")
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    indexes = built.withColumn("block", every)
-    blocks = built.select("label", "dim", F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), every.alias("shard"))
-    pairs = indexes.join(blocks, ["label", "dim", "shard", "block"])
+    # unordered pairs of a label's shards: one row holds both graphs, so a link found from either side counts for both
+    side = lambda prefix, at: built.select("label", "dim", *[F.col(c).alias(f"{prefix}_{c}") for c in ("shard", "ids", "counts", "data", "graph")], at)
+    first = side("a", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)).alias("high")).withColumnRenamed("a_shard", "low")
+    second = side("b", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("low")).withColumnRenamed("b_shard", "high")
+    pairs = first.join(second, ["label", "dim", "low", "high"])
 
     def query(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for r in pdf.itertuples():
-                v, q = (np.frombuffer(x, "<f8").reshape(-1, r.dim) for x in (r.data, r.q_data))
-                ids, q_ids, counts = (np.frombuffer(x, "<i8") for x in (r.ids, r.q_ids, r.counts))
-                found = links_in_shard(Graph.load(r.graph, v, s), q, v, s)
-                size = np.array([len(f) for f in found])
-                flat = np.concatenate(found).astype(np.int64) if len(found) else np.zeros(0, np.int64)
-                of = np.repeat(np.arange(len(q)), size)
-                other = ids[flat] != q_ids[of]
-                of, flat = of[other], flat[other]
-                total = np.bincount(of, weights=counts[flat], minlength=len(q)).astype(np.int64)
-                u, w = forest(q_ids[of], ids[flat])  # each tied to the least that it reaches here
-                yield pd.DataFrame({"u": np.concatenate([q_ids, u]), "v": pd.array([None] * len(q_ids) + w.tolist(), "Int64"), "n": np.concatenate([total, np.zeros(len(u), np.int64)])})
-
-    found = staged(pairs.select("dim", "ids", "counts", "data", "graph", "q_ids", "q_data").mapInPandas(query, "u long, v long, n long"), "links")
+                a, b = (np.frombuffer(x, "<f8").reshape(-1, r.dim) for x in (r.a_data, r.b_data))
+                a_ids, b_ids, a_counts, b_counts = (np.frombuffer(x, "<i8") for x in (r.a_ids, r.b_ids, r.a_counts, r.b_counts))
+                u, w = found_links(links_in_shard(Graph.load(r.b_graph, b, s), a, b, s))
+                if r.low == r.high:
+                    u, w = np.concatenate([u, w]), np.concatenate([w, u])
+                else:
+                    y, x = found_links(links_in_shard(Graph.load(r.a_graph, a, s), b, a, s))
+                    u, w = np.concatenate([u, x]), np.concatenate([w, y])
+                u, w = np.unique(np.stack([u, w]), axis=1)
+                other = a_ids[u] != b_ids[w]
+                u, w = u[other], w[other]
+                ids, total = a_ids, np.bincount(u, weights=b_counts[w], minlength=len(a)).astype(np.int64)
+                if r.low != r.high:
+                    ids, total = np.concatenate([a_ids, b_ids]), np.concatenate([total, np.bincount(w, weights=a_counts[u], minlength=len(b)).astype(np.int64)])
+                x, y = forest(a_ids[u], b_ids[w])  # each tied to the least that it reaches here
+                yield pd.DataFrame({"u": np.concatenate([ids, x]), "v": pd.array([None] * len(ids) + y.tolist(), "Int64"), "n": np.concatenate([total, np.zeros(len(x), np.int64)])})
+
+    found = staged(pairs.drop("label").mapInPandas(query, "u long, v long, n long"), "links")
     counts = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("links"))
     joined = components(found.where("v is not null").select("u", "v"))
     per_class = classes.join(counts, "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("label", "vector", (F.col("links") + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))

@@ -358,6 +358,17 @@ def test_vectors_match_brute_force(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_of_every_fiftieth_vector(spark, tables):
+    df = spark.read.parquet(tables.replace("0.001", "0.1") + "/embeddings.parquet")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, embed_dedup.Setting(per_shard=700)).collect()}
+    rows_ = [(r.vec_id, r.label, np.array(r.embedding, np.float64)) for r in df.where("label is not null").collect()]
+    rows_ = [(i, lab, v / np.linalg.norm(v)) for i, lab, v in rows_ if len(v) and np.isfinite(v).all() and v.any()]
+    all_ = {lab: np.stack([v for _, x, v in rows_ if x == lab]) for lab in {x for _, x, _ in rows_}}
+    want = {i: int((all_[lab] @ v >= 0.98).sum()) - 1 for i, lab, v in rows_ if i % 50 == 0}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.9 * sum(want.values())
+
+
 def test_graph_recall():
     v = np.random.default_rng(2).normal(size=(3000, 24))
     g = embed_dedup.Graph(v, embed_dedup.Setting())
