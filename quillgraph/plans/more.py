@@ -197,15 +197,16 @@ def new_serves(spark, sf_dir):
     return got.select("from", F.coalesce("to", "nodeId").alias("to"))
 
 
-@registered(f"""SELECT DISTINCT {_id("evidence", "p_type")} AS node, {_id("decision", "p_name")} AS decision FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 97 = 0)""")
+@registered(f"""SELECT DISTINCT {_id("evidence", "p_type")} AS node, {_id("decision", "p_name")} AS decision FROM part WHERE left(sha1(p_type), 1) >= '8'""")
 def new_evidence(spark, sf_dir):
-    known = _t(spark, sf_dir, "part").where("p_partkey % 97 = 0").select(X.stable_id("evidence", F.col("p_type")).alias("id")).distinct()
+    known = _t(spark, sf_dir, "part").where("left(sha1(p_type), 1) < '8'").select(X.stable_id("evidence", F.col("p_type")).alias("id")).distinct()
     return ingest.evidence_events(notes.evidence(_part_notes(spark, sf_dir)), known, "notes").select(F.col("nodeId").alias("node"), F.col("decisionId").alias("decision"))
 
 
-@registered(f"""SELECT DISTINCT {_id("goal", "p_name")} AS node, trim(p_name) AS text FROM part WHERE {_id("goal", "p_name")} NOT IN (SELECT {_id("goal", "p_name")} FROM part WHERE p_partkey % 2 = 0)""")
+@registered(f"""SELECT DISTINCT {_id("goal", "p_name")} AS node, trim(p_name) AS text FROM part WHERE left(sha1(p_name), 1) >= '8'""")
 def new_goals(spark, sf_dir):
-    return ingest.goal_events(notes.goals(_part_notes(spark, sf_dir)), _even(spark, sf_dir, "goal", "p_name"), "notes").select(F.col("nodeId").alias("node"), "text")
+    known = _t(spark, sf_dir, "part").where("left(sha1(p_name), 1) < '8'").select(X.stable_id("goal", F.col("p_name")).alias("id")).distinct()
+    return ingest.goal_events(notes.goals(_part_notes(spark, sf_dir)), known, "notes").select(F.col("nodeId").alias("node"), "text")
 
 
 @registered(f"""SELECT p_partkey::VARCHAR AS path, {_id("decision", "p_type || ' or ' || p_brand")} AS node, p_type || ' or ' || p_brand AS text FROM part""")
