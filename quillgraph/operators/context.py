@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -30,33 +31,49 @@ def weighted(items: DataFrame, agent: str | None) -> DataFrame:
 def fill(items: DataFrame, budget: int, keep: int = 2000, by: str | None = None) -> DataFrame:
     """ids and tokens that fit into ``budget``, best score first; an item that doesn't fit is skipped, not a stop.
 
-    ``items``: id, cost, score. If the first item alone is too long, it is taken, cut to the budget. Without ``by``, the best
-    ``keep`` items are tried at a time: the next round takes those behind them whose cost fits what is left.
+    ``items``: id, cost, score; items without a score come last, those without a cost are dropped. If the first item alone is
+    too long, it is taken, cut to the budget. Without ``by``, the best ``keep`` items are tried at a time: the next round
+    takes those behind them whose cost fits what is left. With ``by``, each group is filled from its contenders.
     """
-    if by is None:
-        return _fill_in_rounds(items, budget, keep)
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.col("cost").cast("long").alias("cost"))))
-    grouped = items.groupBy(by).agg(rows.alias("rows"))
-    kind = "struct<used:bigint,ids:array<bigint>,dropped:bigint,done:boolean>" if dict(items.dtypes)["id"] == "bigint" else "struct<used:bigint,ids:array<string>,dropped:bigint,done:boolean>"
-    start = F.struct(F.lit(0).alias("used"), F.array().alias("ids"), F.lit(0).alias("dropped"), F.lit(False).alias("done")).cast(kind)
+    return _fill_in_rounds(items, budget, keep) if by is None else _fill_groups(items, budget, by)
+
+
+def _contenders(rows: DataFrame, budget: int, by: str, salts: int = 64) -> DataFrame:
+    """The rows that a fill can take at all: of a cost, only the first ``budget // cost`` of a group.
+
+    Once a row of a cost doesn't fit, no later one of that cost does, as what is used only grows. So a group keeps about
+    ``budget * ln(budget)`` rows at most, besides those that cost nothing. A busy group is pruned in salted parts first.
+    """
+    most = F.when(F.col("cost") > 0, F.floor(F.lit(budget) / F.col("cost"))).when(F.col("cost") <= 0, F.lit(2**31))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    for keys in ((by, "cost", "_salt"), (by, "cost")):
+        rows = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "id"))).where(F.col("_rn") <= most)
+    return rows.drop("_salt", "_rn")
+
+
+def _fill_groups(items: DataFrame, budget: int, by: str) -> DataFrame:
+    rows = items.select(by, "id", F.col("cost").cast("long").alias("cost"), "score")
+    rank = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("s"), "id", "cost")
+    heads = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min(rank).alias("_head"))
+    kind = f"struct<used:bigint,ids:array<{dict(items.dtypes)['id']}>>"
 
     def step(s: Column, x: Column) -> Column:
         fits = s["used"] + x["cost"] <= budget
-        cut = (F.size(s["ids"]) == 0) & ~fits & (s["dropped"] == 0)
-        take = ~s["done"] & (fits | cut)
-        return F.struct(
-            F.when(take, F.least(s["used"] + x["cost"], F.lit(budget))).otherwise(s["used"]).alias("used"), F.when(take, F.concat(s["ids"], F.array(x["id"]))).otherwise(s["ids"]).alias("ids"),
-            (s["dropped"] + F.when(take, 0).otherwise(1)).alias("dropped"), (s["done"] | cut).alias("done"),
-        ).cast(kind)
+        return F.struct(F.when(fits, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["ids"], F.array(x["id"]))).otherwise(s["ids"]).alias("ids")).cast(kind)
 
-    out = grouped.withColumn("state", F.aggregate("rows", start, step))
-    return out.select(by, F.col("state.used").alias("used"), F.col("state.ids").alias("ids"), F.col("state.dropped").alias("dropped"))
+    start = F.struct(F.lit(0).alias("used"), F.array().alias("ids")).cast(kind)
+    folded = _contenders(rows, budget, by).groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(rank)).alias("rows"))
+    out = heads.join(folded.select("_by", F.aggregate("rows", start, step).alias("state")), F.col(by).eqNullSafe(F.col("_by")), "left")
+    alone = F.coalesce(F.col("_head.cost") > budget, F.lit(False))
+    used = F.when(alone, F.lit(budget)).otherwise(F.coalesce("state.used", F.lit(0))).cast("long")
+    ids = F.when(alone, F.array("_head.id")).otherwise(F.coalesce("state.ids", F.array().cast(kind.split("ids:")[1][:-1])))
+    return out.select(by, used.alias("used"), ids.alias("ids"), (F.col("_n") - F.size(ids)).alias("dropped"))
 
 
 def _fill_in_rounds(items: DataFrame, budget: int, keep: int) -> DataFrame:
     rows = items.select("id", F.col("cost").cast("long").alias("cost"), "score")
     n, used, ids, rest = rows.count(), 0, [], rows
-    while top := rest.orderBy(F.col("score").desc(), "id").limit(keep).collect():
+    while top := rest.orderBy(F.col("score").desc_nulls_last(), "id").limit(keep).collect():
         if not ids and top[0]["cost"] is not None and top[0]["cost"] > budget and rest is rows:
             used, ids = budget, [top[0]["id"]]
             break

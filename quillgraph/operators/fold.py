@@ -15,7 +15,7 @@ from ..plans import constants as C
 
 _STATE = (
     "struct<exists:boolean,type:string,text:string,status:string,confidence:double,importance:double,access_count:bigint,"
-    "last_verified:timestamp,author:string,branch:string,kind:string,source_ids:array<string>>"
+    "last_verified:timestamp,author:string,branch:string,kind:string,skipped:bigint>"
 )
 CREATES = {"FileTouched": "File", "TaskCreated": "Task", "GoalCreated": "Goal", "DecisionCreated": "Decision", "EvidenceRecorded": "Evidence", "FailureObserved": "Failure"}
 CHANGES = ("TaskStatusChanged", "DecisionResolved", "DecisionSuperseded", "DecisionContradicted", "DecisionOutcomeObserved", "NodeAccessed")
@@ -70,7 +70,7 @@ def _step(s: Column, e: Column) -> Column:
         F.when(~exists & creates, e["source"]).otherwise(s["author"]).alias("author"),
         F.when(kind.isin("TaskCreated", "GoalCreated", "DecisionCreated"), F.coalesce(s["branch"], e["branch"])).otherwise(s["branch"]).alias("branch"),
         F.when(kind == "EvidenceRecorded", F.coalesce(e["kind"], F.lit("link"))).otherwise(s["kind"]).alias("kind"),
-        F.when(known, F.concat(s["source_ids"], F.array(e["id"]))).otherwise(s["source_ids"]).alias("source_ids"),
+        (s["skipped"] + F.when(known, 0).otherwise(1)).alias("skipped"),
     ).cast(_STATE)
 
 
@@ -78,14 +78,15 @@ def _start() -> Column:
     null = F.lit(None)
     return F.struct(
         F.lit(False).alias("exists"), null.alias("type"), null.alias("text"), null.alias("status"), F.lit(C.CONFIDENCE_DEFAULT).alias("confidence"), F.lit(1.0).alias("importance"),
-        F.lit(0).alias("access_count"), null.alias("last_verified"), null.alias("author"), null.alias("branch"), null.alias("kind"), F.array().alias("source_ids"),
+        F.lit(0).alias("access_count"), null.alias("last_verified"), null.alias("author"), null.alias("branch"), null.alias("kind"), F.lit(0).alias("skipped"),
     ).cast(_STATE)
 
 
-def ordered_fold(df: DataFrame, by: str, keys: list[str], fields: list[str], start: Column, step) -> DataFrame:
-    """``step`` folded over the rows of each ``by``, in the order of ``keys``: (by, state)."""
+def ordered_fold(df: DataFrame, by: str, keys: list[str], fields: list[str], start: Column, step, listed: str | None = None) -> DataFrame:
+    """``step`` folded over the rows of each ``by``, in the order of ``keys``: (by, state), and the values of ``listed`` in that order."""
     rows = F.array_sort(F.collect_list(F.struct(*keys, *[f for f in fields if f not in keys])))
-    return df.groupBy(by).agg(F.aggregate(rows, start, step).alias("state"))
+    extra = [F.transform("_rows", lambda e: e[listed]).alias(listed)] if listed else []
+    return df.groupBy(by).agg(rows.alias("_rows")).select(by, F.aggregate("_rows", start, step).alias("state"), *extra)
 
 
 def node_of() -> Column:
@@ -97,9 +98,10 @@ def nodes(log: DataFrame) -> DataFrame:
     """Nodes of a log (EVENT_DDL and ``pos``, the position in it). Unknown event types change nothing."""
     keyed = log.withColumn("node", node_of())
     keyed = keyed.where(F.col("node").isNotNull() & F.col("type").isin(*CREATES, *CHANGES)).withColumn("at", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp")))
-    folded = ordered_fold(keyed, "node", ["at", "pos"], ["id", "ts", "source", "type", "text", "path", "file", "status", "confidence", "outcome", "kind", "branch", "fixedBy", "selfResolved"], _start(), _step)
+    folded = ordered_fold(keyed, "node", ["at", "pos"], ["id", "ts", "source", "type", "text", "path", "file", "status", "confidence", "outcome", "kind", "branch", "fixedBy", "selfResolved"], _start(), _step, listed="id")
     decay = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for p in C.DECAY.items() for v in p]), F.col("state.type")), F.lit(C.DECAY_OTHER))
-    return folded.where("state.exists").select(F.col("node").alias("id"), "state.*", decay.alias("decay_rate")).drop("exists")
+    sources = F.slice("id", (F.col("state.skipped") + 1).cast("int"), F.size("id")).alias("source_ids")
+    return folded.where("state.exists").select(F.col("node").alias("id"), "state.*", sources, decay.alias("decay_rate")).drop("exists", "skipped")
 
 
 def edges(log: DataFrame) -> DataFrame:

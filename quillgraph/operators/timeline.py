@@ -120,18 +120,20 @@ def interpolated(start: Column, end: Column, epoch: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(start) + F.floor((F.unix_millis(end) - F.unix_millis(start)) * epoch / 10))
 
 
-def global_sessions(df: DataFrame, seconds: int = SESSION_GAP_SECONDS) -> DataFrame:
-    """``session_no`` over the whole table without putting it into one task.
+def global_sessions(df: DataFrame, seconds: int = SESSION_GAP_SECONDS, bin_seconds: int = 3600) -> DataFrame:
+    """``session_no`` over the whole table without putting it into one task; rows without a time have none.
 
-    Gaps are found within days; only one row a day (its last time, its number of breaks) is looked at across days.
+    Gaps are found within bins of ``bin_seconds``; only one row a bin (its ends, its number of breaks) is looked at across
+    bins. A bin is one window group, so ``bin_seconds`` bounds what a task holds.
     """
-    day = df.withColumn("day", F.to_date("ts"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    w = W.partitionBy("day").orderBy("ts", "pos")
-    ends = day.groupBy("day").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    over = W.orderBy("day")
-    ends = ends.withColumn("before", F.lag("last_ts").over(over)).withColumn("opens", F.coalesce((micros("first_ts") - micros("before") > seconds * 1_000_000).cast("long"), F.lit(0)))
-    gaps = day.withColumn("prev", F.lag("ts").over(w)).withColumn("is_new", F.coalesce((micros("ts") - micros("prev") > seconds * 1_000_000).cast("long"), F.lit(0)))
-    breaks = gaps.groupBy("day").agg(F.sum("is_new").alias("breaks")).join(ends.select("day", "opens"), "day")
-    base = breaks.withColumn("base", F.sum("opens").over(over) + F.coalesce(F.sum("breaks").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("day", "base")
-    return gaps.withColumn("within", F.sum("is_new").over(w)).join(base, "day").withColumn("session_no", F.col("within") + F.col("base")).drop("prev", "is_new", "within", "base", "day")
+    breaks = lambda gap: F.coalesce((gap > seconds * 1_000_000).cast("long"), F.lit(0))
+    binned = df.where("ts is not null").withColumn("_bin", F.floor(micros("ts") / (bin_seconds * 1_000_000)))
+    within, across = W.partitionBy("_bin").orderBy("ts", "pos"), W.orderBy("_bin")
+    numbered = binned.withColumn("_new", breaks(micros("ts") - F.lag(micros("ts")).over(within))).withColumn("_within", F.sum("_new").over(within))
+    ends = binned.groupBy("_bin").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    ends = ends.join(numbered.groupBy("_bin").agg(F.sum("_new").alias("_breaks")), "_bin")
+    ends = ends.withColumn("_opens", breaks(micros("_first") - F.lag(micros("_last")).over(across)))
+    base = F.sum("_opens").over(across) + F.coalesce(F.sum("_breaks").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = numbered.join(ends.select("_bin", base.alias("_base")), "_bin").withColumn("session_no", F.col("_within") + F.col("_base"))
+    return out.drop("_bin", "_new", "_within", "_base").unionByName(df.where("ts is null").withColumn("session_no", F.lit(None).cast("long")))

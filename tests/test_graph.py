@@ -214,3 +214,46 @@ def test_retriever(spark):
     assert all(r.components.relevance == 1.0 for r in retrieve.retrieve(nodes, edges.limit(0), "", now).collect())
     assert retrieve.retrieve(nodes.limit(0), edges, "postgres", now).count() == 0
     assert {r.id for r in retrieve.retrieve(nodes, edges, "zzz", now).collect()} == set()
+
+
+def test_groups_are_filled_as_if_every_item_were_tried(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(g, i, draw.choice((0, 1, 2, 3, 7, 19, 50, None)), draw.choice((0.1, 0.2, 0.3, None))) for g in ("a", "b", None) for i in range(300)]
+    rows += [("long", 1, 90, 1.0), ("long", 2, 1, 0.5), ("none", 1, None, 1.0), ("tail", 1, None, 2.0), ("tail", 2, 90, 1.0), ("tail", 3, 4, 0.0)]
+    got = {r.g: r for r in context.fill(spark.createDataFrame(rows, "g string, id long, cost long, score double"), 40, by="g").collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[3] is None, -(r[3] or 0), r[1]))
+        used, ids = 0, []
+        if mine[0][2] is not None and mine[0][2] > 40:
+            used, ids = 40, [mine[0][1]]
+        else:
+            for _, i, cost, _ in mine:
+                if cost is not None and used + cost <= 40:
+                    used, ids = used + cost, [*ids, i]
+        assert (got[g].used, got[g].ids, got[g].dropped) == (used, ids, len(mine) - len(ids))
+    assert context.fill(spark.createDataFrame([], "g string, id long, cost long, score double"), 40, by="g").count() == 0
+
+
+def test_ids_of_a_node_begin_with_its_creation(spark):
+    events = log(spark, {"id": "e0", "type": "NodeAccessed", "nodeId": "d"}, {"id": "e1", "type": "DecisionCreated", "nodeId": "d", "text": "x"}, {"id": "e2", "type": "DecisionResolved", "nodeId": "d"})
+    assert [(r.id, r.source_ids) for r in fold.nodes(events).collect()] == [("d", ["e1", "e2"])]
+
+
+def test_sessions_of_all_rows_across_bins_and_without_times(spark):
+    import datetime as dt
+
+    from quillgraph.operators import timeline
+
+    begin, gaps = dt.datetime(2024, 1, 1), [0, 50, 3000, 10, 4000, 5, 7200, 601, 600, 1, 99999]
+    at, rows = begin, [(None, -1)]
+    for i, gap in enumerate(gaps):
+        at += dt.timedelta(seconds=gap)
+        rows.append((at, i))
+    got = {r.pos: r.session_no for r in timeline.global_sessions(spark.createDataFrame(rows, "ts timestamp, pos int"), 600).collect()}
+    want, n = {-1: None}, 0
+    for i, gap in enumerate(gaps):
+        n += gap > 600
+        want[i] = n
+    assert got == want
