@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import brief, context, fold, graph, ingest, rank, retrieve, sinks, stats, timeline
+from ..operators import brief, context, documents, fold, graph, ingest, rank, retrieve, sinks, stats, timeline
 from ..operators.staging import shared_folder
 from ..sources import notes, transcripts
 from ..streaming import sessions
@@ -288,3 +288,30 @@ def event_log_round_trip(spark, sf_dir):
     lines = spark.read.text(root).withColumn("pos", F.lit(0))
     log = notes.event_log(lines)
     return log.select(F.col("id").cast("long").alias("id"), "type", fold.node_of().alias("node"))
+
+
+@registered("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user' AND trim(coalesce(text, ''), ' \t\n\r') <> '') AS asked, count(*) FILTER (role = 'assistant' AND text IS NOT NULL) AS answered FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN asked = 0 THEN 1 ELSE asked END AS asked, answered FROM c WHERE asked + answered > 0""")
+def chat_sessions(spark, sf_dir):
+    """Conversations as chat sessions: requests come as patches of a session's state, answers from the transcript beside it."""
+    c = _t(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id").cast("string")).where("id is not null and text is not null")
+    path = F.concat(F.lit("/s/w/chatSessions/"), "id", F.lit(".jsonl"))
+    begun = F.concat(F.lit('{"kind": 0, "v": {"sessionId": "'), "id", F.lit('", "creationDate": 1704067200000, "requests": []}}'))
+    begun = c.select("id").distinct().select(path.alias("path"), F.lit(-1).cast("long").alias("pos"), begun.alias("value"))
+    shown = F.array(F.struct(F.concat(F.lit("<userRequest>"), "text", F.lit("</userRequest>")).alias("text")))
+    request = F.to_json(F.struct(F.struct(F.struct(shown.alias("renderedUserMessage")).alias("metadata")).alias("result")))
+    asked = F.concat(F.lit('{"kind": 1, "k": ["requests", '), F.col("turn").cast("string"), F.lit('], "v": '), request, F.lit("}"))
+    chats = begun.unionByName(c.where("role = 'user'").select(path.alias("path"), F.col("turn").alias("pos"), asked.alias("value")))
+    answer = F.to_json(F.struct(F.lit("assistant.message").alias("type"), F.lit("2024-01-01T00:00:01Z").alias("timestamp"), F.struct(F.concat(F.lit("says "), "text").alias("content")).alias("data")))
+    told = c.where("role = 'assistant'").select(transcripts.sibling_transcript(path, F.col("id")).alias("path"), F.col("turn").alias("pos"), answer.alias("value"))
+    said = lambda r: F.count(F.when(F.col("role") == r, 1))
+    return transcripts.chat_sessions(chats, told).groupBy(F.col("session").cast("long").alias("conv_id")).agg(said("user").alias("asked"), said("assistant").alias("answered"))
+
+
+@registered(f"""WITH {_TIMELINE}, k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, source DESC, pos DESC) AS rn FROM t WHERE kind IN ('code_edit', 'artifact'))
+SELECT source, kind, path, event_type AS summary, pos % 2 = 0 AS has_diff FROM k WHERE (kind = 'code_edit' AND rn <= 5) OR (kind = 'artifact' AND rn <= 3)""")
+def context_events(spark, sf_dir):
+    """The recent events as a context document shows them."""
+    none = F.lit(None).cast("string")
+    t = _timeline(spark, sf_dir).withColumn("file", none).withColumn("summary", none).withColumn("content", F.col("event_type")).withColumn("diff", F.when(F.col("pos") % 2 == 0, "d"))
+    return documents.event_rows(t).select("source", "kind", "path", "summary", "has_diff")

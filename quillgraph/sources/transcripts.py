@@ -180,6 +180,88 @@ def sibling_transcript(path: Column, session: Column) -> Column:
     return F.concat(F.regexp_replace(path, r"/[^/]+/[^/]+$", ""), F.lit("/GitHub.copilot-chat/transcripts/"), session, F.lit(".jsonl"))
 
 
+def _moment(c: Column) -> Column:
+    """A time given as milliseconds or as text; null if it is neither."""
+    return F.when(X.strip(c).rlike("^[0-9]{1,16}$"), F.timestamp_millis(X.strip(c).cast("long"))).otherwise(_ts(c))
+
+
+def chat_requests(states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was asked in chat sessions (path, state: as folded): timeline rows with ``session``, and (path, session, start).
+
+    A request's text is marked in its rendered message; a first request without one has the session's title, if there is one.
+    A session without an id is named by its file. The rows' time is the session's start.
+    """
+    schema = "sessionId string, creationDate string, customTitle string, requests array<struct<result:struct<metadata:struct<renderedUserMessage:array<struct<text:string>>>>>>"
+    s = states.where(F.try_parse_json("state").isNotNull()).select("path", F.from_json("state", schema).alias("s")).where("s is not null")
+    session = F.coalesce(F.nullif("s.sessionId", F.lit("")), F.regexp_replace(X.base_name(F.col("path")), r"\.jsonl$", ""))
+    s = s.select("path", "s", session.alias("session"), _moment(F.col("s.creationDate")).alias("start"))
+    marked = r"(?is)<userRequest>\s*(.*?)\s*</userRequest>"
+    asked = s.select("path", "session", "start", F.col("s.customTitle").alias("title"), F.posexplode("s.requests").alias("_pos", "r"))
+    said = F.get(F.filter("r.result.metadata.renderedUserMessage", lambda p: p["text"].rlike(marked)), F.lit(0))["text"]
+    own = F.nullif(X.strip(F.regexp_extract(said, marked, 1)), F.lit(""))
+    title = F.when((F.col("_pos") == 0) & (F.coalesce("title", F.lit("")) != ""), X.strip(F.col("title")))
+    asked = asked.withColumn("text", F.coalesce(own, title)).where("text <> ''").withColumn("_file", F.col("path"))
+    extras = F.create_map(F.lit("sessionId"), F.col("session"), F.lit("requestIndex"), F.col("_pos").cast("string"))
+    columns = {"ts": F.col("start"), "kind": F.lit("message"), "role": F.lit("user"), "content": F.col("text"), "source": F.lit(SOURCES["copilot"]), "extras": extras}
+    return _timeline(asked, **columns).withColumn("session", F.col("extras")["sessionId"]), s.select("path", "session", "start")
+
+
+def transcript_starts(lines: DataFrame) -> DataFrame:
+    """(path, start): the last session start that a transcript tells."""
+    rows = _rows(lines, "type string, timestamp string, data struct<startTime:string>").where("s.type = 'session.start'")
+    start = _moment(F.coalesce(F.nullif("s.timestamp", F.lit("")), F.col("s.data.startTime")))
+    return rows.groupBy(F.col("_file").alias("path")).agg(F.max_by(start, "_pos").alias("start"))
+
+
+def chat_sessions(chats: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Timeline rows of chat session files, each merged with the transcript that lies beside it, if there is one.
+
+    ``chats`` and ``transcripts``: lines (path, pos, value). A chat file that doesn't begin with a snapshot is read as events.
+    """
+    first = chats.where("trim(value) <> ''").groupBy("path").agg(F.min_by("value", "pos").alias("first")).where(F.try_parse_json("first").isNotNull())
+    patched = F.coalesce(F.get_json_object("first", "$.kind") == "0", F.lit(False))
+    asked, found = chat_requests(folded_patches(chats.join(first.where(patched).select("path"), "path", "left_semi")))
+    found = found.withColumn("_file", sibling_transcript(F.col("path"), F.col("session")))
+    answered = copilot_events(transcripts).join(found.select("_file", "session").distinct(), "_file")
+    told = transcript_starts(transcripts).select(F.col("path").alias("_file"), F.col("start").alias("told"))
+    beside = transcripts.select(F.col("path").alias("_file")).distinct()
+    starts = found.join(beside, "_file", "left_semi").join(told, "_file", "left").select("session", F.coalesce("told", "start").alias("start"))
+    events = copilot_events(chats.join(first.where(~patched).select("path"), "path", "left_semi"))
+    return merged_sessions(asked, answered, starts).unionByName(events, allowMissingColumns=True)
+
+
+def read_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, value, modified): small files below ``path`` as whole texts. Hidden folders are read if ``path`` names them."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def artifacts(files: DataFrame, root: str) -> DataFrame:
+    """Markdown files (path, value, modified) of a session's folder, or of its artifacts and browser folders, as timeline rows.
+
+    The time is that of the file ``<path>.metadata.json``, if it tells one, else that of the file's last change. Spark
+    doesn't read files without a byte, so empty notes give no row.
+    """
+    below = F.substring("path", len(root.rstrip("/")) + 2, 2**30)
+    notes = files.where(F.col("path").startswith(root.rstrip("/") + "/") & below.rlike(r"^((artifacts|browser)/)?[^/]+\.md$"))
+    told = F.from_json("value", "updatedAt string, createdAt string, timestamp string")
+    given = F.coalesce(*[F.nullif(told[k], F.lit("")) for k in ("updatedAt", "createdAt", "timestamp")])
+    marks = files.where(F.col("path").endswith(".md.metadata.json")).groupBy(F.regexp_replace("path", r"\.metadata\.json$", "").alias("path")).agg(F.max(_moment(given)).alias("told"))
+    rows = notes.join(marks, "path", "left").withColumn("at", F.coalesce("told", "modified")).where("at is not null")
+    rows = rows.withColumn("_file", F.col("path")).withColumn("_pos", F.lit(0)).withColumn("f", X.base_name(F.col("path")))
+    return _timeline(rows, ts=F.col("at"), kind=F.lit("artifact"), role=F.lit("assistant"), source=F.lit(SOURCES["antigravity"]), file=F.col("f"), path=F.col("path"), summary=F.concat(F.lit("Artifact updated: "), "f"), content=F.substring(F.coalesce("value", F.lit("")), 1, 500))
+
+
+def log_tails(files: DataFrame, chars: int = 500) -> DataFrame:
+    """(id, preview): the ends of the logs of a session's tasks."""
+    return files.where(F.col("path").endswith(".log")).select(F.regexp_replace(X.base_name(F.col("path")), r"\.log$", "").alias("id"), F.expr(f"right(value, {int(chars)})").alias("preview"))
+
+
+def message_files(files: DataFrame) -> DataFrame:
+    """(path, value) of the files that hold JSON which says something."""
+    return files.where(F.try_parse_json("value").isNotNull() & ~X.strip(F.col("value")).isin("null", "false", "0", '""')).select("path", "value")
+
+
 def merged_sessions(asked: DataFrame, answered: DataFrame, starts: DataFrame) -> DataFrame:
     """Timeline rows of chat sessions and their transcripts, both with ``session``; starts are (session, start).
 
