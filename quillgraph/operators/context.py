@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..plans import constants as C
 from . import fold, graph, retrieve
+from .staging import staged
 
 
 def weight_rows(spark: SparkSession, agent: str) -> DataFrame:
@@ -28,17 +29,34 @@ def weighted(items: DataFrame, agent: str | None) -> DataFrame:
     return items.join(F.broadcast(weight_rows(items.sparkSession, agent)), "type", "left").withColumn("score", F.col("score") * F.coalesce("agent_weight", F.lit(1.0))).drop("agent_weight")
 
 
-def fill(items: DataFrame, budget: int, keep: int = 2000, by: str | None = None) -> DataFrame:
+def fill(items: DataFrame, budget: int, by: str | None = None, tie: list[str] | None = None) -> DataFrame:
     """ids and tokens that fit into ``budget``, best score first; an item that doesn't fit is skipped, not a stop.
 
-    ``items``: id, cost, score; items without a score come last, those without a cost are dropped. If the first item alone is
-    too long, it is taken, cut to the budget. Without ``by``, the best ``keep`` items are tried at a time: the next round
-    takes those behind them whose cost fits what is left. With ``by``, each group is filled from its contenders.
+    ``items``: id, cost, score; items without a score come last, those without a cost are dropped. Equal scores are ordered by
+    the columns ``tie``, then by id. If the first item alone is too long, it is taken, cut to the budget. With ``by``, each
+    group has a budget of its own. Only contenders (see there) are gathered, and a fold goes over them once.
     """
-    return _fill_in_rounds(items, budget, keep) if by is None else _fill_groups(items, budget, by)
+    group = by or "_all"
+    tie = tie or []
+    rows = items.select(*([by] if by else [F.lit(0).alias("_all")]), "id", F.col("cost").cast("long").alias("cost"), "score", *tie)
+    rank = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("s"), *tie, "id", "cost")
+    heads = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min(rank).alias("_head"))
+    kind = f"struct<used:bigint,ids:array<{dict(items.dtypes)['id']}>>"
 
+    def step(s: Column, x: Column) -> Column:
+        fits = s["used"] + x["cost"] <= budget
+        return F.struct(F.when(fits, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["ids"], F.array(x["id"]))).otherwise(s["ids"]).alias("ids")).cast(kind)
 
-def _contenders(rows: DataFrame, budget: int, by: str, salts: int = 64) -> DataFrame:
+    start = F.struct(F.lit(0).alias("used"), F.array().alias("ids")).cast(kind)
+    folded = _contenders(rows, budget, group, tie).groupBy(F.col(group).alias("_by")).agg(F.array_sort(F.collect_list(rank)).alias("rows"))
+    out = heads.join(folded.select("_by", F.aggregate("rows", start, step).alias("state")), F.col(group).eqNullSafe(F.col("_by")), "left")
+    alone = F.coalesce(F.col("_head.cost") > budget, F.lit(False))
+    used = F.when(alone, F.lit(budget)).otherwise(F.coalesce("state.used", F.lit(0))).cast("long")
+    ids = F.when(alone, F.array("_head.id")).otherwise(F.coalesce("state.ids", F.array().cast(kind.split("ids:")[1][:-1])))
+    return out.select(*([by] if by else []), used.alias("used"), ids.alias("ids"), (F.col("_n") - F.size(ids)).alias("dropped"))
+
+
+def _contenders(rows: DataFrame, budget: int, by: str, tie: list[str], salts: int = 64) -> DataFrame:
     """The rows that a fill can take at all: of a cost, only the first ``budget // cost`` of a group.
 
     Once a row of a cost doesn't fit, no later one of that cost does, as what is used only grows. So a group keeps about
@@ -47,46 +65,10 @@ def _contenders(rows: DataFrame, budget: int, by: str, salts: int = 64) -> DataF
     most = F.when(F.col("cost") > 0, F.floor(F.lit(budget) / F.col("cost"))).when(F.col("cost") <= 0, F.lit(2**31))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     for keys in ((by, "cost", "_salt"), (by, "cost")):
-        rows = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), "id"))).where(F.col("_rn") <= most)
+        rows = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last(), *tie, "id"))).where(F.col("_rn") <= most)
     return rows.drop("_salt", "_rn")
 
 
-def _fill_groups(items: DataFrame, budget: int, by: str) -> DataFrame:
-    rows = items.select(by, "id", F.col("cost").cast("long").alias("cost"), "score")
-    rank = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("s"), "id", "cost")
-    heads = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min(rank).alias("_head"))
-    kind = f"struct<used:bigint,ids:array<{dict(items.dtypes)['id']}>>"
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["cost"] <= budget
-        return F.struct(F.when(fits, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["ids"], F.array(x["id"]))).otherwise(s["ids"]).alias("ids")).cast(kind)
-
-    start = F.struct(F.lit(0).alias("used"), F.array().alias("ids")).cast(kind)
-    folded = _contenders(rows, budget, by).groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(rank)).alias("rows"))
-    out = heads.join(folded.select("_by", F.aggregate("rows", start, step).alias("state")), F.col(by).eqNullSafe(F.col("_by")), "left")
-    alone = F.coalesce(F.col("_head.cost") > budget, F.lit(False))
-    used = F.when(alone, F.lit(budget)).otherwise(F.coalesce("state.used", F.lit(0))).cast("long")
-    ids = F.when(alone, F.array("_head.id")).otherwise(F.coalesce("state.ids", F.array().cast(kind.split("ids:")[1][:-1])))
-    return out.select(by, used.alias("used"), ids.alias("ids"), (F.col("_n") - F.size(ids)).alias("dropped"))
-
-
-def _fill_in_rounds(items: DataFrame, budget: int, keep: int) -> DataFrame:
-    rows = items.select("id", F.col("cost").cast("long").alias("cost"), "score")
-    n, used, ids, rest = rows.count(), 0, [], rows
-    while top := rest.orderBy(F.col("score").desc_nulls_last(), "id").limit(keep).collect():
-        if not ids and top[0]["cost"] is not None and top[0]["cost"] > budget and rest is rows:
-            used, ids = budget, [top[0]["id"]]
-            break
-        for r in top:
-            if r["cost"] is not None and used + r["cost"] <= budget:
-                used += r["cost"]
-                ids.append(r["id"])
-        last = top[-1]
-        behind = F.col("score").isNull() & (F.col("id") > F.lit(last["id"])) if last["score"] is None else F.col("score").isNull() | (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > F.lit(last["id"])))
-        rest = rows.where(behind & (F.col("cost") <= budget - used))
-    return items.sparkSession.createDataFrame([(used, ids, n - len(ids))], f"used bigint, ids array<{dict(items.dtypes)['id']}>, dropped bigint")
-
-
 def block(row_type: str = "type", history: str = "history") -> Column:
     """The text of an item; ``history`` holds the display texts of what it replaced, oldest first (or null)."""
     t = X.truncated(F.col("text"), C.TEXT_LIMIT)
@@ -132,8 +114,9 @@ def blocks_of(items: DataFrame, edges: DataFrame | None, profile: str = "default
 def compiled(items: DataFrame, edges: DataFrame | None, profile: str = "default", agent: str | None = None) -> Context:
     """The context text of a profile: a greedy fill of the best blocks, rendered best first. Unknown profiles are the default."""
     budget = C.TIERS.get(profile, C.TIERS["default"])
-    rows = blocks_of(items, edges, profile, agent)
-    filled = fill(rows, budget).first()
+    tie = [c for c in TIE if c in items.columns]
+    rows = staged(blocks_of(items, edges, profile, agent).select("id", "block", "cost", "score", "absorbed", *tie), "blocks")
+    filled = fill(rows, budget, tie=tie).first()
     if not filled or not filled["ids"]:
         return Context("", [], 0, 0, budget)
     shown = F.when(F.col("cost") > budget, X.truncated(F.col("block"), max(20, 4 * budget))).otherwise(F.col("block")).alias("block")
@@ -142,10 +125,39 @@ def compiled(items: DataFrame, edges: DataFrame | None, profile: str = "default"
     return Context("\n\n".join(chosen[i]["block"] for i in filled["ids"]), included, filled["dropped"], filled["used"], budget)
 
 
+#: What orders items of one score, where a table has it: their part of the working memory, then their birth.
+TIE = ("place", "born_at", "born_pos")
+
+
+def memory_items(nodes: DataFrame) -> DataFrame:
+    """The working memory as items: an item's score is its importance; goals come before tasks, decisions and blockers."""
+    place = F.array_position(F.array(*map(F.lit, ("goals", "tasks", "decisions", "blockers"))), F.col("bucket"))
+    return fold.working_memory(nodes).withColumn("score", F.coalesce("importance", F.lit(1.0))).withColumn("place", place)
+
+
+def compile_many(items: DataFrame, edges: DataFrame | None, by: str, profile: str = "default") -> DataFrame:
+    """(by, text, ids, used, dropped): the contexts of many queries in one plan, a budget each. ``items`` have a row for each item of each query."""
+    budget = C.TIERS.get(profile, C.TIERS["default"])
+    own = F.concat_ws("\x1f", F.col(by).cast("string"), F.col("id").cast("string"))  # an item of one query is not that of another
+    named = items.withColumn("_id", F.col("id")).withColumn("id", own)
+    if edges is not None:
+        queries = items.select(F.col(by), "id").distinct()
+        ends = lambda c: F.concat_ws("\x1f", F.col(by).cast("string"), F.col(c).cast("string")).alias(c)
+        steps = edges.join(queries.withColumnRenamed("id", "from"), "from").join(queries.withColumnRenamed("id", "to"), ["to", by])
+        edges = steps.select(ends("from"), ends("to"), "relation", "pos")
+    tie = [c for c in TIE if c in items.columns]
+    rows = staged(blocks_of(named, edges, profile).select(by, "id", "_id", "block", "cost", "score", *tie), "blocks")
+    filled = staged(fill(rows, budget, by, tie), "filled")
+    chosen = filled.select(by, F.posexplode("ids").alias("at", "id")).join(rows.select("id", "_id", "block", "cost"), "id")
+    shown = F.when(F.col("cost") > budget, X.truncated(F.col("block"), max(20, 4 * budget))).otherwise(F.col("block"))
+    texts = chosen.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", shown.alias("block"), "_id"))).alias("rows"))
+    return filled.drop("ids").join(texts, by, "left").select(by, F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n").alias("text"), F.transform("rows", lambda r: r["_id"]).alias("ids"), "used", "dropped")
+
+
 def compile_tier(nodes: DataFrame, edges: DataFrame, profile: str, query: str, now: Column, agent: str | None = None) -> Context:
     """``compiled`` from its own source: the working memory for the tiny profile, else what the retriever finds."""
     if profile == "tiny":
-        items = fold.working_memory(nodes).withColumn("score", F.coalesce("confidence", F.lit(0.6)) * F.coalesce("importance", F.lit(1.0)))
+        items = memory_items(nodes)
     else:
         items = nodes.join(retrieve.retrieve(nodes, edges, query, now).select("id", "score"), "id")
     return compiled(items, edges, profile, agent)

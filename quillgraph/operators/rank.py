@@ -1,7 +1,8 @@
 """Lexical, vector and graph ranking. The query is a parameter: its tokens are literals, so scoring never shuffles the corpus.
 
-Corpus figures (document frequencies of the query's tokens, size, mean length) are one aggregate with partial sums, whose
-single row is fetched and enters the scoring as literals.
+Texts are broken into tokens once a query; what is left of a text then is its length and the frequencies of the query's
+tokens. Corpus figures (document frequencies, size, mean length) are one aggregate with partial sums over that, whose single
+row is fetched and enters the scoring as literals.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import constants as C
+from .staging import staged
 
 
 def query_tokens(query: str) -> list[str]:
@@ -35,35 +37,42 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def matched(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """The rows without their text, with ``len`` and ``tf`` (of each distinct query token). Texts are broken into tokens here,
+    once; what comes out is narrow and written, so figures, maxima and scores read that."""
+    terms = list(dict.fromkeys(query_tokens(query)))
+    tf = lambda t: F.size(F.filter("tokens", lambda x: x == t))
+    rows = once(docs, "tokens", X.tokens(F.col(text)))
+    return staged(rows.select(*[c for c in docs.columns if c != text], F.size("tokens").alias("len"), F.array(*[tf(t) for t in terms]).alias("tf")), "matched")
+
+
 def bm25(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """The rows with ``tokens`` and ``bm25`` (0 where nothing matches; query tokens that repeat count again)."""
+    """The rows without their text, with ``bm25`` (0 where nothing matches; query tokens that repeat count again) and ``coverage``."""
     q = query_tokens(query)
     terms = list(dict.fromkeys(q))
-    docs = once(docs, "tokens", X.tokens(F.col(text)))
     if not terms:
-        return docs.withColumn("bm25", F.lit(0.0))
-    tf = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
-    docs = once(docs.withColumn("len", F.size("tokens")), "tf", F.array(*[tf(t) for t in terms]))
+        return docs.drop(text).withColumn("bm25", F.lit(0.0)).withColumn("coverage", F.lit(0.0))
+    docs = matched(docs, query, text)
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"), F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("df"))
     found = stats.first()
     df, n, mean = [F.lit(x or 0) for x in found["df"]], F.lit(found["n"]), F.lit(float(found["mean_len"] or 1))
     part = lambda i: idf(df[i], n) * F.col("tf")[i] * (C.BM25_K1 + 1) / (F.col("tf")[i] + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("len") / mean))
-    score = F.lit(0.0)
+    score, cover = F.lit(0.0), F.lit(0)
     for t in q:
         i = terms.index(t)
         score = score + F.when(F.col("tf")[i] > 0, part(i)).otherwise(0.0)
-    return docs.withColumn("bm25", score).drop("tf", "len")
+    for i in range(len(terms)):
+        cover = cover + (F.col("tf")[i] > 0).cast("int")
+    return docs.withColumn("bm25", score).withColumn("coverage", cover / F.lit(len(terms))).drop("tf", "len")
 
 
 def lexical(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     """``bm25`` by its maximum, times coverage: ``relevance``. An empty query makes everything 1."""
-    q = query_tokens(query)
-    if not q:
-        return once(docs, "tokens", X.tokens(F.col(text))).withColumn("bm25", F.lit(0.0)).withColumn("relevance", F.lit(1.0))
     scored = bm25(docs, query, text)
+    if not query_tokens(query):
+        return scored.withColumn("relevance", F.lit(1.0))
     top = F.lit(max(scored.agg(F.max("bm25")).first()[0] or 0.0, 1e-9))
-    cover = X.coverage(F.array(*map(F.lit, q)), F.col("tokens"))
-    return scored.withColumn("coverage", cover).withColumn("relevance", F.col("bm25") / top * F.col("coverage"))
+    return scored.withColumn("relevance", F.col("bm25") / top * F.col("coverage"))
 
 
 def directory_tokens(path: Column) -> Column:
@@ -76,11 +85,11 @@ def directory_boost(files: DataFrame, query: str, path: str = "text", only: Colu
     """The rows with ``boost``: 1 + 3 * share of the query's directory tokens that the file's directories have.
 
     A token counts if it is in few enough directories (all do in a corpus of under four files). Rows that aren't ``only``
-    have no directories and don't count as files.
+    have no directories and don't count as files. Rows that have ``dirs`` (their directory tokens) already keep them.
     """
     only = F.lit(True) if only is None else only
     q = query_tokens(query)
-    rows = files.withColumn("dirs", F.when(only, directory_tokens(F.col(path))).otherwise(F.array().cast("array<string>")))
+    rows = files if "dirs" in files.columns else files.withColumn("dirs", F.when(only, directory_tokens(F.col(path))).otherwise(F.array().cast("array<string>")))
     if not q:
         return rows.withColumn("boost", F.lit(1.0)).drop("dirs")
     stats = rows.agg(F.count(F.when(only, 1)).alias("n"), F.array(*[F.sum(F.array_contains("dirs", t).cast("long")) for t in q]).alias("df"))

@@ -28,13 +28,16 @@ def seen_by(nodes: DataFrame, agent: str | None) -> DataFrame:
 
 
 def relevance(nodes: DataFrame, query: str, query_vector: Column | None = None, vectors: DataFrame | None = None, weight: float = 0.5) -> DataFrame:
-    """The nodes with ``relevance``: lexical, mixed with the cosine where there is a vector, lifted by matching directories."""
-    found = rank.lexical(nodes.withColumn("search_text", search_text()), query, "search_text").drop("tokens", "search_text", "coverage", "bm25")
+    """The nodes (without their text) with ``relevance``: lexical, mixed with the cosine where there is a vector, lifted by matching directories."""
+    files = F.col("type") == "File"
+    dirs = F.when(files, rank.directory_tokens(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    rows = nodes.withColumn("search_text", search_text()).withColumn("dirs", dirs).drop("text")
+    found = rank.lexical(rows, query, "search_text").drop("coverage", "bm25")
     if query_vector is not None and vectors is not None:
         found = found.join(vectors.select("id", "vector"), "id", "left").withColumn("relevance", rank.blended(F.col("relevance"), F.col("vector"), query_vector, weight)).drop("vector")
     if rank.query_tokens(query):
-        found = rank.directory_boost(found, query, only=F.col("type") == "File").withColumn("relevance", F.col("relevance") * F.col("boost")).drop("boost")
-    return found
+        found = rank.directory_boost(found, query, only=files).withColumn("relevance", F.col("relevance") * F.col("boost")).drop("boost")
+    return found.drop("dirs")
 
 
 def retrieve(

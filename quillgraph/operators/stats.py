@@ -68,3 +68,18 @@ def scored_quality(scored: DataFrame, *ks: int) -> DataFrame:
     all_ = best.join(hits, "query").join(before, "query", "left")
     at = [c for k in ks for c in (F.when(F.col("relevant") > 0, F.col(f"h{k}") / F.col("relevant")).otherwise(0.0).alias(f"recall_{k}"), (F.col(f"h{k}") / F.least(F.lit(k), F.col("n"))).alias(f"precision_{k}"), (F.col(f"h{k}") / k).alias(f"share_{k}"))]
     return all_.select("query", *at, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def compiled_recall(expected: DataFrame, ranked: DataFrame, compiled: DataFrame, *ks: int) -> DataFrame:
+    """(query, recall_k..., reciprocal_rank): like ``scored_quality``, but what the compiled text shows counts as found.
+
+    ``expected``: query, id, text; ``ranked``: query, id, rank; ``compiled``: query, text. A text is shown if the first twenty
+    characters of it are in the compiled text, whatever their case. If only shown texts are found, the rank counts as the
+    smallest k.
+    """
+    hint = F.lower(F.substring("text", 1, 20))
+    rows = expected.select("query", "id", hint.alias("hint")).join(ranked.select("query", "id", "rank"), ["query", "id"], "left")
+    rows = rows.join(compiled.select("query", F.lower("text").alias("shown")), "query", "left").withColumn("seen", F.coalesce(F.col("shown").contains(F.col("hint")), F.lit(False)))
+    found = [F.avg((F.coalesce(F.col("rank") <= k, F.lit(False)) | F.col("seen")).cast("double")).alias(f"recall_{k}") for k in ks]
+    best = F.coalesce(1 / F.min("rank"), F.when(F.bool_or("seen"), F.lit(1.0 / min(ks))).otherwise(F.lit(0.0)))
+    return rows.groupBy("query").agg(*found, best.alias("reciprocal_rank"))

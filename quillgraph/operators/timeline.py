@@ -32,6 +32,11 @@ def page(df: DataFrame, keys: list[Column], limit: int, offset: int = 0) -> Data
     return df.orderBy(*keys).offset(offset).limit(limit)
 
 
+def paged(df: DataFrame, keys: list[Column], limit: int, offset: int = 0) -> tuple[int, DataFrame]:
+    """The number of all rows, and the page; a negative offset is the beginning."""
+    return df.count(), page(df, keys, limit, max(0, offset))
+
+
 def filtered(df: DataFrame, kind: str = "all", source: str = "all", role: str = "all") -> DataFrame:
     if kind == "code_edit":
         df = df.where(F.col("kind").isin("code_edit", "artifact"))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, fold, graph, rank, stats, timeline
+from ..operators import context, fold, graph, pieces, rank, stats, timeline
 from ..operators.staging import shared_folder
 from ..streaming import sessions
 
@@ -254,17 +254,12 @@ def snapshot_lag_diff(spark, sf_dir):
 
 
 def _folded(events: DataFrame) -> DataFrame:
-    start = F.struct(F.lit(0.6).alias("confidence"), F.lit(1.0).alias("importance"), F.lit("open").alias("status"), F.lit(0).cast("long").alias("n"))
-
-    def step(s, e):
-        kind = e["event_type"]
-        confidence = F.when(kind == "error", s["confidence"] * 0.2).when(kind == "purchase", F.least(F.lit(1.0), s["confidence"] + 0.1)).when(kind == "signup", F.lit(0.85)).otherwise(s["confidence"])
-        importance = F.when(kind == "click", X.round3(s["importance"] + 0.1)).otherwise(s["importance"])
-        status = F.when(kind == "error", F.lit("superseded")).when(kind == "signup", F.lit("active")).otherwise(s["status"])
-        return F.struct(confidence.alias("confidence"), importance.alias("importance"), status.alias("status"), (s["n"] + 1).alias("n"))
-
-    out = fold.ordered_fold(events, "user_id", ["ts", "event_id"], ["event_type"], start, step)
-    return out.select("user_id", X.round6(F.col("state.confidence")).alias("confidence"), X.round3(F.col("state.importance")).alias("importance"), "state.status", "state.n")
+    kind = F.col("event_type")
+    step = F.when(kind == "error", pieces.mapped(0.2)).when(kind == "purchase", pieces.mapped(1.0, 0.1, 1.0)).when(kind == "signup", pieces.set_to(0.85))
+    status = F.when(kind == "error", F.lit("superseded")).when(kind == "signup", F.lit("active"))
+    registers = [pieces.count("n", F.lit(True)), pieces.count("clicks", kind == "click"), pieces.last("status", status, status.isNotNull())]
+    out = pieces.fold(events.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", registers, step, hours=24)
+    return out.select("user_id", X.round6(pieces.applied(F.col("step"), 0.6)).alias("confidence"), X.round3(1.0 + 0.1 * F.col("clicks")).alias("importance"), F.coalesce("status.value", F.lit("open")).alias("status"), "n")
 
 
 _FOLD = """o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events}),

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import brief, context, documents, fold, graph, ingest, rank, retrieve, sinks, stats, timeline
+from ..operators import brief, context, documents, fold, graph, history, ingest, open_sessions, postings, rank, retrieve, sinks, stats, tables, timeline
 from ..operators.staging import shared_folder
 from ..sources import notes, transcripts
-from ..streaming import sessions
-from .catalogue import _BM25, _FOLD, _R3, _R6, _TIMELINE, NOW, QUERY, _folded, _t, _timeline, registered
+from ..streaming import sessions, state
+from . import constants as C
+from .constants import EVENT_DDL
+from .catalogue import _BM25, _FOLD, _R3, _R6, _TIMELINE, _TOKENS, NOW, QUERY, _folded, _t, _timeline, registered
 
 _NODES = """lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 nodes AS (SELECT d.doc_id AS id, CASE WHEN d.doc_id % 3 = 0 THEN 'Decision' ELSE 'Goal' END AS type, d.source AS author, CASE WHEN quality = 0 THEN 'superseded' ELSE 'active' END AS status,
@@ -256,6 +259,37 @@ def timed_edits(spark, sf_dir):
     return transcripts.timed(edits, index).select(F.col("session").alias("l_orderkey"), F.col("epoch").alias("l_linenumber"), "ts")
 
 
+@registered("WITH RECURSIVE " + _FOLD.format(events="events"))
+def stream_node_state(spark, sf_dir):
+    """The same fold in the state store: four runs of the stream, each from the checkpoint of the one before, with events up to a day late."""
+    root = f"{shared_folder(spark)}/quillgraph/state-{uuid.uuid4().hex}"
+    events = _t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    week = F.floor((F.unix_seconds("ts") + F.when(F.col("event_id") % 2 == 0, 86_400).otherwise(0)) / (8 * 86_400))
+    staged_weeks = events.withColumn("week", week)
+    staged_weeks.write.partitionBy("week").parquet(f"{root}/weeks")
+    own = state.session(spark)
+    for r in spark.read.parquet(f"{root}/weeks").select("week").distinct().orderBy("week").collect():  # five at most
+        spark.read.schema(events.schema).parquet(f"{root}/weeks/week={r['week']}").write.mode("append").parquet(f"{root}/source")
+        stream = own.readStream.schema(events.schema).parquet(f"{root}/source")
+        states = state.settled_state(stream, "user_id", "ts", "event_id", "event_type string", "confidence double, importance double, status string, n long", _START, _next_state, "2 days")
+        state.follow(states, root)
+    shown = state.shown(spark, root, "user_id")
+    return shown.select("user_id", X.round6(F.col("confidence")).alias("confidence"), X.round3(F.col("importance")).alias("importance"), "status", "n")
+
+
+_START = {"confidence": 0.6, "importance": 1.0, "status": "open", "n": 0}
+
+
+def _next_state(s, e):
+    kind, c = e["event_type"], s["confidence"]
+    return {
+        "confidence": c * 0.2 if kind == "error" else min(1.0, c + 0.1) if kind == "purchase" else 0.85 if kind == "signup" else c,
+        "importance": math.floor((s["importance"] + 0.1) * 1000 + 0.5) / 1000 if kind == "click" else s["importance"],
+        "status": {"error": "superseded", "signup": "active"}.get(kind, s["status"]),
+        "n": s["n"] + 1,
+    }
+
+
 @registered("WITH RECURSIVE " + _FOLD.format(events="events"))
 def stream_fold(spark, sf_dir):
     """The ordered fold as a stream: the log comes in files of its own order, a micro-batch each, and only touched keys are worked out again."""
@@ -278,16 +312,14 @@ def stream_touches(spark, sf_dir):
     return spark.read.schema(t.schema).parquet(f"{root}/out")
 
 
-@registered("SELECT event_id AS id, 'FileTouched' AS type, 'file:u' || user_id::VARCHAR AS node FROM events WHERE event_type IN ('click', 'purchase')")
+@registered("SELECT event_id AS id, 'FileTouched' AS type, 'file:u' || user_id::VARCHAR AS node, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE event_type IN ('click', 'purchase')")
 def event_log_round_trip(spark, sf_dir):
-    """Events appended to a log of JSON lines and read back, with broken lines between them."""
+    """Events appended to a log of JSON lines in their order and read back with the number of their line, broken lines between them."""
     root = f"{shared_folder(spark)}/quillgraph/log-{uuid.uuid4().hex}"
     e = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
-    notes.append_events(e.select(F.col("event_id").cast("string").alias("id"), F.lit("FileTouched").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")), root)
-    spark.createDataFrame([("{broken",), ("",)], "value string").write.mode("append").text(root)
-    lines = spark.read.text(root).withColumn("pos", F.lit(0))
-    log = notes.event_log(lines)
-    return log.select(F.col("id").cast("long").alias("id"), "type", fold.node_of().alias("node"))
+    notes.append_events(e.orderBy("event_id").select(F.col("event_id").cast("string").alias("id"), F.lit("FileTouched").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")), root)
+    spark.createDataFrame([("{broken",), ("",)], "value string").write.text(f"{root}/z")  # their names come last
+    return notes.read_log(spark, root).select(F.col("id").cast("long").alias("id"), "type", fold.node_of().alias("node"), F.col("pos").alias("place"))
 
 
 @registered("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user' AND trim(coalesce(text, ''), ' \t\n\r') <> '') AS asked, count(*) FILTER (role = 'assistant' AND text IS NOT NULL) AS answered FROM conversations GROUP BY conv_id)
@@ -315,3 +347,119 @@ def context_events(spark, sf_dir):
     none = F.lit(None).cast("string")
     t = _timeline(spark, sf_dir).withColumn("file", none).withColumn("summary", none).withColumn("content", F.col("event_type")).withColumn("diff", F.when(F.col("pos") % 2 == 0, "d"))
     return documents.event_rows(t).select("source", "kind", "path", "summary", "has_diff")
+
+
+_ASKED = f"""d AS (SELECT doc_id, {_TOKENS} AS tok FROM documents), f AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS al FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(tok) AS len, unnest(tok) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS bm25 FROM q JOIN df USING (term) JOIN tf USING (term) CROSS JOIN f GROUP BY 1, 2)"""
+
+
+@registered(f"""WITH {_ASKED} SELECT item_id, doc_id, {_R6.format("bm25")} AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rn FROM s) WHERE rn <= 20""")
+def bm25_batch_topk(spark, sf_dir):
+    """Every benchmark item asks an index that was built in two segments: the documents' texts are broken into tokens once."""
+    root = f"{shared_folder(spark)}/quillgraph/postings-{uuid.uuid4().hex}"
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    for batch in (0, 1):
+        postings.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == batch), root, batch, "doc_id", folders=8)
+    found = postings.search(_t(spark, sf_dir, "benchmark").select("item_id", "text"), root, 20, query="item_id", folders=8)
+    return found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), X.round6(F.col("bm25")).alias("score"))
+
+
+@registered("""WITH d AS (SELECT doc_id, sha1(coalesce(text, '')) AS h FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'third' WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END || left(h, 8) AS hash, CASE WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS batch FROM d""")
+def cache_upsert(spark, sf_dir):
+    """A cache of hashes changed by three batches, the second of which comes twice; each rewrites only the folders it touches."""
+    root = f"{shared_folder(spark)}/quillgraph/cache-{uuid.uuid4().hex}"
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha1(F.coalesce("text", F.lit(""))).alias("hash"))
+    for batch, (name, of) in enumerate((("first", 1), ("second", 3), ("second", 3), ("third", 5))):
+        rows = d.where(F.col("doc_id") % of == 0).select("doc_id", F.concat(F.lit(name), F.left("hash", F.lit(8))).alias("hash"))
+        tables.upsert(rows.withColumn("batch", F.lit(min(batch, 1) if batch < 3 else 2).cast("long")), "doc_id", root, min(batch, 1) if batch < 3 else 2, buckets=16)
+    return tables.read(spark, root, "doc_id long, hash string, batch long")
+
+
+_LOG = """e AS (SELECT user_id AS id, event_id AS pos, ts, event_type AS kind FROM events),
+m AS (SELECT unnest([TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-12 12:00:00', TIMESTAMP '2024-01-25 00:00:00']) AS moment),
+o AS (SELECT moment, e.*, row_number() OVER (PARTITION BY moment, e.id ORDER BY ts, pos) AS rn FROM e, m WHERE ts <= moment
+    AND EXISTS (SELECT 1 FROM e b WHERE b.id = e.id AND b.kind = 'signup' AND (b.ts < e.ts OR (b.ts = e.ts AND b.pos <= e.pos)))),
+f AS (SELECT DISTINCT moment, id, 0::BIGINT AS rn, 0.6::DOUBLE AS c, 0::BIGINT AS acc, 'open' AS st FROM o
+    UNION ALL SELECT f.moment, f.id, o.rn, CASE o.kind WHEN 'signup' THEN 0.6::DOUBLE WHEN 'error' THEN c * 0.2::DOUBLE WHEN 'purchase' THEN least(1.0::DOUBLE, c + 0.1::DOUBLE) ELSE c END,
+    acc + (o.kind = 'click')::INT, CASE o.kind WHEN 'signup' THEN 'active' WHEN 'error' THEN 'superseded' WHEN 'view' THEN 'resolved' ELSE st END FROM f JOIN o ON o.moment = f.moment AND o.id = f.id AND o.rn = f.rn + 1)"""
+
+
+def _decision_log(spark, sf_dir):
+    """Every user as a decision: signing up makes it (again), errors revert it, purchases confirm it, views resolve it, clicks look at it."""
+    kind = F.col("event_type")
+    act = F.when(kind == "signup", "DecisionCreated").when(kind.isin("error", "purchase"), "DecisionOutcomeObserved").when(kind == "view", "DecisionResolved").otherwise("NodeAccessed")
+    given = {"id": F.col("event_id").cast("string"), "ts": F.col("ts").cast("timestamp"), "source": F.lit("agent"), "type": act, "nodeId": F.col("user_id").cast("string"), "outcome": F.when(kind == "error", "reverted").when(kind == "purchase", "confirmed")}
+    columns = [given.get(name, F.lit(None)).cast(ddl).alias(name) for name, ddl in (x.replace("`", "").split(" ", 1) for x in EVENT_DDL.split(", "))]
+    return _t(spark, sf_dir, "events").select(*columns, F.col("event_id").alias("pos"))
+
+
+@registered(f"""WITH RECURSIVE {_LOG} SELECT moment, id, {_R6.format("arg_max(c, rn)")} AS confidence, arg_max(acc, rn) AS accesses, arg_max(st, rn) AS status FROM f GROUP BY moment, id""")
+def graph_at_moments(spark, sf_dir):
+    """The nodes at three moments, by filters over intervals that were made once."""
+    root = f"{shared_folder(spark)}/quillgraph/versions-{uuid.uuid4().hex}"
+    history.node_versions(_decision_log(spark, sf_dir)).write.parquet(root)
+    out = None
+    for moment in ("2024-01-05 00:00:00", "2024-01-12 12:00:00", "2024-01-25 00:00:00"):
+        at = F.lit(moment).cast("timestamp")
+        rows = history.at_moment(spark.read.parquet(root), at).select(F.to_timestamp_ntz(F.lit(moment)).alias("moment"), F.col("id").cast("long").alias("id"), X.round6(F.col("confidence")).alias("confidence"), F.col("access_count").alias("accesses"), "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@registered(f"""WITH RECURSIVE {_LOG.replace("TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-12 12:00:00', TIMESTAMP '2024-01-25 00:00:00'", "TIMESTAMP '2100-01-01 00:00:00'")}
+SELECT id, {_R6.format("arg_max(c, rn)")} AS confidence, arg_max(acc, rn) AS accesses, arg_max(st, rn) AS status, {_R3.format("(1.0::DOUBLE + 0.1::DOUBLE * arg_max(acc, rn))")} AS importance, max(rn) AS n_sources FROM f GROUP BY id""")
+def fold_nodes(spark, sf_dir):
+    """The materialiser itself, over a log with all sorts of events of a decision; its source ids counted."""
+    n = fold.nodes(_decision_log(spark, sf_dir))
+    return n.select(F.col("id").cast("long").alias("id"), X.round6(F.col("confidence")).alias("confidence"), F.col("access_count").alias("accesses"), "status", "importance", F.size("source_ids").cast("long").alias("n_sources"))
+
+
+@registered("""WITH t AS (SELECT ts, event_id AS pos, user_id::VARCHAR AS file FROM events WHERE event_type IN ('click', 'purchase', 'view')),
+g AS (SELECT *, (ts - lag(ts) OVER (ORDER BY ts, pos) > INTERVAL 240 SECOND)::INT AS b FROM t), s AS (SELECT *, coalesce(sum(b) OVER (ORDER BY ts, pos ROWS UNBOUNDED PRECEDING), 0) AS k FROM g),
+f AS (SELECT k, file, min({ts: ts, pos: pos}) AS first FROM s GROUP BY k, file), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY first, file) AS rn FROM f)
+SELECT DISTINCT least(a.file, b.file) AS "from", greatest(a.file, b.file) AS "to" FROM r a JOIN r b ON a.k = b.k AND a.rn < b.rn WHERE a.rn <= 10 AND b.rn <= 10""")
+def coedits_in_batches(spark, sf_dir):
+    """Touches in three batches that lie across each other; the last comes twice. Sessions are merged as the batches come."""
+    root = f"{shared_folder(spark)}/quillgraph/sessions-{uuid.uuid4().hex}"
+    t = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase', 'view')").select("ts", F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("file"))
+    for batch in (0, 1, 2, 2):
+        open_sessions.take(t.where(F.pmod(F.xxhash64("pos"), F.lit(3)) == batch), root, batch, seconds=240)
+    return open_sessions.pairs(open_sessions.sessions(spark, root)).select("from", "to")
+
+
+@registered(f"""WITH {_NODES}, w AS (SELECT *, CASE WHEN type = 'Goal' THEN 1 ELSE 3 END AS place FROM nodes WHERE status = 'active' AND type = 'Decision' OR (type = 'Goal' AND status = 'open')),
+t AS (SELECT id, text FROM (SELECT doc_id AS id, trim(coalesce(text, ''), ' \t\n\r\f\v') AS text FROM documents)),
+c AS (SELECT w.id, w.importance, w.place, ceil(length(type || ': ' || CASE WHEN length(t.text) > 80 THEN left(t.text, 79) || '…' ELSE t.text END) / 4.0::DOUBLE)::BIGINT AS cost FROM w JOIN t ON t.id = w.id),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY importance DESC, place, id) AS rn FROM c),
+f AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS used, []::BIGINT[] AS ids UNION ALL SELECT o.rn, CASE WHEN used + cost <= 200 THEN used + cost ELSE used END, CASE WHEN used + cost <= 200 THEN list_append(ids, o.id) ELSE ids END FROM f JOIN o ON o.rn = f.rn + 1)
+SELECT arg_max(used, rn) AS used, array_to_string(arg_max(ids, rn), ',') AS ids, max(rn) - len(arg_max(ids, rn)) AS dropped FROM f HAVING max(rn) > 0""".replace("WITH lab", "WITH RECURSIVE lab"))
+def compile_tiny(spark, sf_dir):
+    """The tiny profile: the working memory by importance, goals first, filled into its budget."""
+    rows = context.blocks_of(context.memory_items(_nodes(spark, sf_dir)), None, "tiny")
+    got = context.fill(rows, C.TIERS["tiny"], tie=["place"])
+    return got.select("used", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "dropped")
+
+
+@registered(f"""WITH RECURSIVE {_BM25}, i AS (SELECT b.doc_id AS id, source AS query, bm25 AS score, ceil(length('Goal: ' || CASE WHEN length(x) > 80 THEN left(x, 79) || '…' ELSE x END) / 4.0::DOUBLE)::BIGINT AS cost, x AS text
+    FROM b JOIN (SELECT doc_id, source, trim(coalesce(text, ''), ' \t\n\r\f\v') AS x FROM documents) USING (doc_id) WHERE bm25 >= 0.02),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rn FROM i),
+f AS (SELECT DISTINCT query, 0::BIGINT AS rn, 0::BIGINT AS used, []::BIGINT[] AS ids FROM o UNION ALL SELECT f.query, o.rn, CASE WHEN used + cost <= 800 THEN used + cost ELSE used END, CASE WHEN used + cost <= 800 THEN list_append(ids, o.id) ELSE ids END FROM f JOIN o ON o.query = f.query AND o.rn = f.rn + 1),
+z AS (SELECT query, arg_max(ids, rn) AS ids FROM f GROUP BY query), e AS (SELECT d.source AS query, d.doc_id AS id FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE d.source IN (SELECT query FROM z)),
+sc AS (SELECT e.query, e.id, left(lower(trim(coalesce(d.text, ''), ' \t\n\r\f\v')), 20) AS hint, o.rn FROM e JOIN documents d ON d.doc_id = e.id LEFT JOIN o ON o.query = e.query AND o.id = e.id),
+h AS (SELECT z.query, left(lower(x.text), 20) AS head FROM z, unnest(z.ids) AS u(id) JOIN i x ON x.id = u.id)
+SELECT query, {_R6.format("avg((coalesce(rn <= 5, false) OR (query, hint) IN (SELECT query, head FROM h))::INT)")} AS recall_5, {_R6.format("avg((coalesce(rn <= 10, false) OR (query, hint) IN (SELECT query, head FROM h))::INT)")} AS recall_10 FROM sc WHERE length(hint) = 20 GROUP BY query""")
+def bench_budgeted(spark, sf_dir):
+    """Each source as a query: what a budget of 800 tokens shows of its good documents, all compiled in one plan."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    scored = rank.bm25(d, QUERY).select(F.col("doc_id").alias("id"), F.col("source").alias("query"), F.col("bm25").alias("score")).where("score >= 0.02")
+    texts = d.select(F.col("doc_id").alias("id"), X.strip(F.coalesce("text", F.lit(""))).alias("text"))
+    items = scored.join(texts, "id").withColumn("type", F.lit("Goal")).withColumn("status", F.lit("open")).withColumn("kind", F.lit(None).cast("string"))
+    compiled = context.compile_many(items, None, "query", "small")
+    good = _t(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    expected = d.select(F.col("source").alias("query"), F.col("doc_id").alias("id")).join(good, "id").join(texts, "id").where("length(substring(text, 1, 20)) = 20")
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))).where("rank <= 10")
+    got = stats.compiled_recall(expected.join(scored.select("query").distinct(), "query"), ranked, compiled, 5, 10)
+    return got.select("query", *[X.round6(F.col(c)).alias(c) for c in ("recall_5", "recall_10")])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.constants import EVENT_DDL
+from .lines import numbered
 
 
 def note_lines(docs: DataFrame) -> DataFrame:
@@ -82,9 +83,31 @@ def event_log(lines: DataFrame) -> DataFrame:
     return lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", EVENT_DDL).alias("e"), "pos").select("e.*", "pos")
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append log rows as lines of JSON."""
-    events.write.mode("append").json(path)
+def read_log(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """The log in all files below ``root``: ``pos`` is the line's place in its file, files in the order of their names."""
+    lines = numbered(spark, root, glob)
+    sizes = lines.groupBy("path").agg((F.max("pos") + 1).alias("n"))
+    begin = sizes.withColumn("begin", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a file
+    return event_log(lines.join(begin.select("path", "begin"), "path").withColumn("pos", F.col("pos") + F.col("begin")))
+
+
+def completed(events: DataFrame, now: Column, source: str = "quillgraph") -> DataFrame:
+    """Log rows with what every row must have: an id, a source where none is given, and a time where the column isn't given.
+
+    A time that is given as null stays null. An id follows from what the row says and its place in the batch, so equal rows
+    differ and a batch that is made again in the same way has the same ids; rows stay where they are.
+    """
+    have = set(events.columns)
+    rows = events if "ts" in have else events.withColumn("ts", now)
+    rows = rows.withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit(source)) if "source" in have else F.lit(source))
+    said = F.to_json(F.struct(*[c for c in rows.columns if c != "id"], F.monotonically_increasing_id().alias("_place")))
+    made = F.concat(F.lit("evt_"), F.substring(F.sha1(said), 1, 20))
+    return rows.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), made) if "id" in have else made)
+
+
+def append_events(events: DataFrame, path: str, now: Column | None = None) -> None:
+    """Append log rows as lines of JSON; with ``now`` they are completed before."""
+    (events if now is None else completed(events, now)).write.mode("append").json(path)
 
 
 def commits(lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.constants import TIMELINE_DDL
+from .lines import numbered
 
 #: Tools that edit files, by vendor, and the names that the vendors' events carry.
 CLAUDE_TOOLS = ("Edit", "Write", "MultiEdit")
@@ -24,14 +25,8 @@ _COLUMNS = [x.split()[0] for x in TIMELINE_DDL.split(", ")]
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """(path, pos, value, modified) of all files below ``path``; ``pos`` is the line's number in its file.
-
-    A file is read as one row and then cut, as numbers of lines don't survive the splitting of files: it must fit into an
-    executor's memory and be under 2 GB. That holds for sessions; split larger logs before.
-    """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return rows.where("trim(value) <> ''")
+    """(path, pos, value, modified) of all files below ``path``; ``pos`` is the line's number in its file."""
+    return numbered(spark, path, glob)
 
 
 def _ts(c: Column) -> Column:
