@@ -158,8 +158,8 @@ ORACLES = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         h AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS payload_digest FROM p),
         m AS (SELECT payload_digest, max(page_id) AS top FROM h WHERE payload_bytes >= 1000 GROUP BY 1)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN top <> page_id THEN top END AS refers_to
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
         FROM h LEFT JOIN (SELECT payload_digest, top FROM m) USING (payload_digest)
         WHERE payload_bytes >= 1000
         UNION ALL SELECT page_id, payload_bytes, payload_digest, 'response', NULL FROM h WHERE payload_bytes < 1000

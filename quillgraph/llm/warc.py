@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,11 +159,29 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
+#: Bytes of pages in one ARC file, and (at the size of the largest page) of records in one WARC file: each is one value of a row.
+ARCHIVE_BYTES, FILE_BYTES = 32 << 20, 256 << 20
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the values of ``column`` pass ``most`` bytes together; a longer value stands alone."""
+    for batch in batches:
+        total, lo = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if total + n > most and i > lo:
+                yield batch.slice(lo, i - lo)
+                total, lo = 0, i
+            total += n
+        if batch.num_rows > lo:
+            yield batch.slice(lo)
+
+
 def arc_archives(pages: DataFrame, per_archive: int = 256) -> DataFrame:
     """ARC files of the pages, versions by turns; ids and ``refers_to`` of the pages ride along in order."""
+    most = ARCHIVE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, part in enumerate(slices(batches, per_archive)):
+        for turn, part in enumerate(by_bytes(slices(batches, per_archive), "html", most)):
             version, name = 1 + turn % 2, f"pages-{TaskContext.get().partitionId()}-{turn}.arc"
             out, ids = [arc_header(version, name)], part.column("page_id").to_pylist()
             for page, url, html in zip(ids, part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
@@ -222,10 +241,11 @@ def archive_pages(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     long = F.col("size") >= revisit_from
-    again = rows.where(long & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    again = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("digest", "first_id")
     refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     again = rows.where(long).join(again, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
     all_pages = again.unionByName(rows.where(~long).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     path = f"{shared_folder(spark)}/quillgraph/warc-{uuid.uuid4().hex}"
-    write_warc(convert(arc_archives(all_pages)), path)
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    write_warc(convert(arc_archives(all_pages)), path, max(1, min(1000, FILE_BYTES // (largest + 4096))))
     return read_warc(spark, path)
