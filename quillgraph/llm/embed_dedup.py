@@ -227,12 +227,12 @@ def near_duplicates(vectors: DataFrame, s: Setting = Setting()) -> DataFrame:
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "label", "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
     rows = rows.withColumn("vector", F.when(F.col("sound"), F.transform("embedding", lambda x: x.cast("double") + 0.0)))
-    classes = staged(rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("vector")), "vectors")
+    classes = staged(rows.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.size("vector")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / s.per_shard).cast("int").alias("shards"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("least", "id"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
+        pdf = pdf.sort_values(["least", "id"], ignore_index=True)
         pdf = pdf.iloc[np.random.default_rng(1).permutation(len(pdf))]
         v = np.stack(pdf["vector"].to_list())
         first = pdf.iloc[0]
@@ -271,8 +271,11 @@ def near_duplicates(vectors: DataFrame, s: Setting = Setting()) -> DataFrame:
 
     found = staged(pairs.drop("label").mapInPandas(query, "u long, v long, n long"), "links")
     counts = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("links"))
-    joined = components(found.where("v is not null").select("u", "v"))
-    per_class = classes.join(counts, "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("label", "vector", (F.col("links") + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
+    joined = staged(components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "id"), "joined")
+    # the classes have numbers of their own, as an id may stand at several vectors; a component has the least id of its classes
+    named = joined.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("named"))
+    joined = joined.join(named, "component").select("id", "named")
+    per_class = classes.join(counts, "id").join(joined, "id", "left").select("label", "vector", (F.col("links") + F.col("n") - 1).alias("links"), F.coalesce("named", "least").alias("component"))
     out = rows.join(per_class, ["label", "vector"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
