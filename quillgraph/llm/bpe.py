@@ -41,6 +41,8 @@ from .common import bucketed, documents_of
 PER_ROW = 16384  #: words of a row that is folded
 LONG = 64  #: bytes of a word from which the heap is used
 BUCKET_BYTES = 8 << 20  #: of text for each bucket of distinct words
+GROUP = 2048  #: most buckets that a chunk's words go to; the chunks of a larger corpus are dealt into groups with buckets of their own
+DEALT = 20_000  #: most parts into which chunks or buckets are dealt; a part holds several of them then
 BUCKETS, SLOTS = 1 << 14, 1 << 17  #: of the displacement hash
 RANK_AT, PLACE_AT = 45, 17  #: lowest bits of a pair's rank and of its place in the state; the token is at 0
 NO_RANK = (1 << 17) - 1
@@ -233,10 +235,12 @@ def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 6 <<
     Texts are first cut before every space that follows other than white space; the pattern never joins characters over
     such a place, so each distinct stretch is matched once.
     """
+    own = min(buckets, GROUP)  # buckets of a group of chunks
+    groups = -(-buckets // own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, schema = regex.compile(pattern), pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("parts", pa.list_(pa.binary())), ("doc_ids", pa.list_(pa.int64()))])
-        chunk = TaskContext.get().partitionId() << 32
+        task, chunk = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 32
         held: list[str] = []
         plain, spaced = Codes(held), Codes(held, " ")
         ids, sizes, codes, chars = [], [], [], 0
@@ -255,15 +259,16 @@ def chunks(docs: DataFrame, pattern: str, buckets: int, chunk_chars: int = 6 <<
             new_code = np.empty(len(held), np.int32)
             new_code[by_use] = np.arange(len(held))
             raw = [w.encode("utf-8", "replace") for w in words.held]
-            bucket = np.array([zlib.crc32(w) % buckets if len(w) <= LONG else buckets for w in raw], np.int64)
+            bucket = np.array([zlib.crc32(w) % own if len(w) <= LONG else own for w in raw], np.int64)
             order = np.argsort(bucket, kind="stable")
             code = np.empty(len(order), np.int32)
             code[order] = np.arange(len(order))
             rows, far = [], squeezed(np.zeros(0, np.int32), b"")
             for some in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
                 sent = squeezed(np.array([len(raw[i]) for i in some], np.int32), b"".join([raw[i] for i in some]))
-                if bucket[some[0]] < buckets:
-                    rows.append({"chunk": chunk, "bucket": int(bucket[some[0]]), "parts": sent})
+                if bucket[some[0]] < own:
+                    group = (task + (chunk & 0xFFFFFFFF)) % groups
+                    rows.append({"chunk": chunk, "bucket": group * own + int(bucket[some[0]]), "parts": sent})
                 else:
                     far = sent
             made = squeezed(code[np.array(parts, np.int32)], np.array(counts, np.int32), np.array(sizes, np.int32), new_code[all_codes])
@@ -389,10 +394,10 @@ def with_ids(docs: DataFrame, finish: Callable[[Iterator[tuple[int | None, np.nd
     docs, ranks = documents_of(docs, "doc_id", "text"), load_ranks(ranks_path)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    made = bucketed(chunks(docs, pattern or default_pattern(), buckets), "chunk", buckets, "chunks")
+    made = bucketed(chunks(docs, pattern or default_pattern(), buckets), "chunk", min(buckets, DEALT), "chunks")
     table, factor = rank_table(ranks)
     of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-    words = made.where("bucket is not null").select("chunk", "bucket", "parts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(gathered(of_byte), GATHERED)
+    words = made.where("bucket is not null").select("chunk", "bucket", "parts").repartition(min(buckets, DEALT), "bucket").groupBy("bucket").applyInArrow(gathered(of_byte), GATHERED)
     folded = words.withColumn("tokens", F.when(F.col("words").isNotNull(), merge_words(F.col("words"), table_literal(table, F.col("bracket")), factor)))
     answers = folded.select("tokens", "bucket", "chunks", "parts").mapInArrow(sent_back, SENT)
 

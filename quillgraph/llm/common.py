@@ -42,12 +42,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
-    """The same as a table of the shared folder in buckets by ``key``: what is grouped by it later isn't shuffled again."""
+    """The same in files of the shared folder in buckets by ``key``: what is grouped by it later isn't shuffled again.
+
+    The catalogue knows the files only while they are being written and looked up; no table is left in it.
+    """
     spark = df.sparkSession
     name = f"quillgraph_{label}_{uuid.uuid4().hex}"
-    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/quillgraph/{name}").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an external table this leaves the files, and ``found`` has been resolved to them
+    return found
 
 
 def documents_of(df: DataFrame, *columns: str) -> DataFrame:
