@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillgraph.plans import catalogue, more  # noqa: F401
+from quillgraph.plans import catalogue, more, readers  # noqa: F401
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
