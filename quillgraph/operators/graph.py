@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,17 +22,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return a.unionByName(edges.select(F.col("to").alias("a"), F.col("from").alias("b"), "relation", "weight"))
 
 
-def traverse(seeds: DataFrame, edges: DataFrame, hops: int = C.HOPS, decay: float = C.HOP_DECAY) -> DataFrame:
+def traverse(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], hops: int = C.HOPS, decay: float = C.HOP_DECAY) -> DataFrame:
     """(id, value, path, relation, depth): the best value that reaches each id from the seeds (id, value).
 
+    ``edges`` is a table, or a function that gives the edges at the ids (id) of a frontier, for edges that needn't all be made.
+
     At depth d a neighbour gets value * weight * decay^(d+1); a value replaces another only if it is larger. Ids without a
     node are walked through. The seeds are a top-k, so the frontier side of every join is small; the hops are unrolled.
     """
-    adjacency = staged(both_ways(edges).withColumnRenamed("relation", "by"), "adjacency") if hops > 1 else both_ways(edges).withColumnRenamed("relation", "by")
+    at = edges if callable(edges) else lambda _: edges
+    turned = lambda e: both_ways(e).withColumnRenamed("relation", "by")
+    adjacency = staged(turned(edges), "adjacency") if hops > 1 and not callable(edges) else None
     best = seeds.select("id", "value", F.array("id").alias("path"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth"))
     frontier = best
     for depth in range(hops):
-        step = frontier.join(adjacency, F.col("id") == F.col("a")).select(
+        near = adjacency if adjacency is not None else turned(at(frontier.select("id")))
+        step = frontier.join(near, F.col("id") == F.col("a")).select(
             F.col("b").alias("id"), (F.col("value") * F.col("weight") * (decay ** (depth + 1))).alias("value"), F.concat("path", F.array("b")).alias("path"), F.col("by").alias("relation"), F.lit(depth + 1).alias("depth")
         )
         found = step.groupBy("id").agg(F.max_by(F.struct("value", "path", "relation", "depth"), F.struct("value", -F.size("path"), F.hash("path"))).alias("s")).select("id", "s.*")
@@ -44,8 +51,9 @@ def chains(edges: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """(head, chain): ids from the newest to the oldest along SUPERSEDES and CONTRADICTS edges; the last edge of an end wins.
 
     With ``present`` (id) only these ids count: one is a head if what replaced it is absent, and a walk stops at an absent
-    one. Pointers are doubled (after k rounds a chain covers 2^k steps), round by round in the shared folder, until no chain
-    grows; circles have no head and give nothing.
+    one. Pointers alone are doubled: table k says where 2^k steps lead from each id, until none leads anywhere. Then the heads
+    gather their chains once, from the longest steps down: each id found so far finds the one that many steps behind it. A
+    walk that comes into a circle ends at the first id of the circle; circles have no head and give nothing.
     """
     own = edges.where(F.col("relation").isin("SUPERSEDES", "CONTRADICTS"))
     down = own.groupBy(F.col("from").alias("id")).agg(F.max_by("to", "pos").alias("next"))
@@ -54,15 +62,29 @@ def chains(edges: DataFrame, present: DataFrame | None = None) -> DataFrame:
         here = present.select("id").distinct()
         down = down.join(here, "id", "left_semi").join(here.withColumnRenamed("id", "next"), "next", "left_semi")
         up = up.join(here.withColumnRenamed("id", "by"), "by", "left_semi")
-    walk = staged(down.select("id", F.col("next").alias("end"), F.array("id", "next").alias("chain"), F.lit(True).alias("grew")), "chains")
-    while not walk.where("grew").isEmpty():
-        ahead = walk.select(F.col("id").alias("end"), F.col("end").alias("end2"), F.col("chain").alias("chain2"))
-        rest = F.slice("chain2", 2, 1 << 30)
-        fresh = F.col("chain2").isNotNull() & ~F.arrays_overlap("chain", rest)
-        walk = staged(walk.join(ahead, "end", "left").select(
-            "id", F.when(fresh, F.col("end2")).otherwise(F.col("end")).alias("end"), F.when(fresh, F.concat("chain", rest)).otherwise(F.col("chain")).alias("chain"), fresh.alias("grew")
-        ), "chains")
-    return walk.join(up, "id", "left_anti").select(F.col("id").alias("head"), "chain")
+    down = staged(down.select("id", "next"), "steps")
+    steps = _doubled(down)
+    if steps is None:  # what every step leads to in the end are the circles
+        circle = _doubled(down, whole=True)
+        steps = _doubled(staged(down.join(circle, "id", "left_anti"), "steps"))
+    found = down.join(up, "id", "left_anti").select(F.col("id").alias("head"), "id", F.lit(0).cast("long").alias("at"))
+    for k in reversed(range(len(steps))):
+        further = found.join(steps[k], "id").select("head", F.col("next").alias("id"), (F.col("at") + (1 << k)).alias("at"))
+        found = staged(found.unionByName(further), "chains")
+    return found.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("chain")).where(F.size("chain") > 1)
+
+
+def _doubled(down: DataFrame, whole: bool = False):
+    """Tables of 1, 2, 4... steps, the last of which isn't empty; None if there are circles, or, with ``whole``, their ids."""
+    n, out = down.count(), []
+    now = down
+    while not now.isEmpty():
+        if (1 << len(out)) > n:
+            return now.select(F.col("next").alias("id")).distinct() if whole else None
+        out.append(now)
+        ahead = now.select(F.col("id").alias("next"), F.col("next").alias("after"))
+        now = staged(now.join(ahead, "next").select("id", F.col("after").alias("next")), "steps")
+    return out
 
 
 def resolve(nodes: DataFrame, reference: str, id_: str = "id", text: str = "text") -> DataFrame:

@@ -15,8 +15,8 @@ def kind_rank(kind: Column) -> Column:
 
 
 def order_keys(pos: str = "pos") -> list[Column]:
-    """ts (null first, as the epoch), kind, user before others, source, then the given position."""
-    return [F.coalesce(F.col("ts"), F.lit("1970-01-01").cast("timestamp")), kind_rank(F.col("kind")), (F.coalesce(F.col("role"), F.lit("")) != "user").cast("int"), F.coalesce("source", F.lit("")), F.col(pos)]
+    """ts (null first, as the epoch), kind, user before others, source as readers sort it (accents and case last), then the given position."""
+    return [F.coalesce(F.col("ts"), F.lit("1970-01-01").cast("timestamp")), kind_rank(F.col("kind")), (F.coalesce(F.col("role"), F.lit("")) != "user").cast("int"), F.collate(F.coalesce("source", F.lit("")), "UNICODE"), F.col(pos)]
 
 
 def merged(*sources: DataFrame) -> DataFrame:

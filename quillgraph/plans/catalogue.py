@@ -316,8 +316,14 @@ z AS (SELECT id, v, 2 AS depth FROM f2 UNION ALL SELECT id, v, CASE WHEN id IN (
 SELECT id, {_R6.format("v")} AS value, depth FROM z""")
 def graph_two_hop(spark, sf_dir):
     seeds = _t(spark, sf_dir, "part").orderBy("p_name", "p_partkey").limit(8).select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("value"))
-    e = graph.co_edits(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber").withColumn("relation", F.lit("CO_EDITED"))
-    return graph.traverse(seeds, e).select("id", X.round6(F.col("value")).alias("value"), "depth")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+
+    def near(ids):
+        """Co-edits of the sessions that the frontier is in."""
+        held = lines.join(ids.withColumnRenamed("id", "l_partkey"), "l_partkey", "left_semi").select("l_orderkey").distinct()
+        return graph.co_edits(lines.join(held, "l_orderkey", "left_semi"), "l_orderkey", "l_partkey", "l_linenumber").withColumn("relation", F.lit("CO_EDITED"))
+
+    return graph.traverse(seeds, near).select("id", X.round6(F.col("value")).alias("value"), "depth")
 
 
 @registered(f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)

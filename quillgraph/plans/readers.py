@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import brief, cells, context, documents, ingest, retrieve, stats, timeline
+from ..operators import brief, cells, context, documents, graph, ingest, retrieve, timeline
 from ..operators.staging import shared_folder
 from ..sources import notes, transcripts
 from ..streaming import sessions
-from . import constants as C
-from .catalogue import _BM25, _R3, _R6, _TIMELINE, NOW, QUERY, _t, _timeline, registered
+from .catalogue import ORACLES, _BM25, _R3, _R6, _TIMELINE, NOW, QUERY, _t, _timeline, registered
 from .more import _NODES, _links, _nodes
 
 
@@ -302,3 +301,113 @@ def context_as_document(spark, sf_dir):
     text = spark.read.parquet(f"{root}/context/markdown").first()["value"] + spark.read.parquet(f"{root}/brief/markdown").first()["value"]
     agents_ = ",".join(a["name"] for a in got["agents"] if f"**{a['name']}**" in text)
     return spark.createDataFrame([(short["events"], len(got["tasks"]), agents_, len(got["events"]))], "events long, tasks long, agents string, shown long")
+
+
+@registered("""WITH h AS (SELECT o_custkey AS dir, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey AS id, o_orderstatus || o_orderpriority AS content, o_orderkey % 4 = 0 AS lost FROM orders),
+l AS (SELECT *, lag(content) OVER w AS old, lag(lost) OVER w AS old_lost FROM h WINDOW w AS (PARTITION BY dir ORDER BY n))
+SELECT 'c' || dir::VARCHAR || '.py' AS file, id::VARCHAR AS id, CASE WHEN id % 3 = 0 THEN 'Undo' ELSE 'Local History snapshot' END AS summary, CASE WHEN NOT lost AND NOT old_lost AND old <> content THEN length('--- a/c' || dir::VARCHAR || '.py' || chr(10) || '+++ b/c' || dir::VARCHAR || '.py' || chr(10) || '-' || old || chr(10) || '+' || content) END AS diff
+FROM l WHERE dir % 2 = 0""")
+def editor_history(spark, sf_dir):
+    """Customers as folders of an editor's history, orders as snapshots (one in four is lost); those of odd customers lie outside the workspace."""
+    o = _t(spark, sf_dir, "orders")
+    key, folder = F.col("o_orderkey").cast("string"), F.concat(F.lit("/h/"), F.col("o_custkey").cast("string"), F.lit("/"))
+    entry = F.struct(key.alias("id"), F.col("o_orderkey").alias("timestamp"), F.when(F.col("o_orderkey") % 3 == 0, "Undo").alias("source"))
+    where = F.when(F.col("o_custkey") % 2 == 0, F.lit("file:///w/app/c")).otherwise(F.lit("file:///w/apple/c"))
+    told = o.groupBy("o_custkey").agg(F.collect_list(entry).alias("entries")).select(F.concat(folder, F.lit("entries.json")).alias("path"), F.to_json(F.struct(F.concat(where, F.col("o_custkey").cast("string"), F.lit(".py")).alias("resource"), "entries")).alias("value"))
+    held = o.where("o_orderkey % 4 <> 0").select(F.concat(folder, key).alias("path"), F.concat("o_orderstatus", "o_orderpriority").alias("value"))
+    none = spark.createDataFrame([], "path string, pos long, value string, modified timestamp")
+    got = transcripts.cursor_with_history(none, told.unionByName(held), "/w/app")
+    return got.select("file", F.col("extras")["historyId"].alias("id"), "summary", F.length("diff").cast("long").alias("diff"))
+
+
+@registered("""WITH g AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR)::INT AS b FROM events), s AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS k FROM g)
+SELECT user_id, arg_max(event_id, {ts: ts, event_id: event_id}) AS event_id, count(*) AS changes FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
+def stream_bursts(spark, sf_dir):
+    """The last change of each burst, by a stream over files that are taken two at a time, in the order of their days."""
+    root = _root(spark, "bursts")
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e.repartitionByRange(6, "ts").write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(e.schema).parquet(f"{root}/source")
+    sessions.written(sessions.bursts(stream, "user_id", "6 hours").select("user_id", "event_id", "changes"), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema("user_id bigint, event_id bigint, changes bigint").parquet(f"{root}/out")
+
+
+_NAMES = ("Zoe", "émile", "Emil", "emil", "Äda", "ada", "zoe", "Bo")
+
+
+@registered("""WITH n AS (SELECT unnest(['ada', 'Äda', 'Bo', 'emil', 'Emil', 'émile', 'zoe', 'Zoe']) AS source, unnest(range(8)) AS rank), e AS (SELECT event_id, (['Zoe', 'émile', 'Emil', 'emil', 'Äda', 'ada', 'zoe', 'Bo'])[event_id % 8 + 1] AS source FROM events)
+SELECT event_id AS pos, source FROM e JOIN n USING (source) ORDER BY rank, event_id LIMIT 3000""")
+def locale_order(spark, sf_dir):
+    """Rows of one time are ordered by their source as readers sort names, not by code points."""
+    source = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 8 + 1).cast("int"))
+    t = _t(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.lit(None).cast("timestamp").alias("ts"), F.lit("message").alias("kind"), F.lit("user").alias("role"), source.alias("source"))
+    return timeline.page(t, timeline.order_keys(), 3000).select("pos", "source")
+
+
+@registered(f"WITH {_TIMELINE} SELECT (SELECT count(*) FROM t WHERE kind IN ('code_edit', 'artifact')) AS total, pos FROM t WHERE kind IN ('code_edit', 'artifact') ORDER BY ts, pos LIMIT 25 OFFSET 50")
+def page_with_total(spark, sf_dir):
+    total, rows = timeline.paged(timeline.filtered(_timeline(spark, sf_dir), "code_edit"), [F.col("ts"), F.col("pos")], 25, 50)
+    return rows.select(F.lit(total).cast("long").alias("total"), "pos")
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """Conversations as timeline rows, a second apart."""
+    c = _t(spark, sf_dir, "conversations")
+    pos = F.col("conv_id") * 1000 + F.col("turn")
+    none = F.lit(None).cast("string")
+    return c.select(pos.alias("pos"), F.timestamp_seconds(pos).alias("ts"), F.lit("message").alias("kind"), "role", F.lit("talk").alias("source"), F.col("text").alias("content"), none.alias("file"), none.alias("path"), none.alias("summary"), none.alias("diff"))
+
+
+_LAST = "t AS (SELECT conv_id * 1000 + turn AS pos, role, text FROM conversations)"
+
+
+@registered(f"""WITH {_LAST}, k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY pos DESC) AS rn FROM t)
+SELECT pos, role, CASE WHEN length(x) > 320 THEN left(x, 319) || '…' ELSE x END AS content FROM (SELECT *, trim(coalesce(text, ''), ' \t\n\r\f\v') AS x FROM k) WHERE (role = 'user' AND rn <= 6) OR (role = 'assistant' AND rn <= 4)""")
+def recent_messages(spark, sf_dir):
+    """The last messages of users and assistants, as a context shows them."""
+    rows = _messages(spark, sf_dir)
+    shown = documents.event_rows(rows)
+    return brief.recent(rows).select("pos", "role", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts")).join(shown.select("ts", "role", "content"), ["ts", "role"]).select("pos", "role", "content")
+
+
+@registered(f"""WITH {_LAST}, n AS (SELECT * FROM t ORDER BY pos DESC LIMIT 60),
+l AS (SELECT left(string_split(trim(text, ' \t\n\r\f\v'), chr(10))[1], 200) AS line, min(pos) AS first FROM n WHERE role = 'user' AND length(trim(text, ' \t\n\r\f\v')) >= 8 GROUP BY 1)
+SELECT 'task' AS sort, '- [ ] ' || line AS line FROM (SELECT line FROM l ORDER BY first DESC LIMIT 5) UNION ALL
+SELECT 'decision', '- [ ] ' || line FROM (SELECT line FROM l WHERE regexp_matches(line, '\\?\\s*$') OR regexp_matches(lower(line), '(^|[^a-z0-9_])(should we|decide|or )') ORDER BY first DESC LIMIT 8)""")
+def drawn_note_lines(spark, sf_dir):
+    """Tasks and questions drawn from what users said last."""
+    tasks, decisions = brief.drawn_notes(_messages(spark, sf_dir))
+    return tasks.select(F.lit("task").alias("sort"), "line").unionByName(decisions.select(F.lit("decision").alias("sort"), "line"))
+
+
+@registered("SELECT doc_id, CASE WHEN lang IS NULL OR doc_id % 3 = 0 THEN coalesce(text, '') WHEN text IS NULL THEN lang ELSE text || ' ' || lang END AS found_by FROM documents")
+def search_texts(spark, sf_dir):
+    """What a node is found by: its text and its kind, where it has one."""
+    d = _t(spark, sf_dir, "documents").withColumn("kind", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    return d.select("doc_id", retrieve.search_text().alias("found_by"))
+
+
+@registered(f"""WITH {_NODES}, seeds AS (SELECT id, 1.0::DOUBLE - 0.01::DOUBLE * id AS v, [id] AS path FROM nodes WHERE id < 8),
+adj AS (SELECT "from" AS a, "to" AS b FROM links UNION ALL SELECT "to", "from" FROM links),
+h1 AS (SELECT b AS id, max(v * 0.5::DOUBLE * 0.6::DOUBLE) AS v, arg_max(list_append(path, b), v) AS path FROM seeds JOIN adj ON a = id GROUP BY b), f1 AS (SELECT h1.* FROM h1 LEFT JOIN seeds s USING (id) WHERE s.v IS NULL OR h1.v > s.v),
+b1 AS (SELECT *, 1 AS depth FROM f1 UNION ALL SELECT *, 0 FROM seeds WHERE id NOT IN (SELECT id FROM f1)),
+h2 AS (SELECT b AS id, max(v * 0.5::DOUBLE * 0.36::DOUBLE) AS v, arg_max(list_append(path, b), v) AS path FROM f1 JOIN adj ON a = id GROUP BY b), f2 AS (SELECT h2.* FROM h2 LEFT JOIN b1 USING (id) WHERE b1.v IS NULL OR h2.v > b1.v),
+z AS (SELECT *, 2 AS depth FROM f2 UNION ALL SELECT * FROM b1 WHERE id NOT IN (SELECT id FROM f2))
+SELECT id, array_to_string(path, '>') AS path, CASE WHEN depth > 0 THEN 'SERVES' END AS relation, depth FROM z""")
+def traversal_paths(spark, sf_dir):
+    """How the traversal came to each id, and by which relation last."""
+    seeds = _nodes(spark, sf_dir).where("id < 8").select("id", (1.0 - 0.01 * F.col("id")).alias("value"))
+    got = graph.traverse(seeds, _links(spark, sf_dir))
+    return got.select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "relation", "depth")
+
+
+@registered(f"""WITH RECURSIVE r AS MATERIALIZED ({ORACLES["retrieve_ranked"]}), t AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'Decision' ELSE 'Goal' END AS type, trim(coalesce(text, ''), ' \t\n\r\f\v') AS x FROM documents),
+c AS (SELECT id, score, ceil(length(type || ': ' || CASE WHEN length(x) > 80 THEN left(x, 79) || '…' ELSE x END) / 4.0::DOUBLE)::BIGINT AS cost FROM r JOIN t USING (id) WHERE score >= 0.02),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM c),
+f AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS used, []::BIGINT[] AS ids UNION ALL SELECT o.rn, CASE WHEN used + cost <= 800 THEN used + cost ELSE used END, CASE WHEN used + cost <= 800 THEN list_append(ids, o.id) ELSE ids END FROM f JOIN o ON o.rn = f.rn + 1)
+SELECT arg_max(used, rn) AS used, array_to_string(list_sort(arg_max(ids, rn)), ',') AS included, max(rn) - len(arg_max(ids, rn)) AS dropped FROM f""")
+def compile_small(spark, sf_dir):
+    """A whole context of the small profile: retrieved, collapsed, weighed against the score floor, filled and rendered."""
+    edges = _links(spark, sf_dir).withColumn("pos", F.col("from"))
+    got = context.compile_tier(_nodes(spark, sf_dir), edges, "small", QUERY, F.lit(NOW).cast("timestamp"))
+    return spark.createDataFrame([(got.used, ",".join(str(i) for i in sorted(got.included)), got.dropped)], "used long, included string, dropped long")

@@ -144,6 +144,30 @@ def snapshots(history: DataFrame) -> DataFrame:
     return history.withColumn("diff", X.whole_diff(F.coalesce(before, F.lit("")), F.col("content"), X.base_name(F.col("path")))).withColumn("kind", F.lit("code_edit"))
 
 
+def history_edits(files: DataFrame, workspace: str, source: str) -> DataFrame:
+    """Edits told by an editor's history: folders of snapshots (path, value), each with an ``entries.json`` that names the file and
+    the snapshots' times. Files outside the workspace, and folders whose entries can't be read, are left out.
+
+    A snapshot's diff is to the one before it, if both are there and differ. Entries without a time give no row.
+    """
+    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
+    told = files.where(F.col("path").endswith("/entries.json") & F.try_parse_json("value").isNotNull())
+    meta = told.select(folder(F.col("path")).alias("dir"), F.from_json("value", "resource string, entries array<struct<id:string,timestamp:bigint,source:string>>").alias("m"))
+    own = F.try_url_decode(F.regexp_replace(F.regexp_replace("m.resource", "^file://", ""), r"\+", "%2B"))
+    meta = meta.withColumn("file_path", own).where(under(F.col("file_path"), workspace))
+    placed = F.transform("m.entries", lambda e, i: F.struct(F.coalesce(e["timestamp"], F.lit(0)).alias("at"), i.alias("i"), e["id"].alias("id"), e["source"].alias("said")))
+    rows = meta.select("dir", "file_path", F.posexplode(F.array_sort(placed)).alias("n", "e")).select("dir", "file_path", "n", "e.at", "e.id", "e.said")
+    rows = rows.withColumn("old_id", F.lag("id").over(W.partitionBy("dir").orderBy("n")))
+    held = files.where(~F.col("path").endswith("/entries.json")).select(folder(F.col("path")).alias("dir"), X.base_name(F.col("path")).alias("id"), F.col("value").alias("content"))
+    rows = rows.join(held, ["dir", "id"], "left").join(held.select("dir", F.col("id").alias("old_id"), F.col("content").alias("old")), ["dir", "old_id"], "left")
+    diff = F.when(F.col("old").isNotNull() & F.col("content").isNotNull() & (F.col("old") != F.col("content")), X.whole_diff(F.col("old"), F.col("content"), X.base_name(F.col("file_path"))))
+    return rows.where("at > 0").select(
+        F.timestamp_millis("at").alias("ts"), F.lit("code_edit").alias("kind"), F.lit("assistant").alias("role"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("content"),
+        X.base_name(F.col("file_path")).alias("file"), F.col("file_path").alias("path"), F.lit("localHistory").alias("action"), F.coalesce(F.nullif("said", F.lit("")), F.lit("Local History snapshot")).alias("summary"), diff.alias("diff"),
+        F.create_map(F.lit("editSource"), F.lit("localHistory"), F.lit("historyId"), F.col("id")).alias("extras"),
+    )
+
+
 def session_of(lines: DataFrame, workspace: str, token: str | None = None) -> DataFrame:
     """(path): the newest transcript (path, pos, value, modified) that belongs to a workspace, else the newest of all.
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..plans.constants import TIMELINE_DDL
 from .lines import numbered
+from .notes import history_edits
 
 #: Tools that edit files, by vendor, and the names that the vendors' events carry.
 CLAUDE_TOOLS = ("Edit", "Write", "MultiEdit")
@@ -102,6 +103,11 @@ def cursor(lines: DataFrame) -> DataFrame:
     return messages.unionByName(_timeline(tools, ts=ts, kind=F.lit("code_edit"), role=F.lit("assistant"), source=source, file=F.col("f"), path=F.col("p"), action=F.lower("t.name"), summary=F.concat("t.name", F.lit(" "), "f")))
 
 
+def cursor_with_history(lines: DataFrame, files: DataFrame, workspace: str) -> DataFrame:
+    """The transcripts, and the edits that the editor's own history of the workspace tells (``files``: path, value)."""
+    return cursor(lines).unionByName(history_edits(files, workspace, SOURCES["cursor"]), allowMissingColumns=True)
+
+
 def antigravity(lines: DataFrame) -> DataFrame:
     rows = _rows(lines, "type string, created_at string, content string, step_index bigint")
     source, ts = F.lit(SOURCES["antigravity"]), _ts(F.col("s.created_at"))

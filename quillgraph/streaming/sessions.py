@@ -23,6 +23,25 @@ def streamed_touches(edits: DataFrame, lateness: str = "1 day") -> DataFrame:
     return edits.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["source", "path", "ts"])
 
 
+def bursts(changes: DataFrame, path: str = "path", quiet: str = "2 seconds", lateness: str = "0 seconds") -> DataFrame:
+    """The last row of each burst of changes of a path: one that is followed by nothing for as long as ``quiet``.
+
+    A burst is given once, when the watermark has passed its quiet time; the newest stays back until then.
+    """
+    others = [c for c in changes.columns if c != path]
+    last = F.max_by(F.struct(*others), F.struct("ts", *[c for c in others if c != "ts"])).alias("last")
+    return changes.withWatermark("ts", lateness).groupBy(path, F.session_window("ts", quiet).alias("burst")).agg(last, F.count("*").alias("changes")).select(path, "last.*", "changes")
+
+
+def watch(spark: SparkSession, root: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "2 seconds", most_files: int = 1000):
+    """Look for new files under ``root`` again and again, ``most_files`` at a time, and hand each batch over; gives the running query.
+
+    Files that come while a batch is worked off are taken by the next one, all together.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", "true").json(root)
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def by_day(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
 

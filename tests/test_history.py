@@ -166,3 +166,57 @@ def test_traversal_over_chains_of_versions(spark):
     edges = history.edge_versions(events)
     assert graph.chains(history.at_moment(edges, F.lit(at(1))).withColumn("pos", F.lit(0))).count() == 0
     assert [r.chain for r in graph.chains(history.at_moment(edges, F.lit(at(3)))).collect()] == [["b", "a"]]
+
+
+def test_walks_end_where_a_circle_begins(spark):
+    pairs = [("h", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("p", "q"), ("q", "r"), ("s", "r"), ("c", "d"), ("d", "c"), ("t", "t")]
+    edges = spark.createDataFrame([(a, b, "CONTRADICTS", i) for i, (a, b) in enumerate(pairs)], "`from` string, `to` string, relation string, pos int")
+    assert {r.head: r.chain for r in graph.chains(edges).collect()} == {"h": ["h", "x"], "p": ["p", "q", "r"], "s": ["s", "r"]}
+    assert graph.chains(edges.limit(0)).count() == 0
+
+
+def test_edges_can_be_made_for_a_frontier(spark):
+    every = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")]
+    edges = spark.createDataFrame([(a, b, "CO_EDITED", 0.5) for a, b in every], "`from` string, `to` string, relation string, weight double")
+    seeds, asked = spark.createDataFrame([("a", 1.0)], "id string, value double"), []
+
+    def near(ids):
+        here = ids.cache()
+        asked.append(sorted(r.id for r in here.collect()))
+        return edges.join(here.withColumnRenamed("id", "from"), "from", "left_semi").unionByName(edges.join(here.withColumnRenamed("id", "to"), "to", "left_semi").select(edges.columns)).distinct()
+
+    pick = lambda df: sorted((r.id, round(r.value, 9), r.depth) for r in df.collect())
+    assert pick(graph.traverse(seeds, near)) == pick(graph.traverse(seeds, edges)) and asked == [["a"], ["b"]]
+
+
+def test_history_of_an_editor(spark):
+    from quillgraph.sources import transcripts
+
+    told = {"resource": "file:///w/app/a%20b.py", "entries": [{"id": "3.py", "timestamp": 30}, {"id": "1.py", "timestamp": 10, "source": "Undo"}, {"id": "2.py", "timestamp": 20}, {"id": "4.py"}, {"id": "5.py", "timestamp": 50}]}
+    files = [("/h/1/entries.json", json.dumps(told)), ("/h/1/1.py", "x"), ("/h/1/2.py", "x"), ("/h/1/3.py", "y"), ("/h/2/entries.json", "{broken"), ("/h/3/entries.json", json.dumps(told | {"resource": "file:///w/apple/z.py"}))]
+    none = spark.createDataFrame([], "path string, pos long, value string, modified timestamp")
+    got = transcripts.cursor_with_history(none, spark.createDataFrame(files, "path string, value string"), "/w/app").orderBy("ts").collect()
+    assert [(r.file, r.extras["historyId"], r.summary, r.diff and r.diff[-5:], r.source) for r in got] == [
+        ("a b.py", "1.py", "Undo", None, "Cursor"), ("a b.py", "2.py", "Local History snapshot", None, "Cursor"), ("a b.py", "3.py", "Local History snapshot", "-x\n+y", "Cursor"), ("a b.py", "5.py", "Local History snapshot", None, "Cursor")
+    ]
+
+
+def test_bursts_and_watching(spark, tmp_path):
+    from quillgraph.streaming import sessions
+
+    day = dt.datetime(2024, 1, 1)
+    schema = "path string, ts timestamp, content string"
+    rows = [("a", day, "1"), ("a", day + dt.timedelta(seconds=1), "2"), ("a", day + dt.timedelta(seconds=9), "3"), ("b", day + dt.timedelta(seconds=1), "x"), ("b", day + dt.timedelta(seconds=99), "y")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(schema).json(f"file://{tmp_path}/in")
+    sessions.written(sessions.bursts(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/log")
+    assert sorted((r.path, r.content, r.changes) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("a", "2", 2), ("a", "3", 1), ("b", "x", 1)]
+    seen = []
+    query = sessions.watch(spark, f"file://{tmp_path}/in", schema, lambda batch, n: seen.append(batch.count()), f"file://{tmp_path}/watched", "100 milliseconds")
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame(rows[:2], schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert seen == [5, 2]
