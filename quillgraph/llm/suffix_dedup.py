@@ -170,11 +170,32 @@ def as_words(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(">u8").astype(np.uint64)
 
 
-def multikey_sort(rows: np.ndarray) -> np.ndarray:
-    """Order of byte rows: sorted by the first word, then ties (only these) by the next word, and so on."""
+def multikey_sort(rows: np.ndarray, small: int = 4096) -> np.ndarray:
+    """Order of byte rows by multikey quicksort over their words: those less than a pivot in the word looked at, those equal to
+    it, and those greater; only the equal ones go on to the next word. Groups of at most ``small`` rows are finished word by
+    word, ties only."""
     words = as_words(rows)
-    order = np.argsort(words[:, 0], kind="stable") if len(rows) else np.zeros(0, np.int64)
-    tied = np.concatenate([[False], words[order[1:], 0] == words[order[:-1], 0]]) if len(rows) else np.zeros(0, bool)
+    order, left = np.arange(len(rows)), [(0, len(rows), 0)]
+    while left:
+        lo, hi, k = left.pop()
+        if hi - lo < 2 or k == words.shape[1]:
+            continue
+        own = order[lo:hi]
+        if hi - lo <= small:
+            order[lo:hi] = own[_tie_by_tie(words[own, k:])]
+            continue
+        key = words[own, k]
+        pivot = np.sort(key[:: max(1, len(key) // 64)])[min(len(key), 64) // 2]
+        less, more = key < pivot, key > pivot
+        order[lo:hi] = np.concatenate([own[less], own[~(less | more)], own[more]])
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        left += [(lo, a, k), (a, b, k + 1), (b, hi, k)]
+    return order
+
+
+def _tie_by_tie(words: np.ndarray) -> np.ndarray:
+    order = np.argsort(words[:, 0], kind="stable")
+    tied = np.concatenate([[False], words[order[1:], 0] == words[order[:-1], 0]])
     for k in range(1, words.shape[1]):
         if not tied.any():
             break
@@ -311,7 +332,7 @@ def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np
     splitters = np.zeros(0, np.uint64)
     if groups > 1:
         few = documents_of(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(max(1, groups))) == 0)
-        seen = np.sort(np.array([r.lead for r in few.mapInArrow(sample, "lead long").limit(200_000).collect()], np.int64).view(np.uint64))
+        seen = np.sort(np.array([r.lead for r in few.mapInArrow(sample, "lead long").orderBy(F.xxhash64("lead"), "lead").limit(200_000).collect()], np.int64).view(np.uint64))
         if len(seen):
             splitters = np.unique(seen[(np.arange(1, groups) * len(seen)) // groups])
 

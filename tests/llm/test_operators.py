@@ -205,9 +205,13 @@ def test_suffix_edge_cases(odd):
 
 
 def test_multikey_sort():
-    x = np.random.default_rng(1).integers(0, 3, (500, 20)).astype(np.uint8)
-    order = suffix_dedup.multikey_sort(x)
-    assert [bytes(r) for r in x[order]] == sorted(bytes(r) for r in x)
+    draw = np.random.default_rng(1)
+    for x in (draw.integers(0, 3, (500, 20)), np.repeat(draw.integers(0, 256, (9, 40)), 200, 0), draw.integers(0, 2, (3000, 8)), np.zeros((1000, 16)), np.zeros((0, 8)), np.ones((1, 24))):
+        x = x.astype(np.uint8)
+        for small in (4096, 64, 1):
+            order = suffix_dedup.multikey_sort(x, small)
+            assert sorted(order.tolist()) == list(range(len(x)))
+            assert [bytes(r) for r in x[order]] == sorted(bytes(r) for r in x)
 
 
 # --- packing -------------------------------------------------------------------------------------------------------
