@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import timeline
+from .staging import staged
 from .stats import count_by
 
 #: How many rows of each sort a brief shows, and how many characters of each text.
@@ -109,12 +110,9 @@ def strided(rows: DataFrame, n: int, key: str) -> DataFrame:
 
     Range partitions are sorted apart; only their sizes are looked at across partitions.
     """
-    placed = rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = placed.groupBy("_part").count().orderBy("_part").collect()
-    total = sum(r["count"] for r in sizes)
-    step, at, begins = max(1, total // n), 0, {}
-    for r in sizes:
-        begins[r["_part"]], at = at, at + r["count"]
-    begin = F.coalesce(*[F.when(F.col("_part") == p, F.lit(b)) for p, b in begins.items()], F.lit(0))
-    number = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + begin
-    return placed.withColumn("_n", number).where(F.col("_n") % step == 0).orderBy("_n").limit(n).drop("_n", "_part")
+    placed = staged(rows.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "strided")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # over a row a partition
+    begins = placed.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_begin"))
+    step = max(1, placed.count() // n)
+    numbered = placed.join(begins, "_part").withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + F.col("_begin"))
+    return numbered.where(F.col("_n") % step == 0).orderBy("_n").limit(n).select(rows.columns)

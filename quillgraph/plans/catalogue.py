@@ -258,7 +258,7 @@ def _folded(events: DataFrame) -> DataFrame:
     step = F.when(kind == "error", pieces.mapped(0.2)).when(kind == "purchase", pieces.mapped(1.0, 0.1, 1.0)).when(kind == "signup", pieces.set_to(0.85))
     status = F.when(kind == "error", F.lit("superseded")).when(kind == "signup", F.lit("active"))
     registers = [pieces.count("n", F.lit(True)), pieces.count("clicks", kind == "click"), pieces.last("status", status, status.isNotNull())]
-    out = pieces.fold(events.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", registers, step, hours=24)
+    out = pieces.fold(events.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", registers, step, hours=30 * 24)
     return out.select("user_id", X.round6(pieces.applied(F.col("step"), 0.6)).alias("confidence"), X.round3(1.0 + 0.1 * F.col("clicks")).alias("importance"), F.coalesce("status.value", F.lit("open")).alias("status"), "n")
 
 

@@ -312,14 +312,15 @@ def stream_touches(spark, sf_dir):
     return spark.read.schema(t.schema).parquet(f"{root}/out")
 
 
-@registered("SELECT event_id AS id, 'FileTouched' AS type, 'file:u' || user_id::VARCHAR AS node, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE event_type IN ('click', 'purchase')")
+@registered("SELECT event_id AS id, 'FileTouched' AS type, 'file:u' || user_id::VARCHAR AS node, row_number() OVER (ORDER BY event_id) - 1 AS place, 'notes' AS source, TIMESTAMP '2024-02-01 00:00:00' AS ts FROM events WHERE event_type IN ('click', 'purchase')")
 def event_log_round_trip(spark, sf_dir):
-    """Events appended to a log of JSON lines in their order and read back with the number of their line, broken lines between them."""
+    """Events completed with a time, appended to a log of JSON lines in their order and read back with the number of their line."""
     root = f"{shared_folder(spark)}/quillgraph/log-{uuid.uuid4().hex}"
     e = _t(spark, sf_dir, "events").where("event_type in ('click', 'purchase')")
-    notes.append_events(e.orderBy("event_id").select(F.col("event_id").cast("string").alias("id"), F.lit("FileTouched").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")), root)
+    notes.append_events(e.orderBy("event_id").select(F.col("event_id").cast("string").alias("id"), F.lit("FileTouched").alias("type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.lit("notes").alias("source")), root, F.lit(NOW).cast("timestamp"))
     spark.createDataFrame([("{broken",), ("",)], "value string").write.text(f"{root}/z")  # their names come last
-    return notes.read_log(spark, root).select(F.col("id").cast("long").alias("id"), "type", fold.node_of().alias("node"), F.col("pos").alias("place"))
+    log = notes.read_log(spark, root)
+    return log.select(F.col("id").cast("long").alias("id"), "type", fold.node_of().alias("node"), F.col("pos").alias("place"), "source", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @registered("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user' AND trim(coalesce(text, ''), ' \t\n\r') <> '') AS asked, count(*) FILTER (role = 'assistant' AND text IS NOT NULL) AS answered FROM conversations GROUP BY conv_id)
@@ -352,7 +353,7 @@ def context_events(spark, sf_dir):
 _ASKED = f"""d AS (SELECT doc_id, {_TOKENS} AS tok FROM documents), f AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS al FROM d),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(tok) AS len, unnest(tok) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
-s AS (SELECT item_id, doc_id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al))) AS bm25 FROM q JOIN df USING (term) JOIN tf USING (term) CROSS JOIN f GROUP BY 1, 2)"""
+s AS (SELECT item_id, doc_id, list_sum(list(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / al)) ORDER BY term)) AS bm25 FROM q JOIN df USING (term) JOIN tf USING (term) CROSS JOIN f GROUP BY 1, 2)"""
 
 
 @registered(f"""WITH {_ASKED} SELECT item_id, doc_id, {_R6.format("bm25")} AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, doc_id) AS rn FROM s) WHERE rn <= 20""")
