@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_folder, staged  # noqa: F401  (the operators take them from here)
+
 #: Id that stands for a null document id inside the operators: it sorts after every real one.
 NULL_ID = np.iinfo(np.int64).max
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -21,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session may lack one; a folder of this machine serves it then."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages don't depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """The same in files of the shared folder in buckets by ``key``: what is grouped by it later isn't shuffled again.
 
