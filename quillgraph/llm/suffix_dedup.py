@@ -5,11 +5,14 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
 Suffixes are taken at content-defined places: the least hash of the 16-byte strings in every ``length``-byte window. Equal
 windows choose the same place, so no repeat is missed, and about one suffix in eighteen is kept.
 
-1. Sampled splitters range-partition the suffixes by their leading bytes. Every group of documents sends each
-   bucket the (hashed) leading 16 bytes that it has; the bucket sends back those found in two documents or more.
+1. Sampled splitters range-partition the suffixes by their leading bytes; a range that the sample finds to be more than
+   a bucket's share is dealt on by a hash of the leading 16 bytes. Every group of documents sends each bucket the (hashed)
+   leading 16 bytes that it has; the bucket sends back those found in two documents or more.
 2. For these suffixes, a group sends each distinct context (the bytes around the place, with the smallest id that has
    it) to its bucket. The bucket sorts the contexts forwards and backwards by multikey quicksort, compares neighbours,
-   and so finds, for each window over the place, all contexts that agree in it, and their smallest id.
+   and so finds, for each window over the place, all contexts that agree in it, and their smallest id. Contexts of leading
+   bytes that are more than two buckets' share are sent once for each of FAMILIES ranges of windows, to buckets by the
+   bytes that all windows of the range have in common, so a common string is split by its surroundings.
 3. The runs of windows with these ids go back to the groups, which mark the bytes of their documents.
 
 Only distinct leading strings and contexts travel, so copies cost one entry a group, whatever their number. The groups
@@ -34,9 +37,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_schema, batch_of, documents_of, utf8
+from .common import NULL_ID, arrow_schema, batch_of, documents_of, staged, utf8
 
 LEAD = 16
+FAMILIES = 5  #: ranges of windows into which the contexts of common leading bytes are split
 BATCH = 1 << 20  #: bytes that one round of array work takes
 LEADS = "bucket long, p long, a binary"
 CONTEXTS = "bucket long, p long, ids binary, several binary, bytes binary, sizes binary"
@@ -218,12 +222,12 @@ def agreement(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def smallest_ids(c: Contexts, ids: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each window (that starts ``o`` bytes before the place): the contexts that hold it, and the smallest id of all that agree in it."""
+def smallest_ids(c: Contexts, ids: np.ndarray, length: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each window (that starts ``o`` bytes before the place, from first to last): the contexts that hold it, and the smallest id of all that agree in it."""
     forward, backward = multikey_sort(c.front), multikey_sort(c.back)
     shared_f, shared_b = agreement(c.front, forward), agreement(c.back, backward)
     class_f, class_b = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for o in range(length - LEAD + 1):
+    for o in range(first, last + 1):
         class_f[forward] = np.cumsum(shared_f < length - o)
         class_b[backward] = np.cumsum(shared_b < o)
         own = np.flatnonzero((c.n_back >= o) & (c.n_front >= length - o))
@@ -267,8 +271,49 @@ def short(h: np.ndarray) -> np.ndarray:
     return (h >> _u64(33)).astype(np.uint32)
 
 
-def by_bucket(lead: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = np.searchsorted(splitters, lead, side="right")
+@dataclass
+class Buckets:
+    """Ranges of leading bytes, each dealt on to so many buckets; and the hashes of leading bytes too common for one bucket."""
+
+    splitters: np.ndarray
+    parts: np.ndarray  #: buckets of each range
+    common: np.ndarray  #: sorted hashes
+    pool: int  #: buckets for each family of windows of the common ones
+
+    def of(self, lead: np.ndarray, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.splitters, lead, side="right")
+        first = np.cumsum(self.parts) - self.parts
+        return first[at] + ((h >> _u64(1)) % self.parts[at].astype(np.uint64)).astype(np.int64)
+
+    def is_common(self, h: np.ndarray) -> np.ndarray:
+        return np.isin(h, self.common)
+
+    def family_of(self, bucket: int) -> int | None:
+        own = bucket - int(self.parts.sum())
+        return own % FAMILIES if own >= 0 else None
+
+    def of_family(self, family: int, key: np.ndarray) -> np.ndarray:
+        return int(self.parts.sum()) + (key % _u64(self.pool)).astype(np.int64) * FAMILIES + family
+
+
+def families(length: int) -> list[tuple[int, int]]:
+    """First and last window (bytes that it starts before the place) of each family."""
+    return [(int(w[0]), int(w[-1])) for w in np.array_split(np.arange(length - LEAD + 1), FAMILIES) if len(w)]
+
+
+def buckets_of(seen: pd.DataFrame, common: pd.DataFrame, n: int, groups: int) -> Buckets:
+    """``groups`` buckets or so, of about the same share of a sample of leading bytes (``seen``, of ``n`` in all), and the
+    common ones (hash and count in the sample)."""
+    lead = np.sort(seen["lead"].to_numpy(np.int64).view(np.uint64))
+    if not len(lead):
+        return Buckets(lead, np.array([groups]), lead, 1)
+    splitters = np.unique(lead[(np.arange(1, groups) * len(lead)) // groups])
+    share = np.diff(np.concatenate([[0], np.searchsorted(lead, splitters, side="left"), [len(lead)]])) / len(lead)
+    pool = int(np.ceil(common["count"].sum() * groups / n))
+    return Buckets(splitters, np.maximum(1, np.round(share * groups)).astype(np.int64), np.sort(common["hash"].to_numpy(np.int64).view(np.uint64)), max(1, pool))
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
@@ -278,8 +323,8 @@ def by_bucket(lead: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np
 class Removal:
     """Which bytes of a group's documents go, given what the buckets sent back."""
 
-    def __init__(self, notes: pd.DataFrame, length: int, splitters: np.ndarray):
-        self.length, self.splitters = length, splitters
+    def __init__(self, notes: pd.DataFrame, length: int, buckets: Buckets):
+        self.length, self.buckets = length, buckets
         leads = notes[notes["kind"] == "lead"]
         of = np.repeat(leads["bucket"].to_numpy(np.int64), [len(a) // 4 for a in leads["a"]])
         self.leads = np.unique((of.astype(np.uint64) << _u64(32)) | _join(leads["a"], "<u4").astype(np.uint64))
@@ -290,7 +335,7 @@ class Removal:
 
     def candidates(self, batch: Batch) -> tuple[Places, Contexts]:
         p = places(batch, self.length)
-        code = (np.searchsorted(self.splitters, p.lead, side="right").astype(np.uint64) << _u64(32)) | short(p.hash).astype(np.uint64)
+        code = (self.buckets.of(p.lead, p.hash).astype(np.uint64) << _u64(32)) | short(p.hash).astype(np.uint64)
         i = np.searchsorted(self.leads, code)
         hit = np.zeros(len(p.at), bool)
         inside = i < len(self.leads)
@@ -312,10 +357,15 @@ class Removal:
         return np.cumsum(cover[:-1]) > 0
 
 
-def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np.ndarray, np.ndarray]]], pa.Table], schema, length: int = 50, group_bytes: int = 16 << 20) -> DataFrame:
+def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np.ndarray, np.ndarray]]], pa.Table], schema, length: int = 50, group_bytes: int = 16 << 20, step: int = 37, sampled: int = 1000, least: int = 32) -> DataFrame:
     """``finish(rows, (row, bytes, goes) of each)`` for every group of documents; ``goes`` marks the bytes to remove.
 
     Rows are dealt to groups by id and text, so that those without an id or of the same id are spread as well.
+
+    The sample that shapes the buckets (results don't depend on it) is every ``step``-th suffix of one document in
+    ``sampled``, or of one in as many as there are groups if these are fewer; it is counted by Spark, and of it at most
+    200,000 leading bytes come to the driver. Leading bytes seen ``least`` times, and more than two buckets' share, are
+    common.
     """
     docs_size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-docs_size // group_bytes))
@@ -327,14 +377,16 @@ def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np
     def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in it:
             for batch in batches_of(part):
-                yield pa.RecordBatch.from_arrays([pa.array(places(batch, length).lead[::37].view(np.int64))], names=["lead"])
+                p = places(batch, length)
+                yield pa.RecordBatch.from_arrays([pa.array(x[::step].view(np.int64)) for x in (p.lead, p.hash)], names=["lead", "hash"])
 
-    splitters = np.zeros(0, np.uint64)
+    buckets = Buckets(np.zeros(0, np.uint64), np.ones(1, np.int64), np.zeros(0, np.uint64), 1)
     if groups > 1:
-        few = documents_of(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(max(1, groups))) == 0)
-        seen = np.sort(np.array([r.lead for r in few.mapInArrow(sample, "lead long").orderBy(F.xxhash64("lead"), "lead").limit(200_000).collect()], np.int64).view(np.uint64))
-        if len(seen):
-            splitters = np.unique(seen[(np.arange(1, groups) * len(seen)) // groups])
+        few = documents_of(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(min(groups, sampled))) == 0)
+        drawn = staged(few.mapInArrow(sample, "lead long, hash long"), "suffix-sample")
+        n = drawn.count()
+        often = drawn.groupBy("hash").count().where((F.col("count") >= least) & (F.col("count") * groups > 2 * n))
+        buckets = buckets_of(drawn.orderBy(F.xxhash64("lead", "hash"), "lead").limit(200_000).toPandas(), often.toPandas(), n, groups)
 
     def table_of(rows: list[tuple], kinds: str) -> pa.Table:
         return pa.Table.from_batches([batch_of(rows, arrow_schema(kinds))])
@@ -342,7 +394,7 @@ def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np
     def send_leads(docs: pa.Table) -> pa.Table:
         h, several, lead = distinct_leads(docs, length)
         own = docs.column(group)[0].as_py()
-        return table_of([(b, own, _pack((short(h[i]) << np.uint32(1)) | several[i], "<u4")) for b, i in by_bucket(lead, splitters)], LEADS)
+        return table_of([(b, own, _pack((short(h[i]) << np.uint32(1)) | several[i], "<u4")) for b, i in by_bucket(buckets.of(lead, h))], LEADS)
 
     def common_leads(pdf: pd.DataFrame) -> pd.DataFrame:
         codes = _join(pdf["a"], "<u4")
@@ -356,23 +408,35 @@ def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np
     def send_contexts(docs: pa.Table, notes: pa.Table) -> pa.Table:
         if not len(docs) or not len(notes):
             return table_of([], CONTEXTS)
-        job, found, squeeze = Removal(notes.to_pandas(), length, splitters), [], zstandard.ZstdCompressor(level=3)
+        job, found, squeeze = Removal(notes.to_pandas(), length, buckets), [], zstandard.ZstdCompressor(level=3)
         for batch in batches_of(docs):
             p, c = job.candidates(batch)
             ids = batch.ids[p.doc]
             order, new = first_of_each(c.key, c.half, ids)
             first = order[new]
             top = np.maximum.reduceat(ids[order], np.flatnonzero(new)) if len(order) else ids
-            found.append((c.key[first], c.half[first], ids[first], top, p.lead[first], np.concatenate([c.front, c.back], 1)[first], np.stack([c.n_back, c.n_front], 1)[first]))
-        key, half, low, top, lead, data, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((c.key[first], c.half[first], ids[first], top, p.lead[first], p.hash[first], np.concatenate([c.front, c.back], 1)[first], np.stack([c.n_back, c.n_front], 1)[first]))
+        key, half, low, top, lead, h, data, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         order, new = first_of_each(key, half, low)
         first, at = order[new], np.flatnonzero(new)
         several = np.maximum.reduceat(top[order], at) != low[first] if len(key) else new
         rows, own = [], docs.column(group)[0].as_py()
-        for b, i in by_bucket(lead[first], splitters):
-            i = i[multikey_sort(data[first[i]])]  # neighbours share bytes, and so need less room
-            f = first[i]
-            rows.append((b, own, _pack(low[f], "<i8"), _pack(several[i], "u1"), squeeze.compress(data[f].tobytes()), sizes[f].tobytes()))
+
+        def send(to: np.ndarray, at: np.ndarray) -> None:
+            for b, i in by_bucket(to):
+                i = at[i]
+                i = i[multikey_sort(data[first[i]])]  # neighbours share bytes, and so need less room
+                f = first[i]
+                rows.append((b, own, _pack(low[f], "<i8"), _pack(several[i], "u1"), squeeze.compress(data[f].tobytes()), sizes[f].tobytes()))
+
+        often = buckets.is_common(h[first])
+        rare = np.flatnonzero(~often)
+        send(buckets.of(lead[first[rare]], h[first[rare]]), rare)
+        if often.any():
+            for k, (a, z) in enumerate(families(length)):
+                i = np.flatnonzero(often & (sizes[first, 0] >= a) & (sizes[first, 1] >= length - z))
+                shared = data[first[i]][:, [*range(length - z), *range(length, length + a)]]  # what its windows have in common
+                send(buckets.of_family(k, context_keys(shared, shared[:, :0], shared[:, :0])[0]), i)
         return table_of(rows, CONTEXTS)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -388,7 +452,8 @@ def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np
         n_windows = length - LEAD + 1
         smallest = np.full((n_windows, len(first)), -1, np.int64)
         held = np.zeros((n_windows, len(first)), bool)
-        for o, own, found in smallest_ids(c, low, length):
+        family = buckets.family_of(int(pdf["bucket"].iloc[0]))
+        for o, own, found in smallest_ids(c, low, length, *((0, n_windows - 1) if family is None else families(length)[family])):
             smallest[o, own], held[o, own] = found, True
         # runs of windows with the same smallest id
         start = held.copy()
@@ -414,7 +479,7 @@ def removals(docs: DataFrame, finish: Callable[[pa.Table, Iterator[tuple[int, np
         return pd.DataFrame(rows, columns=["p", "bucket", "kind", "a", "b", "c", "d"])
 
     def apply(docs: pa.Table, notes: pa.Table) -> pa.Table:
-        job = Removal(notes.to_pandas(), length, splitters)
+        job = Removal(notes.to_pandas(), length, buckets)
 
         def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             for batch in batches_of(docs):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -195,6 +196,57 @@ def test_suffixes_match_brute_force(small, monkeypatch, length, group_bytes):
     assert rows(suffix_dedup.figures(small, length)) == brute_repeats(TEXT(small), length)
 
 
+def surrounded(n: int = 400) -> list[tuple[int, str]]:
+    """Texts in which a few short strings stand in very many surroundings, some of which come again."""
+    draw = np.random.default_rng(5)
+    word = lambda k: "".join(chr(97 + c) for c in draw.integers(0, 26, k))
+
+    def least_hash(text):  # of its places: the operator looks at the least ones of a window
+        (batch,) = suffix_dedup.batches_of(pa.table({"doc_id": [0], "text": [text]}))
+        return int(suffix_dedup.places(batch, len(text)).hash.min())
+
+    strings, ends = sorted((f"{word(12)} {word(20)}" for _ in range(200)), key=least_hash)[:2], [word(60) for _ in range(6)]
+    out = []
+    for i in range(n):
+        parts = []
+        for _ in range(6):
+            before, after = (ends[draw.integers(6)][: draw.integers(10, 60)] if draw.random() < 0.3 else word(draw.integers(5, 50)) for _ in range(2))
+            parts.append(before[::-1] + strings[draw.integers(2)] + after)
+        out.append((int(i), "".join(parts)))
+    return out
+
+
+@pytest.mark.parametrize("length", (50, 100))
+def test_suffixes_around_a_common_string_are_split(spark, monkeypatch, length):
+    texts, seen, whole, made = surrounded(), [], suffix_dedup.removals, suffix_dedup.buckets_of
+    if length == 100:
+        texts += [(i + 1000, "x" + t) for i, t in texts[::5]]
+    monkeypatch.setattr(suffix_dedup, "buckets_of", lambda *a: seen.append(made(*a)) or seen[-1])
+    monkeypatch.setattr(suffix_dedup, "removals", lambda d, f, s, n=50: whole(d, f, s, n, 4_000, 1, 1, 4))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(suffix_dedup.figures(df, length)) == brute_repeats(texts, length)
+    (buckets,) = seen
+    assert len(buckets.common) and buckets.pool > 1
+
+
+def test_buckets_of_suffixes():
+    """Every suffix has one bucket, families have buckets of their own, and windows of a family share what it is dealt by."""
+    import pandas as pd
+
+    draw = np.random.default_rng(2)
+    lead = np.where(draw.random(4000) < 0.4, 77, draw.integers(0, 1 << 62, 4000)).astype(np.int64)
+    b = suffix_dedup.buckets_of(pd.DataFrame({"lead": lead}), pd.DataFrame({"hash": [9], "count": [1600]}), 4000, 20)
+    h = draw.integers(0, 1 << 62, 4000).astype(np.uint64)
+    got = b.of(lead.view(np.uint64), h)
+    assert got.min() >= 0 and got.max() < b.parts.sum() and np.bincount(got).max() < 4 * 4000 / 20
+    assert b.family_of(int(got.max())) is None and b.pool == 8
+    for k in range(suffix_dedup.FAMILIES):
+        assert {b.family_of(int(x)) for x in b.of_family(k, h)} == {k}
+    assert [w for a, z in suffix_dedup.families(50) for w in range(a, z + 1)] == list(range(35))
+    none = suffix_dedup.buckets_of(pd.DataFrame({"lead": []}), pd.DataFrame({"hash": [], "count": []}), 0, 3)
+    assert set(none.of(lead.view(np.uint64), h)) == {0, 1, 2}
+
+
 def test_suffix_edge_cases(odd):
     assert rows(suffix_dedup.figures(odd)) == brute_repeats(TEXT(odd), 50)
     assert suffix_dedup.figures(odd.limit(0)).count() == 0
