@@ -201,6 +201,15 @@ def test_history_of_an_editor(spark):
     ]
 
 
+def test_first_order_is_in_the_editor_history(spark, tmp_path):
+    """An order of key 0 is a snapshot like others, not an entry without a time."""
+    from quillgraph.plans import catalogue, readers  # noqa: F401
+
+    spark.createDataFrame([(0, 2, "O", "1"), (5, 2, "F", "2"), (6, 3, "F", "2")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"file://{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["editor_history"](spark, f"file://{tmp_path}").collect()
+    assert sorted((r.file, r.id, r.summary, r.diff) for r in got) == [("c2.py", "0", "Undo", None), ("c2.py", "5", "Local History snapshot", None)]
+
+
 def test_bursts_and_watching(spark, tmp_path):
     from quillgraph.streaming import sessions
 
