@@ -86,19 +86,38 @@ def codes_of(x: np.ndarray, centres: np.ndarray, words: np.ndarray) -> tuple[np.
     return cell, np.stack([nearest(rest[:, i * width : (i + 1) * width], w) for i, w in enumerate(words)], 1).astype(np.uint8)
 
 
+def _fitted(drawn: DataFrame, dim: int, cells: int, s: Setting) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, words) of the sample, fitted in one task (it is bounded by the sample); the driver gets what was fitted, not the vectors."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.DataFrame()
+        for rows in batches:
+            pdf = pd.concat([pdf, rows]).sort_values(["key", "id"]).head(s.sample)
+        if len(pdf):
+            x = _unit(np.stack(pdf["vector"].to_list()).astype(float))
+            centres = means(x, max(1, min(cells, len(x) // 4 or 1)))
+            rest = x - centres[nearest(x, centres)]
+            words = np.stack([means(rest[:, i : i + s.part], min(s.words, len(x))) for i in range(0, dim, s.part)])
+            yield pd.DataFrame({"name": ["centres", "words"], "shape": [list(centres.shape), list(words.shape)], "data": [centres.tobytes(), words.tobytes()]})
+
+    got = {r["name"]: np.frombuffer(r["data"]).reshape(r["shape"]) for r in drawn.repartition(1).mapInPandas(fit, "name string, shape array<int>, data binary").collect()}
+    return (got["centres"], got["words"]) if got else (np.zeros((1, dim)), np.zeros((dim // s.part, 1, s.part)))
+
+
 def build(vectors: DataFrame, s: Setting = Setting()) -> Index:
     """Index of (id, vector), its tables in the shared folder. The length of the vectors must be a multiple of ``part``."""
     rows = sound(vectors)
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(s.sample).collect()  # bounded by the sample
-    dim = len(drawn[0]["vector"]) if drawn else s.part
+    first = rows.select(F.xxhash64("id").alias("key"), "id", F.size("vector").alias("dim")).agg(F.min_by("dim", F.struct("key", "id"))).first()[0]
+    dim = first or s.part
     if dim % s.part:
         raise ValueError(f"vectors of {dim} numbers can't be cut into parts of {s.part}")
     kept = staged(sound(rows, dim), "vectors")
     n = kept.count()
-    x = _unit(np.array([r["vector"] for r in drawn if len(r["vector"]) == dim], float)) if drawn else np.zeros((1, dim))
-    centres = means(x, max(1, min(s.cells, int(n**0.5), len(x) // 4 or 1)))
-    rest = x - centres[nearest(x, centres)]
-    words = np.stack([means(rest[:, i : i + s.part], min(s.words, len(x))) for i in range(0, dim, s.part)])
+    # drawn by a hash with a little to spare, so that no task and not the driver sorts vectors
+    key = F.xxhash64("id")
+    share = int(min(1.0, (s.sample + 4 * s.sample**0.5) / max(n, 1)) * (1 << 30))
+    drawn = kept.select(key.alias("key"), "id", "vector").where(F.pmod(key, F.lit(1 << 30)) < share)
+    centres, words = _fitted(drawn, dim, min(s.cells, int(n**0.5)), s)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,9 +181,8 @@ def _ranked(pairs: DataFrame, index: Index, queries: DataFrame, k: int) -> DataF
 
 def exact(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, id, cosine) by brute force; for a bounded set of queries, which is sent to every task."""
-    asked = queries.collect()
-    every = F.explode(F.array(*[F.struct(F.lit(r["query"]).alias("query"), F.lit([float(v) for v in r["vector"]]).alias("asked")) for r in asked]))
-    rows = index.vectors.select("id", "vector", every.alias("q")).select("id", F.col("q.query").alias("query"), X.cosine(F.col("vector"), F.col("q.asked")).alias("cosine")).where("query <> id")
+    asked = F.broadcast(queries.select("query", F.col("vector").cast("array<double>").alias("asked")))
+    rows = index.vectors.crossJoin(asked).select("id", "query", X.cosine(F.col("vector"), F.col("asked")).alias("cosine")).where("query <> id")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
 
 

@@ -58,6 +58,18 @@ def test_odd_vectors(spark):
         cells.build(v.where("id = 7"))
 
 
+def test_no_vectors_come_to_the_driver(spark, monkeypatch):
+    """What is collected while an index is built and searched: what was fitted, and figures; no row holds a vector."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (seen.append(dict(self.dtypes)), collect(self))[1])
+    v = spark.createDataFrame(clustered(600), "id long, vector array<double>")
+    got = cells.search(cells.build(v, cells.Setting(sample=200, recall=1.0)), v.where("id % 50 = 0").withColumnRenamed("id", "query"), 3)
+    assert seen and not any("array<double>" in t for types in seen for t in types.values())
+    assert got.count() == 36
+
+
 def test_codes_are_near_what_they_stand_for():
     x = np.array([v for _, v in clustered(2000)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
