@@ -268,6 +268,7 @@ def stream_node_state(spark, sf_dir):
     staged_weeks = events.withColumn("week", week)
     staged_weeks.write.partitionBy("week").parquet(f"{root}/weeks")
     own = state.session(spark)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # what has ripened is applied by the next run, and in what is shown
     for r in spark.read.parquet(f"{root}/weeks").select("week").distinct().orderBy("week").collect():  # five at most
         spark.read.schema(events.schema).parquet(f"{root}/weeks/week={r['week']}").write.mode("append").parquet(f"{root}/source")
         stream = own.readStream.schema(events.schema).parquet(f"{root}/source")

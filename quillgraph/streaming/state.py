@@ -11,11 +11,11 @@ Events with a null key or time, and those behind the watermark, are left out (th
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -37,58 +37,65 @@ class Settling(StatefulProcessor):
         self.columns = [f.split()[0] for f in self.kept.split(", ")]
 
     def _state(self) -> dict:
-        return dict(zip(self.names, self.settled.get(), strict=True)) if self.settled.exists() else dict(self.start)
+        found = self.settled.get()
+        return dict(self.start) if found is None else dict(zip(self.names, found, strict=True))
 
     def _events(self) -> list[dict]:
-        return [dict(zip(self.columns, e, strict=True)) for e in self.pending.get()] if self.pending.exists() else []
+        return [_timed(dict(zip(self.columns, e, strict=True))) for e in self.pending.get()]
 
-    def _settle(self, events: list[dict], until_ms: int) -> None:
-        """Apply what the watermark has passed; a timer waits for the oldest event of the rest."""
+    def _settle(self, events: list[dict], until_ms: int, waits: int | None, had: bool) -> tuple[dict, list[dict]]:
+        """Apply what the watermark has passed; a timer waits for the oldest event of the rest (``waits``: for which one it is set).
+
+        Every call goes to the state store's process, so nothing is asked that is known here.
+        """
         events.sort(key=lambda e: (e["at"], e["pos"]))
         ripe = [e for e in events if _millis(e["at"]) < until_ms]
         rest = events[len(ripe) :]
+        state = self._state()
         if ripe:
-            state = self._state()
             for e in ripe:
                 state = self.step(state, e)
             self.settled.update(tuple(state[n] for n in self.names))
         if rest:
             self.pending.put([tuple(e[c] for c in self.columns) for e in rest])
             due = _millis(rest[0]["at"]) + 1
-            waiting = list(self.handle.listTimers())
-            if not any(t <= due for t in waiting):
-                for t in waiting:
-                    self.handle.deleteTimer(t)
+            if waits is None or due < waits:
+                if waits is not None:
+                    self.handle.deleteTimer(waits)
                 self.handle.registerTimer(due)
-        elif ripe or self.pending.exists():
+        elif had:
             self.pending.clear()
+        return state, rest
 
-    def _shown(self, key) -> pd.DataFrame:
-        state = self._state()
-        for e in sorted(self._events(), key=lambda e: (e["at"], e["pos"])):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = self._events()
+        # a timer that the watermark has passed goes off in any case, and sets the next one
+        waits = min((_millis(e["at"]) + 1 for e in events), default=None)
+        had = bool(events)
+        events += [_timed({c: r[c] for c in self.columns}) for r in rows]
+        state, rest = self._settle(events, timerValues.getCurrentWatermarkInMs(), waits, had)
+        for e in rest:
             state = self.step(state, e)
-        return pd.DataFrame({self.key: [key[0]]} | {n: [state[n]] for n in self.names})
+        yield Row(**{self.key: key[0]} | {n: state[n] for n in self.names})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         events = self._events()
-        for pdf in rows:
-            events += [dict(zip(self.columns, r, strict=True)) for r in pdf[self.columns].astype({"at": object}).itertuples(index=False)]
-        for e in events:
-            e["at"] = e["at"].to_pydatetime() if hasattr(e["at"], "to_pydatetime") else e["at"]
-        self._settle(events, timerValues.getCurrentWatermarkInMs())
-        yield self._shown(key)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._settle(self._events(), timerValues.getCurrentWatermarkInMs())
+        if events:
+            self._settle(events, timerValues.getCurrentWatermarkInMs(), None, True)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def _millis(at) -> int:
+def _timed(event: dict) -> dict:
+    """With ``at`` in UTC; the state store gives times of the machine's zone, without its name."""
+    return event | {"at": event["at"].astimezone(dt.timezone.utc)}
+
+
+def _millis(at: dt.datetime) -> int:
     """Whole milliseconds of a time, as the watermark counts them."""
-    return int(pd.Timestamp(at, tz="UTC").value // 1_000_000) if pd.Timestamp(at).tzinfo is None else int(pd.Timestamp(at).value // 1_000_000)
+    return (at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(milliseconds=1)
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -96,7 +103,9 @@ def session(spark: SparkSession) -> SparkSession:
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     own.conf.set("spark.sql.session.timeZone", "UTC")
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # a task of each micro-batch opens its part of the store, whatever is in it, so there are no more parts than cores
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", str(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return own
 
 
@@ -110,7 +119,7 @@ def settled_state(events: DataFrame, key: str, at: str, pos: str, kept: str, fie
         rows.select(key, *names)
         .withWatermark("at", lateness)
         .groupBy(key)
-        .transformWithStateInPandas(Settling(key, fields, columns, start, step), outputStructType=f"{key} {of[key]}, {fields}", outputMode="Update", timeMode="EventTime")
+        .transformWithState(Settling(key, fields, columns, start, step), outputStructType=f"{key} {of[key]}, {fields}", outputMode="Update", timeMode="EventTime")
     )
 
 

@@ -207,3 +207,13 @@ def test_postings_are_scored_within_their_block(spark, tmp_path, monkeypatch):
     got = postings.search(spark.createDataFrame([(1, "c b c"), (2, "zzz")], "query long, text string"), root, 4, first=1)
     assert [(r.query, r.id % 7) for r in got.collect()] == [(1, 6)] * 4
     assert "Generate" not in plans["best"]
+
+
+def test_state_session_has_no_more_parts_than_cores(spark):
+    own = state.session(spark)
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) <= max(2, spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        assert int(state.session(spark).conf.get("spark.sql.shuffle.partitions")) <= max(2, spark.sparkContext.defaultParallelism)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
