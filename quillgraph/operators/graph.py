@@ -105,6 +105,10 @@ def co_edits(touches: DataFrame, session: str, file: str, pos: str, cap: int = C
     return files.select(F.explode(pairs).alias("p")).select("p.*").distinct().withColumn("weight", F.lit(C.CO_EDIT_WEIGHT))
 
 
+#: Longs of a subject's signature; a token sets one of their bits.
+SIGNATURE = 4
+
+
 def contradictions(decisions: DataFrame, pairs=C.ANTONYMS, id_: str = "id", text: str = "text", branch: str = "branch") -> DataFrame:
     """(old_id, new_id): contradicting decisions (id, text, branch, pos); unknown branches are compared with all.
 
@@ -112,26 +116,45 @@ def contradictions(decisions: DataFrame, pairs=C.ANTONYMS, id_: str = "id", text
     pair. Of two subjects that overlap enough, the smaller one has a shared token among its rarest few: a subject of s
     tokens needs at least ``OVERLAP_FLOOR * s`` shared ones, so all but that many (less one) hold one of them, and in the
     order of frequency it is the rarest shared token. Only these are looked up, so common tokens rarely pair anything off.
+
+    Candidates are judged where they meet and are never written: each row carries its subject as numbers, and a signature
+    of it. Tokens in common set bits in common, so the bits that two signatures share, and as many as the smaller subject
+    has tokens more than bits, bound what is shared; few pairs are left whose subjects have to be compared.
     """
     n = decisions.count()
-    rows = decisions.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.col(branch).alias("branch"), "pos").withColumn("subject", X.subject_tokens(F.col("text")))
-    low = F.lower("text")
+    low = F.lower(text)
     sides = F.array_compact(F.array(*[F.when(low.contains(w), F.struct(F.lit(i).alias("pair"), F.lit(s).alias("side"))) for i, p in enumerate(pairs) for s, w in enumerate(p)]))
-    rows = rows.withColumn("sides", sides).where(F.size("sides") > 0)
-    rare = decisions.select(F.explode(X.subject_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.lit(n < C.DIRECTORY_MIN_FILES) | (F.col("df") <= C.COMMON_SHARE * n))
-    size = F.size("subject")
-    few = size - F.ceil(size * C.OVERLAP_FLOOR - 1e-9) + 1
-    keyed = rows.select("id", "sides", size.alias("size"), few.cast("int").alias("few"), F.explode("subject").alias("token")).join(rare, "token", "left")
+    rows = decisions.select(F.monotonically_increasing_id().alias("row"), F.col(id_).alias("id"), F.col(branch).alias("branch"), "pos", X.subject_tokens(F.col(text)).alias("subject"), sides.alias("sides"))
+    rows = staged(rows, "decisions")
+    words = rows.select(F.explode("subject").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    words = staged(words.withColumn("code", F.monotonically_increasing_id()), "words")
     # tokens in most subjects come last in this order and are not looked up
-    listed = keyed.groupBy("id").agg(F.first("sides").alias("sides"), F.first("size").alias("size"), F.first("few").alias("few"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token")))).alias("tokens"))
-    keyed = listed.select("id", "sides", "size", "few", F.posexplode("tokens").alias("at", "t")).select("id", "size", (F.col("at") < F.col("few")).alias("rarest"), F.col("t.token").alias("token"), F.explode("sides").alias("s"))
-    keyed = staged(keyed.select("id", "size", "rarest", "token", "s.pair", "s.side"), "subjects")
-    left, right = keyed.where("side = 0").drop("side"), keyed.where("side = 1").select(F.col("id").alias("other"), F.col("size").alias("size_b"), F.col("rarest").alias("rarest_b"), "token", "pair")
-    met = left.where("rarest").join(right, ["token", "pair"]).where("size <= size_b").select("id", "other")
-    met = met.unionByName(left.join(right.where("rarest_b"), ["token", "pair"]).where("size_b <= size").select("id", "other"))
-    cand = met.where("id <> other").distinct()
-    b = rows.select(F.col("id").alias("other"), F.col("text").alias("text_b"), F.col("branch").alias("branch_b"), F.col("pos").alias("pos_b"))
-    full = cand.join(rows.drop("subject", "sides"), "id").join(b, "other")
-    full = full.where(X.contradicts(F.col("text"), F.col("text_b"), pairs) & (F.col("branch").isNull() | F.col("branch_b").isNull() | (F.col("branch") == F.col("branch_b"))))
+    common = F.lit(n >= C.DIRECTORY_MIN_FILES) & (F.col("df") > C.COMMON_SHARE * n)
+    opposing = rows.where(F.size("sides") > 0)
+    bit = F.pmod(F.xxhash64("code"), F.lit(64 * SIGNATURE)).cast("int")
+    set_in = lambda k: F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))
+    coded = opposing.select("row", F.explode("subject").alias("token")).join(words, "token")
+    coded = coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(common.alias("common"), "df", "code"))).alias("tokens"), *[F.bit_or(set_in(k)).alias(f"b{k}") for k in range(SIGNATURE)])
+    size = F.size("tokens")
+    need = F.ceil(size * C.OVERLAP_FLOOR - 1e-9).cast("int")
+    spare = size - sum(F.bit_count(f"b{k}") for k in range(SIGNATURE))
+    listed = coded.join(opposing.drop("subject"), "row").withColumns({"codes": F.col("tokens.code"), "size": size, "need": need, "spare": spare})
+    held = ["id", "branch", "pos", "codes", "size", "need", "spare", *(f"b{k}" for k in range(SIGNATURE))]
+    keyed = listed.select(*held, "sides", F.posexplode("tokens").alias("at", "t")).where("not t.common")
+    keyed = keyed.select(*held, "at", F.col("t.code").alias("token"), F.explode("sides").alias("s")).select(*held, "at", "token", "s.pair", "s.side")
+    keyed = staged(keyed, "subjects")
+
+    def met(side: int) -> DataFrame:
+        """Pairs whose smaller subject is on this side (of two of a size, that on side 0), where their rarest shared token is."""
+        small = keyed.where((F.col("side") == side) & (F.col("at") <= F.col("size") - F.col("need")))
+        large = keyed.where(F.col("side") == 1 - side).select("token", "pair", *[F.col(c).alias(f"{c}_b") for c in [*held, "at"]])
+        smaller = (F.col("size") < F.col("size_b")) | (F.lit(side == 0) & (F.col("size") == F.col("size_b")))
+        common_bits = sum(F.bit_count(F.col(f"b{k}").bitwiseAND(F.col(f"b{k}_b"))) for k in range(SIGNATURE))
+        near = smaller & (F.col("size_b") - F.col("at_b") >= F.col("need")) & (common_bits + F.col("spare") >= F.col("need"))
+        beside = F.col("branch").isNull() | F.col("branch_b").isNull() | (F.col("branch") == F.col("branch_b"))
+        enough = F.size(F.array_intersect("codes", "codes_b")) >= F.col("need")
+        return small.join(large, ["token", "pair"]).where(near & (F.col("id") != F.col("id_b")) & beside & enough).select("id", "pos", "id_b", "pos_b")
+
     older = F.col("pos") < F.col("pos_b")
-    return full.select(F.when(older, F.col("id")).otherwise(F.col("other")).alias("old_id"), F.when(older, F.col("other")).otherwise(F.col("id")).alias("new_id")).distinct()
+    full = met(0).unionByName(met(1))
+    return full.select(F.when(older, F.col("id")).otherwise(F.col("id_b")).alias("old_id"), F.when(older, F.col("id_b")).otherwise(F.col("id")).alias("new_id")).distinct()

@@ -84,3 +84,19 @@ def test_contradictions_equal_all_pairs(spark):
     a, b = df.alias("a"), df.alias("b")
     both = a.crossJoin(b).where("a.pos < b.pos and (a.branch is null or b.branch is null or a.branch = b.branch)").where(X.contradicts(F.col("a.text"), F.col("b.text")))
     assert got == {(r[0], r[1]) for r in both.select("a.id", "b.id").collect()} and len(got) > 50
+
+
+def test_contradictions_judge_pairs_by_numbers(spark):
+    """Pairs are judged where they meet, their texts aren't broken up again; subjects of more tokens than a signature has bits are right."""
+    import random
+
+    draw = random.Random(9)
+    words = [f"w{i:04d}" for i in range(600)]
+    rows = [(i, " ".join([draw.choice(("use", "avoid", "enable", "disable use")), *draw.sample(words[: draw.choice((40, 600))], draw.choice((3, 12, 30, 36)) if i % 3 else 30), *(words[:400] if i % 20 == 0 else [])]), draw.choice((None, "m", "d")), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, text string, branch string, pos int")
+    found = graph.contradictions(df)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    a, b = df.alias("a"), df.alias("b")
+    both = a.crossJoin(b).where("a.pos < b.pos and (a.branch is null or b.branch is null or a.branch = b.branch)").where(X.contradicts(F.col("a.text"), F.col("b.text")))
+    want = {(r[0], r[1]) for r in both.select("a.id", "b.id").collect()}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 20
