@@ -90,3 +90,23 @@ def test_brief_document(spark):
     got = documents.brief_document(documents.Project("/w", "now", agents=[{"name": "b", "events": 3, "connected": None}]), timeline_rows(spark), {"tasks": "- one"})
     text = documents.brief_markdown(got)
     assert (got["events"], got["shown"]) == (40, 40) and "- b (3 events)" in text and "```markdown\n- one\n```" in text and text.count("```text") == 40
+
+
+def test_chat_sessions_are_replayed_once_and_whole(spark):
+    """The result's plan has no replay in it; a file's lines meet in one task however the tables they come from are dealt."""
+    n = 300
+    path = F.format_string("/s/w/chatSessions/%d.jsonl", "id")
+    begun = F.format_string('{"kind": 0, "v": {"sessionId": "%d", "requests": []}}', "id")
+    said = F.lit('{"result": {"metadata": {"renderedUserMessage": [{"text": "<userRequest>x</userRequest>"}]}}}')
+    ids = spark.range(n)
+    first = ids.select(path.alias("path"), F.lit(-1).cast("long").alias("pos"), begun.alias("value"))
+    after = ids.crossJoin(spark.range(3).withColumnRenamed("id", "at")).select(path.alias("path"), F.col("at").alias("pos"), F.concat(F.lit('{"kind": 1, "k": ["requests", '), "at", F.lit('], "v": '), said, F.lit("}")).alias("value"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = transcripts.chat_sessions(first.unionByName(after), first.limit(0))
+        assert "replay" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = found.groupBy("session").agg(F.count("*").alias("n"), F.count_distinct("content").alias("m")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(got) == n and {(r.n, r.m) for r in got} == {(3, 1)}
