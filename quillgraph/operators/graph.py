@@ -96,13 +96,31 @@ def resolve(nodes: DataFrame, reference: str, id_: str = "id", text: str = "text
     return found if exact else found.where("matched = 'id'")
 
 
-def co_edits(touches: DataFrame, session: str, file: str, pos: str, cap: int = C.CO_EDIT_FILES) -> DataFrame:
-    """(from, to, weight): unordered pairs of the first ``cap`` distinct files of each session; at most cap*(cap-1)/2 a session."""
-    firsts = touches.groupBy(session, file).agg(F.min(pos).alias("first"))
-    few = firsts.withColumn("rn", F.row_number().over(W.partitionBy(session).orderBy("first", file))).where(F.col("rn") <= cap)
+#: Touches for a task of ``co_edits``, and buckets of the files of a session.
+ROWS_A_TASK, FILE_BUCKETS = 500_000, 64
+
+
+def co_edits(touches: DataFrame, session: str, file: str, pos: str, cap: int = C.CO_EDIT_FILES, rows: int | None = None) -> DataFrame:
+    """(from, to, weight): unordered pairs of the first ``cap`` distinct files of each session; at most cap*(cap-1)/2 a session.
+
+    With ``rows``, how many touches there are at most, the work is dealt into as many parts as keep a task's share of them
+    bounded. Touches and pairs are dealt before they are made distinct, so no task holds more keys than its part has; of a
+    session each of ``FILE_BUCKETS`` buckets sends only its first ``cap`` files on, so that a huge one is no task's either.
+    """
+    dealt = lambda df, *keys: df
+    if rows is not None:
+        parts = max(int(touches.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+        dealt = lambda df, *keys: df.repartition(parts, *keys)
+    firsts = touches.select(session, file, pos)
+    if rows is None:
+        firsts = firsts.groupBy(session, file).agg(F.min(pos).alias("first"))
+    else:
+        firsts = dealt(firsts.withColumn("bucket", F.pmod(F.hash(file), F.lit(FILE_BUCKETS))), session, "bucket").groupBy(session, "bucket", file).agg(F.min(pos).alias("first"))
+        firsts = firsts.withColumn("rn", F.row_number().over(W.partitionBy(session, "bucket").orderBy("first", file))).where(F.col("rn") <= cap).drop("rn", "bucket")
+    few = dealt(firsts, session).withColumn("rn", F.row_number().over(W.partitionBy(session).orderBy("first", file))).where(F.col("rn") <= cap)
     files = few.groupBy(session).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", file))), lambda x: x[file]).alias("files"))
     pairs = F.flatten(F.transform("files", lambda a, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda b: F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to")))))
-    return files.select(F.explode(pairs).alias("p")).select("p.*").distinct().withColumn("weight", F.lit(C.CO_EDIT_WEIGHT))
+    return dealt(files.select(F.explode(pairs).alias("p")).select("p.*"), "from", "to").distinct().withColumn("weight", F.lit(C.CO_EDIT_WEIGHT))
 
 
 #: Longs of a subject's signature; a token sets one of their bits.

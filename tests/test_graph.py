@@ -257,3 +257,19 @@ def test_sessions_of_all_rows_across_bins_and_without_times(spark):
         n += gap > 600
         want[i] = n
     assert got == want
+
+
+def test_co_edits_are_dealt_into_parts_by_their_number(spark, monkeypatch):
+    """With the number of touches known, parts grow with it and no stage makes keys distinct before they are dealt; pairs are the same."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(draw.choice((1, 2, 3, i)), draw.randint(0, 60), draw.randint(0, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s int, f int, pos int")
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 250)
+    found = graph.co_edits(df, "s", "f", "pos", rows=3000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(dealt) == 3 and all(", 12), REPARTITION_BY_NUM" in line for line in dealt)
+    want = graph.co_edits(df, "s", "f", "pos").select("from", "to").collect()
+    assert sorted(map(tuple, found.select("from", "to").collect())) == sorted(map(tuple, want)) and len(want) > 45
