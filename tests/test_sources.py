@@ -65,7 +65,7 @@ def test_editing_sessions_are_parsed_once(spark):
     op = lambda e, n: {"type": "textEdit", "uri": f"file:///w/{n}.py", "epoch": e, "edits": []}
     state = {"timeline": {"checkpoints": [{"epoch": 1, "checkpointId": "old"}, {"epoch": 1, "checkpointId": "new", "requestId": "r"}], "operations": [op(1, "a"), op(2, "b"), op(None, "c")]}}
     other = {"timeline": {"checkpoints": [{"epoch": 2, "checkpointId": "other"}]}}
-    df = spark.createDataFrame([("s", None, json.dumps(state)), ("s", None, json.dumps(other)), ("t", None, json.dumps(state)[:-2]), ("u", None, None)], "session string, ts timestamp, value string")
+    df = spark.createDataFrame([("s", None, json.dumps(state)), ("s", None, json.dumps(other)), ("t", None, json.dumps(state)[:-2]), ("u", None, None), ("v", None, json.dumps(state).replace('"', "'")), ("w", None, json.dumps(state | {"x": float("nan")}))], "session string, ts timestamp, value string")
     found = transcripts.editing_sessions(df)
     edits = {r.file: (r.extras["checkpointId"], r.extras["requestId"]) for r in found.where("kind = 'code_edit'").collect()}
     assert edits == {"a.py": ("new", "r"), "b.py": (None, None), "c.py": (None, None)}
