@@ -620,6 +620,20 @@ def test_every_example_of_every_text_is_learnt_from_or_held_out(spark, tables, m
     assert hits >= 0.98 * n[y > 0].sum()
 
 
+def test_rare_findings_are_lent_to_every_shard(spark, tables, monkeypatch):
+    docs = spark.read.parquet(tables.replace("0.001", "0.1") + "/documents.parquet").where("doc_id < 600")
+    keys = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(12)]
+    clean = spark.createDataFrame([(i, t) for i, t in TEXT(docs) if t and not secret_scan.rule_spans(t)], "doc_id long, text string")
+    rare = spark.createDataFrame([(-i, f"the key {k} is in here") for i, k in enumerate(keys)], "doc_id long, text string")
+    fitted, with_round = [], secret_scan._round
+    monkeypatch.setattr(secret_scan, "_round", lambda packs, *more: fitted.append(packs) or with_round(packs, *more))
+    net = secret_scan.train(clean.unionByName(rare), shard=3000)
+    got = fitted[0].collect()
+    total = sum(r.hits for r in got)
+    assert len(got) > 3 and total > 0 and all(r.hits + len(r.lent or []) == total for r in got)
+    assert net is not None
+
+
 def test_the_network_is_the_same_for_any_cut_of_the_table_and_any_copies(spark, tables):
     docs = spark.read.parquet(tables.replace("0.001", "0.1") + "/documents.parquet").where("doc_id < 1500")
     one, two = secret_scan.train(docs.coalesce(1), shard=9000), secret_scan.train(docs.repartition(5).unionByName(docs), shard=18_000)
