@@ -1,13 +1,14 @@
 """Nearest vectors by cosine over coarse cells with product-quantised codes, and an exact ranking of what they propose.
 
 Fit. Centres of cells, and for each part of a vector the code words of what its centre leaves, are k-means of a bounded sample.
-Every vector goes to its nearest centre and becomes a code of a byte for each part. Codes lie in blocks of bounded size, so a
-cell with very many vectors (copies of one, say) is many blocks.
+Every vector goes to its nearest centre and becomes a code of a byte for each part. Codes and vectors lie in blocks of bounded
+size, so a cell with very many vectors (copies of one, say) is many blocks.
 
-Search. A query looks into its nearest cells; a block's task loads its codes once, and the queries that look into its cell
-stream past. Each block proposes the codes nearest to a query by tables of distances to the code words; the best proposals of
-all blocks are joined with the vectors themselves, and ranked by exact cosine. A sample of the queries is held against all
-vectors first, and cells and proposals are doubled until the wanted recall is reached (in the end everything is ranked).
+Search. Blocks are dealt into parts of bounded size. A query looks into its nearest cells and goes once to each part that has
+some of them; a part's task loads it once, and the queries stream past. There the codes nearest to a query are its proposals,
+these are ranked by exact cosine, and only a part's best ``k`` leave the task. Where a good share of a part would be proposed,
+all of it is ranked. A sample of the queries is held against all vectors first: one plan asks with all doublings of cells and
+proposals, and the first that reaches the wanted recall is taken (the last ranks everything).
 
 Edge cases: null ids, vectors that are null, empty, zero or of another length than the first are left out; ties go to the
 smaller id; a query's own id is no answer to it.
@@ -20,12 +21,15 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from .staging import staged
 
+#: Numbers in the vectors of a block at most, numbers that a task works on at once, and the share of a part that is worth choosing by codes.
+BLOCK_NUMBERS, CHUNK, RANK_ALL = 1 << 20, 1 << 21, 16
+
 
 @dataclass(frozen=True)
 class Setting:
@@ -33,7 +37,7 @@ class Setting:
     cells: int = 1024  #: at most; the square root of the vectors if that is less
     part: int = 4  #: numbers of a vector that one code word stands for
     words: int = 256
-    block: int = 16_384  #: codes of a block
+    block: int = 16_384  #: vectors of a block, at most
     probes: int = 8
     proposals: int = 64
     recall: float = 0.95
@@ -42,11 +46,12 @@ class Setting:
 
 @dataclass(frozen=True)
 class Index:
-    blocks: DataFrame  #: cell, block, ids, codes
+    blocks: DataFrame  #: cell, block, ids, codes, raws (the vectors' bytes)
     vectors: DataFrame  #: id, vector (as given)
     centres: np.ndarray
     words: np.ndarray  #: part, word, number
     parts_of_cell: dict[int, int]
+    rows: int
     setting: Setting
 
 
@@ -75,6 +80,7 @@ def sound(vectors: DataFrame, dim: int | None = None) -> DataFrame:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small numbers would not be finite or be zero
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -121,87 +127,167 @@ def build(vectors: DataFrame, s: Setting = Setting()) -> Index:
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell, codes = codes_of(_unit(np.stack(pdf["vector"].to_list())), centres, words)
-            yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in codes]})
+            x = np.stack(pdf["vector"].to_list())
+            cell, codes = codes_of(_unit(x), centres, words)
+            yield pd.DataFrame({"id": pdf["id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in codes], "raw": [v.tobytes() for v in x]})
 
     kind = dict(kept.dtypes)["id"]
-    found = staged(kept.mapInPandas(coded, f"id {kind}, cell int, code binary"), "codes")
-    sizes = {r["cell"]: -(-r["count"] // s.block) for r in found.groupBy("cell").count().collect()}  # a row a cell
+    found = staged(kept.mapInPandas(coded, f"id {kind}, cell int, code binary, raw binary"), "codes")
+    most = max(1, min(s.block, BLOCK_NUMBERS // dim))
+    sizes = {r["cell"]: -(-r["count"] // most) for r in found.groupBy("cell").count().collect()}  # a row a cell
     parts = F.coalesce(*[F.when(F.col("cell") == c, F.lit(p)) for c, p in sizes.items() if p > 1], F.lit(1))
-    packed = found.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "code")).alias("rows"))
-    blocks = packed.select("cell", "block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.transform("rows", lambda r: r["code"]).alias("codes"))
-    return Index(staged(blocks, "blocks"), kept, centres, words, sizes, s)
-
-
-def _proposed(index: Index, queries: DataFrame, probes: int, proposals: int) -> DataFrame:
-    """(query, id): the best codes of the nearest cells of (query, vector)."""
-    centres, words, parts = index.centres, index.words, index.parts_of_cell
-    kind, spark = dict(index.vectors.dtypes)["id"], queries.sparkSession
-    width = words.shape[2]
-
-    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _unit(np.stack(pdf["vector"].to_list()))
-            far = (centres**2).sum(1) - 2 * x @ centres.T
-            cells = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            out = [(c, b, q, v) for q, v, own in zip(pdf["query"], x, cells.tolist(), strict=True) for c in own for b in range(parts.get(c, 0))]
-            yield pd.DataFrame(out, columns=["cell", "block", "query", "vector"])
-
-    asks = queries.select("query", "vector").mapInPandas(probed, f"cell int, block int, query {kind}, vector array<double>")
-    none = lambda t: F.lit(None).cast(t)
-    loads = index.blocks.select("cell", "block", F.lit(0).alias("turn"), "ids", "codes", none(kind).alias("query"), none("array<double>").alias("vector"))
-    asks = asks.select("cell", "block", F.lit(1).alias("turn"), none(f"array<{kind}>").alias("ids"), none("array<binary>").alias("codes"), "query", "vector")
-    both = loads.join(asks.select("cell", "block").distinct(), ["cell", "block"], "left_semi").unionByName(asks)
-    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "block").sortWithinPartitions("cell", "block", "turn")
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, codes = np.zeros(0), np.zeros((0, len(words)), np.uint8)
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if r.turn == 0:
-                    ids, codes = np.array(r.ids), np.frombuffer(b"".join(r.codes), np.uint8).reshape(-1, len(words))
+    packed = found.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "code", "raw")).alias("rows"))
+    blocks = packed.select("cell", "block", *[F.col(f"rows.{c}").alias(f"{c}s") for c in ("id", "code", "raw")])
+    return Index(staged(blocks, "blocks"), kept, centres, words, sizes, n, s)
+
+
+class _Held:
+    """What a task holds of a part, and its answers."""
+
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, raws: list[bytes], index_words: tuple[np.ndarray, np.ndarray], k: int):
+        centres, words = index_words
+        order = np.argsort(ids, kind="stable")
+        own = int(np.unique(ids, return_counts=True)[1].max())
+        # of copies of one vector no answer needs more than the smallest ids, besides a query's own
+        copy = pd.factorize(pd.Series([raws[i] for i in order], dtype=object))[0]
+        keep = order[pd.Series(copy).groupby(copy).cumcount().to_numpy() < k + own]
+        self.k, self.ids, self.cells = k, ids[keep], cells[keep]  # in the order of ids
+        self.x = np.frombuffer(b"".join(raws[i] for i in keep)).reshape(len(keep), -1)
+        self.unit, self.length = _unit(self.x), np.sqrt(_in_turn(self.x, self.x))
+        self.near = centres[self.cells] + np.concatenate([w[codes[keep, i]] for i, w in enumerate(words)], 1)
+        self.half = 0.5 * (self.near**2).sum(1)
+
+    def answers(self, queries: np.ndarray, x: np.ndarray, probed: list[list[int]], proposals: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of the query, id, cosine): the best ``k`` of each query."""
+        every = proposals * RANK_ALL >= len(self.ids)
+        step = max(1, CHUNK // (len(self.ids) + (0 if every else min(proposals, len(self.ids)) * x.shape[1])))
+        for i in range(0, len(x), step):
+            at, rows = self._best(queries[i : i + step], x[i : i + step], probed[i : i + step], len(self.ids) if every else proposals)
+            for j in range(0, len(at), CHUNK):  # more than a few a query only where cosines are equal
+                dot = _in_turn(self.x[rows[j : j + CHUNK]], x[i + at[j : j + CHUNK]])
+                norm = self.length[rows[j : j + CHUNK]] * np.sqrt(_in_turn(x[i + at[j : j + CHUNK]], x[i + at[j : j + CHUNK]]))
+                cosine = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+                first = np.lexsort((rows[j : j + CHUNK], -cosine, at[j : j + CHUNK]))
+                who = at[j : j + CHUNK][first]
+                first = first[np.arange(len(who)) - np.searchsorted(who, who) < self.k]
+                yield i + at[j : j + CHUNK][first], self.ids[rows[j : j + CHUNK][first]], cosine[first]
+
+    def _best(self, queries: np.ndarray, x: np.ndarray, probed: list[list[int]], proposals: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row): the rows whose cosine is that of the ``k``-th at least, but for what sums in another order may differ by."""
+        names, place = np.unique(self.cells, return_inverse=True)
+        looks = np.zeros((len(x), len(names)), bool)
+        for i, cells in enumerate(probed):
+            looks[i, np.searchsorted(names, cells)] = True
+        out = ~looks[:, place]
+        low, high = np.searchsorted(self.ids, queries), np.searchsorted(self.ids, queries, "right")
+        for i in np.flatnonzero(high > low):
+            out[i, low[i] : high[i]] = True
+        unit = _unit(x)
+        if proposals < len(self.ids):
+            far = self.half - unit @ self.near.T
+            far[out] = np.inf
+            rows = np.argpartition(far, proposals - 1, axis=1)[:, :proposals]
+            score = np.einsum("qd,qpd->qp", unit, self.unit[rows])
+            score[np.take_along_axis(out, rows, 1)] = -np.inf
+        else:
+            rows, score = np.broadcast_to(np.arange(len(self.ids)), out.shape), unit @ self.unit.T
+            score[out] = -np.inf
+        k = min(self.k, score.shape[1])
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        at, column = np.nonzero((score >= least - 1e-9) & (score > -np.inf))
+        return at, rows[at, column]
+
+
+def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first number to the last, as ``cosine`` of the functions does."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+def _found(index: Index, queries: DataFrame, levels: list[tuple[int, int]], k: int) -> DataFrame:
+    """(level, query, rank, id, cosine): what (query, vector) finds with the probes and proposals of each level."""
+    centres, words, blocks = index.centres, index.words, index.parts_of_cell
+    kind, partitions = dict(index.vectors.dtypes)["id"], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = max(1, min(sum(blocks.values()), max(4 * partitions, -(-index.rows // index.setting.block))))
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            near = np.argsort((centres**2).sum(1) - 2 * _unit(x) @ centres.T, axis=1, kind="stable")
+            rows, out = [], []
+            for i, cells in enumerate(near.tolist()):
+                for level, (probes, _) in enumerate(levels):
+                    to: dict[int, list[int]] = {}
+                    for c in cells[:probes]:
+                        for p in {(c + b) % dealt for b in range(blocks.get(c, 0))}:
+                            to.setdefault(p, []).append(c)
+                    rows += [i] * len(to)
+                    out += [(p, level, own) for p, own in to.items()]
+            part, level, own = zip(*out, strict=True) if out else ((), (), ())
+            raws = [x[i].tobytes() for i in range(len(x))]
+            columns = [pa.array(part, pa.int32()), pa.array(level, pa.int32()), batch.column("query").take(pa.array(rows, pa.int64())), pa.array(own, pa.list_(pa.int32())), pa.array([[raws[i]] for i in rows], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "level", "query", "cells", "raws"])
+
+    asks = queries.select("query", "vector").mapInArrow(probed, f"part int, level int, query {kind}, cells array<int>, raws array<binary>")
+    loads = index.blocks.withColumn("part", F.pmod(F.col("cell") + F.col("block"), F.lit(dealt)).cast("int"))
+    loads = loads.join(F.broadcast(asks.select("part").distinct()), "part", "left_semi").select("part", F.lit(-1).alias("level"), F.lit(None).cast(kind).alias("query"), F.array("cell").alias("cells"), "raws", "ids", "codes")
+    both = loads.unionByName(asks.withColumns({"ids": F.lit(None).cast(f"array<{kind}>"), "codes": F.lit(None).cast("array<binary>")}))
+    both = both.repartition(partitions, "part").sortWithinPartitions("part", "level")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, held = -1, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "level")], 1)
+            starts = [0, *(1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1))).tolist(), len(keys)]
+            for i, j in zip(starts, starts[1:], strict=False):
+                own, (at, level) = batch.slice(i, j - i), keys[i].tolist()
+                if at != part:
+                    part, rows, held = at, [], None
+                if level < 0:
+                    rows.append(own)
                     continue
-                rest = (np.array(r.vector) - centres[r.cell]).reshape(len(words), 1, width)
-                table = ((words - rest) ** 2).sum(2)
-                far = table[np.arange(len(words)), codes].sum(1)
-                best = np.argsort(far, kind="stable")[:proposals]
-                out.append(pd.DataFrame({"query": r.query, "id": ids[best], "far": far[best]}))
-            yield pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "far": []})
-
-    found = both.mapInPandas(look, f"query {kind}, id {kind}, far double")
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("far", "id"))).where(F.col("n") <= proposals).select("query", "id")
-
-
-def _ranked(pairs: DataFrame, index: Index, queries: DataFrame, k: int) -> DataFrame:
-    cosine: Column = X.cosine(F.col("vector"), F.col("asked"))
-    rows = pairs.where("query <> id").join(index.vectors, "id").join(queries.select("query", F.col("vector").alias("asked")), "query").select("query", "id", cosine.alias("cosine"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
+                if held is None:
+                    flat = {c: [r.column(c).flatten() for r in rows] for c in ("ids", "codes", "raws", "cells")}
+                    many = np.concatenate([r.column("ids").value_lengths().to_numpy(zero_copy_only=False) for r in rows])
+                    ids = pa.concat_arrays(flat["ids"]).to_numpy(zero_copy_only=False)
+                    codes = np.frombuffer(b"".join(c for f in flat["codes"] for c in f.to_pylist()), np.uint8).reshape(-1, len(words))
+                    held, rows = _Held(ids, np.repeat(pa.concat_arrays(flat["cells"]).to_numpy(), many), codes, [r for f in flat["raws"] for r in f.to_pylist()], (centres, words), k), []
+                x = np.frombuffer(b"".join(own.column("raws").flatten().to_pylist())).reshape(own.num_rows, -1)
+                queries = own.column("query").to_numpy(zero_copy_only=False)
+                for who, ids, cosine in held.answers(queries, x, own.column("cells").to_pylist(), levels[level][1]):
+                    columns = [pa.array(np.full(len(who), level, np.int32)), own.column("query").take(pa.array(who)), pa.array(ids, own.schema.field("query").type), pa.array(cosine)]
+                    yield pa.RecordBatch.from_arrays(columns, ["level", "query", "id", "cosine"])
+
+    rows = both.mapInArrow(look, f"level int, query {kind}, id {kind}, cosine double")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("level", "query").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
 
 
 def exact(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, id, cosine) by brute force; for a bounded set of queries, which is sent to every task."""
-    asked = F.broadcast(queries.select("query", F.col("vector").cast("array<double>").alias("asked")))
-    rows = index.vectors.crossJoin(asked).select("id", "query", X.cosine(F.col("vector"), F.col("asked")).alias("cosine")).where("query <> id")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    asked = F.broadcast(queries.select("query", F.col("vector").alias("asked"), F.sqrt(dot("vector", "vector")).alias("own")))
+    norm = F.col("length") * F.col("own")
+    cosine = F.when(norm > 0, dot("vector", "asked") / norm).otherwise(F.lit(0.0))
+    rows = index.vectors.withColumn("length", F.sqrt(dot("vector", "vector"))).crossJoin(asked).where("query <> id").select("id", "query", cosine.alias("cosine"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
 
 
 def widened(index: Index, queries: DataFrame, k: int) -> Setting:
     """The setting with as many probes and proposals as the audit asks for."""
-    s, cells = index.setting, len(index.centres)
-    some = queries.orderBy(F.xxhash64("query"), "query").limit(s.audit)
-    some = staged(some, "audit")
-    if some.isEmpty():
-        return s
+    s, cells, n = index.setting, len(index.centres), max(1, index.rows)
+    some = staged(queries.orderBy(F.xxhash64("query"), "query").limit(s.audit), "audit")
+    levels = [(min(cells, s.probes), min(n, s.proposals))]
+    while levels[-1] != (cells, n):
+        levels.append((min(cells, 2 * levels[-1][0]), min(n, 2 * levels[-1][1])))
     want = staged(exact(index, some, k), "truth")
-    total, n = want.count(), sum(index.parts_of_cell.values()) * s.block
-    while True:
-        got = _ranked(_proposed(index, some, s.probes, s.proposals), index, some, k)
-        # as near as the k-th is as good as the k-th
-        hit = got.join(want.groupBy("query").agg(F.min("cosine").alias("least")), "query").where("cosine >= least").count()
-        if hit >= s.recall * total or (s.probes >= cells and s.proposals >= n):
-            return s
-        s = replace(s, probes=min(cells, 2 * s.probes), proposals=min(n, 2 * s.proposals))
+    # as near as the k-th is as good as the k-th
+    least = F.broadcast(want.groupBy("query").agg(F.min("cosine").alias("least")))
+    hits = {r["level"]: r["count"] for r in _found(index, some, levels, k).join(least, "query").where("cosine >= least").groupBy("level").count().collect()}  # a row a level
+    total = want.count()
+    probes, proposals = next((w for i, w in enumerate(levels) if hits.get(i, 0) >= s.recall * total), levels[-1])
+    return replace(s, probes=probes, proposals=proposals)
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
@@ -209,4 +295,4 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     dim = index.centres.shape[1]
     asked = staged(sound(queries.withColumnRenamed("query", "id"), dim).withColumnRenamed("id", "query"), "asked")
     s = widened(index, asked, k)
-    return _ranked(_proposed(index, asked, s.probes, s.proposals), index, asked, k).select("query", "rank", "id", "cosine")
+    return _found(index, asked, [(s.probes, s.proposals)], k).select("query", "rank", "id", "cosine")

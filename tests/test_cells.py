@@ -70,6 +70,60 @@ def test_no_vectors_come_to_the_driver(spark, monkeypatch):
     assert got.count() == 36
 
 
+def test_an_audit_of_many_widths_is_one_plan(spark):
+    """Vectors without cells that help: from a probe and a proposal it is as many jobs to everything as from everything."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = v.where("id % 50 = 0").withColumnRenamed("id", "query")
+    jobs, got = [], []
+    for probes, proposals in ((1, 1), (1024, 900)):
+        index = cells.build(v, cells.Setting(sample=300, probes=probes, proposals=proposals, recall=1.0))
+        spark.sparkContext.setJobGroup(f"audit-{probes}", "an audit")
+        s = cells.widened(index, asked, 10)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"audit-{probes}")))
+        spark.sparkContext.setJobGroup("rest", "the rest")
+        assert s.probes > 1 and s.proposals > 1
+        got.append(found(cells.search(index, asked, 10)))
+    assert jobs[0] == jobs[1] <= 25
+    assert got[1] == brute(rows, [(i, x) for i, x in rows if i % 50 == 0], 10)
+    assert got[0] == got[1]  # all 18 queries are audited
+
+
+def test_a_part_sends_on_its_best(spark):
+    """A part of copies, repeated ids and others gives at most ``k`` rows a query, those of brute force, ties to the smaller id; also where codes choose."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.repeat(rng.normal(size=(2, 8)), 150, axis=0), rng.normal(size=(300, 8))])
+    ids = rng.permutation(np.r_[np.arange(598), 3, 3])
+    centres = cells.means(x / np.linalg.norm(x, axis=1, keepdims=True), 4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rest = unit - centres[cells.nearest(unit, centres)]
+    words = np.stack([cells.means(rest[:, i : i + 4], 64) for i in (0, 4)])
+    own, codes = cells.codes_of(unit, centres, words)
+    held = cells._Held(ids, own, codes, [v.tobytes() for v in x], (centres, words), 5)
+    at = np.r_[0, 160, 400:420, np.flatnonzero(ids == 3)]
+    for proposals in (600, 20):
+        got = {}
+        for who, found_ids, cosine in held.answers(ids[at], x[at], [sorted(set(own.tolist()))] * len(at), proposals):
+            for i, j, c in zip(who.tolist(), found_ids.tolist(), cosine.tolist(), strict=True):
+                got.setdefault(i, []).append((j, round(c, 9)))
+        assert all(len(f) == 5 for f in got.values()) and len(got) == len(at)
+        if proposals == 600:
+            for i, q in enumerate(at):
+                c = np.round(unit @ unit[q], 9)
+                order = [j for j in np.lexsort((ids, -c)) if ids[j] != ids[q]][:5]
+                assert got[i] == [(ids[j], c[j]) for j in order]
+
+
+def test_ids_that_are_strings(spark):
+    rows = [(f"v{i:03d}", x) for i, x in clustered(300, 8)]
+    v = spark.createDataFrame(rows, "id string, vector array<double>")
+    asked = v.where("id like '%7'").withColumnRenamed("id", "query")
+    got = found(cells.search(cells.build(v, cells.Setting(sample=200, recall=1.0)), asked, 3))
+    want = brute(list(enumerate(x for _, x in rows)), [(i, x) for i, (_, x) in enumerate(rows) if i % 10 == 7], 3)
+    assert got == {f"v{q:03d}": [(f"v{i:03d}", c) for i, c in w] for q, w in want.items()}
+
+
 def test_codes_are_near_what_they_stand_for():
     x = np.array([v for _, v in clustered(2000)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
