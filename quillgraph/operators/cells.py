@@ -110,6 +110,11 @@ def _fitted(drawn: DataFrame, dim: int, cells: int, s: Setting) -> tuple[np.ndar
     return (got["centres"], got["words"]) if got else (np.zeros((1, dim)), np.zeros((dim // s.part, 1, s.part)))
 
 
+def _most(s: Setting, dim: int) -> int:
+    """Vectors of a block, and of a part in the mean."""
+    return max(1, min(s.block, BLOCK_NUMBERS // dim))
+
+
 def build(vectors: DataFrame, s: Setting = Setting()) -> Index:
     """Index of (id, vector), its tables in the shared folder. The length of the vectors must be a multiple of ``part``."""
     rows = sound(vectors)
@@ -133,7 +138,7 @@ def build(vectors: DataFrame, s: Setting = Setting()) -> Index:
 
     kind = dict(kept.dtypes)["id"]
     found = staged(kept.mapInPandas(coded, f"id {kind}, cell int, code binary, raw binary"), "codes")
-    most = max(1, min(s.block, BLOCK_NUMBERS // dim))
+    most = _most(s, dim)
     sizes = {r["cell"]: -(-r["count"] // most) for r in found.groupBy("cell").count().collect()}  # a row a cell
     parts = F.coalesce(*[F.when(F.col("cell") == c, F.lit(p)) for c, p in sizes.items() if p > 1], F.lit(1))
     packed = found.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int")).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "code", "raw")).alias("rows"))
@@ -144,13 +149,13 @@ def build(vectors: DataFrame, s: Setting = Setting()) -> Index:
 class _Held:
     """What a task holds of a part, and its answers."""
 
-    def __init__(self, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, raws: list[bytes], index_words: tuple[np.ndarray, np.ndarray], k: int):
-        centres, words = index_words
+    def __init__(self, ids: np.ndarray, cells: np.ndarray, codes: np.ndarray, raws: list[bytes], fitted: tuple[np.ndarray, np.ndarray], k: int):
+        centres, words = fitted
         order = np.argsort(ids, kind="stable")
         own = int(np.unique(ids, return_counts=True)[1].max())
         # of copies of one vector no answer needs more than the smallest ids, besides a query's own
-        copy = pd.factorize(pd.Series([raws[i] for i in order], dtype=object))[0]
-        keep = order[pd.Series(copy).groupby(copy).cumcount().to_numpy() < k + own]
+        copies = pd.DataFrame({"raw": pd.factorize(pd.Series([raws[i] for i in order], dtype=object))[0], "cell": cells[order]})
+        keep = order[copies.groupby(["raw", "cell"]).cumcount().to_numpy() < k + own]
         self.k, self.ids, self.cells = k, ids[keep], cells[keep]  # in the order of ids
         self.x = np.frombuffer(b"".join(raws[i] for i in keep)).reshape(len(keep), -1)
         self.unit, self.length = _unit(self.x), np.sqrt(_in_turn(self.x, self.x))
@@ -163,21 +168,21 @@ class _Held:
         step = max(1, CHUNK // (len(self.ids) + (0 if every else min(proposals, len(self.ids)) * x.shape[1])))
         for i in range(0, len(x), step):
             at, rows = self._best(queries[i : i + step], x[i : i + step], probed[i : i + step], len(self.ids) if every else proposals)
-            for j in range(0, len(at), CHUNK):  # more than a few a query only where cosines are equal
-                dot = _in_turn(self.x[rows[j : j + CHUNK]], x[i + at[j : j + CHUNK]])
-                norm = self.length[rows[j : j + CHUNK]] * np.sqrt(_in_turn(x[i + at[j : j + CHUNK]], x[i + at[j : j + CHUNK]]))
+            some = max(1, CHUNK // x.shape[1])
+            for j in range(0, len(at), some):  # once, but for very many equal cosines
+                who, near = at[j : j + some], rows[j : j + some]
+                dot, norm = _in_turn(self.x[near], x[i + who]), self.length[near] * np.sqrt(_in_turn(x[i + who], x[i + who]))
                 cosine = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-                first = np.lexsort((rows[j : j + CHUNK], -cosine, at[j : j + CHUNK]))
-                who = at[j : j + CHUNK][first]
-                first = first[np.arange(len(who)) - np.searchsorted(who, who) < self.k]
-                yield i + at[j : j + CHUNK][first], self.ids[rows[j : j + CHUNK][first]], cosine[first]
+                first = np.lexsort((near, -cosine, who))
+                first = first[np.arange(len(who)) - np.searchsorted(who, who[first]) < self.k]
+                yield i + who[first], self.ids[near[first]], cosine[first]
 
     def _best(self, queries: np.ndarray, x: np.ndarray, probed: list[list[int]], proposals: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, row): the rows whose cosine is that of the ``k``-th at least, but for what sums in another order may differ by."""
         names, place = np.unique(self.cells, return_inverse=True)
         looks = np.zeros((len(x), len(names)), bool)
         for i, cells in enumerate(probed):
-            looks[i, np.searchsorted(names, cells)] = True
+            looks[i, np.isin(names, cells)] = True  # a cell's block of this part may have no vector
         out = ~looks[:, place]
         low, high = np.searchsorted(self.ids, queries), np.searchsorted(self.ids, queries, "right")
         for i in np.flatnonzero(high > low):
@@ -210,7 +215,7 @@ def _found(index: Index, queries: DataFrame, levels: list[tuple[int, int]], k: i
     """(level, query, rank, id, cosine): what (query, vector) finds with the probes and proposals of each level."""
     centres, words, blocks = index.centres, index.words, index.parts_of_cell
     kind, partitions = dict(index.vectors.dtypes)["id"], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = max(1, min(sum(blocks.values()), max(4 * partitions, -(-index.rows // index.setting.block))))
+    dealt = max(1, min(sum(blocks.values()), max(4 * partitions, -(-index.rows // _most(index.setting, centres.shape[1])))))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
@@ -248,6 +253,8 @@ def _found(index: Index, queries: DataFrame, levels: list[tuple[int, int]], k: i
                 if level < 0:
                     rows.append(own)
                     continue
+                if held is None and not rows:
+                    continue
                 if held is None:
                     flat = {c: [r.column(c).flatten() for r in rows] for c in ("ids", "codes", "raws", "cells")}
                     many = np.concatenate([r.column("ids").value_lengths().to_numpy(zero_copy_only=False) for r in rows])

@@ -115,6 +115,15 @@ def test_a_part_sends_on_its_best(spark):
                 assert got[i] == [(ids[j], c[j]) for j in order]
 
 
+def test_blocks_without_vectors(spark):
+    """Blocks of one vector: many of a cell's blocks get none, and the parts asked for them have nothing of that cell."""
+    rows = clustered(200, 8)
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = cells.build(v, cells.Setting(sample=100, block=1, recall=1.0, audit=200))
+    assert index.blocks.count() < sum(index.parts_of_cell.values())
+    assert found(cells.search(index, v.withColumnRenamed("id", "query"), 4)) == brute(rows, rows, 4)
+
+
 def test_ids_that_are_strings(spark):
     rows = [(f"v{i:03d}", x) for i, x in clustered(300, 8)]
     v = spark.createDataFrame(rows, "id string, vector array<double>")
